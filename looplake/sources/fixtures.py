@@ -218,6 +218,13 @@ class Fixtures:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def derive(self, sql: str) -> DataFrame:
+        """Run a portable derivation over fixture views (registers the ones it names)."""
+        for n in FIXTURE_SQL:
+            if re.search(rf"\b{n}\b", sql):
+                getattr(self, n)
+        return self.spark.sql(sql)
+
     def __getattr__(self, name: str) -> DataFrame:
         key = name if name.startswith("fx_") else f"fx_{name}"
         if key not in FIXTURE_SQL:
