@@ -156,3 +156,32 @@ def scope_key(pool, clinic) -> Column:
     p = F.upper(strip(F.coalesce(col(pool), F.lit("CLINIC_ONLY"))))
     return F.when(p == "GLOBAL", F.lit("global:GLOBAL")).otherwise(
         F.concat(F.lit("clinic:"), F.coalesce(normalize_clinic_key(clinic), F.lit("unknown")), F.lit(":CLINIC_ONLY")))
+
+
+def py_fixed(x, decimals: int) -> Column:
+    """Text of ``x`` with ``decimals`` places, rounded like Python's ``f"{x:.Nf}"``.
+
+    Python rounds the exact binary value (ties to even); Java's formatter
+    rounds the shortest decimal form half-up, so 0.015 would print 0.02 there
+    and 0.01 in Python.  The exact product x·10^d is recovered as p + err with
+    Dekker's error-free multiplication, which decides the side of a tie.
+    """
+    v = col(x).cast("double")
+    a = F.abs(v)
+    scale = float(10 ** decimals)
+    p = a * scale
+    t = a * 134217729.0
+    hi = t - (t - a)
+    lo = a - hi
+    err = (hi * scale - p) + lo * scale
+    fl = F.floor(p)
+    frac = p - fl
+    up = (F.when(frac > 0.5, 1).when(frac < 0.5, 0)
+          .when(err > 0, 1).when(err < 0, 0)
+          .when(fl % 2 == 0, 0).otherwise(1))
+    n = (fl + up).cast("long")
+    ip = (n / F.lit(10 ** decimals).cast("long")).cast("long") if decimals else n
+    text = (F.concat(ip.cast("string"), F.lit("."), F.lpad((n % (10 ** decimals)).cast("string"), decimals, "0"))
+            if decimals else ip.cast("string"))
+    return F.when(v.isNull(), F.lit(None).cast("string")).otherwise(
+        F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), text))

@@ -143,7 +143,7 @@ def promotion_guardrail(runs: DataFrame, cfg: Config = DEFAULT, metric: str | No
     m = metric or cfg.promote_primary_metric
     new, base = F.col(m), F.col("baseline_metric")
     delta = new - base
-    fmt = lambda c: F.format_string("%.4f", c)
+    fmt = lambda c: S.py_fixed(c, 4)
     checks = F.array_compact(F.array(
         F.when(F.coalesce(F.col("n_samples"), F.lit(0)) < cfg.promote_min_samples,
                F.format_string(f"n_samples=%d < PROMOTE_MIN_SAMPLES={cfg.promote_min_samples}",

@@ -121,3 +121,23 @@ def hash_order(seed: int, key: Column) -> Column:
 def hash_sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     """First ``n`` rows in hash order (TakeOrdered: per-partition top-n, no global sort)."""
     return df.withColumn("_h", hash_order(seed, F.col(key))).orderBy("_h", key).limit(int(n)).drop("_h")
+
+
+def running_max(df: DataFrame, rn: str, values: dict[str, Column], partition_cols: list | None = None,
+                block: int = DEFAULT_BLOCK) -> DataFrame:
+    """Inclusive running maxima by ``rn`` (block maxima of earlier blocks + in-block window)."""
+    part = list(partition_cols or [])
+    b = df.withColumn("_blk", F.floor((F.col(rn) - 1) / F.lit(block)).cast("bigint"))
+    for name, v in values.items():
+        b = b.withColumn(f"_v_{name}", v)
+    tot = b.groupBy(*part, "_blk").agg(*[F.max(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    wb = Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    for n in values:
+        tot = tot.withColumn(f"_o_{n}", F.max(f"_t_{n}").over(wb))
+    tot = tot.select(*part, "_blk", *[f"_o_{n}" for n in values])
+    wi = Window.partitionBy(*part, "_blk").orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)
+    out = b.join(tot, part + ["_blk"], "inner")
+    for n in values:
+        inb = F.max(f"_v_{n}").over(wi)
+        out = out.withColumn(n, F.when(F.col(f"_o_{n}").isNull(), inb).otherwise(F.greatest(F.col(f"_o_{n}"), inb)))
+    return out.drop("_blk", *[f"_v_{n}" for n in values], *[f"_o_{n}" for n in values])
