@@ -83,10 +83,22 @@ def _label_nonempty(fx):
 
 
 @query("scopes_in_cooldown", f"""
-SELECT scope_key, cooldown_until FROM fx_scope_state
-WHERE cooldown_until IS NOT NULL AND cooldown_until > {AS_OF_SQL}""")
+WITH f AS (SELECT DISTINCT CASE WHEN {blank_null_sql('clinic_id')} IS NULL THEN 'global:GLOBAL'
+                                ELSE 'clinic:' || {blank_null_sql('clinic_id')} || ':CLINIC_ONLY' END AS scope_key
+           FROM fx_job WHERE status = 'failed'),
+st AS (SELECT COALESCE(s.scope_key, f.scope_key) AS scope_key,
+              CASE WHEN f.scope_key IS NOT NULL
+                   THEN {AS_OF_SQL} + to_seconds(CAST(least(900, 30 * pow(2, least(COALESCE(s.consecutive_failures, 0) + 1, 5)))
+                                                 AS BIGINT))
+                   ELSE s.cooldown_until END AS cooldown_until
+       FROM fx_scope_state s FULL OUTER JOIN f ON s.scope_key = f.scope_key)
+SELECT scope_key, cooldown_until FROM st WHERE cooldown_until IS NOT NULL AND cooldown_until > {AS_OF_SQL}""")
 def _scopes_in_cooldown(fx):
-    return SC.scopes_in_cooldown(fx.scope_state, AS_OF).select("scope_key", "cooldown_until")
+    from looplake.operators import jobs as J
+    from looplake.operators import state as ST
+    failed = fx.job.where(F.col("status") == "failed").select(J.job_scope_key().alias("scope_key"))
+    st = ST.scope_state_failure(fx.scope_state, failed, AS_OF)
+    return SC.scopes_in_cooldown(st, AS_OF).select("scope_key", "cooldown_until")
 
 
 @query("feedback_validate", f"""
@@ -385,13 +397,16 @@ def _adaptive_split_ratio(fx):
     return n.select("scope_key", "n", S.adaptive_split_ratio("n").cast("double").alias("ratio"))
 
 
-@query("cooldown_seconds", """
-SELECT scope_key, consecutive_failures + 1 AS failures,
-       CAST(least(900, 30 * pow(2, least(consecutive_failures + 1, 5))) AS INTEGER) AS cooldown_s
-FROM fx_scope_state""")
+@query("cooldown_seconds", f"""
+SELECT CASE WHEN {blank_null_sql('clinic_id')} IS NULL THEN 'global:GLOBAL'
+            ELSE 'clinic:' || {blank_null_sql('clinic_id')} || ':CLINIC_ONLY' END AS scope_key,
+       count(*) AS failures, CAST(least(900, 30 * pow(2, least(count(*), 5))) AS INTEGER) AS cooldown_s
+FROM fx_job WHERE status = 'failed' GROUP BY 1""")
 def _cooldown_seconds(fx):
-    st = fx.scope_state.withColumn("failures", F.col("consecutive_failures") + 1)
-    return st.select("scope_key", "failures", S.cooldown_seconds("failures").alias("cooldown_s"))
+    from looplake.operators import jobs as J
+    f = fx.job.where(F.col("status") == "failed").groupBy(J.job_scope_key().alias("scope_key")).agg(
+        F.count(F.lit(1)).alias("failures"))
+    return f.select("scope_key", "failures", S.cooldown_seconds("failures").alias("cooldown_s"))
 
 
 @query("iso_hour_key", "SELECT event_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00') AS hour FROM fx_monitor_log")

@@ -160,6 +160,37 @@ SELECT row_id,
        CASE WHEN row_id % 4 = 0 THEN 'yes' WHEN row_id % 4 = 1 THEN 'Rejected'
             WHEN row_id % 4 = 2 THEN 'maybe' ELSE NULL END AS is_correct
 FROM fx_baseline""",
+    # --- dimensions derived from the job / prediction tables (grow with the data) ---
+    "fx_pin_d": """
+SELECT clinic_id, max_by(new_model_version, training_id) AS version
+FROM fx_job WHERE status = 'completed' AND is_deployed GROUP BY clinic_id""",
+    "fx_registry_d": """
+SELECT c.clinic_id, c.version, TRUE AS has_model, (c.tid % 7 <> 0) AS has_tab, TRUE AS has_symptoms,
+       CASE WHEN c.version = pn.version THEN 'production' WHEN c.dep THEN 'archived' ELSE 'staging' END AS status
+FROM (SELECT clinic_id, new_model_version AS version, max(training_id) AS tid, bool_or(is_deployed) AS dep
+      FROM fx_job WHERE status = 'completed' GROUP BY clinic_id, new_model_version) c
+LEFT JOIN fx_pin_d pn ON c.clinic_id IS NOT DISTINCT FROM pn.clinic_id
+UNION ALL
+SELECT DISTINCT clinic_id,
+       'v' || CAST(year(start_time) AS STRING) || lpad(CAST(month(start_time) AS STRING), 2, '0')
+           || lpad(CAST(day(start_time) AS STRING), 2, '0') || '_120000' AS version,
+       TRUE AS has_model, TRUE AS has_tab, TRUE AS has_symptoms, 'failed' AS status
+FROM fx_job WHERE status = 'failed'""",
+    "fx_approval_d": """
+SELECT training_id AS seq, new_model_version AS version,
+       CASE WHEN is_deployed THEN 'approve' WHEN training_id % 7 = 0 THEN 'rollback' ELSE 'reject' END AS action,
+       'ops' AS actor, end_time AS event_at
+FROM fx_job WHERE status = 'completed' AND clinic_id IS NULL""",
+    "fx_catalog_d": """
+SELECT 1 AS priority, clinic_id AS id, 'Site ' || upper(clinic_id) AS name
+FROM (SELECT DISTINCT clinic_id FROM fx_prediction_log) p
+UNION ALL
+SELECT DISTINCT 2 AS priority, 'clinic-' || (user_id % 12) AS id, CAST(NULL AS STRING) AS name FROM events""",
+    "fx_clinic_inputs_d": """
+SELECT DISTINCT upper(clinic_id) AS user_text FROM fx_prediction_log WHERE clinic_id IS NOT NULL
+UNION SELECT DISTINCT lower(name) FROM fx_catalog_d WHERE name IS NOT NULL
+UNION SELECT DISTINCT '00000000-0000-0000-0000-' || lpad(CAST(user_id AS STRING), 12, '0') FROM events
+UNION SELECT DISTINCT 'legacy-' || CAST(user_id % 5 AS STRING) FROM events""",
     # --- literal dimensions (fixed values from FIXTURES.md) ---
     "fx_policy": """
 SELECT * FROM (VALUES ('clinic-0', 'GLOBAL'), ('clinic-1', 'GLOBAL'), ('clinic-2', 'CLINIC_ONLY'),
@@ -188,7 +219,7 @@ SELECT * FROM (VALUES (CAST(NULL AS STRING), 'v1.0', TRUE, TRUE, TRUE, 'archived
     "fx_pin": """
 SELECT * FROM (VALUES (CAST(NULL AS STRING), 'v1.9'), ('clinic-3', 'v2.0')) AS t(clinic_id, version)""",
     "fx_approval_event": """
-SELECT CAST(seq AS BIGINT) AS seq, version, action, actor, CAST(at AS TIMESTAMP) AS at
+SELECT CAST(seq AS BIGINT) AS seq, version, action, actor, CAST(at AS TIMESTAMP) AS event_at
 FROM (VALUES (1, 'v1.0', 'approve', 'ops', TIMESTAMP '2024-01-10 00:00:00'),
              (2, 'v1.9', 'approve', 'ops', TIMESTAMP '2024-01-20 00:00:00'),
              (3, 'v1.10', 'reject', 'ops', TIMESTAMP '2024-01-25 00:00:00'),
@@ -198,7 +229,9 @@ FROM (VALUES (1, 'v1.0', 'approve', 'ops', TIMESTAMP '2024-01-10 00:00:00'),
 
 # Fixture dependencies on other fixtures (for CTE assembly).
 _DEPS = {"fx_scored": ("fx_baseline",), "fx_drift_side": ("fx_baseline",),
-         "fx_bootstrap_raw": ("fx_baseline",)}
+         "fx_bootstrap_raw": ("fx_baseline",), "fx_pin_d": ("fx_job",), "fx_registry_d": ("fx_job", "fx_pin_d"),
+         "fx_approval_d": ("fx_job",), "fx_catalog_d": ("fx_prediction_log",),
+         "fx_clinic_inputs_d": ("fx_prediction_log", "fx_catalog_d")}
 
 
 def register_base_tables(spark: SparkSession, sf_dir: str) -> None:
