@@ -131,3 +131,26 @@ def job_deltas(jobs: DataFrame, metric: str = "cv_mean_f1_weighted") -> DataFram
                     F.col("prev_new_model_version").alias("baseline_version"),
                     F.col("prev_metric").alias("baseline_metric"),
                     (F.col("metric") - F.col("prev_metric")).alias("metric_delta"))
+
+
+def job_status(jobs: DataFrame, requested: DataFrame, predictions: DataFrame, feedback: DataFrame, as_of,
+               window_days: int) -> DataFrame:
+    """Status rows for requested job ids: progress fields split out of the metrics JSON; an
+    unknown id gets the default pending row with current totals."""
+    m = F.from_json(F.col("training_metrics"), "map<string,string>")
+    j = requested.join(jobs.withColumn("_m", m).withColumn("_known", F.lit(True)), "training_id", "left")
+    tp = predictions.agg(F.count(F.lit(1)).alias("_tp"))
+    ef = (feedback.where((F.col("training_pool") == "GLOBAL") & (F.col("is_training_eligible") == F.lit(True))
+                         & (F.col("created_at") >= window_start(as_of, window_days)))
+          .agg(F.count(F.lit(1)).alias("_ef")))
+    j = j.crossJoin(F.broadcast(tp)).crossJoin(F.broadcast(ef))
+    unknown = F.col("_known").isNull()
+    rest = F.map_filter(F.col("_m"), lambda k, v: ~k.isin("current_phase", "progress_pct"))
+    return j.select(
+        "training_id", F.coalesce(F.col("status"), F.lit("pending")).alias("status"),
+        F.col("_m")["current_phase"].alias("current_phase"),
+        F.col("_m")["progress_pct"].cast("int").alias("progress_pct"),
+        F.array_join(F.array_sort(F.map_keys(rest)), ",").alias("phase_metric_keys"),
+        F.when(unknown, F.col("_tp")).alias("total_predictions"),
+        F.when(unknown, F.col("_ef")).alias("eligible_feedback_count"),
+        F.when(unknown, F.lit("Training job not found")).alias("error_message"))

@@ -15,6 +15,7 @@ from looplake.config import DEFAULT, FEATURES, LABEL, Config
 from looplake.functions import scalars as S
 from looplake.operators import ordering as O
 from looplake.operators.scope import dedup_predictions_by_text_id, feature_columns
+from looplake.session import cut_lineage
 
 FRAME_COLUMNS = ("scope_key", "source", "row_key", *FEATURES, "label", "weight", "sample_ts")
 CORE_TS = "1970-01-01 00:00:00"
@@ -166,7 +167,9 @@ def collect_training_frame(feedback: DataFrame, predictions: DataFrame, baseline
         frame = mix_core_memory(frame, baseline, cfg)
         frame = complete_classes(frame, baseline, cfg)
     if fill_timestamps:
-        frame = fill_missing_timestamps(frame, as_of)
+        # Stage boundary: the frame is materialized once in the shared checkpoint folder, so the
+        # numbering of rows without a timestamp does not recompute the joins above.
+        frame = fill_missing_timestamps(cut_lineage(frame.select(*FRAME_COLUMNS)), as_of)
     return frame.select(*FRAME_COLUMNS)
 
 

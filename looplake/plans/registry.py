@@ -48,6 +48,6 @@ def load_all() -> dict[str, Entry]:
     # Importing the catalog modules fills REGISTRY.
     from looplake.plans import (  # noqa: F401
         catalog_ingest, catalog_scope, catalog_state, catalog_train, catalog_eval,
-        catalog_monitor, catalog_registry, catalog_stream,
+        catalog_monitor, catalog_registry, catalog_stream, catalog_models,
     )
     return REGISTRY
