@@ -1,3 +1,87 @@
-"""Catalog module."""
+"""Catalog: Structured Streaming keys.
+
+Each key writes fixture rows as files (in arrival order) into a fresh folder under the
+shared checkpoint directory, runs the stream with ``Trigger.AvailableNow`` and returns what
+the sink holds at the end.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from looplake.operators import scope as SC
+from looplake.plans.catalog_state import FB_CHANGES
+from looplake.plans.registry import query
+from looplake.sources.fixtures import AS_OF, AS_OF_SQL
+from looplake.streaming import streams as STR
+
+
+def _monitor_source(fx, path: str, late_rows: bool = True) -> str:
+    log = fx.monitor_log
+    STR.write_files(log, path, 4, "event_id")
+    if late_rows:
+        # five copies of the earliest events arrive last (late data for the watermark)
+        mx = log.agg(F.max("event_id").alias("_mx"))
+        late = (log.orderBy("ts", "event_id").limit(5).crossJoin(mx)
+                .withColumn("event_id", F.col("event_id") + F.col("_mx") + 1).drop("_mx"))
+        late.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@query("stream_hourly_metrics", """
+WITH g AS (SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
+                  count(*) AS predictions, count(*) FILTER (WHERE actual IS NOT NULL AND prediction = actual) AS c,
+                  count(*) FILTER (WHERE actual IS NOT NULL) AS l, avg(confidence) AS avg_confidence
+           FROM fx_monitor_log GROUP BY 1, 2)
+SELECT window_start, window_end, predictions, CASE WHEN l > 0 THEN CAST(c AS DOUBLE) / l ELSE 0.0 END AS accuracy,
+       round(avg_confidence, 9) AS avg_confidence
+FROM g WHERE window_end <= (SELECT max(ts) FROM fx_monitor_log) - INTERVAL 1 HOUR""")
+def _stream_hourly_metrics(fx):
+    p = STR.scratch(fx.spark, "hourly")
+    _monitor_source(fx, p["source"])
+    out = STR.hourly_metrics_stream(fx.spark, p["source"], p["sink"], p["checkpoint"])
+    return out.withColumn("avg_confidence", F.round("avg_confidence", 9))
+
+
+@query("stream_error_burst")
+def _stream_error_burst(fx):
+    """Error-burst alerts from keyed state (last 10 flags per monitor key)."""
+    p = STR.scratch(fx.spark, "burst")
+    _monitor_source(fx, p["source"], late_rows=False)
+    return STR.error_burst_stream(fx.spark, p["source"], p["sink"], p["checkpoint"])
+
+
+@query("stream_auto_trigger")
+def _stream_auto_trigger(fx):
+    """Automatic batch requests per scope from keyed state over the feedback stream."""
+    p = STR.scratch(fx.spark, "trigger")
+    scoped = SC.feedback_scopes(fx.feedback, fx.prediction_log).select(
+        "scope_key", "id", "is_training_eligible", "created_at")
+    STR.write_files(scoped, p["source"], 4, "id")
+    return STR.auto_trigger_stream(fx.spark, p["source"], p["sink"], p["checkpoint"])
+
+
+@query("stream_upsert_feedback", f"""
+WITH ch AS ({FB_CHANGES}),
+latest AS (SELECT * FROM ch QUALIFY row_number() OVER (PARTITION BY prediction_id ORDER BY seq DESC) = 1)
+SELECT COALESCE(o.id, n.id) AS id, COALESCE(o.prediction_id, n.prediction_id) AS prediction_id,
+       CASE WHEN n.prediction_id IS NOT NULL THEN n.final_diagnosis ELSE o.final_diagnosis END AS final_diagnosis,
+       CASE WHEN n.prediction_id IS NOT NULL THEN {AS_OF_SQL} ELSE o.created_at END AS created_at
+FROM fx_feedback o FULL OUTER JOIN latest n ON o.prediction_id = n.prediction_id""")
+def _stream_upsert_feedback(fx):
+    p = STR.scratch(fx.spark, "upsert")
+    ch = fx.derive(FB_CHANGES)
+    STR.write_files(ch.where(F.col("seq") == 1), p["source"], 3, "id")
+    ch.where(F.col("seq") == 2).coalesce(1).write.mode("append").parquet(p["source"])
+    out = STR.upsert_feedback_stream(fx.spark, p["source"], ch.schema, p["target"], fx.feedback, p["checkpoint"],
+                                     AS_OF)
+    return out.select("id", "prediction_id", "final_diagnosis", "created_at")
+
+
+@query("stream_drift")
+def _stream_drift(fx):
+    """Numeric drift of each micro-batch of logged prediction features against the baseline."""
+    p = STR.scratch(fx.spark, "drift")
+    cur = SC.extract_features(fx.prediction_log, keep=("id",)).withColumn("_o", F.col("id").cast("long"))
+    STR.write_files(cur, p["source"], 3, "_o")
+    return STR.drift_stream(fx.spark, p["source"], cur.schema, fx.baseline, p["sink"], p["checkpoint"])
