@@ -87,10 +87,13 @@ def confidence_threshold_sweep(df: DataFrame, y: str, yhat: str, maxp: str, majo
     per_t = classification_metrics(crossed, "y", "pred", by + ["t"], count_col="n")
     base = classification_metrics(df, y, yhat, by).select(*by, F.col("f1_weighted").alias("base_f1"))
     j = per_t.join(base, by, "inner") if by else per_t.crossJoin(base)
-    better = j.where(F.col("f1_weighted") > F.col("base_f1"))
-    best = better.groupBy(*by).agg(F.max("f1_weighted").alias("_best"))
+    # "strictly better" on values rounded to 12 places: equal prediction sets must compare equal
+    # whatever the summation order of the F1 aggregate
+    f12 = F.round("f1_weighted", 12)
+    better = j.where(f12 > F.round("base_f1", 12)).withColumn("_f12", f12)
+    best = better.groupBy(*by).agg(F.max("_f12").alias("_best"))
     first = (better.join(best, by, "inner") if by else better.crossJoin(best)).where(
-        F.col("f1_weighted") == F.col("_best")).groupBy(*by).agg(F.min("t").alias("_t"), F.first("_best").alias("_f"))
+        F.col("_f12") == F.col("_best")).groupBy(*by).agg(F.min("t").alias("_t"), F.max("f1_weighted").alias("_f"))
     out = base.join(first, by, "left") if by else base.join(first, F.lit(True), "left")
     return out.select(*by, F.coalesce(F.col("_t"), F.lit(0.5)).alias("best_threshold"),
                       F.coalesce(F.col("_f"), F.col("base_f1")).alias("best_f1_weighted"), "base_f1")

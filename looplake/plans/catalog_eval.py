@@ -108,8 +108,9 @@ t_conf AS (SELECT t, {strip_sql('y')} AS y, CASE WHEN maxp >= t THEN {strip_sql(
            FROM fx_scored, th, maj GROUP BY ALL),
 {metrics_sql('base_conf')},
 {metrics_sql('t_conf', 't')},
-better AS (SELECT m_t_conf.t, m_t_conf.f1_weighted FROM m_t_conf, m_base_conf b WHERE m_t_conf.f1_weighted > b.f1_weighted),
-best AS (SELECT min(t) AS t, max(f1_weighted) AS f FROM better WHERE f1_weighted = (SELECT max(f1_weighted) FROM better))
+better AS (SELECT m_t_conf.t, m_t_conf.f1_weighted, round(m_t_conf.f1_weighted, 12) AS f12 FROM m_t_conf, m_base_conf b
+           WHERE round(m_t_conf.f1_weighted, 12) > round(b.f1_weighted, 12)),
+best AS (SELECT min(t) AS t, max(f1_weighted) AS f FROM better WHERE f12 = (SELECT max(f12) FROM better))
 SELECT COALESCE(best.t, 0.5) AS best_threshold, round(COALESCE(best.f, b.f1_weighted), 9) AS best_f1_weighted,
        round(b.f1_weighted, 9) AS base_f1
 FROM m_base_conf b LEFT JOIN best ON TRUE"""
