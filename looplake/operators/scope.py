@@ -331,3 +331,18 @@ def infer_single_clinic(feedback: DataFrame, predictions: DataFrame, as_of, days
 
 def max_feedback_id_by_scope(scoped: DataFrame) -> DataFrame:
     return scoped.groupBy("scope_key").agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("max_feedback_id"))
+
+
+def audit_snapshot(scoped_eligible: DataFrame, window_days: int) -> DataFrame:
+    """Per scope: accept / reject counts, total, accept ratio (0.0 without rows)."""
+    a = scoped_eligible.groupBy("scope_key", "scope_clinic").agg(
+        F.count(F.lit(1)).alias("eligible_feedback_total"),
+        F.count_if(F.col("is_correct") == F.lit(True)).alias("feedback_accept_count"),
+        F.count_if(F.col("is_correct") == F.lit(False)).alias("feedback_reject_count"))
+    return a.select(
+        "scope_key", F.when(F.col("scope_clinic").isNull(), F.lit("global")).otherwise(F.lit("clinic")).alias("scope"),
+        F.col("scope_clinic").alias("clinic_id"), F.lit(int(window_days)).alias("training_window_days"),
+        "eligible_feedback_total", "feedback_accept_count", "feedback_reject_count",
+        F.when(F.col("eligible_feedback_total") > 0,
+               F.col("feedback_accept_count") / F.col("eligible_feedback_total")).otherwise(F.lit(0.0))
+        .alias("feedback_accept_ratio"))

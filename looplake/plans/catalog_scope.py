@@ -424,3 +424,17 @@ def _json_label_paths(fx):
     return p.select("id", S.json_text("prediction_output", "$.diagnosis").alias("output_diagnosis"),
                     S.json_text("prediction_output", "$.top_k[0].label").alias("output_top1"),
                     S.json_text("top_k_predictions", "$[0].label").alias("log_top1"))
+
+
+@query("audit_snapshot", f"""
+WITH {SCOPED_SQL}
+SELECT scope_key, CASE WHEN scope_clinic IS NULL THEN 'global' ELSE 'clinic' END AS scope, scope_clinic AS clinic_id,
+       {W} AS training_window_days, count(*) AS eligible_feedback_total,
+       count(*) FILTER (WHERE is_correct = TRUE) AS feedback_accept_count,
+       count(*) FILTER (WHERE is_correct = FALSE) AS feedback_reject_count,
+       CASE WHEN count(*) > 0 THEN CAST(count(*) FILTER (WHERE is_correct = TRUE) AS DOUBLE) / count(*) ELSE 0.0 END
+         AS feedback_accept_ratio
+FROM scoped WHERE is_training_eligible AND created_at >= {WIN_SQL} GROUP BY scope_key, scope_clinic""")
+def _audit_snapshot(fx):
+    scoped = SC.eligible_filter(SC.window_days_filter(SC.feedback_scopes(fx.feedback, fx.prediction_log), AS_OF, W))
+    return SC.audit_snapshot(scoped, W)
