@@ -254,17 +254,23 @@ def feedback_join_predictions(feedback: DataFrame, predictions: DataFrame) -> Da
     return feedback.join(p, feedback["prediction_id"] == p["p_id"], "inner")
 
 
-def dedup_predictions_by_text_id(predictions: DataFrame) -> DataFrame:
-    """One prediction per text id (first in created_at order wins, like a first-match scan)."""
+def dedup_predictions_by_text_id(predictions: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One prediction per text id (first in created_at order wins, like a first-match scan).
+
+    Only ``columns`` travel through the aggregation; its output is hash-partitioned by the
+    text id, which the following join on that id reuses (no second shuffle)."""
+    cols = list(columns or predictions.columns)
+    if "created_at" not in cols:
+        cols.append("created_at")
     return (predictions.withColumn("_tid", F.col("id").cast("string")).where(F.col("_tid").isNotNull())
-            .groupBy("_tid").agg(F.min_by(F.struct(*[F.col(c) for c in predictions.columns]),
+            .groupBy("_tid").agg(F.min_by(F.struct(*[F.col(c) for c in cols]),
                                           F.struct(F.col("created_at"), F.col("id"))).alias("_p"))
             .select("_tid", "_p.*"))
 
 
 def feedback_match_text_id(feedback: DataFrame, predictions: DataFrame) -> DataFrame:
     """Equi-join on the text form of the ids (null ids never match)."""
-    p = dedup_predictions_by_text_id(predictions).select(
+    p = dedup_predictions_by_text_id(predictions, ["prediction_input", "created_at"]).select(
         "_tid", F.col("prediction_input"), F.col("created_at").alias("p_created_at"))
     f = feedback.where(F.col("prediction_id").isNotNull())
     return f.join(p, f["prediction_id"].cast("string") == p["_tid"], "inner").drop("_tid")

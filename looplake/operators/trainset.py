@@ -29,7 +29,7 @@ def _with_scope(df: DataFrame) -> DataFrame:
 def match_feedback(feedback: DataFrame, predictions: DataFrame) -> DataFrame:
     """Feedback joined to its prediction on the text id (first prediction per id wins),
     with the 11 features parsed from the prediction input."""
-    p = dedup_predictions_by_text_id(predictions).select(
+    p = dedup_predictions_by_text_id(predictions, ["prediction_input", "created_at"]).select(
         "_tid", F.col("created_at").alias("_pts"), *feature_columns("prediction_input"))
     f = feedback.where(F.col("prediction_id").isNotNull())
     return f.join(p, f["prediction_id"].cast("string") == p["_tid"], "inner").drop("_tid")
@@ -169,7 +169,9 @@ def collect_training_frame(feedback: DataFrame, predictions: DataFrame, baseline
     if fill_timestamps:
         # Stage boundary: the frame is materialized once in the shared checkpoint folder, so the
         # numbering of rows without a timestamp does not recompute the joins above.
-        frame = fill_missing_timestamps(cut_lineage(frame.select(*FRAME_COLUMNS)), as_of)
+        frame = cut_lineage(frame.select(*FRAME_COLUMNS))
+        if not frame.where(F.col("sample_ts").isNull()).isEmpty():  # cheap: reads the checkpoint
+            frame = fill_missing_timestamps(frame, as_of)
     return frame.select(*FRAME_COLUMNS)
 
 
