@@ -25,31 +25,38 @@ def confusion_matrix(df: DataFrame, y: str, yhat: str, by: list | None = None, c
 
 
 def per_class_f1(conf: DataFrame, by: list | None = None) -> DataFrame:
-    """Per class (labels ∪ predictions): support, precision, recall, F1 with zero_division = 0."""
+    """Per class (labels ∪ predictions): support, precision, recall, F1 with zero_division = 0.
+
+    Each confusion cell contributes one row to its true class (support, true positives) and
+    one to its predicted class (predicted count), so a single aggregation yields all three."""
     by = list(by or [])
-    tp = conf.where(F.col("y") == F.col("yhat")).groupBy(*by, F.col("y").alias("label")).agg(F.sum("n").alias("tp"))
-    sup = conf.groupBy(*by, F.col("y").alias("label")).agg(F.sum("n").alias("support"))
-    pred = conf.groupBy(*by, F.col("yhat").alias("label")).agg(F.sum("n").alias("predicted"))
-    j = sup.join(pred, by + ["label"], "full_outer").join(tp, by + ["label"], "left")
-    tpc, s, p = F.coalesce("tp", F.lit(0)), F.coalesce("support", F.lit(0)), F.coalesce("predicted", F.lit(0))
+    n = F.col("n").cast("long")
+    zero = F.lit(0).cast("long")
+    cells = conf.select(*by, F.explode(F.array(
+        F.struct(F.col("y").alias("label"), n.alias("support"),
+                 F.when(F.col("y") == F.col("yhat"), n).otherwise(zero).alias("tp"), zero.alias("predicted")),
+        F.struct(F.col("yhat").alias("label"), zero.alias("support"), zero.alias("tp"), n.alias("predicted")),
+    )).alias("c"))
+    agg = cells.groupBy(*by, F.col("c.label").alias("label")).agg(
+        F.sum("c.support").alias("support"), F.sum("c.predicted").alias("predicted"), F.sum("c.tp").alias("tp"))
+    tpc, s, p = F.col("tp"), F.col("support"), F.col("predicted")
     prec = F.when(p > 0, tpc / p).otherwise(F.lit(0.0))
     rec = F.when(s > 0, tpc / s).otherwise(F.lit(0.0))
     f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
-    return j.select(*by, "label", s.alias("support"), p.alias("predicted"), tpc.alias("tp"),
-                    prec.alias("precision"), rec.alias("recall"), f1.alias("f1"))
+    return agg.select(*by, "label", "support", "predicted", "tp", prec.alias("precision"), rec.alias("recall"),
+                      f1.alias("f1"))
 
 
 def classification_metrics(df: DataFrame, y: str, yhat: str, by: list | None = None,
                            count_col: str | None = None) -> DataFrame:
-    """accuracy, weighted F1 (support-weighted over true classes), macro F1 (labels ∪ predictions), n."""
+    """accuracy, weighted F1 (support-weighted over true classes), macro F1 (labels ∪ predictions), n.
+    Three aggregations in a chain: confusion cells -> per-class counts -> per-group metrics."""
     by = list(by or [])
-    conf = confusion_matrix(df, y, yhat, by, count_col)
-    pc = per_class_f1(conf, by)
-    f = pc.groupBy(*by).agg((F.sum(F.col("support") * F.col("f1")) / F.sum("support")).alias("f1_weighted"),
-                            F.avg("f1").alias("f1_macro"))
-    a = conf.groupBy(*by).agg((F.sum(F.when(F.col("y") == F.col("yhat"), F.col("n")).otherwise(0))
-                               / F.sum("n")).alias("accuracy"), F.sum("n").alias("n"))
-    return a.join(f, by, "inner") if by else a.crossJoin(f)
+    pc = per_class_f1(confusion_matrix(df, y, yhat, by, count_col), by)
+    return pc.groupBy(*by).agg((F.sum("tp") / F.sum("support")).alias("accuracy"),
+                               F.sum("support").alias("n"),
+                               (F.sum(F.col("support") * F.col("f1")) / F.sum("support")).alias("f1_weighted"),
+                               F.avg("f1").alias("f1_macro"))
 
 
 def multiclass_brier(df: DataFrame, y: str, proba: str, by: list | None = None) -> DataFrame:

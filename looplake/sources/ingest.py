@@ -135,9 +135,8 @@ def _nan_text(c: Column) -> Column:
     return c.isNull() | (t == "") | (F.lower(t) == "nan")
 
 
-def bootstrap_validate(raw: DataFrame, label_col: str = LABEL, line_col: str = "line_no") -> DataFrame:
-    """Row-level error report of a string-typed bootstrap CSV (rows without a label are
-    reported as ``no_label`` and skipped by the ingest)."""
+def _bootstrap_errors(label_col: str = LABEL) -> Column:
+    """Array of error codes of one string-typed bootstrap row ('no_label' included)."""
     errs = [F.when(_nan_text(F.col(label_col)), F.lit("no_label"))]
     for c in BOOTSTRAP_INT + BOOTSTRAP_FLOAT:
         v = F.col(c)
@@ -147,12 +146,22 @@ def bootstrap_validate(raw: DataFrame, label_col: str = LABEL, line_col: str = "
         errs.append(F.when(F.col(c).isNull() | (S.strip(F.col(c)) == ""), F.lit(f"missing_numeric:{c}")))
     for c in BOOTSTRAP_TEXT:
         errs.append(F.when(_nan_text(F.col(c)), F.lit(f"invalid_text:{c}")))
-    e = F.array_compact(F.array(*errs))
-    return raw.select(line_col, F.array_join(e, ",").alias("errors"),
+    return F.array_compact(F.array(*errs))
+
+
+def _with_report(raw: DataFrame, label_col: str = LABEL) -> DataFrame:
+    e = _bootstrap_errors(label_col)
+    return raw.select("*", F.array_join(e, ",").alias("errors"),
                       (F.size(F.filter(e, lambda x: x != "no_label")) == 0).alias("is_valid"),
                       (~_nan_text(F.col(label_col))).alias("has_label"))
 
 
+def bootstrap_validate(raw: DataFrame, label_col: str = LABEL, line_col: str = "line_no") -> DataFrame:
+    """Row-level error report of a string-typed bootstrap CSV (rows without a label are
+    reported as ``no_label`` and skipped by the ingest)."""
+    return _with_report(raw, label_col).select(line_col, "errors", "is_valid", "has_label")
+
+
 def bootstrap_file_check(raw: DataFrame, cfg: Config = DEFAULT, label_col: str = LABEL) -> DataFrame:
     """File-level checks: required columns, labelled row count within [min, max]."""
     missing = [c for c in BOOTSTRAP_REQUIRED if c not in [x.strip() for x in raw.columns]]
@@ -174,8 +183,7 @@ def bootstrap_ingest(raw: DataFrame, as_of, file_id: str, cfg: Config = DEFAULT,
     file); ``mode='quarantine'`` keeps the valid rows only.  Ids are sha256(file:line).
     ``created_at`` = midnight(as_of) + i seconds, i = position among labelled rows.
     """
-    rep = bootstrap_validate(raw, label_col, line_col)
-    j = raw.join(rep, line_col).where(F.col("has_label"))
+    j = _with_report(raw, label_col).where(F.col("has_label"))
     if mode == "strict":
         j = j.withColumn("errors", F.when(F.col("is_valid"), F.col("errors")).otherwise(
             F.raise_error(F.concat(F.lit("Invalid bootstrap row "), F.col(line_col).cast("string"), F.lit(": "),
