@@ -39,15 +39,18 @@ def with_row_number(df: DataFrame, order_cols: list, out: str = "rn", partition_
                     num_partitions: int | None = None) -> DataFrame:
     """Exact ``row_number() over (partition by P order by O)`` (1-based), distributed.
 
-    ``order_cols`` (with ``partition_cols``) must identify rows uniquely for
-    the numbering to be deterministic.
+    ``order_cols`` (with ``partition_cols``) are column names that identify rows uniquely.
+    Only those key columns are range-partitioned, numbered and checkpointed; the numbers are
+    attached to the full rows by a null-safe equi-join on the keys, so wide rows are never
+    written to the checkpoint folder.
     """
     part = list(partition_cols or [])
-    keys = [F.col(c) if isinstance(c, str) else c for c in part + list(order_cols)]
+    names = part + list(order_cols)
     n = num_partitions or _n_partitions(df)
-    # The range bounds come from sampling, so the numbered rows are materialized once with a
-    # reliable checkpoint: offsets and rows then read the same data even if executors are lost.
-    s = cut_lineage(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    keys = df.select(*names)
+    # The range bounds come from sampling, so the numbered keys are materialized once with a
+    # reliable checkpoint: offsets and keys then read the same data even if executors are lost.
+    s = cut_lineage(keys.repartitionByRange(n, *names).sortWithinPartitions(*names)
                     .withColumn("_rp", F.spark_partition_id())
                     .withColumn("_rm", F.monotonically_increasing_id()))
     grp = ["_rp"] + part
@@ -57,9 +60,11 @@ def with_row_number(df: DataFrame, order_cols: list, out: str = "rn", partition_
     offsets = counts.withColumn("_roff", F.coalesce(F.sum("_rc").over(w), F.lit(0))).drop("_rc")
     if not part:
         offsets = F.broadcast(offsets)  # at most one row per shuffle partition
-    return (s.join(offsets, grp, "inner")
-            .withColumn(out, (F.col("_roff") + F.col("_rm") - F.col("_rmin") + 1).cast("bigint"))
-            .drop("_rp", "_rm", "_rmin", "_roff"))
+    numbered = (s.join(offsets, grp, "inner")
+                .select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(names)],
+                        (F.col("_roff") + F.col("_rm") - F.col("_rmin") + 1).cast("bigint").alias(out)))
+    cond = [df[c].eqNullSafe(numbered[f"_k{i}"]) for i, c in enumerate(names)]
+    return df.join(numbered, cond, "inner").drop(*[f"_k{i}" for i in range(len(names))])
 
 
 def blocked(df: DataFrame, rn: str, halo: int, block: int = DEFAULT_BLOCK, partition_cols: list | None = None

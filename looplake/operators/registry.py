@@ -30,7 +30,7 @@ def merge_versions(registry: DataFrame) -> DataFrame:
     glob = registry.where(F.col("clinic_id").isNull()).select("version").distinct()
     tenants = registry.where(F.col("clinic_id").isNotNull()).select("clinic_id").distinct()
     own = registry.where(F.col("clinic_id").isNotNull()).select("clinic_id", "version")
-    u = own.unionByName(tenants.crossJoin(F.broadcast(glob)))
+    u = own.unionByName(tenants.crossJoin(glob))
     return version_order(u, ["clinic_id"])
 
 
@@ -42,7 +42,7 @@ def registry_versions(registry: DataFrame, effective: DataFrame) -> DataFrame:
     own = own.select("clinic_id", "version", F.lit("clinic").alias("storage_scope"), F.col("version").alias("label"),
                      F.col("rank").alias("_r"), F.lit(0).alias("_grp"))
     glob = version_order(registry.where(F.col("clinic_id").isNull()).select("version"))
-    g = tenants.crossJoin(F.broadcast(glob)).select(
+    g = tenants.crossJoin(glob).select(
         "clinic_id", "version", F.lit("global").alias("storage_scope"),
         S.display_label(F.col("version"), F.lit(True)).alias("label"), F.col("rank").alias("_r"), F.lit(1).alias("_grp"))
     rows = own.unionByName(g)

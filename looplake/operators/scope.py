@@ -180,11 +180,11 @@ def resolve_pool(feedback: DataFrame, predictions: DataFrame, policy: DataFrame,
                  explicit_col: str | None = "training_pool") -> DataFrame:
     """Pool for each feedback row: explicit valid value, else GLOBAL for a prediction without a
     clinic, else the clinic's policy (invalid/absent -> CLINIC_ONLY).  Policy is a small
-    dimension keyed by clinic and is broadcast."""
+    dimension keyed by clinic; the join strategy is left to AQE."""
     p = predictions.select(F.col("id").alias("_pid"), S.normalize_clinic_key("clinic_id").alias("_clinic"))
     pol = policy.select(S.strip("clinic_id").alias("_pol_clinic"), F.upper(F.col("feedback_pool")).alias("_pol"))
     j = (feedback.join(p, feedback["prediction_id"] == p["_pid"], "left")
-         .join(F.broadcast(pol), F.col("_clinic") == F.col("_pol_clinic"), "left"))
+         .join(pol, F.col("_clinic") == F.col("_pol_clinic"), "left"))
     explicit = F.col(explicit_col) if explicit_col else F.lit(None).cast("string")
     policy_pool = F.when(F.col("_pol").isin("GLOBAL", "CLINIC_ONLY"), F.col("_pol")).otherwise(F.lit("CLINIC_ONLY"))
     pool = (F.when(explicit.isin("GLOBAL", "CLINIC_ONLY"), explicit)
@@ -198,7 +198,7 @@ def policy_lookup(clinics: DataFrame, policy: DataFrame, clinic_col: str = "clin
     """Pool per clinic: stored policy upper-cased if valid, else CLINIC_ONLY; blank clinic -> CLINIC_ONLY."""
     pol = policy.select(S.strip("clinic_id").alias("_pc"), F.upper(F.col("feedback_pool")).alias("_pol"))
     c = clinics.select(S.strip(clinic_col).alias(clinic_col)).distinct()
-    return (c.join(F.broadcast(pol), F.col(clinic_col) == F.col("_pc"), "left")
+    return (c.join(pol, F.col(clinic_col) == F.col("_pc"), "left")
             .select(clinic_col, F.when((F.col(clinic_col) != "") & F.col("_pol").isin("GLOBAL", "CLINIC_ONLY"),
                                        F.col("_pol")).otherwise(F.lit("CLINIC_ONLY")).alias("feedback_pool")))
 
