@@ -158,21 +158,22 @@ def collect_training_frame(feedback: DataFrame, predictions: DataFrame, baseline
                            cfg: Config = DEFAULT, fill_timestamps: bool = True) -> DataFrame:
     """Feedback signals -> weighted-score threshold -> core-memory mix -> class completion -> filled times.
 
-    ``feedback`` is already scoped (``scope_key``) and filtered (eligible/window/batch).
+    ``feedback`` is already scoped (``scope_key``) and filtered (eligible/window/batch).  The
+    signals (the feedback ⋈ prediction join, the expensive part) are materialized once in the
+    shared checkpoint folder; thresholds, core-memory sizes and missing classes all read them.
     """
-    sig = explode_feedback_signals(match_feedback(_with_scope(feedback), predictions), cfg)
+    sig = cut_lineage(explode_feedback_signals(match_feedback(_with_scope(feedback), predictions), cfg))
     thr = quality_threshold(sig, "weight", cfg, by=["scope_key"])
-    frame = quality_filter(sig, thr, "weight", by=["scope_key"])
+    kept = quality_filter(sig, thr, "weight", by=["scope_key"])
+    frame = kept
     if baseline is not None:
         frame = mix_core_memory(frame, baseline, cfg)
         frame = complete_classes(frame, baseline, cfg)
-    if fill_timestamps:
-        # Stage boundary: the frame is materialized once in the shared checkpoint folder, so the
-        # numbering of rows without a timestamp does not recompute the joins above.
-        frame = cut_lineage(frame.select(*FRAME_COLUMNS))
-        if not frame.where(F.col("sample_ts").isNull()).isEmpty():  # cheap: reads the checkpoint
-            frame = fill_missing_timestamps(frame, as_of)
-    return frame.select(*FRAME_COLUMNS)
+    frame = frame.select(*FRAME_COLUMNS)
+    # only feedback rows can lack a time (core/completion rows carry fixed ones)
+    if fill_timestamps and not sig.where(F.col("sample_ts").isNull()).isEmpty():
+        frame = fill_missing_timestamps(frame, as_of)
+    return frame
 
 
 def feedback_only_frame(feedback: DataFrame, predictions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
