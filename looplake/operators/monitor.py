@@ -160,7 +160,11 @@ def running_monitor(log: DataFrame, cfg: Config = DEFAULT, block: int = O.DEFAUL
     n = n.withColumn("_lab_rn", F.when(labelled(), F.col("rn")).otherwise(F.lit(0)))
     r = O.running_totals(n, "rn", {"correct_so_far": correct().cast("long")}, block=block)
     r = O.running_max(r, "rn", {"_last_lab": F.col("_lab_rn")}, block=block)
-    r = O.trailing_avg(r, "rn", F.col("confidence"), k, "avg_confidence", block=block)
+    # exact windowed sums: confidences summed as DECIMAL(38,9), so the result does not depend on
+    # the summation order of the blocks; one final double division
+    r = O.trailing_sum(r, "rn", F.col("confidence").cast("decimal(38,9)"), k, "_csum", block=block)
+    r = O.trailing_sum(r, "rn", F.col("confidence").isNotNull().cast("long"), k, "_ccnt", block=block)
+    r = r.withColumn("avg_confidence", F.col("_csum").cast("double") / F.col("_ccnt").cast("double"))
     r = O.trailing_sum(r, "rn", wrong().cast("long"), k, "_w", block=block)
     r = O.trailing_sum(r, "rn", labelled().cast("long"), k, "_l", block=block)
     r = asof_count_before(r, 3600)

@@ -35,17 +35,20 @@ metrics AS (
   FROM life, upto, h)"""
 
 
-@query("monitor_metrics", f"WITH {METRICS_SQL} SELECT * FROM metrics")
+@query("monitor_metrics", f"""WITH {METRICS_SQL}
+SELECT total_predictions, correct_predictions, accuracy, round(avg_confidence, 9) AS avg_confidence,
+       predictions_per_hour, error_rate FROM metrics""")
 def _monitor_metrics(fx):
-    return M.monitor_metrics(fx.monitor_log, AS_OF)
+    return M.monitor_metrics(fx.monitor_log, AS_OF).withColumn("avg_confidence", F.round("avg_confidence", 9))
 
 
 @query("confidence_stats", f"""
 WITH {HIST}
-SELECT min(confidence) AS min, max(confidence) AS max, median(confidence) AS median,
-       COALESCE(stddev_samp(confidence), 0.0) AS std FROM hist""")
+SELECT min(confidence) AS min, max(confidence) AS max, round(median(confidence), 9) AS median,
+       round(COALESCE(stddev_samp(confidence), 0.0), 9) AS std FROM hist""")
 def _confidence_stats(fx):
-    return M.confidence_stats(fx.monitor_log)
+    s = M.confidence_stats(fx.monitor_log)
+    return s.withColumn("median", F.round("median", 9)).withColumn("std", F.round("std", 9))
 
 
 @query("prediction_distribution", f"WITH {HIST} SELECT prediction, count(*) AS n FROM hist GROUP BY prediction")
@@ -68,23 +71,24 @@ WITH {HIST}, r AS (SELECT * FROM hist WHERE ts > {AS_OF_SQL} - INTERVAL 48 HOUR)
 g AS (SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00') AS hour, count(*) AS predictions,
              count(*) FILTER (WHERE {OK}) AS c, count(*) FILTER (WHERE {LAB}) AS l, avg(confidence) AS avg_confidence
       FROM r GROUP BY 1)
-SELECT hour, predictions, CASE WHEN l > 0 THEN CAST(c AS DOUBLE) / l ELSE 0.0 END AS accuracy, avg_confidence,
+SELECT hour, predictions, CASE WHEN l > 0 THEN CAST(c AS DOUBLE) / l ELSE 0.0 END AS accuracy,
+       round(avg_confidence, 9) AS avg_confidence,
        1.0 - CASE WHEN l > 0 THEN CAST(c AS DOUBLE) / l ELSE 0.0 END AS error_rate FROM g""")
 def _hourly_trend(fx):
-    return M.hourly_trend(fx.monitor_log, AS_OF, 48)
+    return M.hourly_trend(fx.monitor_log, AS_OF, 48).withColumn("avg_confidence", F.round("avg_confidence", 9))
 
 
 def _hist_sql(table: str, col: str, bounds, metric: str) -> str:
     parts = [f"SELECT '{metric}' AS metric, '{b}' AS le, count(*) FILTER (WHERE {col} <= {float(b)}) AS bucket_count, "
-             f"sum({col}) AS sum, count(*) AS count FROM {table} WHERE {col} IS NOT NULL" for b in bounds]
-    parts.append(f"SELECT '{metric}', '+Inf', count(*), sum({col}), count(*) FROM {table} WHERE {col} IS NOT NULL")
+             f"round(sum({col}), 9) AS sum, count(*) AS count FROM {table} WHERE {col} IS NOT NULL" for b in bounds]
+    parts.append(f"SELECT '{metric}', '+Inf', count(*), round(sum({col}), 9), count(*) FROM {table} WHERE {col} IS NOT NULL")
     return "\nUNION ALL ".join(parts)
 
 
 @query("confidence_histogram", _hist_sql("fx_monitor_log", "confidence", M.CONFIDENCE_BUCKETS, "confidence"))
 def _confidence_histogram(fx):
     return M.cumulative_histogram(fx.monitor_log, "confidence", M.CONFIDENCE_BUCKETS).select(
-        F.lit("confidence").alias("metric"), "le", "bucket_count", "sum", "count")
+        F.lit("confidence").alias("metric"), "le", "bucket_count", F.round("sum", 9).alias("sum"), "count")
 
 
 @query("latency_histogram", _hist_sql("fx_monitor_log", "latency_seconds", M.LATENCY_BUCKETS, "inference_latency")
@@ -97,7 +101,7 @@ def _latency_histogram(fx):
     d = d.select((F.col("_us") / 1e6).alias("d"))
     b = M.cumulative_histogram(d, "d", M.TRAINING_DURATION_BUCKETS).select(
         F.lit("training_duration").alias("metric"), "le", "bucket_count", "sum", "count")
-    return a.unionByName(b)
+    return a.unionByName(b).withColumn("sum", F.round("sum", 9))
 
 
 @query("requests_by_clinic_status", """
@@ -134,7 +138,9 @@ WITH s AS (
          row_number() OVER w AS total_predictions,
          sum(CASE WHEN {OK} THEN 1 ELSE 0 END) OVER w AS correct_predictions,
          max(CASE WHEN {LAB} THEN 1 ELSE 0 END * 1) OVER w AS any_lab,
-         avg(confidence) OVER (ORDER BY ts, event_id ROWS BETWEEN 9999 PRECEDING AND CURRENT ROW) AS avg_confidence,
+         CAST(sum(CAST(confidence AS DECIMAL(38, 9))) OVER (ORDER BY ts, event_id ROWS BETWEEN 9999 PRECEDING AND CURRENT ROW)
+              AS DOUBLE) / CAST(count(confidence) OVER (ORDER BY ts, event_id ROWS BETWEEN 9999 PRECEDING AND CURRENT ROW)
+              AS DOUBLE) AS avg_confidence,
          sum(CASE WHEN {BAD} THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id ROWS BETWEEN 9999 PRECEDING AND CURRENT ROW) AS w,
          sum(CASE WHEN {LAB} THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id ROWS BETWEEN 9999 PRECEDING AND CURRENT ROW) AS l,
          count(*) OVER (ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 HOUR PRECEDING) AS before_hour,
@@ -178,11 +184,12 @@ retrain AS (
   SELECT *, q * 0.3 + p * 0.5 + d * 0.2 AS overall_score, (q * 0.3 + p * 0.5 + d * 0.2) >= 0.6 AND q >= 0.5 AS eligible
   FROM (SELECT total_predictions, accuracy, error_rate, least(1.0, total_predictions / 100.0) AS q,
                CASE WHEN error_rate > 0.3 THEN 0.5 ELSE 1.0 END *
-               CASE WHEN accuracy >= 0.7 THEN 1.0 WHEN accuracy > 0.5 THEN (accuracy - 0.5) / (0.7 - 0.5) ELSE 0.0 END AS p,
+               CASE WHEN accuracy >= 0.7 THEN 1.0 WHEN accuracy > 0.5 THEN (accuracy - 0.5) / (CAST(0.7 AS DOUBLE) - CAST(0.5 AS DOUBLE)) ELSE 0.0 END AS p,
                dd.drift_score AS d
         FROM metrics, dd)),
 retrain_out AS (
-  SELECT q AS data_quality_score, p AS performance_score, d AS drift_score, overall_score, eligible,
+  SELECT round(q, 9) AS data_quality_score, round(p, 9) AS performance_score, d AS drift_score,
+         round(overall_score, 9) AS overall_score, eligible,
          CASE WHEN len(rs) > 0 THEN array_to_string(rs, '; ')
               WHEN eligible THEN 'Model performance meets retraining criteria' ELSE 'Not eligible' END AS reason
   FROM (SELECT *, list_filter([
@@ -320,7 +327,9 @@ def _drift_alert_rule(fx):
 def _retrain_score(fx):
     m = M.monitor_metrics(fx.monitor_log, AS_OF)
     d = _dataset_drift(fx).select("drift_score")
-    return M.retrain_score(m.crossJoin(d), F.col("drift_score"))
+    r = M.retrain_score(m.crossJoin(d), F.col("drift_score"))
+    return r.select(*[F.round(c, 9).alias(c) if c in ("data_quality_score", "performance_score", "overall_score")
+                      else F.col(c) for c in r.columns])
 
 
 @query("health_rollup", f"""WITH {HEALTH_SQL}, {DATASET_DRIFT_SQL}, {RETRAIN_SQL},

@@ -87,6 +87,7 @@ def main(argv=None):
     ap = argparse.ArgumentParser()
     ap.add_argument("keys", nargs="*")
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("--places", type=int, default=6)
     a = ap.parse_args(argv)
     spark = get_session("local[8]", 8)
     spark.sparkContext.setLogLevel("ERROR")
@@ -101,7 +102,7 @@ def main(argv=None):
                 n = e.build(spark, a.sf).count()
                 print(f"ROWS {k}: {n} ({time.time() - t:.1f}s)")
                 continue
-            r = compare(spark, a.sf, e)
+            r = compare(spark, a.sf, e, a.places)
             ok = r["columns_match"] and r["values_match"]
             bad += not ok
             print(("OK  " if ok else "BAD ") + f"{k}: rows {r['rows_spark']}/{r['rows_oracle']} ({time.time() - t:.1f}s)")
