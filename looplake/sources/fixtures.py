@@ -246,6 +246,8 @@ class Fixtures:
         self.spark = spark
         self.sf_dir = sf_dir
         self._cache: dict[str, DataFrame] = {}
+        # fixture timestamps are UTC wall-clock values (the oracle's TIMESTAMP is zone-less)
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         register_base_tables(spark, sf_dir)
 
     def table(self, name: str) -> DataFrame:
