@@ -11,6 +11,7 @@ from looplake.operators import jobs as J
 from looplake.operators import scope as SC
 from looplake.operators import state as ST
 from looplake.operators.scope import _ts
+from looplake.session import cut_lineage
 
 
 def global_eligible_count(feedback: DataFrame, as_of, days: int) -> DataFrame:
@@ -74,7 +75,9 @@ def auto_batch_plan(feedback: DataFrame, predictions: DataFrame, state: DataFram
     eligible ids follow the watermark, skip a batch whose idempotency key is already used,
     otherwise plan a job for the first T ids (with the snapshot row count)."""
     t, days = cfg.auto_batch_size, cfg.feedback_window_days
-    scoped = SC.feedback_scopes(feedback, predictions)
+    # the scope tagging (feedback ⋈ predictions) feeds five branches: materialize it once
+    scoped = cut_lineage(SC.feedback_scopes(feedback, predictions).select(
+        "scope_key", "scope_clinic", "id", "prediction_id", "is_training_eligible", "created_at"))
     scopes = scoped.select("scope_key", "scope_clinic").distinct()
     cool = SC.scopes_in_cooldown(state, as_of).select("scope_key").withColumn("_cool", F.lit(True))
     live = ST.job_timeout(jobs, as_of, cfg)
@@ -85,7 +88,7 @@ def auto_batch_plan(feedback: DataFrame, predictions: DataFrame, state: DataFram
             else jobs.sparkSession.createDataFrame([], "idempotency_key string"))
     used = used.where(F.col("idempotency_key").isNotNull()).distinct().withColumn("_dup", F.lit(True))
     p = predictions.select(F.col("id").cast("string").alias("_pid")).distinct()
-    snap = (batches.join(feedback.select("id", "prediction_id"), "id")
+    snap = (batches.join(scoped.select("id", "prediction_id"), "id")
             .join(p, F.col("prediction_id").cast("string") == F.col("_pid"), "left_semi")
             .groupBy("scope_key").agg(F.count(F.lit(1)).alias("snapshot_rows")))
     j = (scopes.join(cool, "scope_key", "left").join(running, "scope_key", "left").join(first, "scope_key", "left")
