@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from looplake.operators import scope as SC
+from looplake.plans.catalog_scope import SCOPED_SQL
 from looplake.plans.catalog_state import FB_CHANGES
 from looplake.plans.registry import query
-from looplake.sources.fixtures import AS_OF, AS_OF_SQL
+from looplake.sources.fixtures import AS_OF, AS_OF_SQL, BATCH_T
 from looplake.streaming import streams as STR
 
 
@@ -43,17 +44,38 @@ def _stream_hourly_metrics(fx):
     return out.withColumn("avg_confidence", F.round("avg_confidence", 9))
 
 
-@query("stream_error_burst")
+@query("stream_error_burst", """
+WITH m AS (SELECT *, COALESCE(clinic_id, 'global') AS monitor_key,
+                  CASE WHEN actual IS NOT NULL AND prediction <> actual THEN 1 ELSE 0 END AS w FROM fx_monitor_log),
+s AS (SELECT *, sum(w) OVER (PARTITION BY monitor_key ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS n
+      FROM m)
+SELECT monitor_key, event_id, ts, CAST(n AS INTEGER) AS recent_errors FROM s WHERE w = 1 AND n >= 5""")
 def _stream_error_burst(fx):
-    """Error-burst alerts from keyed state (last 10 flags per monitor key)."""
+    """Error-burst alerts from keyed state (last 10 flags per monitor key); files arrive in
+    event-id (= time) order, so the result equals a per-key window over (ts, event_id)."""
     p = STR.scratch(fx.spark, "burst")
     _monitor_source(fx, p["source"], late_rows=False)
     return STR.error_burst_stream(fx.spark, p["source"], p["sink"], p["checkpoint"])
 
 
-@query("stream_auto_trigger")
+@query("stream_auto_trigger", f"""
+WITH {SCOPED_SQL},
+b AS (SELECT min(id) AS lo, max(id) AS hi FROM scoped),
+c AS (SELECT s.*, least(3, CAST(floor((s.id - b.lo) / ((b.hi - b.lo + 1) / 4.0)) AS INTEGER)) AS chunk FROM scoped s, b),
+first AS (SELECT scope_key, min(chunk) AS fc FROM c GROUP BY scope_key),
+init AS (SELECT c.scope_key, max(c.id) AS last_id FROM c JOIN first f ON c.scope_key = f.scope_key AND c.chunk = f.fc
+         GROUP BY c.scope_key),
+e AS (SELECT c.scope_key, c.id, row_number() OVER (PARTITION BY c.scope_key ORDER BY c.id) AS pos
+      FROM c JOIN init i ON c.scope_key = i.scope_key
+      WHERE COALESCE(c.is_training_eligible, TRUE) AND c.id > i.last_id),
+g AS (SELECT scope_key, CAST(floor((pos - 1) / {BATCH_T}) AS INTEGER) AS bn, list(id ORDER BY id) AS ids
+      FROM e GROUP BY 1, 2)
+SELECT scope_key, ids[1] AS batch_start_feedback_id, ids[len(ids)] AS batch_end_feedback_id,
+       array_to_string(ids, ',') AS batch_ids, sha256('[' || array_to_string(ids, ',') || ']') AS idempotency_key
+FROM g WHERE len(ids) = {BATCH_T}""")
 def _stream_auto_trigger(fx):
-    """Automatic batch requests per scope from keyed state over the feedback stream."""
+    """Automatic batch requests per scope from keyed state over the feedback stream (files arrive
+    in id ranges; a scope's state starts at the largest id of its first file)."""
     p = STR.scratch(fx.spark, "trigger")
     scoped = SC.feedback_scopes(fx.feedback, fx.prediction_log).select(
         "scope_key", "id", "is_training_eligible", "created_at")
