@@ -10,6 +10,7 @@ from looplake.operators import state as ST
 from looplake.operators import trainset as TS
 from looplake.plans.catalog_scope import WIN_SQL, WS, strip_sql
 from looplake.plans.catalog_state import BATCHES_SQL
+from looplake.plans.catalog_train import MIX_SQL
 from looplake.plans.catalog_scope import SCOPED_SQL, blank_null_sql
 from looplake.plans.registry import query
 from looplake.sources import ingest as I
@@ -180,15 +181,41 @@ def _dataset_summary(fx):
     return I.dataset_summary(_snapshot(fx), ["training_id"])
 
 
-@query("dataset_export")
+def _txt(expr: str) -> str:
+    return f"CAST({expr} AS VARCHAR)"
+
+
+_EXPORT_SQL = _SNAPSHOT_SQL + f""",
+pp AS (SELECT CAST(id AS VARCHAR) AS pid, arg_max(prediction_input, created_at) AS pin FROM fx_prediction_log GROUP BY 1)
+SELECT {_txt('sn.prediction_id')} AS prediction_id, strftime(sn.created_at, '%Y-%m-%dT%H:%M:%S') AS timestamp,
+       sn.final_diagnosis, sn.ai_diagnosis, {_txt('sn.is_correct')} AS is_correct,
+       {_txt('sn.confidence_rating')} AS confidence_rating, {_txt('sn.data_quality_score')} AS data_quality_score,
+       json_extract_string(pin, '$.animal_type') AS animal_type, json_extract_string(pin, '$.gender') AS gender,
+       {_txt("CAST(json_extract(pin, '$.age_months') AS INTEGER)")} AS age_months,
+       {_txt("CAST(json_extract(pin, '$.weight_kg') AS DOUBLE)")} AS weight_kg,
+       {_txt("CAST(json_extract(pin, '$.temperature') AS DOUBLE)")} AS temperature,
+       {_txt("CAST(json_extract(pin, '$.heart_rate') AS INTEGER)")} AS heart_rate,
+       json_extract_string(pin, '$.current_season') AS current_season,
+       json_extract_string(pin, '$.vaccination_status') AS vaccination_status,
+       json_extract_string(pin, '$.medical_history') AS medical_history,
+       {_txt("CAST(json_extract(pin, '$.symptom_duration') AS INTEGER)")} AS symptom_duration,
+       NULLIF(json_extract_string(pin, '$.symptoms_list'), '') AS symptoms_list,
+       CAST(sn.training_id AS INTEGER) AS training_id
+FROM sn JOIN pp ON CAST(sn.prediction_id AS VARCHAR) = pp.pid"""
+
+
+@query("dataset_export", _EXPORT_SQL)
 def _dataset_export(fx):
-    """Snapshot written as CSV per training id, read back (row count check)."""
+    """Snapshot written as CSV per training id and read back (every value as text; as in the
+    reference's CSV writer, an empty text and a missing value are the same empty field)."""
     path = I.shared_path(fx.spark, "dataset-export")
     I.dataset_export(_snapshot(fx), path)
     return fx.spark.read.option("header", True).csv(path)
 
 
-@query("stage_tables")
+@query("stage_tables", f"""
+WITH {MIX_SQL}
+SELECT scope_key, source, row_key, label, round(weight, 9) AS weight, sample_ts FROM frame""")
 def _stage_tables(fx):
     """Training frame saved as a stage table and loaded back by (stage, run id)."""
     root = I.shared_path(fx.spark, "stages")
@@ -196,7 +223,8 @@ def _stage_tables(fx):
         SC.eligible_filter(SC.window_days_filter(SC.feedback_scopes(fx.feedback, fx.prediction_log), AS_OF, W)),
         fx.prediction_log, fx.baseline, AS_OF)
     I.save_stage(frame, root, "data_prep", "run-1")
-    return I.load_stage(fx.spark, root, "data_prep", "run-1")
+    back = I.load_stage(fx.spark, root, "data_prep", "run-1")
+    return back.select("scope_key", "source", "row_key", "label", F.round("weight", 9).alias("weight"), "sample_ts")
 
 
 @query("synthetic_visits")

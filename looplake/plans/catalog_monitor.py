@@ -441,12 +441,20 @@ def _monitor_export(fx):
     return doc.select(F.to_json(F.struct("*")).alias("document"))
 
 
-@query("mlops_status")
+@query("mlops_status", f"""WITH {HEALTH_SQL}, {DATASET_DRIFT_SQL}, {RETRAIN_SQL},
+tr AS (SELECT count(DISTINCT date_trunc('hour', ts)) AS trend_hours FROM hist WHERE ts > {AS_OF_SQL} - INTERVAL 24 HOUR)
+SELECT m.total_predictions, m.correct_predictions, m.accuracy, round(m.avg_confidence, 9) AS avg_confidence,
+       m.predictions_per_hour, m.error_rate, (SELECT overall_health FROM overall) AS overall_health,
+       r.data_quality_score, r.performance_score, r.drift_score, r.overall_score, r.eligible, r.reason, tr.trend_hours
+FROM metrics m, retrain_out r, tr""")
 def _mlops_status(fx):
     """Metrics + health + eligibility + trend as one row."""
     log = fx.monitor_log
     m = M.monitor_metrics(log, AS_OF)
     h = M.model_health(m).agg(F.first("overall_health").alias("overall_health"))
     r = M.retrain_score(m.crossJoin(_dataset_drift(fx).select("drift_score")), F.col("drift_score"))
+    r = r.select(*[F.round(c, 9).alias(c) if c in ("data_quality_score", "performance_score", "overall_score")
+                   else F.col(c) for c in r.columns])
     t = M.hourly_trend(log, AS_OF, 24).agg(F.count(F.lit(1)).alias("trend_hours"))
-    return m.crossJoin(h).crossJoin(r).crossJoin(t)
+    out = m.withColumn("avg_confidence", F.round("avg_confidence", 9)).crossJoin(h).crossJoin(r).crossJoin(t)
+    return out

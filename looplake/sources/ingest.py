@@ -82,7 +82,10 @@ def read_baseline_csv(spark: SparkSession, path: str, label_only: bool = False,
 
 
 def write_csv(df: DataFrame, path: str, partition_by: list | None = None) -> str:
-    w = df.write.mode("overwrite").option("header", True)
+    """CSV with a header; text is written verbatim (Spark's writer trims surrounding
+    whitespace by default, which would alter values such as symptom lists)."""
+    w = (df.write.mode("overwrite").option("header", True)
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)
