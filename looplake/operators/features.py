@@ -72,7 +72,9 @@ def feature_pipeline(vocabulary: list[str], numeric=NUMERIC_FEATURES, categorica
     stages.append(StringIndexer(inputCols=list(categorical), outputCols=idx_cols, handleInvalid="keep",
                                 stringOrderType="alphabetAsc"))
     oh_cols = [f"{c}__oh" for c in categorical]
-    stages.append(OneHotEncoder(inputCols=idx_cols, outputCols=oh_cols, dropLast=True, handleInvalid="keep"))
+    # the indexer's extra "unknown" index is the last category: dropping it encodes an unseen
+    # (or missing) category as all zeros, as the reference's encoder does
+    stages.append(OneHotEncoder(inputCols=idx_cols, outputCols=oh_cols, dropLast=True, handleInvalid="error"))
     stages.append(CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_symptom_tokens",
                                                        outputCol="_symptoms_vec", binary=True))
     stages.append(VectorAssembler(inputCols=list(numeric) + oh_cols + ["_symptoms_vec"], outputCol="features",

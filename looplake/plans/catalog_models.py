@@ -82,7 +82,15 @@ def _train_setup(fx):
     return fm, train, valid, labels, params
 
 
-@query("assemble_features")
+@query("assemble_features", f"""
+WITH {MIX_SQL},
+sz AS (SELECT {len(NUMERIC_FEATURES)} + {" + ".join(f"count(DISTINCT {c})" for c in CATEGORICAL_FEATURES)}
+              + (SELECT count(DISTINCT t) FROM (SELECT unnest({_TOKENS}) AS t FROM frame)) AS vector_size FROM frame)
+SELECT f.scope_key, f.row_key, CAST(sz.vector_size AS INTEGER) AS vector_size,
+       CAST({" + ".join(f"CASE WHEN {c} IS NULL OR {c} <> 0 THEN 1 ELSE 0 END" for c in NUMERIC_FEATURES)}
+            + {" + ".join(f"CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END" for c in CATEGORICAL_FEATURES)}
+            + len({_TOKENS}) AS INTEGER) AS non_zero
+FROM frame f, sz""")
 def _assemble_features(fx):
     """Encoded vectors: one row per frame row with the vector size and non-zero count."""
     fr = _frame(fx)
