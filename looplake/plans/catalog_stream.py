@@ -61,7 +61,8 @@ def _stream_error_burst(fx):
 @query("stream_auto_trigger", f"""
 WITH {SCOPED_SQL},
 b AS (SELECT min(id) AS lo, max(id) AS hi FROM scoped),
-c AS (SELECT s.*, least(3, CAST(floor((s.id - b.lo) / ((b.hi - b.lo + 1) / 4.0)) AS INTEGER)) AS chunk FROM scoped s, b),
+c AS (SELECT s.*, least(3, CAST(floor((s.id - b.lo) / (CAST(b.hi - b.lo + 1 AS DOUBLE) / 4)) AS INTEGER)) AS chunk
+      FROM scoped s, b),
 first AS (SELECT scope_key, min(chunk) AS fc FROM c GROUP BY scope_key),
 init AS (SELECT c.scope_key, max(c.id) AS last_id FROM c JOIN first f ON c.scope_key = f.scope_key AND c.chunk = f.fc
          GROUP BY c.scope_key),
@@ -100,10 +101,51 @@ def _stream_upsert_feedback(fx):
     return out.select("id", "prediction_id", "final_diagnosis", "created_at")
 
 
-@query("stream_drift")
+_STREAM_DRIFT_SQL = """
+WITH cur AS (SELECT CAST(id AS BIGINT) AS o, CAST(json_extract(prediction_input, '$.temperature') AS DOUBLE) AS temperature, CAST(json_extract(prediction_input, '$.weight_kg') AS DOUBLE) AS weight_kg, CAST(json_extract(prediction_input, '$.heart_rate') AS DOUBLE) AS heart_rate, CAST(json_extract(prediction_input, '$.age_months') AS DOUBLE) AS age_months FROM fx_prediction_log),
+b AS (SELECT min(o) AS lo, max(o) AS hi FROM cur),
+cb AS (SELECT least(2, CAST(floor((o - lo) / (CAST(hi - lo + 1 AS DOUBLE) / 3)) AS INTEGER)) AS batch_id, cur.*
+       FROM cur, b),
+clong AS (SELECT batch_id, 'temperature' AS col, temperature AS v FROM cb UNION ALL SELECT batch_id, 'weight_kg' AS col, weight_kg AS v FROM cb UNION ALL SELECT batch_id, 'heart_rate' AS col, heart_rate AS v FROM cb UNION ALL SELECT batch_id, 'age_months' AS col, age_months AS v FROM cb),
+rlong AS (SELECT 'temperature' AS col, CAST(temperature AS DOUBLE) AS v FROM fx_baseline UNION ALL SELECT 'weight_kg' AS col, CAST(weight_kg AS DOUBLE) AS v FROM fx_baseline UNION ALL SELECT 'heart_rate' AS col, CAST(heart_rate AS DOUBLE) AS v FROM fx_baseline UNION ALL SELECT 'age_months' AS col, CAST(age_months AS DOUBLE) AS v FROM fx_baseline),
+ccn AS (SELECT batch_id, col, v, count(*) AS cc FROM clong WHERE v IS NOT NULL GROUP BY ALL),
+rcn AS (SELECT col, v, count(*) AS cr FROM rlong WHERE v IS NOT NULL GROUP BY ALL),
+bw AS (SELECT DISTINCT batch_id FROM ccn),
+cnt AS (SELECT COALESCE(a.batch_id, x.batch_id) AS batch_id, COALESCE(a.col, x.col) AS col, COALESCE(a.v, x.v) AS v,
+               COALESCE(a.cr, 0) AS cr, COALESCE(x.cc, 0) AS cc
+        FROM (SELECT * FROM bw CROSS JOIN rcn) a FULL OUTER JOIN ccn x
+          ON a.batch_id = x.batch_id AND a.col = x.col AND a.v = x.v),
+tot AS (SELECT batch_id, col, sum(cr) AS n_ref, sum(cc) AS n_cur FROM cnt GROUP BY ALL),
+e AS (SELECT c.batch_id, c.col, abs(sum(cr) OVER x / t.n_ref - sum(cc) OVER x / t.n_cur) AS diff,
+             COALESCE(lead(c.v) OVER y - c.v, 0.0) AS dx
+      FROM cnt c JOIN tot t ON c.batch_id = t.batch_id AND c.col = t.col
+      WINDOW x AS (PARTITION BY c.batch_id, c.col ORDER BY c.v ROWS UNBOUNDED PRECEDING),
+             y AS (PARTITION BY c.batch_id, c.col ORDER BY c.v)),
+k AS (SELECT batch_id, col, max(diff) AS ks_stat, sum(diff * dx) AS wasserstein FROM e GROUP BY ALL),
+rs AS (SELECT col, stddev_pop(v) AS ref_std FROM rlong WHERE v IS NOT NULL GROUP BY col),
+r0 AS (SELECT k.batch_id, k.col, t.n_ref, t.n_cur, k.ks_stat, k.wasserstein, rs.ref_std,
+              (sqrt(t.n_ref * t.n_cur / (t.n_ref + t.n_cur)) + 0.12 + 0.11 / sqrt(t.n_ref * t.n_cur / (t.n_ref + t.n_cur)))
+                * k.ks_stat AS lam
+       FROM k JOIN tot t ON k.batch_id = t.batch_id AND k.col = t.col JOIN rs ON k.col = rs.col),
+r1 AS (SELECT *, CASE WHEN lam < 1e-3 THEN 1.0 ELSE least(1.0, greatest(0.0, list_sum(list_transform(range(1, 101),
+                   lambda j: 2.0 * (CASE WHEN j % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * j * j * lam * lam))))) END
+                   AS p_value,
+              CASE WHEN ref_std > 0 THEN wasserstein / ref_std ELSE wasserstein END AS wasserstein_norm FROM r0)
+SELECT col AS "column", n_ref, n_cur, round(ks_stat, 9) AS ks_stat, round(p_value, 9) AS p_value,
+       round(wasserstein, 9) AS wasserstein, round(wasserstein_norm, 9) AS wasserstein_norm,
+       CASE WHEN n_ref <= 1000 THEN p_value < 0.05 ELSE wasserstein_norm >= 0.1 END AS drift_detected,
+       batch_id
+FROM r1"""
+
+
+@query("stream_drift", _STREAM_DRIFT_SQL)
 def _stream_drift(fx):
-    """Numeric drift of each micro-batch of logged prediction features against the baseline."""
+    """Numeric drift of each micro-batch of logged prediction features against the baseline
+    (files arrive in id ranges, one file per micro-batch)."""
     p = STR.scratch(fx.spark, "drift")
     cur = SC.extract_features(fx.prediction_log, keep=("id",)).withColumn("_o", F.col("id").cast("long"))
     STR.write_files(cur, p["source"], 3, "_o")
-    return STR.drift_stream(fx.spark, p["source"], cur.schema, fx.baseline, p["sink"], p["checkpoint"])
+    out = STR.drift_stream(fx.spark, p["source"], cur.schema, fx.baseline, p["sink"], p["checkpoint"])
+    return out.select("column", "n_ref", "n_cur", *[F.round(c, 9).alias(c) for c in
+                                                     ("ks_stat", "p_value", "wasserstein", "wasserstein_norm")],
+                      "drift_detected", F.col("batch_id").cast("int").alias("batch_id"))
