@@ -253,28 +253,29 @@ SAMPLE_DIAGNOSES = ("Respiratory infection", "Gastrointestinal issue", "Musculos
 
 def synthetic_visits(seeds: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """One sample (prediction input, feedback) pair per input row, picked by hashes of the key:
-    category lists as in the reference's generator, 85 % accepts, ratings 3..5, quality 0.7..1."""
-    k = F.col(key)
+    category lists as in the reference's generator, 85 % accepts, ratings 3..5, weights 1.0..50.0,
+    temperatures 37.5..40.5 (one decimal), quality 0.700..1.000.  Each pick is the first 32 bits
+    of sha256(seed ':' tag ':' key), so the draws are reproducible in any engine."""
+    k = F.col(key).cast("string")
 
     def h(tag: str) -> Column:
-        return F.abs(F.xxhash64(k, F.lit(seed), F.lit(tag)))
+        digest = F.sha2(F.concat(F.lit(f"{seed}:{tag}:"), k), 256)
+        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
     def pick(vals, tag):
         return F.element_at(F.array(*[F.lit(v) for v in vals]), (h(tag) % len(vals) + 1).cast("int"))
 
-    def uni(tag, lo, hi):
-        return F.lit(lo) + (h(tag) % 1000000).cast("double") / 1000000.0 * (hi - lo)
-
     inp = F.struct(pick(SAMPLE_ANIMALS, "a").alias("animal_type"), pick(SAMPLE_GENDERS, "g").alias("gender"),
-                   (h("age") % 179 + 1).cast("int").alias("age_months"), F.round(uni("w", 1.0, 50.0), 1).alias("weight_kg"),
-                   F.round(uni("t", 37.5, 40.5), 1).alias("temperature"),
+                   (h("age") % 179 + 1).cast("int").alias("age_months"),
+                   ((h("w") % 491 + 10) / 10.0).alias("weight_kg"),
+                   ((h("t") % 31 + 375) / 10.0).alias("temperature"),
                    (h("hr") % 120 + 60).cast("int").alias("heart_rate"), pick(SAMPLE_SEASONS, "s").alias("current_season"),
                    pick(SAMPLE_VACCINATION, "v").alias("vaccination_status"),
                    pick(SAMPLE_HISTORY, "m").alias("medical_history"),
                    (h("d") % 29 + 1).cast("int").alias("symptom_duration"),
                    pick(SAMPLE_SYMPTOMS, "sy").alias("symptoms_list"))
     return seeds.select(
-        F.sha2(F.concat(F.lit("sample:"), k.cast("string")), 256).alias("prediction_id"),
+        F.sha2(F.concat(F.lit("sample:"), k), 256).alias("prediction_id"),
         F.to_json(inp).alias("prediction_input"), pick(SAMPLE_DIAGNOSES, "dx").alias("final_diagnosis"),
         ((h("ok") % 100) < 85).alias("is_correct"), (h("r") % 3 + 3).cast("int").alias("confidence_rating"),
-        uni("q", 0.7, 1.0).alias("data_quality_score"), F.lit(True).alias("is_training_eligible"))
+        ((h("q") % 301 + 700) / 1000.0).alias("data_quality_score"), F.lit(True).alias("is_training_eligible"))
