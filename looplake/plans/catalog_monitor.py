@@ -222,7 +222,7 @@ nres0 AS (SELECT k.col AS "column", t.n_ref, t.n_cur, k.ks_stat, k.wasserstein,
                    * k.ks_stat AS lam
           FROM nks k JOIN ntot t ON k.col = t.col LEFT JOIN nstd s ON k.col = s.col),
 nres AS (SELECT "column", n_ref, n_cur, ks_stat,
-                CASE WHEN lam < 1e-3 THEN 1.0 ELSE least(1.0, greatest(0.0, list_sum(list_transform(range(1, 101),
+                CASE WHEN lam < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, list_sum(list_transform(range(1, 101),
                   lambda j: 2.0 * (CASE WHEN j % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * j * j * lam * lam))))) END AS p_value,
                 wasserstein, CASE WHEN ref_std > 0 THEN wasserstein / ref_std ELSE wasserstein END AS wasserstein_norm
          FROM nres0),

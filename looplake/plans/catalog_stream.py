@@ -127,7 +127,7 @@ r0 AS (SELECT k.batch_id, k.col, t.n_ref, t.n_cur, k.ks_stat, k.wasserstein, rs.
               (sqrt(t.n_ref * t.n_cur / (t.n_ref + t.n_cur)) + 0.12 + 0.11 / sqrt(t.n_ref * t.n_cur / (t.n_ref + t.n_cur)))
                 * k.ks_stat AS lam
        FROM k JOIN tot t ON k.batch_id = t.batch_id AND k.col = t.col JOIN rs ON k.col = rs.col),
-r1 AS (SELECT *, CASE WHEN lam < 1e-3 THEN 1.0 ELSE least(1.0, greatest(0.0, list_sum(list_transform(range(1, 101),
+r1 AS (SELECT *, CASE WHEN lam < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, list_sum(list_transform(range(1, 101),
                    lambda j: 2.0 * (CASE WHEN j % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * j * j * lam * lam))))) END
                    AS p_value,
               CASE WHEN ref_std > 0 THEN wasserstein / ref_std ELSE wasserstein END AS wasserstein_norm FROM r0)
