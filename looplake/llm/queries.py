@@ -5,18 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from looplake.llm import linededup, quality, warc
-from looplake.llm.common import table
+from looplake.llm import licenses, linededup, quality, toxicity, warc
+from looplake.llm.common import held_out, table
 
 
 def _sha256(text) -> F.Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, lexicon).withColumn("held_out", held_out(F.col("doc_id")))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_documents(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.array_join("licenses", " ").alias("licenses"), F.array_join("sentence_ids", " ").alias("sentence_ids"),
+        F.size("sentence_ids").cast("long").alias("n_sentences"), "n_unmatched")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_dropped", _sha256(F.col("kept_text")).alias("kept_sha256"))
@@ -29,11 +41,45 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op5_quality_rules": op5_quality_rules,
+    "op7_license_scan": op7_license_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
 }
 
+
+
+def _license_sql() -> str:
+    """The scan in SQL: the same fixed rules over unnested sentences, then nested replacements."""
+    triggers = " OR ".join(f"contains(low, '{t}')" for t in licenses.TRIGGERS)
+    ids = "CASE " + " ".join(f"WHEN regexp_matches(norm, '{p}') THEN '{n}'" for n, p in licenses.SENTENCES) + " END"
+    steps, last = [], "s0 AS (SELECT doc_id, sentence_ids, coalesce('<' || replace(sentence_ids, ' ', '><') || '>', '') AS state FROM seq)"
+    steps.append(last)
+    hits = []
+    for k, (name, parts) in enumerate(licenses.RULES):
+        pattern = licenses.rule_pattern(parts)
+        steps.append(f"s{k + 1} AS (SELECT * REPLACE (regexp_replace(state, '{pattern}', '|', 'g') AS state), "
+                     f"CASE WHEN regexp_matches(state, '{pattern}') THEN '{name}' END AS hit{k} FROM s{k})")
+        hits.append(f"hit{k}")
+    found = f"list_filter([{', '.join(hits)}], lambda x: x IS NOT NULL)"
+    first = f"list_filter({found}, lambda x, i: list_position({found}, x) = i)"
+    return rf"""
+WITH sent AS (SELECT doc_id, unnest(list_zip(range(1, len(c) + 1), c)) AS z FROM (SELECT doc_id, string_split(
+    regexp_replace(low, '([.!?;:])[ 	-
+]+', '' || chr(1), 'g'), chr(1)) AS c
+    FROM (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents) WHERE {triggers})),
+norm AS (SELECT doc_id, z[1] AS pos, z[2] AS low FROM sent),
+ided AS (SELECT doc_id, pos, {ids} AS id FROM (SELECT doc_id, pos, trim(regexp_replace(low, '[^a-z0-9]+', ' ', 'g')) AS norm
+    FROM norm WHERE {triggers})),
+seq AS (SELECT d.doc_id, s.sentence_ids FROM documents d LEFT JOIN (SELECT doc_id, string_agg(id, ' ' ORDER BY pos)
+    AS sentence_ids FROM ided WHERE id IS NOT NULL GROUP BY doc_id) s USING (doc_id)),
+{', '.join(steps)}
+SELECT doc_id, array_to_string({first}, ' ') AS licenses, coalesce(sentence_ids, '') AS sentence_ids,
+  CASE WHEN sentence_ids IS NULL THEN 0 ELSE len(string_split(sentence_ids, ' ')) END::BIGINT AS n_sentences,
+  (len(state) - len(replace(state, '<', '')))::BIGINT AS n_unmatched FROM s{len(licenses.RULES)}"""
+
+
 _W = r"[^\x20\x09-\x0D]+"
 
 ORACLES = {
@@ -62,6 +108,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     coalesce(rep.n, 0)::BIGINT AS n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     l.n_lines_removed::BIGINT AS n_lines_removed, l.lost_chars::BIGINT AS lost_chars
   FROM w LEFT JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id))""",
+    "op7_license_scan": _license_sql(),
     "op9_line_dedup": r"""
 WITH ln AS (SELECT doc_id, pos, lines[pos] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS pos
     FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
