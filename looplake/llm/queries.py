@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from looplake.llm import licenses, linededup, quality, toxicity, warc
+from looplake.llm import chat, decontam, licenses, linededup, pieces, quality, toxicity, warc
 from looplake.llm.common import held_out, table
 
 
+#: The public vocabulary that op8 uses.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def _sha256(text) -> F.Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
@@ -19,16 +23,35 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, lexicon).withColumn("held_out", held_out(F.col("doc_id")))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)],
+                                  "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.format_conversations(rows))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_documents(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).select(
         "doc_id", F.array_join("licenses", " ").alias("licenses"), F.array_join("sentence_ids", " ").alias("sentence_ids"),
         F.size("sentence_ids").cast("long").alias("n_sentences"), "n_unmatched")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY).select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "n_byte_pieces", F.xxhash64("ids").alias("ids_hash"))
+    return pieces.decode_documents(encoded, VOCABULARY).select(
+        "doc_id", "n_pieces", "n_byte_pieces", "ids_hash", _sha256(F.col("text")).alias("decoded_sha256"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_dropped", _sha256(F.col("kept_text")).alias("kept_sha256"))
@@ -42,8 +65,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_chat_format": op2_chat_format,
     "op5_quality_rules": op5_quality_rules,
+    "op6_decontamination": op6_decontamination,
     "op7_license_scan": op7_license_scan,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
 }
@@ -83,6 +109,32 @@ SELECT doc_id, array_to_string({first}, ' ') AS licenses, coalesce(sentence_ids,
 _W = r"[^\x20\x09-\x0D]+"
 
 ORACLES = {
+    "op2_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+t AS (SELECT *, 20 + len(role) + len(text) + len(regexp_extract_all(role, '[<\[]\\*(/?s>|/?INST\])'))
+  + len(regexp_extract_all(text, '[<\[]\\*(/?s>|/?INST\])')) AS chars FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars, false AS rewrites FROM t GROUP BY conv_id""",
+    "op6_decontamination": r"""
+WITH i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM benchmark WHERE text IS NOT NULL),
+iw AS (SELECT item_id, w, least(5, len(w)) AS n FROM i WHERE len(w) > 0),
+ig AS (SELECT DISTINCT item_id, n, w[k:k + n - 1] AS g FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM iw)),
+sz AS (SELECT item_id, count(*) AS size FROM ig GROUP BY item_id),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+dg AS (SELECT DISTINCT doc_id, w[k:k + n - 1] AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k
+    FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+m AS (SELECT doc_id, item_id, count(*) AS hits FROM dg JOIN ig USING (g) GROUP BY doc_id, item_id),
+f AS (SELECT doc_id, item_id, hits / size AS share FROM m JOIN sz USING (item_id) WHERE 100 * hits >= 75 * size)
+SELECT doc_id, count(item_id)::BIGINT AS n_items, coalesce(list(item_id ORDER BY item_id) FILTER (item_id IS NOT NULL), []) AS item_ids,
+  coalesce(max(share), 0)::DOUBLE AS max_containment, count(item_id) > 0 AS contaminated
+FROM (SELECT doc_id FROM documents) LEFT JOIN f USING (doc_id) GROUP BY doc_id""",
     "op5_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '{_W}') AS words, string_split(text, chr(10)) AS lines FROM d),
