@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from looplake.llm import chat, decontam, licenses, linededup, pieces, quality, toxicity, warc
+from looplake.llm import chat, decontam, jaccard, licenses, linededup, pieces, quality, toxicity, warc
 from looplake.llm.common import held_out, table
 
 
@@ -31,6 +31,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_documents(table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -66,6 +70,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_chat_format": op2_chat_format,
+    "op3_jaccard_join": op3_jaccard_join,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontamination": op6_decontamination,
     "op7_license_scan": op7_license_scan,
@@ -135,6 +140,18 @@ f AS (SELECT doc_id, item_id, hits / size AS share FROM m JOIN sz USING (item_id
 SELECT doc_id, count(item_id)::BIGINT AS n_items, coalesce(list(item_id ORDER BY item_id) FILTER (item_id IS NOT NULL), []) AS item_ids,
   coalesce(max(share), 0)::DOUBLE AS max_containment, count(item_id) > 0 AS contaminated
 FROM (SELECT doc_id FROM documents) LEFT JOIN f USING (doc_id) GROUP BY doc_id""",
+    "op3_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, w[k:k + n - 1] AS g FROM (SELECT doc_id, w, least(5, len(w)) AS n,
+    unnest(range(1, len(w) - least(5, len(w)) + 2)) AS k FROM w WHERE len(w) > 0)),
+s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN s sa ON a = sa.doc_id JOIN s sb ON b = sb.doc_id
+    WHERE 100 * common >= 75 * (sa.n + sb.n - common)),
+r AS (SELECT a AS doc_id, a AS node FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.node = l.a)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)""",
     "op5_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '{_W}') AS words, string_split(text, chr(10)) AS lines FROM d),
