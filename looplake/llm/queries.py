@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from looplake.llm import chat, decontam, jaccard, licenses, linededup, pieces, quality, toxicity, warc
+from looplake.llm import chat, decontam, jaccard, langid, licenses, linededup, pieces, quality, toxicity, warc
 from looplake.llm.common import held_out, table
 
 
@@ -35,6 +35,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.learn(docs)).withColumn("held_out", held_out(F.col("doc_id")))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_documents(table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -71,6 +76,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_chat_format": op2_chat_format,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontamination": op6_decontamination,
     "op7_license_scan": op7_license_scan,
