@@ -139,18 +139,22 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.large_string()), ("n_ite
 DDL = "doc_id long, text string, n_items long, item_ids array<long>, max_containment double"
 
 
-def find_items(docs: DataFrame, items: DataFrame, percent: int = 75, block_items: int = 20_000) -> DataFrame:
-    """Every document with the test items it contains: ``doc_id, n_items, item_ids, max_containment``
-    and ``contaminated``."""
-    spark = docs.sparkSession
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "0L n_items",
-                           "cast(array() as array<long>) item_ids", "0D max_containment")
+def item_blocks(items: DataFrame, percent: int, block_items: int) -> Iterator:
+    """Broadcast indexes of blocks of about ``block_items`` items: bounded, whatever the benchmark."""
     items = items.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("text is not null")
     blocks = max(1, -(-items.count() // block_items))
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         index = build_index([(r["item_id"], r["text"]) for r in part.collect()], percent)
-        shared = spark.sparkContext.broadcast(index)
+        yield items.sparkSession.sparkContext.broadcast(index)
+
+
+def find_items(docs: DataFrame, items: DataFrame, percent: int = 75, block_items: int = 20_000) -> DataFrame:
+    """Every document with the test items it contains: ``doc_id, n_items, item_ids, max_containment``
+    and ``contaminated``."""
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "0L n_items",
+                           "cast(array() as array<long>) item_ids", "0D max_containment")
+    for shared in item_blocks(items, percent, block_items):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -162,11 +166,21 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = 75, block_items
                         best[i] = max(best[i], n / len(index.sets[k]))
                         if index.item_ids[k] is not None:
                             lists[i] = sorted([*lists[i], index.item_ids[k]])
-                last = block == blocks - 1
-                yield batch(SCHEMA, {"doc_id": b.column("doc_id"),
-                                     "text": pa.nulls(b.num_rows, pa.large_string()) if last else
-                                     b.column("text").cast(pa.large_string()),
+                yield batch(SCHEMA, {"doc_id": b.column("doc_id"), "text": b.column("text").cast(pa.large_string()),
                                      "n_items": counts, "item_ids": lists, "max_containment": best})
 
         rows = rows.mapInArrow(run, DDL)
     return rows.select("doc_id", "n_items", "item_ids", "max_containment", (F.col("n_items") > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = 75, block_items: int = 20_000) -> DataFrame:
+    """The documents, in their own columns, that contain no test item."""
+    at = docs.columns.index("text")
+    for shared in item_blocks(items, percent, block_items):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array([not search(shared.value, t, percent) for t in b.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

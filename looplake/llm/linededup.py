@@ -84,15 +84,18 @@ def _write_run(df: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4,
-                fan_in: int = 2) -> DataFrame:
-    """Per document: ``doc_id, n_lines, n_dropped, kept_text``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+                fan_in: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: ``doc_id, n_lines, n_dropped, kept_text``, and ``carried``, a struct of the
+    columns named in ``carry``."""
+    more = [F.struct(*(F.col(c) for c in carry)).alias("carried")] if carry else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    carried = ["carried"] if carry else []
     lines = materialize(_lines(docs, min_chars))
     runs = build_runs(lines, batches, fan_in)
     whole = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
     if not runs:
         return docs.select("doc_id", F.size(whole).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"),
-                           F.coalesce("text", F.lit("")).alias("kept_text"))
+                           F.coalesce("text", F.lit("")).alias("kept_text"), *carried)
     common = _merge(runs).where(F.col("n") >= min_docs).select(*_HASH, "holder")
     drops = lines.join(common, _HASH).where(F.col("doc_id") != F.col("holder")) \
         .groupBy("doc_id").agg(F.collect_set("pos").alias("drops"))
@@ -102,4 +105,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
         "doc_id", F.size("lines").cast("long").alias("n_lines"),
         F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")).cast("long").alias("n_dropped"),
         F.when(F.col("drops").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
-        .alias("kept_text"))
+        .alias("kept_text"), *carried)

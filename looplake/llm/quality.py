@@ -132,3 +132,22 @@ def clean_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
                 yield batch(SCHEMA, {"doc_id": part.column(0)} | {c: [r[i] for r in rows] for i, c in enumerate(names)})
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, DDL)
+
+
+def filter_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The kept documents in their own columns: ``text`` without its failed lines, ``n_chars`` (if
+    there is one) its new length."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
+                rows = [judge(x, rules) for x in part.column(names.index("text")).to_pylist()]
+                new = {"text": [r[-1] for r in rows], "n_chars": [len(r[-1]) for r in rows]}
+                out = pa.RecordBatch.from_arrays(
+                    [pa.array(new[c], type=part.column(i).type) if c in new else part.column(i) for i, c in enumerate(names)],
+                    schema=part.schema)
+                yield out.filter(pa.array([r[6] for r in rows]))
+
+    return docs.mapInArrow(run, docs.schema)
