@@ -112,7 +112,7 @@ def scan(docs: DataFrame) -> DataFrame:
         return out
 
     low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    cut = F.split(F.regexp_replace("low", r"([.!?;:])[\x20\x09-\x0D]+", "$1\u0001"), "\u0001", -1)
+    cut = F.split(F.regexp_replace("low", r"([.!?;])[\x20\x09-\x0D]+", "$1\u0001"), "\u0001", -1)
     ids = F.filter(F.transform(F.filter(cut, _triggered), identify), lambda x: x.isNotNull())
     out = docs.select("doc_id", low.alias("low")) \
         .select("doc_id", F.when(_triggered(F.col("low")), ids).otherwise(F.array().cast("array<string>"))
