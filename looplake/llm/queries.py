@@ -103,8 +103,7 @@ def _license_sql() -> str:
     first = f"list_filter({found}, lambda x, i: list_position({found}, x) = i)"
     return rf"""
 WITH sent AS (SELECT doc_id, unnest(list_zip(range(1, len(c) + 1), c)) AS z FROM (SELECT doc_id, string_split(
-    regexp_replace(low, '([.!?;])[ 	-
-]+', '' || chr(1), 'g'), chr(1)) AS c
+    regexp_replace(low, '([.!?;])[\x20\x09-\x0D]+', '\1' || chr(1), 'g'), chr(1)) AS c
     FROM (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents) WHERE {triggers})),
 norm AS (SELECT doc_id, z[1] AS pos, z[2] AS low FROM sent),
 ided AS (SELECT doc_id, pos, {ids} AS id FROM (SELECT doc_id, pos, trim(regexp_replace(low, '[^a-z0-9]+', ' ', 'g')) AS norm
