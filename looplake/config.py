@@ -70,7 +70,6 @@ class Config:
 
     # --- fixed values: gates ---
     regression_tolerance: float = 0.01
-    golden_max_rows: int = 2000
     regression_min_feedback: int = 20
     regression_high_baseline: float = 0.99
     regression_high_tolerance: float = 0.35
@@ -98,15 +97,11 @@ class Config:
     unique_ratio_threshold: float = 0.05
 
     # --- fixed values: monitoring ---
-    monitor_history: int = 10000
     reliable_metrics_min_samples: int = 80
     job_timeout_seconds: int = 300
-    error_message_max_chars: int = 4000
 
     # --- fixed values: bootstrap CSV ---
-    bootstrap_max_bytes: int = 25 * 1024 * 1024
     bootstrap_min_rows: int = 10
-    bootstrap_max_rows: int = 50000
 
     seed: int = 42
 

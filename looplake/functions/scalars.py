@@ -59,9 +59,9 @@ SLUG_UNSAFE = r"[^a-zA-Z0-9_.-]+"
 
 
 def clinic_slug(c) -> Column:
-    """Folder-safe slug: empty/null -> 'global'; unsafe runs -> '_'; max 200; empty result -> 'clinic'."""
+    """Folder-safe slug: empty/null -> 'global'; unsafe runs -> '_'; whole text; empty result -> 'clinic'."""
     raw = col(c).cast("string")
-    slug = F.substring(F.regexp_replace(strip(raw), SLUG_UNSAFE, "_"), 1, 200)
+    slug = F.regexp_replace(strip(raw), SLUG_UNSAFE, "_")
     return (F.when(raw.isNull() | (raw == ""), F.lit("global"))
             .when(slug == "", F.lit("clinic"))
             .otherwise(slug))

@@ -6,9 +6,10 @@ Categorical columns: χ² statistic (p-value by the Wilson–Hilferty normal
 approximation) and the Jensen–Shannon distance.
 
 Decision rule (ours; the reference delegates to a third-party preset that is
-not in the checkout): reference size <= 1,000 -> p < 0.05; otherwise
+not in the checkout), the same at every size: ``rule="distance"`` (default):
 Wasserstein / std(reference) >= 0.1 (numeric) or JS distance >= 0.1
-(categorical).
+(categorical); ``rule="p_value"``: p < 0.05.  A side without values has
+``n_ref`` or ``n_cur`` 0 and NULL statistics and flag.
 
 Scale: rows are first reduced to (group, column, value) counts; ECDF running
 sums use the distributed row-number/running-total helpers per (group, column),
@@ -23,11 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from looplake.operators import ordering as O
+from looplake.session import cut_lineage
 
 # Column lists checked by the reference's drift report.
 NUMERIC_DRIFT_COLUMNS = ("temperature", "weight_kg", "heart_rate", "age_months")
 CATEGORICAL_DRIFT_COLUMNS = ("animal_type", "gender", "vaccination_status")
-SMALL_REFERENCE = 1000
 P_THRESHOLD = 0.05
 DISTANCE_THRESHOLD = 0.1
 DATASET_DRIFT_SHARE = 0.5
@@ -49,41 +50,49 @@ def side_counts(long: DataFrame, by: list | None = None) -> DataFrame:
 def ks_pvalue(d: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
     """Asymptotic Kolmogorov distribution tail with the usual small-sample correction.
     For λ < 0.2 the tail is 1 to six digits (and the alternating series converges slowly)."""
-    ne = n1 * n2 / (n1 + n2)
-    lam = (F.sqrt(ne) + 0.12 + 0.11 / F.sqrt(ne)) * d
+    ne = F.try_divide(n1 * n2, n1 + n2)
+    lam = (F.sqrt(ne) + 0.12 + F.try_divide(F.lit(0.11), F.sqrt(ne))) * d
     series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0),
                          lambda acc, j: acc + 2.0 * F.when(j % 2 == 1, 1.0).otherwise(-1.0)
                          * F.exp(-2.0 * j * j * lam * lam))
-    return F.when(lam < 0.2, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
+    return F.when(lam < 0.2, F.lit(1.0)).when(lam.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
 
 
-def numeric_drift_from_counts(counts: DataFrame, ref_std: DataFrame, by: list | None = None) -> DataFrame:
+def _decide(rule: str, p_value: Column, distance: Column) -> Column:
+    if rule not in ("distance", "p_value"):
+        raise ValueError(f"unknown drift rule {rule!r}")
+    return distance >= DISTANCE_THRESHOLD if rule == "distance" else p_value < P_THRESHOLD
+
+
+def numeric_drift_from_counts(counts: DataFrame, ref_std: DataFrame, by: list | None = None, rule: str = "distance"
+                              ) -> DataFrame:
     """KS statistic, p-value, Wasserstein distance and the drift flag per (group, column)."""
     by = list(by or [])
     key = by + ["column"]
     tot = counts.groupBy(*key).agg(F.sum("cr").alias("n_ref"), F.sum("cc").alias("n_cur"))
-    numbered = O.with_row_number(counts, ["value"], "_k", partition_cols=key)
+    numbered = cut_lineage(O.with_row_number(counts, ["value"], "_k", partition_cols=key))  # read twice below
     run = O.running_totals(numbered, "_k", {"_cr": F.col("cr"), "_cc": F.col("cc")}, partition_cols=key)
     nxt = numbered.select(*key, (F.col("_k") - 1).alias("_k"), F.col("value").alias("_next"))
     e = run.join(tot, key).join(nxt, key + ["_k"], "left")
-    diff = F.abs(F.col("_cr") / F.col("n_ref") - F.col("_cc") / F.col("n_cur"))
+    diff = F.abs(F.try_divide("_cr", "n_ref") - F.try_divide("_cc", "n_cur"))
     dx = F.coalesce(F.col("_next") - F.col("value"), F.lit(0.0))
     agg = e.groupBy(*key).agg(F.max(diff).alias("ks_stat"), F.sum(diff * dx).alias("wasserstein"),
                               F.first("n_ref").alias("n_ref"), F.first("n_cur").alias("n_cur"))
     j = agg.join(ref_std, key, "left")
     p = ks_pvalue(F.col("ks_stat"), F.col("n_ref"), F.col("n_cur"))
     norm = F.when(F.col("ref_std") > 0, F.col("wasserstein") / F.col("ref_std")).otherwise(F.col("wasserstein"))
-    drift = F.when(F.col("n_ref") <= SMALL_REFERENCE, p < P_THRESHOLD).otherwise(norm >= DISTANCE_THRESHOLD)
+    drift = _decide(rule, p, norm)
     return j.select(*key, "n_ref", "n_cur", "ks_stat", p.alias("p_value"), "wasserstein",
                     norm.alias("wasserstein_norm"), drift.alias("drift_detected"))
 
 
-def drift_numeric(reference: DataFrame, current: DataFrame, columns=NUMERIC_DRIFT_COLUMNS) -> DataFrame:
+def drift_numeric(reference: DataFrame, current: DataFrame, columns=NUMERIC_DRIFT_COLUMNS, rule: str = "distance"
+                  ) -> DataFrame:
     long = long_values(reference, columns, F.lit("reference"), "double").unionByName(
         long_values(current, columns, F.lit("current"), "double"))
     std = (long.where((F.col("side") == "reference") & F.col("value").isNotNull())
            .groupBy("column").agg(F.stddev_pop("value").alias("ref_std")))
-    return numeric_drift_from_counts(side_counts(long), std)
+    return numeric_drift_from_counts(side_counts(long), std, rule=rule)
 
 
 def _norm_sf(z: Column) -> Column:
@@ -98,11 +107,12 @@ def _norm_sf(z: Column) -> Column:
 def chi2_pvalue(stat: Column, dof: Column) -> Column:
     """χ² upper tail by the Wilson–Hilferty cube-root normal approximation."""
     k = dof.cast("double")
-    z = (F.pow(stat / k, 1.0 / 3.0) - (1.0 - 2.0 / (9.0 * k))) / F.sqrt(2.0 / (9.0 * k))
+    z = F.try_divide(F.pow(F.try_divide(stat, k), 1.0 / 3.0) - (1.0 - F.try_divide(F.lit(2.0), 9.0 * k)),
+                     F.sqrt(F.try_divide(F.lit(2.0), 9.0 * k)))
     return F.when(k <= 0, F.lit(1.0)).otherwise(_norm_sf(z))
 
 
-def categorical_drift_from_counts(counts: DataFrame, by: list | None = None) -> DataFrame:
+def categorical_drift_from_counts(counts: DataFrame, by: list | None = None, rule: str = "distance") -> DataFrame:
     by = list(by or [])
     key = by + ["column"]
     tot = counts.groupBy(*key).agg(F.sum("cr").alias("n_ref"), F.sum("cc").alias("n_cur"),
@@ -110,25 +120,28 @@ def categorical_drift_from_counts(counts: DataFrame, by: list | None = None) ->
     e = counts.join(tot, key)
     n = F.col("n_ref") + F.col("n_cur")
     col_t = F.col("cr") + F.col("cc")
-    er, ec = F.col("n_ref") * col_t / n, F.col("n_cur") * col_t / n
+    er, ec = F.try_divide(F.col("n_ref") * col_t, n), F.try_divide(F.col("n_cur") * col_t, n)
     chi = F.when(er > 0, F.pow(F.col("cr") - er, 2) / er).otherwise(0.0) + \
         F.when(ec > 0, F.pow(F.col("cc") - ec, 2) / ec).otherwise(0.0)
-    p, q = F.col("cr") / F.col("n_ref"), F.col("cc") / F.col("n_cur")
+    p, q = F.try_divide("cr", "n_ref"), F.try_divide("cc", "n_cur")
     m = (p + q) / 2.0
     kl = F.when(p > 0, p * F.log(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log(q / m)).otherwise(0.0)
     agg = e.groupBy(*key).agg(F.sum(chi).alias("chi2_stat"), F.sum(kl).alias("_js2"), F.first("k").alias("k"),
                               F.first("n_ref").alias("n_ref"), F.first("n_cur").alias("n_cur"))
     pv = chi2_pvalue(F.col("chi2_stat"), F.col("k") - 1)
-    js = F.sqrt(F.greatest(F.lit(0.0), F.col("_js2") / 2.0))
-    drift = F.when(F.col("n_ref") <= SMALL_REFERENCE, pv < P_THRESHOLD).otherwise(js >= DISTANCE_THRESHOLD)
+    both = (F.col("n_ref") > 0) & (F.col("n_cur") > 0)
+    pv = F.when(both, pv)
+    js = F.when(both, F.sqrt(F.greatest(F.lit(0.0), F.col("_js2") / 2.0)))
+    drift = _decide(rule, pv, js)
     return agg.select(*key, "n_ref", "n_cur", "chi2_stat", pv.alias("p_value"), js.alias("js_distance"),
                       drift.alias("drift_detected"))
 
 
-def drift_categorical(reference: DataFrame, current: DataFrame, columns=CATEGORICAL_DRIFT_COLUMNS) -> DataFrame:
+def drift_categorical(reference: DataFrame, current: DataFrame, columns=CATEGORICAL_DRIFT_COLUMNS, rule: str = "distance"
+                      ) -> DataFrame:
     long = long_values(reference, columns, F.lit("reference"), "string").unionByName(
         long_values(current, columns, F.lit("current"), "string"))
-    return categorical_drift_from_counts(side_counts(long))
+    return categorical_drift_from_counts(side_counts(long), rule=rule)
 
 
 def dataset_drift(column_results: DataFrame, by: list | None = None) -> DataFrame:
@@ -142,8 +155,9 @@ def dataset_drift(column_results: DataFrame, by: list | None = None) -> DataFram
                     F.when(flag, F.lit(1.0)).otherwise(F.lit(0.0)).alias("drift_score"))
 
 
-def target_drift(reference: DataFrame, current: DataFrame, target: str = "target_diagnosis") -> DataFrame:
-    return drift_categorical(reference, current, (target,))
+def target_drift(reference: DataFrame, current: DataFrame, target: str = "target_diagnosis", rule: str = "distance"
+                 ) -> DataFrame:
+    return drift_categorical(reference, current, (target,), rule)
 
 
 def drift_windows(reference: DataFrame, current: DataFrame, ts: str, columns=NUMERIC_DRIFT_COLUMNS,

@@ -125,9 +125,11 @@ def regression_gate(golden: DataFrame, y: str, base_pred: str, new_pred: str, n_
         (~enabled | (F.col("new_f1") >= F.col("base_f1") - tol)).alias("passed"))
 
 
-def golden_sample(baseline: DataFrame, cfg: Config = DEFAULT, key: str = "row_id") -> DataFrame:
-    """Up to ``golden_max_rows`` baseline rows in hash order (bounded TakeOrdered)."""
-    return O.hash_sample(baseline, cfg.golden_max_rows, cfg.seed, key)
+def golden_set(baseline: DataFrame, share: float = 1.0, cfg: Config = DEFAULT, key: str = "row_id") -> DataFrame:
+    """The baseline rows that gates evaluate: all, or a stated share by hash."""
+    if share >= 1.0:
+        return baseline
+    return baseline.where(F.pmod(F.xxhash64(F.lit(cfg.seed), key), F.lit(1_000_000)) < int(share * 1_000_000))
 
 
 def feedback_gate(frame: DataFrame, y: str, base_pred: str, new_pred: str, cfg: Config = DEFAULT,

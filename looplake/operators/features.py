@@ -4,7 +4,7 @@ pipeline that produces the sparse feature vector (numeric ‖ one-hot ‖ sympto
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import CountVectorizerModel, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,11 +63,22 @@ def multi_hot_long(rows: DataFrame, vocab: DataFrame, col: str = "symptoms_list"
     return t.join(vocab, by + ["token"], "inner").select(*by, key, "token_index")
 
 
-def feature_pipeline(vocabulary: list[str], numeric=NUMERIC_FEATURES, categorical=CATEGORICAL_FEATURES,
-                     label: str | None = "label") -> Pipeline:
-    """[numeric ‖ one-hot (sorted categories, unknown -> zeros) ‖ symptom multi-hot] as one
-    sparse vector.  Fitted once per training run and reused ("locked encoders")."""
-    stages = []
+def numeric_scaler(train: DataFrame, numeric=NUMERIC_FEATURES) -> SQLTransformer:
+    """Standard scaling of the numeric columns by the training rows' mean and population std (zero
+    variance -> scale 1) as a stage with fixed numbers; the statistics are one aggregated row."""
+    s = train.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(numeric)],
+                  *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(numeric)]).first()
+    cols = [f"(CAST({c} AS DOUBLE) - {s[f'm{i}'] or 0.0!r}D) / {s[f's{i}'] or 1.0!r}D AS {c}__scaled"
+            for i, c in enumerate(numeric)]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(cols)} FROM __THIS__")
+
+
+def feature_pipeline(vocabulary: list[str], scaler: SQLTransformer, numeric=NUMERIC_FEATURES,
+                     categorical=CATEGORICAL_FEATURES, label: str | None = "label") -> Pipeline:
+    """[scaled numeric ‖ one-hot (sorted categories, unknown -> zeros) ‖ symptom multi-hot] as one
+    sparse vector.  Fitted once per training run and reused ("locked encoders").  The label index
+    has the training labels only; rows without a label column are scored without it."""
+    stages = [scaler]
     idx_cols = [f"{c}__idx" for c in categorical]
     stages.append(StringIndexer(inputCols=list(categorical), outputCols=idx_cols, handleInvalid="keep",
                                 stringOrderType="alphabetAsc"))
@@ -77,11 +88,11 @@ def feature_pipeline(vocabulary: list[str], numeric=NUMERIC_FEATURES, categorica
     stages.append(OneHotEncoder(inputCols=idx_cols, outputCols=oh_cols, dropLast=True, handleInvalid="error"))
     stages.append(CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_symptom_tokens",
                                                        outputCol="_symptoms_vec", binary=True))
-    stages.append(VectorAssembler(inputCols=list(numeric) + oh_cols + ["_symptoms_vec"], outputCol="features",
+    stages.append(VectorAssembler(inputCols=[f"{c}__scaled" for c in numeric] + oh_cols + ["_symptoms_vec"], outputCol="features",
                                   handleInvalid="keep"))
     if label:
         stages.append(StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc",
-                                    handleInvalid="keep"))
+                                    handleInvalid="error"))
     return Pipeline(stages=stages)
 
 
@@ -90,10 +101,10 @@ def with_tokens(df: DataFrame, col: str = "symptoms_list") -> DataFrame:
 
 
 def fit_features(train: DataFrame, label: str = "label") -> PipelineModel:
-    """Fit the encoders on the training rows.  The vocabulary (distinct symptom tokens, model
-    state) is the only thing brought to the driver."""
+    """Fit the encoders on the training rows.  The vocabulary (distinct symptom tokens) and the
+    scaler's one row, both model state, are all that is brought to the driver."""
     vocab = [r["token"] for r in symptom_vocabulary(train).orderBy("token").select("token").collect()]
-    pipe = feature_pipeline(vocab, label=label)
+    pipe = feature_pipeline(vocab, numeric_scaler(train), label=label)
     return pipe.fit(with_tokens(train))
 
 

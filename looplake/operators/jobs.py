@@ -44,28 +44,24 @@ def job_history_page(jobs: DataFrame, limit: int = 10, offset: int = 0, clinic_i
     return df.orderBy(F.desc("training_id")).offset(offset).limit(limit)
 
 
-def last_success_time(jobs: DataFrame, recent: int = 20) -> DataFrame:
-    """Latest end_time among completed jobs within the newest ``recent`` jobs."""
-    top = jobs.orderBy(F.desc("training_id")).limit(recent)
-    return (top.where((F.lower(F.col("status")) == "completed") & F.col("end_time").isNotNull())
+def last_success_time(jobs: DataFrame) -> DataFrame:
+    """Latest end_time among all completed jobs."""
+    return (jobs.where((F.lower(F.col("status")) == "completed") & F.col("end_time").isNotNull())
             .agg(F.max("end_time").alias("last_success_time")))
 
 
-def last_training(jobs: DataFrame, recent: int = 50) -> DataFrame:
+def last_training(jobs: DataFrame) -> DataFrame:
     """Per scope (each clinic, plus global = all jobs): newest job and newest completed & deployed
-    job among the newest ``recent``.  Top-k per group via ``row_number <= k`` (window group limit)."""
+    job, over all jobs (max_by: partial aggregates, no window)."""
     clinic = jobs.where(S.normalize_clinic_key("clinic_id").isNotNull()).withColumn(
         "scope", S.normalize_clinic_key("clinic_id"))
     glob = jobs.withColumn("scope", F.lit("global"))
-    both = clinic.unionByName(glob)
-    w = Window.partitionBy("scope").orderBy(F.desc("training_id"))
-    top = both.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= recent)
     ok = (F.lower(F.col("status")) == "completed") & F.coalesce(F.col("is_deployed"), F.lit(False))
-    return top.groupBy("scope").agg(
-        F.max_by("training_id", F.when(F.col("_r") == 1, F.lit(1))).alias("last_training_id"),
-        F.max_by("status", F.when(F.col("_r") == 1, F.lit(1))).alias("last_status"),
-        F.max(F.when(ok, F.col("training_id"))).alias("last_successful_training_id"),
-        F.max_by("new_model_version", F.when(ok, F.col("training_id"))).alias("last_successful_version"))
+    done = F.when(ok, F.col("training_id"))
+    return clinic.unionByName(glob).groupBy("scope").agg(
+        F.max("training_id").alias("last_training_id"), F.max_by("status", "training_id").alias("last_status"),
+        F.max(done).alias("last_successful_training_id"),
+        F.max_by("new_model_version", done).alias("last_successful_version"))
 
 
 def training_overview(jobs: DataFrame, predictions: DataFrame, feedback: DataFrame, as_of, window_days: int,

@@ -17,6 +17,7 @@ from looplake.operators import evaluate as E
 from looplake.operators import features as FE
 from looplake.operators import ordering as O
 from looplake.operators import trainset as TS
+from looplake.session import cut_lineage
 
 
 def forest_params(train: DataFrame, n_features: int, cfg: Config = DEFAULT) -> dict:
@@ -88,7 +89,8 @@ def with_prediction(df: DataFrame, labels: list[str], prob_col: str = "probabili
 
 def calibrate(valid: DataFrame, labels: list[str], prob_col: str = "probability_arr", label_idx: str = "label_idx",
               min_rows: int = 50) -> list:
-    """One isotonic regression per class on the validation rows (skipped below ``min_rows``)."""
+    """One isotonic regression per class on the validation rows; fewer than ``min_rows`` rows fit
+    nothing (an empty list, which ``apply_calibration`` reports as not calibrated)."""
     if valid.count() < min_rows:
         return []
     models = []
@@ -121,37 +123,45 @@ def fold_ids(train: DataFrame, k: int, repeat: int, seed: int, key: str = "row_k
     return n.withColumn("fold", ((F.col("_fp") - 1) % k).cast("int")).drop("_fh", "_fp")
 
 
+CV_SCHEMA = "repeat int, fold int, accuracy double, f1_weighted double, status string"
+
+
 def cross_validate(train: DataFrame, params: dict, folds: int, repeats: int, seed: int,
-                   key: str = "row_key", parallelism: int = 4) -> DataFrame:
+                   key: str = "row_key", parallelism: int = 4, fallback: tuple[float, float] | None = None) -> DataFrame:
     """Repeated stratified k-fold: accuracy and weighted F1 per fit (unweighted fits, as in the
-    reference), then mean and population std.  Fits run concurrently from a thread pool."""
+    reference), then mean and population std.  Fits run concurrently from a thread pool over one
+    materialized fold frame.  With fewer than two folds there is one row with status ``skipped``
+    and the ``fallback`` (training accuracy, validation F1)."""
     spark = train.sparkSession
     if folds < 2:
-        return spark.createDataFrame([], "repeat int, fold int, accuracy double, f1_weighted double")
-    tasks = []
+        acc, f1 = fallback or (None, None)
+        return spark.createDataFrame([(0, 0, acc, f1, "skipped")], CV_SCHEMA)
+    wide = train.select(key, "label", "label_idx", "features")
     for r in range(repeats):
-        fd = fold_ids(train, folds, r, seed, key)
-        for f in range(folds):
-            tasks.append((r, f, fd))
+        wide = fold_ids(wide, folds, r, seed, key).withColumnRenamed("fold", f"fold{r}")
+    wide = cut_lineage(wide)
+    tasks = [(r, f) for r in range(repeats) for f in range(folds)]
 
     def run(t):
-        r, f, fd = t
-        m = train_forest(fd.where(F.col("fold") != f), params, weight_col=None)
-        pred = m.transform(fd.where(F.col("fold") == f))
+        r, f = t
+        m = train_forest(wide.where(F.col(f"fold{r}") != f), params, weight_col=None)
+        pred = m.transform(wide.where(F.col(f"fold{r}") == f))
         met = E.classification_metrics(pred.select(F.col("label_idx").cast("string").alias("y"),
                                                    F.col("prediction").cast("string").alias("yhat")), "y", "yhat")
         row = met.first()
-        return (r, f, float(row["accuracy"]), float(row["f1_weighted"]))
+        return (r, f, float(row["accuracy"]), float(row["f1_weighted"]), "fitted")
 
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
         rows = list(ex.map(run, tasks))
-    return spark.createDataFrame(rows, "repeat int, fold int, accuracy double, f1_weighted double")
+    return spark.createDataFrame(rows, CV_SCHEMA)
 
 
 def cv_summary(scores: DataFrame) -> DataFrame:
+    """Means and population stds over the fits; a skipped validation has std 0 and no fits."""
     return scores.agg(F.avg("accuracy").alias("cv_mean_accuracy"), F.stddev_pop("accuracy").alias("cv_std_accuracy"),
                       F.avg("f1_weighted").alias("cv_mean_f1_weighted"),
-                      F.stddev_pop("f1_weighted").alias("cv_std_f1_weighted"), F.count(F.lit(1)).alias("n_fits"))
+                      F.stddev_pop("f1_weighted").alias("cv_std_f1_weighted"),
+                      F.count_if(F.col("status") == "fitted").alias("n_fits"), F.max("status").alias("status"))
 
 
 def batch_score(rows: DataFrame, feature_model, forest, labels: list[str]) -> DataFrame:
@@ -172,8 +182,10 @@ def score_to_log(scored: DataFrame, model_version: Column, clinic: Column, creat
                          "current_season", "vaccination_status", "medical_history", "symptom_duration",
                          "symptoms_list") if c in scored.columns]
     pet = F.col("pet_id") if "pet_id" in scored.columns else F.lit(None).cast("string")
+    # the source row's id keeps equal inputs of two visits apart
+    source = [F.col("id").cast("string").alias("_id")] if "id" in scored.columns else []
     return scored.select(
-        F.sha2(F.to_json(F.struct(*feats, model_version.alias("_v"))), 256).alias("id"),
+        F.sha2(F.to_json(F.struct(*feats, *source, model_version.alias("_v"))), 256).alias("id"),
         F.lit(None).cast("string").alias("visit_id"), F.coalesce(pet, F.lit(zero)).alias("pet_id"),
         F.to_json(F.struct(*feats)).alias("prediction_input"),
         F.to_json(F.struct(F.col("predicted_label").alias("diagnosis"), F.col("confidence"),

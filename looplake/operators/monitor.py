@@ -1,20 +1,20 @@
 """Monitoring over a prediction log (prediction, actual?, confidence, latency, ts).
 
-Order is ``(ts, event_id)``.  ``actual`` NULL means unlabelled.  The "history"
-is the newest ``monitor_history`` rows (a bounded top-k); lifetime counters
-use the whole log.  Running/sliding metrics use the distributed ordering
-helpers, never an unpartitioned window.
+Order is ``(ts, event_id)``.  ``actual`` NULL means unlabelled.  Every metric
+covers the whole log it is given, or a stated time window of it; a caller who
+wants recent rows only filters by ``ts``.  Running metrics use the distributed
+ordering helpers, never an unpartitioned window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from looplake.config import DEFAULT, Config
 from looplake.functions import scalars as S
 from looplake.operators import ordering as O
 from looplake.operators.scope import _ts
+from looplake.session import cut_lineage
 
 ORDER = ("ts", "event_id")
 # Histogram bucket bounds of the reference's metrics.
@@ -44,25 +44,16 @@ def wrong() -> Column:
     return labelled() & (F.col("prediction") != F.col("actual"))
 
 
-def history(log: DataFrame, cfg: Config = DEFAULT, by: list | None = None) -> DataFrame:
-    """Newest ``monitor_history`` rows (per group): TakeOrdered / window group limit, bounded."""
-    by = list(by or [])
-    if not by:
-        return log.orderBy(F.desc("ts"), F.desc("event_id")).limit(cfg.monitor_history)
-    w = Window.partitionBy(*by).orderBy(F.desc("ts"), F.desc("event_id"))
-    return log.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cfg.monitor_history).drop("_r")
-
-
-def monitor_metrics(log: DataFrame, as_of, cfg: Config = DEFAULT) -> DataFrame:
+def monitor_metrics(log: DataFrame, as_of) -> DataFrame:
     """total, correct, accuracy (correct / rows up to the last labelled row), avg confidence,
-    predictions in the last hour and error rate (both over the history)."""
+    predictions in the last hour and error rate."""
     key = F.struct(F.col("ts"), F.col("event_id"))
     life = log.agg(F.count(F.lit(1)).alias("total_predictions"),
                    F.count_if(correct()).alias("correct_predictions"),
                    F.max(F.when(labelled(), key)).alias("_last_lab"))
     upto = (log.join(F.broadcast(life.select("_last_lab")), key <= F.col("_last_lab"), "inner")
             .agg(F.count(F.lit(1)).alias("_n_at_label")))
-    h = history(log, cfg).agg(
+    h = log.agg(
         F.avg("confidence").alias("avg_confidence"),
         F.count_if(F.col("ts") > _ts(as_of) - F.expr("INTERVAL 1 HOUR")).alias("predictions_per_hour"),
         F.count_if(wrong()).alias("_wrong"), F.count_if(labelled()).alias("_lab"))
@@ -76,30 +67,30 @@ def monitor_metrics(log: DataFrame, as_of, cfg: Config = DEFAULT) -> DataFrame:
         F.when(F.col("_lab") > 0, F.col("_wrong") / F.col("_lab")).otherwise(F.lit(0.0)).alias("error_rate"))
 
 
-def confidence_stats(log: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    h = history(log, cfg)
-    return h.agg(F.min("confidence").alias("min"), F.max("confidence").alias("max"),
-                 F.median("confidence").alias("median"),
-                 F.coalesce(F.stddev_samp("confidence"), F.lit(0.0)).alias("std"))
+def confidence_stats(log: DataFrame) -> DataFrame:
+    return log.agg(F.min("confidence").alias("min"), F.max("confidence").alias("max"),
+                   F.median("confidence").alias("median"),
+                   F.coalesce(F.stddev_samp("confidence"), F.lit(0.0)).alias("std"))
 
 
-def prediction_distribution(log: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    return history(log, cfg).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+def prediction_distribution(log: DataFrame) -> DataFrame:
+    return log.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
-def recent_accuracy(log: DataFrame, as_of, hours: int = 24, cfg: Config = DEFAULT) -> DataFrame:
-    h = history(log, cfg).where(F.col("ts") > _ts(as_of) - F.make_dt_interval(F.lit(0), F.lit(hours)))
+def recent_accuracy(log: DataFrame, as_of, hours: int = 24) -> DataFrame:
+    h = log.where(F.col("ts") > _ts(as_of) - F.make_dt_interval(F.lit(0), F.lit(hours)))
     return h.agg(F.count(F.lit(1)).alias("recent_24h_predictions"), F.count_if(correct()).alias("_c"),
                  F.count_if(labelled()).alias("_l")).select(
         F.when(F.col("_l") > 0, F.col("_c") / F.col("_l")).otherwise(F.lit(0.0)).alias("recent_24h_accuracy"),
         "recent_24h_predictions")
 
 
-def hourly_trend(log: DataFrame, as_of, hours: int = 24, cfg: Config = DEFAULT) -> DataFrame:
-    """Per clock hour in the last ``hours`` (1..168): n, accuracy over labelled rows (0.0 without
+def hourly_trend(log: DataFrame, as_of, hours: int = 24) -> DataFrame:
+    """Per clock hour in the last ``hours`` (at least 1): n, accuracy over labelled rows (0.0 without
     labels), average confidence, error_rate = 1 − accuracy."""
-    hours = max(1, min(168, int(hours)))
-    h = history(log, cfg).where(F.col("ts") > _ts(as_of) - F.make_dt_interval(F.lit(0), F.lit(hours)))
+    if hours < 1:
+        raise ValueError("hours must be at least 1")
+    h = log.where(F.col("ts") > _ts(as_of) - F.make_dt_interval(F.lit(0), F.lit(hours)))
     g = h.groupBy(S.iso_hour_key("ts").alias("hour")).agg(
         F.count(F.lit(1)).alias("predictions"), F.count_if(correct()).alias("_c"), F.count_if(labelled()).alias("_l"),
         F.avg("confidence").alias("avg_confidence"))
@@ -153,27 +144,22 @@ def asof_count_before(df: DataFrame, seconds: int, rn: str = "rn") -> DataFrame:
     return df.join(t.where(F.col("_kind") == 1).select("event_id", "_before"), "event_id")
 
 
-def running_monitor(log: DataFrame, cfg: Config = DEFAULT, block: int = O.DEFAULT_BLOCK) -> DataFrame:
-    """Metrics as they stood after each event."""
-    k = cfg.monitor_history
-    n = O.with_row_number(log.select("event_id", "ts", "prediction", "actual", "confidence"), list(ORDER), "rn")
-    n = n.withColumn("_lab_rn", F.when(labelled(), F.col("rn")).otherwise(F.lit(0)))
-    r = O.running_totals(n, "rn", {"correct_so_far": correct().cast("long")}, block=block)
-    r = O.running_max(r, "rn", {"_last_lab": F.col("_lab_rn")}, block=block)
-    # exact windowed sums: confidences summed as DECIMAL(38,9), so the result does not depend on
-    # the summation order of the blocks; one final double division
-    r = O.trailing_sum(r, "rn", F.col("confidence").cast("decimal(38,9)"), k, "_csum", block=block)
-    r = O.trailing_sum(r, "rn", F.col("confidence").isNotNull().cast("long"), k, "_ccnt", block=block)
-    r = r.withColumn("avg_confidence", F.col("_csum").cast("double") / F.col("_ccnt").cast("double"))
-    r = O.trailing_sum(r, "rn", wrong().cast("long"), k, "_w", block=block)
-    r = O.trailing_sum(r, "rn", labelled().cast("long"), k, "_l", block=block)
-    r = asof_count_before(r, 3600)
+def running_monitor(log: DataFrame, block: int = O.DEFAULT_BLOCK) -> DataFrame:
+    """Metrics as they stood after each event: one numbering and one pass of running values."""
+    n = cut_lineage(O.with_row_number(log.select("event_id", "ts", "prediction", "actual", "confidence"), list(ORDER), "rn"))
+    # confidences are summed as DECIMAL(38,9), so the result does not depend on the summation
+    # order of the blocks; one final double division
+    r = O.running_totals(
+        n, "rn", {"correct_so_far": correct().cast("long"), "_csum": F.col("confidence").cast("decimal(38,9)"),
+                  "_ccnt": F.col("confidence").isNotNull().cast("long"), "_w": wrong().cast("long"), "_l": labelled().cast("long")},
+        block=block, maxima={"_last_lab": F.when(labelled(), F.col("rn")).otherwise(F.lit(0))})
+    r = r.join(asof_count_before(n.select("event_id", "ts"), 3600).select("event_id", "_before"), "event_id")
     return r.select(
         "event_id", "ts", F.col("rn").alias("total_predictions"), F.col("correct_so_far").alias("correct_predictions"),
         F.when(F.col("_last_lab") > 0, F.col("correct_so_far") / F.col("_last_lab")).otherwise(F.lit(0.0))
         .alias("accuracy"),
-        F.round("avg_confidence", 9).alias("avg_confidence"),
-        F.least(F.lit(k).cast("long"), F.col("rn") - F.col("_before")).alias("predictions_per_hour"),
+        F.round(F.try_divide(F.col("_csum").cast("double"), F.col("_ccnt").cast("double")), 9).alias("avg_confidence"),
+        (F.col("rn") - F.col("_before")).alias("predictions_per_hour"),
         F.when(F.col("_l") > 0, F.col("_w") / F.col("_l")).otherwise(F.lit(0.0)).alias("error_rate"))
 
 

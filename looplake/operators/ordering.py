@@ -39,32 +39,29 @@ def with_row_number(df: DataFrame, order_cols: list, out: str = "rn", partition_
                     num_partitions: int | None = None) -> DataFrame:
     """Exact ``row_number() over (partition by P order by O)`` (1-based), distributed.
 
-    ``order_cols`` (with ``partition_cols``) are column names that identify rows uniquely.
-    Only those key columns are range-partitioned, numbered and checkpointed; the numbers are
-    attached to the full rows by a null-safe equi-join on the keys, so wide rows are never
-    written to the checkpoint folder.
+    Rows that agree in all of ``order_cols`` and ``partition_cols`` are numbered in any order, each
+    once.  The rows themselves are range-partitioned, numbered and checkpointed, never joined back,
+    so repeated keys cannot multiply them; callers select the columns they need before.
     """
     part = list(partition_cols or [])
     names = part + list(order_cols)
     n = num_partitions or _n_partitions(df)
-    keys = df.select(*names)
-    # The range bounds come from sampling, so the numbered keys are materialized once with a
-    # reliable checkpoint: offsets and keys then read the same data even if executors are lost.
-    s = cut_lineage(keys.repartitionByRange(n, *names).sortWithinPartitions(*names)
+    # The range bounds come from sampling, so the numbered rows are materialized once with a
+    # reliable checkpoint: offsets and rows then read the same data even if executors are lost.
+    s = cut_lineage(df.repartitionByRange(n, *names).sortWithinPartitions(*names)
                     .withColumn("_rp", F.spark_partition_id())
                     .withColumn("_rm", F.monotonically_increasing_id()))
     grp = ["_rp"] + part
     counts = s.groupBy(*grp).agg(F.count(F.lit(1)).alias("_rc"), F.min("_rm").alias("_rmin"))
     w = Window.partitionBy(*part).orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1) if part else \
         Window.orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_roff", F.coalesce(F.sum("_rc").over(w), F.lit(0))).drop("_rc")
+    offsets = counts.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(grp)],
+                            (F.coalesce(F.sum("_rc").over(w), F.lit(0)) - F.col("_rmin") + 1).alias("_roff"))
     if not part:
         offsets = F.broadcast(offsets)  # at most one row per shuffle partition
-    numbered = (s.join(offsets, grp, "inner")
-                .select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(names)],
-                        (F.col("_roff") + F.col("_rm") - F.col("_rmin") + 1).cast("bigint").alias(out)))
-    cond = [df[c].eqNullSafe(numbered[f"_k{i}"]) for i, c in enumerate(names)]
-    return df.join(numbered, cond, "inner").drop(*[f"_k{i}" for i in range(len(names))])
+    cond = [s[c].eqNullSafe(offsets[f"_g{i}"]) for i, c in enumerate(grp)]
+    return s.join(offsets, cond, "inner").withColumn(out, (F.col("_roff") + F.col("_rm")).cast("bigint")) \
+        .select(*df.columns, out)
 
 
 def blocked(df: DataFrame, rn: str, halo: int, block: int = DEFAULT_BLOCK, partition_cols: list | None = None
@@ -100,22 +97,24 @@ def trailing_avg(df: DataFrame, rn: str, value: Column, k: int, out: str, partit
 
 
 def running_totals(df: DataFrame, rn: str, values: dict[str, Column], partition_cols: list | None = None,
-                   block: int = DEFAULT_BLOCK) -> DataFrame:
-    """Inclusive running sums by ``rn`` (per ``partition_cols``) as block prefix + in-block window."""
+                   block: int = DEFAULT_BLOCK, maxima: dict[str, Column] | None = None) -> DataFrame:
+    """Inclusive running sums (and ``maxima``) by ``rn`` (per ``partition_cols``) as block prefix +
+    in-block window: one aggregation to blocks, one join, one window, for any number of values."""
     part = list(partition_cols or [])
     b = df.withColumn("_blk", F.floor((F.col(rn) - 1) / F.lit(block)).cast("bigint"))
-    for name, v in values.items():
+    kinds = [(n, v, F.sum) for n, v in values.items()] + [(n, v, F.max) for n, v in (maxima or {}).items()]
+    for name, v, _ in kinds:
         b = b.withColumn(f"_v_{name}", v)
-    tot = b.groupBy(*part, "_blk").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    tot = b.groupBy(*part, "_blk").agg(*[f(f"_v_{n}").alias(f"_t_{n}") for n, _, f in kinds])
     wb = Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    for n in values:
-        tot = tot.withColumn(f"_o_{n}", F.coalesce(F.sum(f"_t_{n}").over(wb), F.lit(0)))
-    tot = tot.select(*part, "_blk", *[f"_o_{n}" for n in values])
+    before = {n: F.coalesce(f(f"_t_{n}").over(wb), F.lit(0)) if f is F.sum else f(f"_t_{n}").over(wb) for n, _, f in kinds}
+    tot = tot.select(*part, "_blk", *[c.alias(f"_o_{n}") for n, c in before.items()])
     wi = Window.partitionBy(*part, "_blk").orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)
     out = b.join(tot, part + ["_blk"], "inner")
-    for n in values:
-        out = out.withColumn(n, F.col(f"_o_{n}") + F.sum(f"_v_{n}").over(wi))
-    return out.drop("_blk", *[f"_v_{n}" for n in values], *[f"_o_{n}" for n in values])
+    for n, _, f in kinds:
+        inside, prefix = f(f"_v_{n}").over(wi), F.col(f"_o_{n}")
+        out = out.withColumn(n, prefix + inside if f is F.sum else F.greatest(prefix, inside))  # greatest skips nulls
+    return out.drop("_blk", *[f"_v_{n}" for n, _, _ in kinds], *[f"_o_{n}" for n, _, _ in kinds])
 
 
 def hash_order(seed: int, key: Column) -> Column:
@@ -126,23 +125,3 @@ def hash_order(seed: int, key: Column) -> Column:
 def hash_sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     """First ``n`` rows in hash order (TakeOrdered: per-partition top-n, no global sort)."""
     return df.withColumn("_h", hash_order(seed, F.col(key))).orderBy("_h", key).limit(int(n)).drop("_h")
-
-
-def running_max(df: DataFrame, rn: str, values: dict[str, Column], partition_cols: list | None = None,
-                block: int = DEFAULT_BLOCK) -> DataFrame:
-    """Inclusive running maxima by ``rn`` (block maxima of earlier blocks + in-block window)."""
-    part = list(partition_cols or [])
-    b = df.withColumn("_blk", F.floor((F.col(rn) - 1) / F.lit(block)).cast("bigint"))
-    for name, v in values.items():
-        b = b.withColumn(f"_v_{name}", v)
-    tot = b.groupBy(*part, "_blk").agg(*[F.max(f"_v_{n}").alias(f"_t_{n}") for n in values])
-    wb = Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    for n in values:
-        tot = tot.withColumn(f"_o_{n}", F.max(f"_t_{n}").over(wb))
-    tot = tot.select(*part, "_blk", *[f"_o_{n}" for n in values])
-    wi = Window.partitionBy(*part, "_blk").orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)
-    out = b.join(tot, part + ["_blk"], "inner")
-    for n in values:
-        inb = F.max(f"_v_{n}").over(wi)
-        out = out.withColumn(n, F.when(F.col(f"_o_{n}").isNull(), inb).otherwise(F.greatest(F.col(f"_o_{n}"), inb)))
-    return out.drop("_blk", *[f"_v_{n}" for n in values], *[f"_o_{n}" for n in values])

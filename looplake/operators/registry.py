@@ -97,7 +97,7 @@ def registry_status(registry: DataFrame, by: list | None = None) -> DataFrame:
 
 def next_version(registry: DataFrame) -> DataFrame:
     """Per scope: numeric max of vMAJOR.MINOR (by integer parts) with MINOR + 1; none -> v1.0."""
-    body = F.substring(F.col("version"), 2, 1000)
+    body = F.expr("substring(version, 2)")
     ok = F.col("version").startswith("v") & F.regexp_replace(body, r"\.", "").rlike("^[0-9]+$") & body.contains(".")
     parts = F.split(body, r"\.")
     c = registry.where(ok).select("clinic_id", F.element_at(parts, 1).cast("bigint").alias("_maj"),

@@ -158,15 +158,12 @@ JOB_STATE_COLUMNS = ("status", "start_time", "end_time", "new_model_version", "t
                      "validation_accuracy", "f1_score", "is_deployed", "error_message")
 
 
-def job_lifecycle(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def job_lifecycle(events: DataFrame) -> DataFrame:
     """Fold an append-only job-event table (training_id, seq, field columns; null = unchanged)
-    into the current job rows.  Error text is cut to 4,000 characters."""
+    into the current job rows, error text whole."""
     present = [c for c in JOB_STATE_COLUMNS if c in events.columns]
     aggs = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in present]
-    folded = events.groupBy("training_id").agg(*aggs, F.max("seq").alias("last_seq"))
-    if "error_message" in present:
-        folded = folded.withColumn("error_message", F.substring("error_message", 1, cfg.error_message_max_chars))
-    return folded
+    return events.groupBy("training_id").agg(*aggs, F.max("seq").alias("last_seq"))
 
 
 def job_timeout(jobs: DataFrame, as_of, cfg: Config = DEFAULT) -> DataFrame:

@@ -237,35 +237,35 @@ def random_split(frame: DataFrame, ratio: Column | float, seed: int, key: str =
     all rows.  Row numbers are the distributed kind (no single-task window)."""
     by = list(by or [])
     r = ratio if isinstance(ratio, Column) else F.lit(float(ratio))
-    f = frame.withColumn("_h", O.hash_order(seed, F.col(key)))
-    cls = f.groupBy(*by, label).agg(F.count(F.lit(1)).alias("_cn"))
+    cls = frame.groupBy(*by, label).agg(F.count(F.lit(1)).alias("_cn"))
     stat = cls.groupBy(*by).agg(F.min("_cn").alias("_min_c"), F.count(F.lit(1)).alias("_k"),
                                 F.sum("_cn").alias("_n"))
+    sizes = cls.join(stat, by) if by else cls.crossJoin(F.broadcast(stat))  # stat is one row
     strat = (F.col("_min_c") >= 2) & (F.col("_k") >= 2)
-    per_cls = O.with_row_number(f, ["_h", key], "_rc", partition_cols=by + [label])
-    all_rows = O.with_row_number(per_cls, ["_h", key], "_ra", partition_cols=by) if by else \
-        O.with_row_number(per_cls, ["_h", key], "_ra")
-    j = all_rows.join(cls, by + [label]).join(stat, by) if by else all_rows.join(cls, [label]).crossJoin(stat)
-    j = j.withColumn("_ratio", r) if isinstance(ratio, (int, float)) else j
-    val = F.when(strat, F.col("_rc") <= F.bround(F.col("_cn") * r, 0)).otherwise(
-        F.col("_ra") <= F.bround(F.col("_n") * r, 0))
-    return (j.withColumn("is_validation", val).withColumn("stratified", strat)
-            .drop("_h", "_rc", "_ra", "_cn", "_min_c", "_k", "_n", "_ratio"))
+    # the group in which a row is ranked is its class or, unstratified, everything: one numbering does
+    j = frame.join(sizes, by + [label]).withColumn("stratified", strat) \
+        .withColumn("_quota", F.bround(F.when(strat, F.col("_cn")).otherwise(F.col("_n")) * r, 0)) \
+        .withColumn("_g", F.when(strat, F.col(label))).withColumn("_h", O.hash_order(seed, F.col(key))) \
+        .drop("_cn", "_min_c", "_k", "_n")
+    numbered = O.with_row_number(j, ["_h", key], "_rank", partition_cols=by + ["_g"])
+    return numbered.withColumn("is_validation", F.col("_rank") <= F.col("_quota")).drop("_quota", "_g", "_h", "_rank")
 
 
 def time_aware_split(frame: DataFrame, ratio: float, cfg: Config = DEFAULT, ts: str = "sample_ts",
-                     key: str = "row_key", label: str = "label") -> DataFrame:
-    """Last ``max(1, min(n−1, bround(n·ratio)))`` rows by (ts, key) are validation, valid only when
-    n >= min samples and the validation part has >= 2 classes (when the data has >= 2)."""
-    numbered = O.with_row_number(frame, [ts, key], "_pos")
-    n = numbered.agg(F.count(F.lit(1)).alias("_n"), F.count_distinct(label).alias("_k"))
+                     key: str = "row_key", label: str = "label", by: list | None = None) -> DataFrame:
+    """Per group the last ``max(1, min(n−1, bround(n·ratio)))`` rows by (ts, key) are validation, valid
+    only when n >= min samples and the validation part has >= 2 classes (when the data has >= 2)."""
+    by = list(by or [])
+    numbered = O.with_row_number(frame, [ts, key], "_pos", partition_cols=by)
+    n = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.count_distinct(label).alias("_k"))
     n_test = F.least(F.col("_n") - 1, F.greatest(F.lit(1), F.bround(F.col("_n") * ratio, 0).cast("bigint")))
-    j = numbered.crossJoin(F.broadcast(n)).withColumn("is_validation", F.col("_pos") > F.col("_n") - n_test)
-    kv = (j.where("is_validation").agg(F.count_distinct(label).alias("_kv")))
-    return (j.crossJoin(F.broadcast(kv))
-            .withColumn("time_split_ok", (F.col("_n") >= cfg.time_aware_min_samples) & (F.col("_n") - n_test >= 1)
-                        & ((F.col("_k") < 2) | (F.col("_kv") >= 2)))
-            .drop("_pos", "_n", "_k", "_kv"))
+    j = numbered.join(n, by) if by else numbered.crossJoin(F.broadcast(n))
+    j = j.withColumn("is_validation", F.col("_pos") > F.col("_n") - n_test)
+    kv = j.where("is_validation").groupBy(*by).agg(F.count_distinct(label).alias("_kv"))
+    j = j.join(kv, by, "left") if by else j.crossJoin(F.broadcast(kv))
+    ok = (F.col("_n") >= cfg.time_aware_min_samples) & (F.col("_n") - n_test >= 1) & (
+        (F.col("_k") < 2) | (F.coalesce("_kv", F.lit(0)) >= 2))
+    return j.withColumn("time_split_ok", ok).drop("_pos", "_n", "_k", "_kv")
 
 
 # ------------------------------------------------------------------ seeds and adaptive parameters

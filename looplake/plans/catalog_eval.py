@@ -125,8 +125,7 @@ def _confidence_threshold_sweep(fx):
                       F.round("base_f1", 9).alias("base_f1"))
 
 
-_GOLD = f"""golden AS (SELECT s.* FROM fx_scored s ORDER BY sha256('{SEED}:' || CAST(row_id AS VARCHAR)), row_id
-                       LIMIT {C.golden_max_rows})"""
+_GOLD = "golden AS (SELECT s.* FROM fx_scored s)"
 
 
 @query("regression_gate", f"""
@@ -145,7 +144,7 @@ SELECT b.n AS golden_test_size, round(b.f1_weighted, 9) AS base_f1, round(n.f1_w
               ELSE {C.regression_tolerance} END AS passed
 FROM m_bconf b, m_nconf n, nf""")
 def _regression_gate(fx):
-    golden = E.golden_sample(fx.scored)
+    golden = E.golden_set(fx.scored)
     nf = _frame(fx).where((F.col("scope_key") == "global:GLOBAL") & (F.col("source") == "feedback")).agg(
         F.count(F.lit(1)).alias("_nf"))
     b = E.regression_gate(golden, "y", "y_old", "y_new", F.lit(0))

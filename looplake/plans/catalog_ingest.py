@@ -226,39 +226,3 @@ def _stage_tables(fx):
     back = I.load_stage(fx.spark, root, "data_prep", "run-1")
     return back.select("scope_key", "source", "row_key", "label", F.round("weight", 9).alias("weight"), "sample_ts")
 
-
-def _h_sql(tag: str) -> str:
-    return f"CAST(('0x' || substr(sha256('42:{tag}:' || CAST(event_id AS VARCHAR)), 1, 8))::UBIGINT AS BIGINT)"
-
-
-def _pick_sql(vals, tag: str) -> str:
-    lst = "[" + ", ".join("'" + v + "'" for v in vals) + "]"
-    return f"{lst}[CAST({_h_sql(tag)} % {len(vals)} + 1 AS INTEGER)]"
-
-
-@query("synthetic_visits", f"""
-SELECT sha256('sample:' || CAST(event_id AS VARCHAR)) AS prediction_id,
-       {_pick_sql(I.SAMPLE_ANIMALS, 'a')} AS animal_type, {_pick_sql(I.SAMPLE_GENDERS, 'g')} AS gender,
-       CAST({_h_sql('age')} % 179 + 1 AS INTEGER) AS age_months,
-       CAST({_h_sql('w')} % 491 + 10 AS DOUBLE) / 10.0 AS weight_kg,
-       CAST({_h_sql('t')} % 31 + 375 AS DOUBLE) / 10.0 AS temperature,
-       CAST({_h_sql('hr')} % 120 + 60 AS INTEGER) AS heart_rate,
-       {_pick_sql(I.SAMPLE_SEASONS, 's')} AS current_season,
-       {_pick_sql(I.SAMPLE_VACCINATION, 'v')} AS vaccination_status,
-       {_pick_sql(I.SAMPLE_HISTORY, 'm')} AS medical_history,
-       CAST({_h_sql('d')} % 29 + 1 AS INTEGER) AS symptom_duration,
-       {_pick_sql(I.SAMPLE_SYMPTOMS, 'sy')} AS symptoms_list,
-       {_pick_sql(I.SAMPLE_DIAGNOSES, 'dx')} AS final_diagnosis,
-       {_h_sql('ok')} % 100 < 85 AS is_correct,
-       CAST({_h_sql('r')} % 3 + 3 AS INTEGER) AS confidence_rating,
-       CAST({_h_sql('q')} % 301 + 700 AS DOUBLE) / 1000.0 AS data_quality_score,
-       TRUE AS is_training_eligible
-FROM events""")
-def _synthetic_visits(fx):
-    """One hash-derived sample visit per driver event (the input JSON parsed back into columns)."""
-    from looplake.operators.scope import FEATURE_SCHEMA
-    v = I.synthetic_visits(fx.table("events"), "event_id")
-    j = F.from_json("prediction_input", FEATURE_SCHEMA)
-    return v.select("prediction_id", *[j[f.name].alias(f.name) for f in FEATURE_SCHEMA.fields],
-                    "final_diagnosis", "is_correct", "confidence_rating", "data_quality_score",
-                    "is_training_eligible")

@@ -77,7 +77,9 @@ def _train_setup(fx):
     fm = FE.fit_features(split)
     enc = FE.assemble_features(fm, split)
     labels = list(fm.stages[-1].labels)
-    train, valid = enc.where(~F.col("is_validation")), enc.where(F.col("is_validation"))
+    # class weights come from the baseline and weigh the training rows only
+    train = TS.apply_class_weights(enc.where(~F.col("is_validation")), TS.balanced_class_weights(fx.baseline))
+    valid = enc.where(F.col("is_validation"))
     params = MD.forest_params(train, len(FEATURES))
     return fm, train, valid, labels, params
 
@@ -85,9 +87,10 @@ def _train_setup(fx):
 @query("assemble_features", f"""
 WITH {MIX_SQL},
 sz AS (SELECT {len(NUMERIC_FEATURES)} + {" + ".join(f"count(DISTINCT {c})" for c in CATEGORICAL_FEATURES)}
-              + (SELECT count(DISTINCT t) FROM (SELECT unnest({_TOKENS}) AS t FROM frame)) AS vector_size FROM frame)
+              + (SELECT count(DISTINCT t) FROM (SELECT unnest({_TOKENS}) AS t FROM frame)) AS vector_size,
+              {", ".join(f"avg({c}) AS m_{c}" for c in NUMERIC_FEATURES)} FROM frame)
 SELECT f.scope_key, f.row_key, CAST(sz.vector_size AS INTEGER) AS vector_size,
-       CAST({" + ".join(f"CASE WHEN {c} IS NULL OR {c} <> 0 THEN 1 ELSE 0 END" for c in NUMERIC_FEATURES)}
+       CAST({" + ".join(f"CASE WHEN {c} IS NULL OR abs({c} - m_{c}) > 1e-9 THEN 1 ELSE 0 END" for c in NUMERIC_FEATURES)}
             + {" + ".join(f"CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END" for c in CATEGORICAL_FEATURES)}
             + len({_TOKENS}) AS INTEGER) AS non_zero
 FROM frame f, sz""")
@@ -98,7 +101,7 @@ def _assemble_features(fx):
     enc = FE.assemble_features(fm, fr)
     arr = vector_to_array("features")
     return enc.select("scope_key", "row_key", F.size(arr).alias("vector_size"),
-                      F.size(F.filter(arr, lambda x: x != 0)).alias("non_zero"))
+                      F.size(F.filter(arr, lambda x: F.isnan(x) | (F.abs(x) > 1e-9))).alias("non_zero"))
 
 
 @query("train_forest")

@@ -14,7 +14,7 @@ from looplake.plans.registry import query
 from looplake.sources.fixtures import AS_OF, AS_OF_SQL, WINDOW_DAYS
 
 C = DEFAULT
-HIST = f"hist AS (SELECT * FROM fx_monitor_log ORDER BY ts DESC, event_id DESC LIMIT {C.monitor_history})"
+HIST = "hist AS (SELECT * FROM fx_monitor_log)"
 LAB = "actual IS NOT NULL"
 OK = "actual IS NOT NULL AND prediction = actual"
 BAD = "actual IS NOT NULL AND prediction <> actual"
@@ -124,7 +124,7 @@ lowc AS (SELECT event_id, ts, prediction, 'low_confidence' AS type, printf('Very
 
 @query("error_burst_alerts", f"WITH {BURST_SQL} SELECT * FROM burst")
 def _error_burst_alerts(fx):
-    return M.error_burst_alerts(fx.monitor_log, block=2000)
+    return M.error_burst_alerts(fx.monitor_log)
 
 
 @query("low_confidence_alerts", f"WITH {BURST_SQL} SELECT * FROM lowc")
@@ -138,11 +138,11 @@ WITH s AS (
          row_number() OVER w AS total_predictions,
          sum(CASE WHEN {OK} THEN 1 ELSE 0 END) OVER w AS correct_predictions,
          max(CASE WHEN {LAB} THEN 1 ELSE 0 END * 1) OVER w AS any_lab,
-         CAST(sum(CAST(confidence AS DECIMAL(38, 9))) OVER (ORDER BY ts, event_id ROWS BETWEEN 9999 PRECEDING AND CURRENT ROW)
-              AS DOUBLE) / CAST(count(confidence) OVER (ORDER BY ts, event_id ROWS BETWEEN 9999 PRECEDING AND CURRENT ROW)
+         CAST(sum(CAST(confidence AS DECIMAL(38, 9))) OVER w
+              AS DOUBLE) / CAST(count(confidence) OVER w
               AS DOUBLE) AS avg_confidence,
-         sum(CASE WHEN {BAD} THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id ROWS BETWEEN 9999 PRECEDING AND CURRENT ROW) AS w,
-         sum(CASE WHEN {LAB} THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id ROWS BETWEEN 9999 PRECEDING AND CURRENT ROW) AS l,
+         sum(CASE WHEN {BAD} THEN 1 ELSE 0 END) OVER w AS w,
+         sum(CASE WHEN {LAB} THEN 1 ELSE 0 END) OVER w AS l,
          count(*) OVER (ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 HOUR PRECEDING) AS before_hour,
          CASE WHEN {LAB} THEN 1 ELSE 0 END AS is_lab
   FROM fx_monitor_log WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
@@ -150,11 +150,11 @@ s2 AS (SELECT *, max(CASE WHEN is_lab = 1 THEN total_predictions ELSE 0 END)
                  OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_lab FROM s)
 SELECT event_id, ts, total_predictions, correct_predictions,
        CASE WHEN last_lab > 0 THEN CAST(correct_predictions AS DOUBLE) / last_lab ELSE 0.0 END AS accuracy,
-       round(avg_confidence, 9) AS avg_confidence, least({C.monitor_history}, total_predictions - COALESCE(before_hour, 0)) AS predictions_per_hour,
+       round(avg_confidence, 9) AS avg_confidence, total_predictions - COALESCE(before_hour, 0) AS predictions_per_hour,
        CASE WHEN l > 0 THEN CAST(w AS DOUBLE) / l ELSE 0.0 END AS error_rate
 FROM s2""")
 def _running_monitor(fx):
-    return M.running_monitor(fx.monitor_log, block=20000)
+    return M.running_monitor(fx.monitor_log)
 
 
 HEALTH_SQL = f"""
@@ -226,7 +226,7 @@ nres AS (SELECT "column", n_ref, n_cur, ks_stat,
                   lambda j: 2.0 * (CASE WHEN j % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * j * j * lam * lam))))) END AS p_value,
                 wasserstein, CASE WHEN ref_std > 0 THEN wasserstein / ref_std ELSE wasserstein END AS wasserstein_norm
          FROM nres0),
-numeric_drift AS (SELECT *, CASE WHEN n_ref <= 1000 THEN p_value < 0.05 ELSE wasserstein_norm >= 0.1 END AS drift_detected
+numeric_drift AS (SELECT *, wasserstein_norm >= 0.1 AS drift_detected
                   FROM nres)"""
 
 
@@ -257,7 +257,7 @@ def _cat_sql(cols, prefix):
                   (0.319381530 + (1.0 / (1.0 + 0.2316419 * abs(z))) * (-0.356563782 + (1.0 / (1.0 + 0.2316419 * abs(z)))
                   * (1.781477937 + (1.0 / (1.0 + 0.2316419 * abs(z))) * (-1.821255978 + (1.0 / (1.0 + 0.2316419 * abs(z)))
                   * 1.330274429)))) AS tail FROM {prefix}z)),
-{prefix}drift AS (SELECT *, CASE WHEN n_ref <= 1000 THEN p_value < 0.05 ELSE js_distance >= 0.1 END AS drift_detected
+{prefix}drift AS (SELECT *, js_distance >= 0.1 AS drift_detected
                   FROM {prefix}res)"""
 
 
@@ -350,7 +350,7 @@ def _health_rollup(fx):
 al AS (SELECT event_id FROM burst UNION ALL SELECT event_id FROM lowc)
 SELECT count(*) AS active_alerts, count(*) AS total_alerts FROM al""")
 def _alert_counts(fx):
-    a = M.error_burst_alerts(fx.monitor_log, block=2000).select("event_id").unionByName(
+    a = M.error_burst_alerts(fx.monitor_log).select("event_id").unionByName(
         M.low_confidence_alerts(fx.monitor_log).select("event_id"))
     return M.alert_counts(a)
 
@@ -363,7 +363,7 @@ SELECT 'alert', event_id, ts FROM (WITH {BURST_SQL}
   ORDER BY ts DESC, event_id DESC LIMIT 50)""")
 def _recent_tail(fx):
     p = M.recent_tail(fx.monitor_log, 100).select(F.lit("prediction").alias("kind"), "event_id", "ts")
-    al = M.error_burst_alerts(fx.monitor_log, block=2000).select("event_id", "ts").unionByName(
+    al = M.error_burst_alerts(fx.monitor_log).select("event_id", "ts").unionByName(
         M.low_confidence_alerts(fx.monitor_log).select("event_id", "ts"))
     a = M.recent_tail(al, 50).select(F.lit("alert").alias("kind"), "event_id", "ts")
     return p.unionByName(a)
@@ -434,7 +434,7 @@ def _monitor_export(fx):
                                    F.collect_list(F.struct("name", "status", "message")).alias("checks"))
     recent = M.recent_tail(log, 100).agg(F.collect_list(F.struct("event_id", "prediction", "confidence", "ts"))
                                          .alias("recent_predictions"))
-    al = M.error_burst_alerts(log, block=2000).select("event_id", "ts", "type", "message").unionByName(
+    al = M.error_burst_alerts(log).select("event_id", "ts", "type", "message").unionByName(
         M.low_confidence_alerts(log).select("event_id", "ts", "type", "message"))
     alerts = M.recent_tail(al, 50).agg(F.collect_list(F.struct("*")).alias("alerts"))
     doc = m.crossJoin(trend).crossJoin(health).crossJoin(recent).crossJoin(alerts)

@@ -351,8 +351,8 @@ WITH c AS (SELECT DISTINCT clinic_id FROM fx_prediction_log
            UNION SELECT 'a b/c' UNION SELECT '' UNION SELECT '///' UNION SELECT repeat('x', 201))
 SELECT clinic_id,
        CASE WHEN clinic_id IS NULL OR clinic_id = '' THEN 'global'
-            WHEN substr(regexp_replace({strip_sql('clinic_id')}, '[^a-zA-Z0-9_.-]+', '_', 'g'), 1, 200) = '' THEN 'clinic'
-            ELSE substr(regexp_replace({strip_sql('clinic_id')}, '[^a-zA-Z0-9_.-]+', '_', 'g'), 1, 200) END AS slug
+            WHEN regexp_replace({strip_sql('clinic_id')}, '[^a-zA-Z0-9_.-]+', '_', 'g') = '' THEN 'clinic'
+            ELSE regexp_replace({strip_sql('clinic_id')}, '[^a-zA-Z0-9_.-]+', '_', 'g') END AS slug
 FROM c""")
 def _clinic_slug(fx):
     spark = fx.spark

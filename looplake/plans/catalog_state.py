@@ -199,7 +199,7 @@ SELECT training_id,
        arg_max(new_model_version, seq) FILTER (WHERE new_model_version IS NOT NULL) AS new_model_version,
        arg_max(f1_score, seq) FILTER (WHERE f1_score IS NOT NULL) AS f1_score,
        arg_max(is_deployed, seq) FILTER (WHERE is_deployed IS NOT NULL) AS is_deployed,
-       length(substr(arg_max(error_message, seq) FILTER (WHERE error_message IS NOT NULL), 1, 4000)) AS error_len,
+       length(arg_max(error_message, seq) FILTER (WHERE error_message IS NOT NULL)) AS error_len,
        max(seq) AS last_seq
 FROM ev GROUP BY training_id""")
 def _job_lifecycle(fx):
@@ -352,7 +352,7 @@ def _job_history_page(fx):
 WITH b AS (SELECT *, {blank_null_sql('clinic_id')} AS scope FROM fx_job WHERE {blank_null_sql('clinic_id')} IS NOT NULL
            UNION ALL SELECT *, 'global' AS scope FROM fx_job),
 t AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY training_id DESC) AS r FROM b),
-k AS (SELECT * FROM t WHERE r <= 50)
+k AS (SELECT * FROM t)
 SELECT scope,
        max(CASE WHEN r = 1 THEN training_id END) AS last_training_id,
        max(CASE WHEN r = 1 THEN status END) AS last_status,
@@ -367,7 +367,7 @@ def _last_training(fx):
 
 @query("last_success_time", """
 SELECT max(end_time) AS last_success_time
-FROM (SELECT * FROM fx_job ORDER BY training_id DESC LIMIT 20)
+FROM fx_job
 WHERE lower(status) = 'completed' AND end_time IS NOT NULL""")
 def _last_success_time(fx):
     return J.last_success_time(fx.job)

@@ -133,7 +133,7 @@ r1 AS (SELECT *, CASE WHEN lam < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, list
               CASE WHEN ref_std > 0 THEN wasserstein / ref_std ELSE wasserstein END AS wasserstein_norm FROM r0)
 SELECT col AS "column", n_ref, n_cur, round(ks_stat, 9) AS ks_stat, round(p_value, 9) AS p_value,
        round(wasserstein, 9) AS wasserstein, round(wasserstein_norm, 9) AS wasserstein_norm,
-       CASE WHEN n_ref <= 1000 THEN p_value < 0.05 ELSE wasserstein_norm >= 0.1 END AS drift_detected,
+       wasserstein_norm >= 0.1 AS drift_detected,
        batch_id
 FROM r1"""
 

@@ -285,16 +285,17 @@ def _random_split(fx):
 
 @query("time_aware_split", f"""
 WITH {MIX_SQL},
-g AS (SELECT * FROM frame WHERE scope_key = 'global:GLOBAL'),
-n AS (SELECT count(*) AS n, count(DISTINCT label) AS k FROM g),
-o AS (SELECT g.*, row_number() OVER (ORDER BY sample_ts, row_key) AS pos FROM g),
-t AS (SELECT least(n - 1, greatest(1, CAST(round_even(n * 0.25, 0) AS BIGINT))) AS nt, n, k FROM n),
-v AS (SELECT o.row_key, o.label, o.pos > t.n - t.nt AS is_validation, t.n, t.k, t.nt FROM o, t),
-kv AS (SELECT count(DISTINCT label) AS kv FROM v WHERE is_validation)
-SELECT row_key, is_validation, (n >= 30 AND n - nt >= 1 AND (k < 2 OR kv >= 2)) AS time_split_ok FROM v, kv""")
+n AS (SELECT scope_key, count(*) AS n, count(DISTINCT label) AS k FROM frame GROUP BY scope_key),
+o AS (SELECT frame.*, row_number() OVER (PARTITION BY scope_key ORDER BY sample_ts, row_key) AS pos FROM frame),
+t AS (SELECT scope_key, least(n - 1, greatest(1, CAST(round_even(n * 0.25, 0) AS BIGINT))) AS nt, n, k FROM n),
+v AS (SELECT o.scope_key, o.row_key, o.label, o.pos > t.n - t.nt AS is_validation, t.n, t.k, t.nt
+      FROM o JOIN t ON o.scope_key = t.scope_key),
+kv AS (SELECT scope_key, count(DISTINCT label) AS kv FROM v WHERE is_validation GROUP BY scope_key)
+SELECT v.scope_key, row_key, is_validation, (n >= 30 AND n - nt >= 1 AND (k < 2 OR COALESCE(kv, 0) >= 2)) AS time_split_ok
+FROM v LEFT JOIN kv ON v.scope_key = kv.scope_key""")
 def _time_aware_split(fx):
-    g = _frame(fx).where(F.col("scope_key") == "global:GLOBAL")
-    return TS.time_aware_split(g, 0.25).select("row_key", "is_validation", "time_split_ok")
+    return TS.time_aware_split(_frame(fx), 0.25, by=["scope_key"]).select(
+        "scope_key", "row_key", "is_validation", "time_split_ok")
 
 
 @query("split_seed", f"""

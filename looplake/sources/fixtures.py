@@ -94,7 +94,7 @@ SELECT o_orderkey AS row_id,
        CASE WHEN o_orderkey % 40 = 7 THEN 'refund' WHEN o_orderkey * 37 % 120 >= 90 THEN 'error'
             WHEN o_orderkey * 13 % 40 >= 25 THEN 'purchase' WHEN o_orderstatus = 'F' THEN 'click'
             WHEN o_orderstatus = 'O' THEN 'view' ELSE 'signup' END AS target_diagnosis
-FROM orders JOIN customer ON o_custkey = c_custkey JOIN part ON p_partkey = o_orderkey % 200""",
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN part ON p_partkey = o_orderkey % (SELECT max(p_partkey) FROM part) + 1""",
     "fx_scored": """
 SELECT row_id,
        target_diagnosis AS y,
@@ -204,27 +204,6 @@ FROM (VALUES ('global:GLOBAL', 500, NULL, 0),
              ('clinic:clinic-3:CLINIC_ONLY', 0, TIMESTAMP '2024-02-01 00:00:00', 4),
              ('clinic:clinic-4:CLINIC_ONLY', 0, TIMESTAMP '2024-01-30 00:00:00', 2))
      AS t(scope_key, last_processed_feedback_id, cooldown_until, consecutive_failures)""",
-    "fx_catalog": """
-SELECT CAST(priority AS INT) AS priority, id, name
-FROM (VALUES (1, 'clinic-2', 'North'), (1, 'clinic-3', 'South'), (2, 'clinic-2', 'Duplicate'),
-             (2, 'clinic-5', NULL), (2, NULL, 'Bad'), (2, 'None', 'Bad')) AS t(priority, id, name)""",
-    "fx_registry": """
-SELECT * FROM (VALUES (CAST(NULL AS STRING), 'v1.0', TRUE, TRUE, TRUE, 'archived'),
-                      (NULL, 'v1.9', TRUE, TRUE, TRUE, 'production'),
-                      (NULL, 'v1.10', TRUE, TRUE, TRUE, 'staging'),
-                      (NULL, 'v20240110_120000', TRUE, TRUE, TRUE, 'staging'),
-                      ('clinic-2', 'v1.9', TRUE, FALSE, TRUE, 'production'),
-                      ('clinic-3', 'v2.0', TRUE, TRUE, TRUE, 'production'))
-     AS t(clinic_id, version, has_model, has_tab, has_symptoms, status)""",
-    "fx_pin": """
-SELECT * FROM (VALUES (CAST(NULL AS STRING), 'v1.9'), ('clinic-3', 'v2.0')) AS t(clinic_id, version)""",
-    "fx_approval_event": """
-SELECT CAST(seq AS BIGINT) AS seq, version, action, actor, CAST(at AS TIMESTAMP) AS event_at
-FROM (VALUES (1, 'v1.0', 'approve', 'ops', TIMESTAMP '2024-01-10 00:00:00'),
-             (2, 'v1.9', 'approve', 'ops', TIMESTAMP '2024-01-20 00:00:00'),
-             (3, 'v1.10', 'reject', 'ops', TIMESTAMP '2024-01-25 00:00:00'),
-             (4, 'v1.0', 'rollback', 'ops', TIMESTAMP '2024-01-28 00:00:00'))
-     AS t(seq, version, action, actor, at)""",
 }
 
 # Fixture dependencies on other fixtures (for CTE assembly).

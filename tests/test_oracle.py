@@ -16,7 +16,7 @@ SUBSET = ["eligible_by_clinic", "feedback_counts", "training_snapshot", "upsert_
           "collect_training_frame", "random_split", "confidence_threshold_sweep", "promotion_guardrail",
           "monitor_metrics", "error_burst_alerts", "running_monitor", "drift_numeric", "effective_model",
           "bootstrap_ingest", "auto_batch_plan", "stream_hourly_metrics", "job_status", "low_confidence_alerts",
-          "dataset_export", "assemble_features", "stream_error_burst", "stream_auto_trigger", "synthetic_visits"]
+          "dataset_export", "assemble_features", "stream_error_burst", "stream_auto_trigger"]
 FULL = os.environ.get("LOOPLAKE_FULL_ORACLE") == "1"
 SQL_KEYS = sorted(k for k, e in REG.items() if e.sql and (FULL or k in SUBSET))
 
