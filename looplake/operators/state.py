@@ -8,7 +8,7 @@ target is a Delta/Iceberg table.  Deduplication uses ``max_by`` aggregations
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from looplake.config import DEFAULT, Config
@@ -217,21 +217,33 @@ def scope_state_init(state: DataFrame, scoped_feedback: DataFrame) -> DataFrame:
                         "consecutive_failures").unionByName(new)
 
 
-def watermark_batches(scoped_feedback: DataFrame, state: DataFrame, as_of, window_days: int, batch_size: int
-                      ) -> DataFrame:
-    """Consecutive full batches of ``batch_size`` eligible ids after each scope's watermark.
-
-    A scope without a state row starts at its current max id (so it has no
-    batch yet).  Numbering is the distributed per-scope row number, so a hot
-    scope is spread over many tasks.
-    """
+def batch_candidates(scoped_feedback: DataFrame, state: DataFrame, as_of, window_days: int) -> DataFrame:
+    """Eligible (scope_key, scope_clinic, id) inside the window and after the scope's watermark.  A
+    scope without a state row starts at its current max id (so it has no candidate yet)."""
     mx = scoped_feedback.groupBy("scope_key").agg(F.coalesce(F.max("id"), F.lit(0)).alias("_max_id"))
     wm = (mx.join(state.select("scope_key", "last_processed_feedback_id"), "scope_key", "left")
           .select("scope_key", F.coalesce(F.col("last_processed_feedback_id"), F.col("_max_id")).alias("_wm")))
-    cand = (scoped_feedback.where((F.col("is_training_eligible") == F.lit(True))
+    return (scoped_feedback.where((F.col("is_training_eligible") == F.lit(True))
                                   & (F.col("created_at") >= window_start(as_of, window_days)))
             .select("scope_key", "scope_clinic", "id")
             .join(wm, "scope_key", "inner").where(F.col("id") > F.col("_wm")).drop("_wm"))
+
+
+def first_candidates(candidates: DataFrame, size: int) -> DataFrame:
+    """The first ``size`` ids of each scope with their position: a window group limit keeps at most
+    ``size`` rows of a scope per task before the shuffle, so nothing is numbered in full."""
+    w = Window.partitionBy("scope_key").orderBy("id")
+    return candidates.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= size)
+
+
+def watermark_batches(scoped_feedback: DataFrame, state: DataFrame, as_of, window_days: int, batch_size: int
+                      ) -> DataFrame:
+    """Consecutive full batches of ``batch_size`` eligible ids after each scope's watermark.
+
+    Numbering is the distributed per-scope row number, so a hot
+    scope is spread over many tasks.
+    """
+    cand = batch_candidates(scoped_feedback, state, as_of, window_days)
     numbered = O.with_row_number(cand, ["id"], "pos", partition_cols=["scope_key"])
     numbered = numbered.withColumn("batch_no", F.floor((F.col("pos") - 1) / F.lit(batch_size)).cast("int"))
     sizes = numbered.groupBy("scope_key", "batch_no").agg(F.count(F.lit(1)).alias("_n"))

@@ -110,7 +110,9 @@ def mix_core_memory(frame: DataFrame, baseline: DataFrame, cfg: Config = DEFAULT
         return frame
     n = frame.groupBy("scope_key").agg(core_memory_count(F.count(F.lit(1)), cfg).alias("_core_n"))
     cand = hash_ranked(baseline, cfg.core_memory_max_rows, cfg.seed, "row_id")
-    core = (n.crossJoin(F.broadcast(cand)).where(F.col("pos") <= F.col("_core_n"))
+    # an equi-join on the position; the candidates are bounded by core_memory_max_rows
+    wanted = n.where("_core_n > 0").select("scope_key", F.explode(F.sequence(F.lit(1), F.col("_core_n").cast("int"))).alias("pos"))
+    core = (wanted.join(F.broadcast(cand), "pos")
             .select("scope_key", *baseline_rows(baseline, "core", "c:", cfg.core_memory_quality_score, CORE_TS)))
     return frame.unionByName(core)
 
@@ -133,10 +135,11 @@ def complete_classes(frame: DataFrame, baseline: DataFrame, cfg: Config = DEFAUL
     """Per scope, add ``k`` reference rows for each baseline label missing after the core mix."""
     if cfg.completion_per_missing_class <= 0:
         return frame
-    labels = baseline.select(F.col(LABEL).cast("string").alias("label")).distinct()
-    scopes = frame.select("scope_key").distinct()
-    present = frame.select("scope_key", "label").distinct()
-    missing = scopes.crossJoin(labels).join(present, ["scope_key", "label"], "left_anti")
+    # one row with the model's classes, and one row a scope with the classes it has
+    labels = baseline.agg(F.collect_set(F.col(LABEL).cast("string")).alias("_all"))
+    present = frame.groupBy("scope_key").agg(F.collect_set("label").alias("_have"))
+    missing = present.crossJoin(F.broadcast(labels)).select(
+        "scope_key", F.explode(F.array_except("_all", "_have")).alias("label"))
     picks = per_class_pick(baseline.withColumn("label", F.col(LABEL).cast("string")), "label",
                            cfg.completion_per_missing_class, cfg.seed, "row_id")
     add = missing.join(picks, "label").select(

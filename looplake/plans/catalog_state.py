@@ -303,14 +303,9 @@ def _watermark_batches(fx):
 WITH {SCOPED_SQL}, {BATCHES_SQL}
 SELECT scope_key, id FROM num WHERE pos <= {T}""")
 def _next_batch_ids(fx):
-    from looplake.operators import ordering as O
     scoped = SC.feedback_scopes(fx.feedback, fx.prediction_log)
-    mx = scoped.groupBy("scope_key").agg(F.coalesce(F.max("id"), F.lit(0)).alias("_max_id"))
-    wm = (mx.join(fx.scope_state, "scope_key", "left")
-          .select("scope_key", F.coalesce("last_processed_feedback_id", "_max_id").alias("_wm")))
-    cand = (SC.window_days_filter(scoped.where(F.col("is_training_eligible") == F.lit(True)), AS_OF, W)
-            .join(wm, "scope_key").where(F.col("id") > F.col("_wm")).select("scope_key", "id"))
-    return O.with_row_number(cand, ["id"], "pos", ["scope_key"]).where(F.col("pos") <= T).select("scope_key", "id")
+    cand = ST.batch_candidates(scoped, fx.scope_state, AS_OF, W)
+    return ST.first_candidates(cand, T).select("scope_key", "id")
 
 
 @query("failure_streak", f"""

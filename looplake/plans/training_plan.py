@@ -82,8 +82,10 @@ def auto_batch_plan(feedback: DataFrame, predictions: DataFrame, state: DataFram
     cool = SC.scopes_in_cooldown(state, as_of).select("scope_key").withColumn("_cool", F.lit(True))
     live = ST.job_timeout(jobs, as_of, cfg)
     running = SC.null_safe_scope_join(scopes, live).select("scope_key").withColumn("_run", F.lit(True))
-    batches = ST.watermark_batches(scoped, state, as_of, days, t).where(F.col("batch_no") == 0)
-    first = batches.groupBy("scope_key").agg(F.array_sort(F.collect_list("id")).alias("batch_ids"))
+    heads = ST.first_candidates(ST.batch_candidates(scoped, state, as_of, days), t)  # at most t rows a scope
+    first = heads.groupBy("scope_key").agg(F.array_sort(F.collect_list("id")).alias("batch_ids")) \
+        .where(F.size("batch_ids") == t)
+    batches = heads.join(first.select("scope_key"), "scope_key", "left_semi")
     used = (jobs.select("idempotency_key") if "idempotency_key" in jobs.columns
             else jobs.sparkSession.createDataFrame([], "idempotency_key string"))
     used = used.where(F.col("idempotency_key").isNotNull()).distinct().withColumn("_dup", F.lit(True))

@@ -15,13 +15,18 @@ def test_no_python_stage(spark, key):
     assert summarize(REG[key].build(spark, SF_SMALL))["python_udfs"] == 0
 
 
-@pytest.mark.parametrize("key", ["last_training", "per_class_pick"])
+@pytest.mark.parametrize("key", ["next_batch_ids", "per_class_pick"])
 def test_top_k_per_group_uses_window_group_limit(spark, key):
     assert summarize(REG[key].build(spark, SF_SMALL))["window_group_limits"] >= 1
 
 
 def test_global_top_k_is_take_ordered(spark):
-    assert summarize(REG["hourly_trend"].build(spark, SF_SMALL))["take_ordered"] >= 1
+    assert summarize(REG["recent_tail"].build(spark, SF_SMALL))["take_ordered"] >= 1
+
+
+def test_flagship_has_no_cartesian_product(spark):
+    plan = REG["collect_training_frame"].build(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
 
 
 def test_scans_are_pruned(spark):
