@@ -165,8 +165,8 @@ def _cut(docs: DataFrame, groups: int, batch_shingles: int) -> DataFrame:
             rows = _entry_rows(list(sets), list(sets.values()), nulls, groups)
             return batch(ENTRIES, {n: [r.get(n) for r in rows] for n in ENTRIES.names})
 
-        for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for part in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 s = shingle_set(text)
                 if doc_id is None:
                     nulls.append(len(s))
@@ -262,7 +262,7 @@ def _gather(rows: pa.Table) -> pa.Table:
     return pa.Table.from_batches([batch(SETS, out)])
 
 
-def shared_shingles(docs: DataFrame, groups: int | None = None, batch_shingles: int = 2_000_000) -> DataFrame:
+def shared_shingles(docs: DataFrame, groups: int | None = None, batch_shingles: int = 1_000_000) -> DataFrame:
     """Step 1: ``doc_id, rep, n, signature, shared``; ``rep`` is a document with an equal set (or
     itself), ``shared`` the hashes that other documents have too, null if the document cannot link."""
     if groups is None:  # by the size of the input, so that a bucket holds about a million hashes
@@ -389,9 +389,10 @@ def near_duplicates(docs: DataFrame, heavy_hashes: int = 200_000, heavy_from: in
         groups.select("head", "m"), "head")
     pivots = index.groupBy("h").agg(F.max_by(F.struct("head", "n"), F.struct(2 * F.col("m") - F.col("n"), "head")).alias("p"),
                                     F.count(F.lit(1)).alias("size"))
-    # group pairs (pivot, head): sizes must fit; a group is also compared with its own members
+    # group pairs (pivot, head), by size at least as similar as b. asks for; a group is also compared
+    # with its own members
     near = index.join(pivots.where("size > 1"), "h").where("head <> p.head").where(
-        F.least("n", F.col("p.n")) * 100 >= PERCENT * F.greatest("n", F.col("p.n")))
+        F.least("n", F.col("p.n")) * 100 >= NEAR_PERCENT * F.greatest("n", F.col("p.n")))
     group_pairs = near.select(F.col("p.head").alias("a"), "head").distinct().unionByName(
         groups.select(F.col("head").alias("a"), "head"))
     pairs = group_pairs.join(members.select(F.col("doc").alias("b"), "head"), "head").where("a <> b").select("a", "b").distinct()
@@ -399,7 +400,7 @@ def near_duplicates(docs: DataFrame, heavy_hashes: int = 200_000, heavy_from: in
     star = tested.where("linked").select("a", "b")
     # b. members of a list that its pivot does not link to, against the rest of the pivot's star.  The
     # Jaccard distance is a metric: who is over 0.5 from the pivot is over 0.25 from its star
-    lists = materialize(members.select("doc", "n", F.explode("prefix").alias("h")).join(
+    lists = materialize(members.select("doc", "n", F.slice(F.array_sort("prefix"), 1, 8).alias("low"), F.explode("prefix").alias("h")).join(
         pivots.select("h", F.col("p.head").alias("pivot")), "h").where("doc <> pivot")
         .join(star.select(F.col("a").alias("pivot"), F.col("b").alias("doc")), ["pivot", "doc"], "left_anti"))
     stars = star.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / block_docs).cast("int").alias("parts"))
@@ -414,11 +415,15 @@ def near_duplicates(docs: DataFrame, heavy_hashes: int = 200_000, heavy_from: in
     found = connected_components(links[2].unionByName(links[3]))
     # c. what is left of a list: pairs that are not connected yet
     label = found.select(F.col("node").alias("doc"), "component")
-    left = lists.join(label, "doc", "left").select("h", "doc", "n", F.coalesce("component", "doc").alias("component"))
+    left = lists.join(label, "doc", "left").select("h", "doc", "n", "low", F.coalesce("component", "doc").alias("component"))
     x, y = left.alias("x"), left.alias("y")
+    # a pair stands in many lists; where the eight smallest hashes of both prefixes meet, only the list
+    # of the smallest common one makes it (if one of the two is not left there, a. or b. has done it)
+    both_low = F.array_intersect("x.low", "y.low")
     apart = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.doc") < F.col("y.doc"))
                    & (F.col("x.component") != F.col("y.component"))
-                   & (F.least("x.n", "y.n") * 100 >= PERCENT * F.greatest("x.n", "y.n"))) \
+                   & (F.least("x.n", "y.n") * 100 >= PERCENT * F.greatest("x.n", "y.n"))
+                   & ((F.size(both_low) == 0) | (F.array_min(both_low) == F.col("x.h")))) \
         .select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
     links.append(compare(_star_tasks(apart, alone, part_docs)).select("a", "b"))
     links[2:4] = [found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))]

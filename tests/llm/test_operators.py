@@ -42,6 +42,8 @@ def near_copies():
     hot = prose(rng, 40)
     rows += [(1000 + k, hot + " " + prose(rng, rng.choice([3, 9, 200]))) for k in range(40)]
     rows.append((5000, prose(rng, 20_000)))
+    long = prose(rng, 400)  # a chain of growing texts: the ends do not link, not even by size
+    rows += [(6000 + k, " ".join(long.split()[:n])) for k, n in enumerate((84, 104, 124, 154, 190, 235, 290))]
     rng.shuffle(rows)
     return rows
 
