@@ -32,6 +32,12 @@ HEADLINE = [
     "promotion_guardrail",
     "effective_model",
     "bootstrap_ingest",
+    "running_monitor",
+    "drift_windows",
+    "random_split",
+    "train_forest",
+    "batch_score",
+    "stream_hourly_metrics",
 ]
 
 
