@@ -32,8 +32,8 @@ from looplake.llm.common import batch
 
 MARK = "▁"
 _MARK = MARK.encode()
-CACHE_WORDS = 300_000
-CACHED_BYTES = 64
+CACHE_WORDS = 600_000
+CACHED_CHARS = 32
 #: Fixed value: an unknown character costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -86,6 +86,7 @@ class DoubleArray:
                 used[t], check[t], value[t] = 1, state, number[children[node][c]]
                 todo.append((children[node][c], t))
         self.base, self.check, self.value = base, check, value
+        self.arrays = tuple(np.array(x, dtype=np.int32) for x in (base, check, value))
 
 
 @dataclass
@@ -96,6 +97,7 @@ class Vocabulary:
     scores: list[float]
     byte_ids: list[int]
     unknown: float
+    key: tuple  # file, kind of scores, checksum
 
 
 def load(path: str, scores: str = "zipf") -> Vocabulary:
@@ -117,7 +119,7 @@ def load(path: str, scores: str = "zipf") -> Vocabulary:
     harmonic = sum(1 / r for r in range(1, len(ids) + 1))
     values = [-math.log(r * harmonic) if scores == "zipf" else model.get_score(i) for r, i in enumerate(ids, 1)]
     return Vocabulary(surfaces, DoubleArray([model.id_to_piece(i).encode() for i in ids]), ids, values, byte_ids,
-                      min(values) - UNKNOWN_PENALTY)
+                      min(values) - UNKNOWN_PENALTY, (path, scores, hash((tuple(surfaces), tuple(values)))))
 
 
 def viterbi(v: Vocabulary, word: bytes) -> list[int]:
@@ -157,37 +159,114 @@ def viterbi(v: Vocabulary, word: bytes) -> list[int]:
     return out
 
 
-class Encoder:
-    """Encodes texts to packed 32-bit ids; remembers words."""
+def viterbi_many(v: Vocabulary, words: list[bytes]) -> list[bytes]:
+    """The same for many short words at once: all words take a step of the trie together.  Returns
+    the ids packed as 32-bit numbers."""
+    base, check, value = v.trie.arrays
+    score, ids = np.array(v.scores), np.array(v.ids, dtype=np.int32)
+    size = np.array([len(w) for w in words])
+    n, width = len(words), int(size.max())
+    text = np.zeros((n, width), np.int32)
+    text[np.arange(width) < size[:, None]] = np.frombuffer(b"".join(words), np.uint8)
+    lead = np.where(text < 0x80, 1, np.where(text < 0xE0, 2, np.where(text < 0xF0, 3, 4)))
+    best = np.full((n, width + 1), -np.inf)
+    best[:, 0] = 0.0
+    start, piece = np.zeros((n, width + 1), np.int32), np.full((n, width + 1), -1, np.int32)
+    for at in range(width):
+        rows = np.flatnonzero((size > at) & ((text[:, at] & 0xC0) != 0x80))
+        if not len(rows):
+            continue
+        here, after = best[rows, at], at + lead[rows, at]
+        single, live, state = np.zeros(len(rows), bool), np.arange(len(rows)), np.zeros(len(rows), np.int32)
+        for end in range(at + 1, width + 1):
+            step = base[state] + text[rows[live], end - 1] + 1
+            ok = (check[step] == state) & (size[rows[live]] >= end)
+            live, state = live[ok], step[ok]
+            if not len(live):
+                break
+            found = value[state]
+            has = found >= 0
+            at_end, k = live[has], found[has]
+            single[at_end] |= after[at_end] == end
+            gain = here[at_end] + score[k]
+            better = gain > best[rows[at_end], end]
+            at_end, k = at_end[better], k[better]
+            best[rows[at_end], end], start[rows[at_end], end], piece[rows[at_end], end] = gain[better], at, k
+        lost = np.flatnonzero(~single)
+        gain = here[lost] + v.unknown
+        better = gain > best[rows[lost], after[lost]]
+        r, e = rows[lost[better]], after[lost[better]]
+        best[r, e], start[r, e], piece[r, e] = gain[better], at, -1
+    # from the ends back: column by column, the last piece first
+    chosen = np.full((n, width), -1, np.int32)
+    unknown = np.zeros(n, bool)
+    rows, end, k = np.arange(n), size.copy(), 0
+    while len(rows):
+        chosen[rows, k] = piece[rows, end]
+        unknown[rows] |= piece[rows, end] < 0
+        end = start[rows, end]
+        rows, end, k = rows[end > 0], end[end > 0], k + 1
+    count = (chosen >= 0).sum(1)
+    last = np.concatenate([[0], np.cumsum(count)]) * 4
+    back = chosen[:, ::-1]
+    packed = ids[back[back >= 0]].tobytes()
+    out = [packed[a:b] for a, b in zip(last[:-1].tolist(), last[1:].tolist(), strict=True)]
+    for i in np.flatnonzero(unknown):
+        e, parts = int(size[i]), []
+        while e:
+            b, p = int(start[i, e]), int(piece[i, e])
+            parts.append([v.ids[p]] if p >= 0 else [v.byte_ids[c] for c in words[i][b:e]])
+            e = b
+        out[i] = np.array([x for part in reversed(parts) for x in part], dtype=np.int32).tobytes()
+    return out
 
-    def __init__(self, v: Vocabulary):
-        self.v, self.cache = v, {}
 
-    def _packed(self, word: str) -> bytes:
-        return np.array(viterbi(self.v, word.encode("utf-8", "replace")), dtype=np.int32).tobytes()
+#: Words that this Python worker has segmented, for the vocabulary it used last.
+_WORDS: dict[tuple, dict[str, bytes]] = {}
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if MARK in text or "  " in text or text[-1] == " " or text[0] == " ":
-            words = _CHUNK.findall(MARK + text.replace(" ", MARK))
-        else:
-            words = [MARK + w for w in text.split(" ")]
+
+class Encoder:
+    """Encodes texts to packed 32-bit ids; remembers words, over the tasks of a worker too."""
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        if v.key not in _WORDS:
+            _WORDS.clear()
+        self.cache = _WORDS.setdefault(v.key, {})
+
+    def _learn(self, words: list[str]) -> None:
+        """Segment words of similar length together, which bounds the padding."""
+        coded = sorted(((MARK + w if w[:1] != MARK else w).encode("utf-8", "replace"), w) for w in words)
+        coded.sort(key=lambda x: len(x[0]))
+        for k in range(0, len(coded), 4096):
+            part = coded[k:k + 4096]
+            self.cache.update(zip((w for _, w in part), viterbi_many(self.v, [c for c, _ in part]), strict=True))
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Words are kept without their marker if it is one, with all markers else."""
         cache = self.cache
-        long = {}
-        for w in set(words).difference(cache):
-            packed = self._packed(w)
-            if len(w) <= CACHED_BYTES:
-                cache[w] = packed
-            else:
-                long[w] = packed
-        if long:
-            out = b"".join(long[w] if w in long else cache[w] for w in words)
-        else:
-            out = b"".join(map(cache.__getitem__, words))
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        return out
+        split: list[list[str]] = []
+        new: set[str] = set()
+        for text in texts:
+            if not text:
+                words = []
+            elif MARK in text or "  " in text or text[-1] == " " or text[0] == " ":
+                words = [w[1:] if w[1:2] != MARK and len(w) > 1 else w for w in _CHUNK.findall(MARK + text.replace(" ", MARK))]
+            else:
+                words = text.split(" ")
+            split.append(words)
+            new.update(w for w in words if w not in cache)
+        long = {w: np.array(viterbi(self.v, (MARK + w if w[:1] != MARK else w).encode("utf-8", "replace")), dtype=np.int32).tobytes()
+                for w in new if len(w) > CACHED_CHARS}
+        self._learn([w for w in new if len(w) <= CACHED_CHARS])
+        if long:
+            return [b"".join(long[w] if w in long else cache[w] for w in words) for words in split]
+        return [b"".join(map(cache.__getitem__, words)) for words in split]
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_many([text])[0]
 
 
 def decode(v: Vocabulary, ids) -> str:
@@ -209,7 +288,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, scores: str = "zipf") ->
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                rows = [np.frombuffer(encoder.encode(t), dtype=np.int32) for t in part.column(1).to_pylist()]
+                rows = [np.frombuffer(x, dtype=np.int32) for x in encoder.encode_many(part.column(1).to_pylist())]
                 ends = np.cumsum([0] + [len(r) for r in rows], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rows)))
                 yield batch(ENCODED, {"doc_id": part.column(0), "ids": ids,
