@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from looplake.config import DEFAULT, Config
 from looplake.functions import scalars as S
-from looplake.operators import ordering as O
 
 
 def confusion_matrix(df: DataFrame, y: str, yhat: str, by: list | None = None, count_col: str | None = None

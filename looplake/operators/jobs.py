@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from looplake.config import DEFAULT, Config
 from looplake.functions import scalars as S
 from looplake.operators import ordering as O
-from looplake.operators.scope import _ts, window_start
+from looplake.operators.scope import window_start
 
 # The four job statuses reported (others are dropped).
 JOB_STATUSES = ("pending", "running", "completed", "failed")

@@ -6,10 +6,11 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.classification import (LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel,
+                                       RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from looplake.config import DEFAULT, Config
@@ -88,9 +89,12 @@ def with_prediction(df: DataFrame, labels: list[str], prob_col: str = "probabili
 
 
 def calibrate(valid: DataFrame, labels: list[str], prob_col: str = "probability_arr", label_idx: str = "label_idx",
-              min_rows: int = 50) -> list:
-    """One isotonic regression per class on the validation rows; fewer than ``min_rows`` rows fit
-    nothing (an empty list, which ``apply_calibration`` reports as not calibrated)."""
+              min_rows: int = 50, method: str = "isotonic") -> list:
+    """One regression per class on the validation rows, ``isotonic`` or ``sigmoid`` (logistic in the
+    class probability); fewer than ``min_rows`` rows fit nothing: an empty list, which callers report
+    as not calibrated."""
+    if method not in ("isotonic", "sigmoid"):
+        raise ValueError(f"unknown calibration method {method!r}")
     if valid.count() < min_rows:
         return []
     models = []
@@ -98,7 +102,9 @@ def calibrate(valid: DataFrame, labels: list[str], prob_col: str = "probability_
         d = valid.select(F.element_at(F.col(prob_col), k + 1).alias("p"),
                          (F.col(label_idx) == k).cast("double").alias("y"))
         d = d.select(array_to_vector(F.array("p")).alias("features"), "y")
-        models.append(IsotonicRegression(featuresCol="features", labelCol="y").fit(d))
+        fit = IsotonicRegression(featuresCol="features", labelCol="y") if method == "isotonic" else \
+            LogisticRegression(featuresCol="features", labelCol="y", maxIter=50)
+        models.append(fit.fit(d))
     return models
 
 
@@ -108,7 +114,11 @@ def apply_calibration(df: DataFrame, models: list, prob_col: str = "probability_
     out = df
     for k, m in enumerate(models):
         out = out.withColumn("_cf", array_to_vector(F.array(F.element_at(F.col(prob_col), k + 1))))
-        out = m.setFeaturesCol("_cf").setPredictionCol(f"_c{k}").transform(out).drop("_cf")
+        if isinstance(m, LogisticRegressionModel):
+            m = m.copy().setFeaturesCol("_cf").setProbabilityCol("_cp").setPredictionCol("_cy").setRawPredictionCol("_cr")
+            out = m.transform(out).withColumn(f"_c{k}", F.get(vector_to_array("_cp"), 1)).drop("_cf", "_cp", "_cy", "_cr")
+        else:
+            out = m.setFeaturesCol("_cf").setPredictionCol(f"_c{k}").transform(out).drop("_cf")
     arr = F.array(*[F.col(f"_c{k}") for k in range(len(models))])
     s = F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
     norm = F.when(s > 0, F.transform(arr, lambda x: x / s)).otherwise(F.col(prob_col))

@@ -167,7 +167,8 @@ def _score_to_log(fx):
 
 @query("training_metrics_row")
 def _training_metrics_row(fx):
-    """One row of run metrics (accuracies, F1, Brier, parameters) plus its JSON document."""
+    """One row of run metrics (accuracies, F1, Brier before and after calibration, threshold, cross
+    validation, sizes, parameters) plus its JSON document."""
     fm, train, valid, labels, params = _train_setup(fx)
     model = MD.train_forest(train, params)
     tv = MD.with_prediction(model.transform(valid).withColumn("probability_arr", vector_to_array("probability")),
@@ -178,11 +179,28 @@ def _training_metrics_row(fx):
         F.col("accuracy").alias("validation_accuracy"), F.col("f1_weighted").alias("validation_f1"),
         F.col("f1_macro").alias("val_macro_f1"), F.col("n").alias("n_validation"))
     tm = E.classification_metrics(tt, "label", "predicted_label").select(
-        F.col("accuracy").alias("training_accuracy"), F.col("n").alias("n_samples"))
+        F.col("accuracy").alias("training_accuracy"), F.col("n").alias("n_train"))
     lab = F.array(*[F.lit(x) for x in labels])
-    br = E.multiclass_brier(tv.withColumn("_m", F.map_from_arrays(lab, F.col("probability_arr"))), "label", "_m")
-    m = vm.crossJoin(tm).crossJoin(br)
-    extra = {k: F.lit(v) for k, v in params.items()}
+
+    def brier(df, name):
+        return E.multiclass_brier(df.withColumn("_m", F.map_from_arrays(lab, F.col("probability_arr"))), "label", "_m") \
+            .withColumnRenamed("brier", name)
+
+    cal = MD.calibrate(tv, labels, min_rows=C.calibration_min_samples, method="sigmoid")
+    after = brier(MD.apply_calibration(tv, cal), "brier_after")
+    sweep = E.confidence_threshold_sweep(tv.crossJoin(F.broadcast(TS.majority_class(train, "label"))), "label", "predicted_label",
+                                         "confidence", "majority_label").select(
+        F.col("best_threshold").alias("confidence_threshold"), F.col("best_f1_weighted").alias("threshold_f1"))
+    m = vm.crossJoin(tm).crossJoin(brier(tv, "brier_before")).crossJoin(after).crossJoin(sweep)
+    first = m.first()
+    k = train.groupBy("label").agg(F.count(F.lit(1)).alias("c")).agg(
+        TS.adaptive_cv_folds(F.min("c")).alias("k")).first()["k"]
+    cv = MD.cv_summary(MD.cross_validate(train, params, int(k), C.cv_repeats, SEED,
+                                         fallback=(first["training_accuracy"], first["validation_f1"])))
+    m = m.crossJoin(cv.withColumnRenamed("status", "cv_status")).withColumn("n_samples", F.col("n_train") + F.col("n_validation"))
+    extra = {k: F.lit(v) for k, v in params.items()} | {
+        "calibration": F.lit("sigmoid" if cal else "skipped"), "split_mode": F.lit("random"),
+        "n_classes": F.lit(len(labels)), "n_features": F.lit(int(model.numFeatures))}
     return E.training_metrics_row(m, extra)
 
 
