@@ -35,6 +35,8 @@ _BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)), re.I | re.A)
 class Rules:
     min_words: int = 50
     max_repeat_pct: int = 50
+    #: a line of fewer words that does not end in a terminal mark fails (headings, menu entries)
+    open_line_words: int = 12
     #: a line with more symbols, or more exclamation marks, per 100 words than this fails
     max_symbol_pct: int = 30
     max_shout_pct: int = 30
@@ -96,7 +98,7 @@ def line_fails(line: str, rules: Rules) -> str | None:
     pipes = body.count("|")
     if pipes >= rules.min_pipes and 4 * pipes >= n:
         return "navigation"
-    if (body[-1] not in TERMINAL or 100 * count_symbols(body) > rules.max_symbol_pct * n
+    if (body[-1] not in TERMINAL and n < rules.open_line_words or 100 * count_symbols(body) > rules.max_symbol_pct * n
             or 100 * body.count("!") > rules.max_shout_pct * n and body.count("!") >= 3):
         return "punctuation"
     if _BOILERPLATE.search(body):

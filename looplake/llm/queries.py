@@ -170,7 +170,7 @@ ln AS (SELECT doc_id, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || ch
 lc AS (SELECT *, len(regexp_extract_all(body, '{_W}')) AS n, len(body) - len(replace(body, '|', '')) AS pipes,
   len(body) - len(replace(body, '!', '')) AS shouts, len(regexp_extract_all(body, '[#*$%&|<>]')) AS symbols FROM ln),
 lf AS (SELECT doc_id, line, body, chars, body <> '' AND ((pipes >= 2 AND 4 * pipes >= n)
-  OR NOT regexp_matches(body, '[.!?:;"'')\]…”’»]$') OR 100 * symbols > 30 * n OR (100 * shouts > 30 * n AND shouts >= 3)
+  OR (n < 12 AND NOT regexp_matches(body, '[.!?:;"'')\]…”’»]$')) OR 100 * symbols > 30 * n OR (100 * shouts > 30 * n AND shouts >= 3)
   OR regexp_matches(body, '{"|".join(quality.BOILERPLATE)}', 'i')) AS fails FROM lc),
 l AS (SELECT doc_id, count(*) FILTER (body <> '') - coalesce(count(DISTINCT line) FILTER (body <> ''), 0) AS n_dup_lines,
   count(*) FILTER (fails) AS n_lines_removed, coalesce(sum(chars) FILTER (fails), 0) AS lost_chars
