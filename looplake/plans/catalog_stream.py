@@ -36,7 +36,7 @@ WITH g AS (SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts)
            FROM fx_monitor_log GROUP BY 1, 2)
 SELECT window_start, window_end, predictions, CASE WHEN l > 0 THEN CAST(c AS DOUBLE) / l ELSE 0.0 END AS accuracy,
        round(avg_confidence, 9) AS avg_confidence
-FROM g WHERE window_end <= (SELECT max(ts) FROM fx_monitor_log) - INTERVAL 1 HOUR""")
+FROM g""")
 def _stream_hourly_metrics(fx):
     p = STR.scratch(fx.spark, "hourly")
     _monitor_source(fx, p["source"])

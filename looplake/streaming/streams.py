@@ -57,21 +57,29 @@ def _run(query_writer, name: str) -> None:
 
 
 # ------------------------------------------------------------------ STR1
+def _hourly(rows: DataFrame) -> DataFrame:
+    agg = rows.groupBy(F.window("ts", "1 hour").alias("w")).agg(
+        F.count(F.lit(1)).alias("predictions"), F.count_if(M.correct()).alias("correct"),
+        F.count_if(M.labelled()).alias("labelled"), F.avg("confidence").alias("avg_confidence"))
+    return agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "predictions",
+                      F.when(F.col("labelled") > 0, F.col("correct") / F.col("labelled")).otherwise(F.lit(0.0))
+                      .alias("accuracy"), "avg_confidence")
+
+
 def hourly_metrics_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, delay: str = "1 hour",
                           files_per_trigger: int = 1) -> DataFrame:
     """Hourly windows with an event-time watermark, append mode: a window is written once the
-    watermark passes its end; rows older than the watermark are dropped as late."""
+    watermark passes its end; rows older than the watermark are dropped as late.  The result also has
+    the windows that are still open when the run ends, computed from the rows after the last closed
+    window; they are not written, so the next run closes them with the rows that arrive until then."""
     s = (spark.readStream.schema(MONITOR_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
          .withWatermark("ts", delay))
-    agg = s.groupBy(F.window("ts", "1 hour").alias("w")).agg(
-        F.count(F.lit(1)).alias("predictions"), F.count_if(M.correct()).alias("correct"),
-        F.count_if(M.labelled()).alias("labelled"), F.avg("confidence").alias("avg_confidence"))
-    out = agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "predictions",
-                     F.when(F.col("labelled") > 0, F.col("correct") / F.col("labelled")).otherwise(F.lit(0.0))
-                     .alias("accuracy"), "avg_confidence")
-    _run(out.writeStream.outputMode("append").format("parquet").option("path", sink)
+    _run(_hourly(s).writeStream.outputMode("append").format("parquet").option("path", sink)
          .option("checkpointLocation", checkpoint), "hourly_metrics")
-    return spark.read.parquet(sink)
+    closed = spark.read.parquet(sink)
+    last = closed.agg(F.max("window_end")).first()[0]
+    rest = spark.read.schema(MONITOR_SCHEMA).parquet(source).where(F.col("ts").isNotNull())
+    return closed.unionByName(_hourly(rest if last is None else rest.where(F.col("ts") >= F.lit(last))))
 
 
 # ------------------------------------------------------------------ STR2
