@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import pyarrow as pa
@@ -36,6 +37,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, with Arrow batches of at most ``rows`` rows from now on: texts may be long, and a batch
+    stands in the executor's and the worker's memory as a whole."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
+def give_back() -> None:
+    """Return what a finished task has freed to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text as UTF-8; ``bytes.split`` splits at the six ASCII spaces only."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
@@ -50,5 +69,5 @@ def batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
 
-__all__ = ["SPACES", "batch", "cut_lineage", "held_out", "lower_words", "materialize", "shared_folder", "table",
-           "words_of"]
+__all__ = ["SPACES", "batch", "cut_lineage", "give_back", "held_out", "lower_words", "materialize", "shared_folder",
+           "table", "text_batches", "words_of"]

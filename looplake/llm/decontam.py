@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from looplake.llm.common import batch, lower_words
+from looplake.llm.common import batch, lower_words, text_batches
 
 WIDTH = 5
 _BITS = 20
@@ -152,7 +152,7 @@ def item_blocks(items: DataFrame, percent: int, block_items: int) -> Iterator:
 def find_items(docs: DataFrame, items: DataFrame, percent: int = 75, block_items: int = 20_000) -> DataFrame:
     """Every document with the test items it contains: ``doc_id, n_items, item_ids, max_containment``
     and ``contaminated``."""
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "0L n_items",
+    rows = text_batches(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "0L n_items",
                            "cast(array() as array<long>) item_ids", "0D max_containment")
     for shared in item_blocks(items, percent, block_items):
 
@@ -182,5 +182,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = 75, bloc
             for b in batches:
                 yield b.filter(pa.array([not search(shared.value, t, percent) for t in b.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = text_batches(docs).mapInArrow(run, docs.schema)
     return docs

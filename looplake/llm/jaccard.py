@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from looplake.llm.common import batch, lower_words, materialize
+from looplake.llm.common import batch, give_back, lower_words, materialize, text_batches
 from looplake.llm.components import connected_components
 
 WIDTH, PERCENT = 5, 75
@@ -178,8 +178,10 @@ def _cut(docs: DataFrame, groups: int, batch_shingles: int) -> DataFrame:
                     sets, nulls, held = {}, [], 0
         if sets or nulls:
             yield flush()
+        sets.clear()
+        give_back()
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, ENTRIES_DDL)
+    return text_batches(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, ENTRIES_DDL)
 
 
 def _tell_shared(groups: int):
@@ -349,6 +351,7 @@ def compare(tasks: DataFrame, least: int = PERCENT, block: int = 256) -> DataFra
                 found = []
         if found:
             yield batch(schema, dict(zip(schema.names, zip(*found), strict=True)))
+        give_back()
 
     return tasks.select("key", "part", "anchor", "doc", "n", "shared").repartition("key", "part") \
         .sortWithinPartitions("key", "part", F.desc("anchor"), "doc").mapInArrow(run, "a long, b long, linked boolean")

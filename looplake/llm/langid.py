@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from looplake.llm.common import batch, held_out
+from looplake.llm.common import batch, held_out, text_batches
 
 CHAIN = 32
 CACHE_WORDS = 200_000
@@ -260,7 +260,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                         out[n].append(v)
                 yield batch(SCHEMA, {"doc_id": part.column(0)} | out)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text") \
+    return text_batches(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text") \
         .mapInArrow(run, "doc_id long, lang_pred string, score double, n_switches long")
 
 

@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
-from looplake.llm.common import batch
+from looplake.llm.common import batch, give_back, text_batches
 
 MARK = "▁"
 _MARK = MARK.encode()
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 CACHED_CHARS = 32
 #: Fixed value: an unknown character costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
@@ -293,8 +293,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, scores: str = "zipf") ->
                 ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rows)))
                 yield batch(ENCODED, {"doc_id": part.column(0), "ids": ids,
                                       "n_byte_pieces": [int(is_byte[r].sum()) for r in rows]})
+        give_back()
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text") \
+    return text_batches(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text") \
         .mapInArrow(run, "doc_id long, ids array<int>, n_byte_pieces long")
 
 
@@ -310,6 +311,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
                 part = b.slice(k, 256)
                 texts = pa.array([decode(v, r or ()) for r in part.column("ids").to_pylist()], type=pa.string())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), texts], names=[*rest, "text"])
+        give_back()
 
     schema = StructType([encoded.schema[c] for c in rest] + [StructField("text", StringType())])
-    return encoded.select(*rest, "ids").mapInArrow(run, schema)
+    return text_batches(encoded).select(*rest, "ids").mapInArrow(run, schema)

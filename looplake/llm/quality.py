@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from looplake.llm.common import SPACES, batch, words_of
+from looplake.llm.common import SPACES, batch, text_batches, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: A line of prose ends in one of these marks.
@@ -133,7 +133,7 @@ def clean_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
                 names = SCHEMA.names[1:]
                 yield batch(SCHEMA, {"doc_id": part.column(0)} | {c: [r[i] for r in rows] for i, c in enumerate(names)})
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, DDL)
+    return text_batches(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, DDL)
 
 
 def filter_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -152,4 +152,4 @@ def filter_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
                     schema=part.schema)
                 yield out.filter(pa.array([r[6] for r in rows]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(run, docs.schema)

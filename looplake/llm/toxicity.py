@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from looplake.llm.common import batch, held_out, materialize
+from looplake.llm.common import batch, held_out, materialize, text_batches
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {"а": "a", "в": "b", "с": "c", "е": "e", "ё": "e", "н": "h", "і": "i", "ї": "i", "ј": "j", "к": "k",
@@ -249,5 +249,5 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             yield batch(SCHEMA, {"doc_id": b.column(0), "score": p, "predicted": [int(v >= 0.5) for v in p],
                                  "n_matches": [f[2] for f in found]})
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text") \
+    return text_batches(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text") \
         .mapInArrow(run, "doc_id long, score double, predicted int, n_matches long")
