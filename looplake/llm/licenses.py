@@ -5,7 +5,8 @@ to one space) and mapped to the identifier of the first known licence sentence i
 identifiers, in the order of the text, are matched against ordered rules: a rule takes the
 sentences it matches, so that a later, weaker rule cannot use them again.
 
-Only sentences with one of the trigger words are normalised; every known sentence has one.
+Only sentences with one of ``WORDS`` are normalised; every known sentence has one.  A word is letters
+only, so it stands in the raw text exactly where it stands in the normalised one.
 
 Defined cases: null or empty text has no sentences and no licences; repeated rows are scanned
 each; a null doc_id is carried through; extra columns are ignored.
@@ -16,7 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Every known sentence contains one of these.
+#: Every known sentence contains one of these words.
+WORDS = ("licen", "copyright", "warrant", "redistribut", "permission", "reserved", "spdx", "domain", "cc", "commons")
+
+#: The prefilter of the SQL text, which is kept as it was.
 TRIGGERS = ("licen", "copyright", "warrant", "redistribut", "permission", "rights reserved", "spdx", "public domain")
 
 #: Identifiers of licence sentences and what their normalised text contains.
@@ -93,10 +97,10 @@ def rule_pattern(parts: tuple[str, ...]) -> str:
     return "".join(f"(<{p[:-1]}>)?" if p.endswith("*") else f"<{p}>" for p in parts)
 
 
-def _triggered(text: Column) -> Column:
+def _possible(text: Column) -> Column:
     found = F.lit(False)
-    for t in TRIGGERS:
-        found = found | F.contains(text, F.lit(t))
+    for w in WORDS:
+        found = found | F.contains(text, F.lit(w))
     return found
 
 
@@ -113,9 +117,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
     low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     cut = F.split(F.regexp_replace("low", r"([.!?;])[\x20\x09-\x0D]+", "$1\u0001"), "\u0001", -1)
-    ids = F.filter(F.transform(F.filter(cut, _triggered), identify), lambda x: x.isNotNull())
+    ids = F.filter(F.transform(F.filter(cut, _possible), identify), lambda x: x.isNotNull())
     out = docs.select("doc_id", low.alias("low")) \
-        .select("doc_id", F.when(_triggered(F.col("low")), ids).otherwise(F.array().cast("array<string>"))
+        .select("doc_id", F.when(_possible(F.col("low")), ids).otherwise(F.array().cast("array<string>"))
                 .alias("sentence_ids"))
     out = out.withColumn("state", F.array_join(F.transform("sentence_ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), ""))
     hits = []

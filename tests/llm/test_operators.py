@@ -4,6 +4,7 @@ ties, repeated rows, empty tables, extra columns with clashing names."""
 import gzip
 import hashlib
 import random
+import re
 
 import pyarrow.fs as pafs
 import pytest
@@ -344,3 +345,21 @@ def test_licenses(spark):
         8: ["All-Rights-Reserved"], 9: ["MIT"]}
     assert got[3].sentence_ids == ["MIT_GRANT", "MIT_NOTICE"] and got[3].n_unmatched == 0
     assert licenses.scan(docs_frame(spark, [])).count() == 0
+
+
+def test_licenses_in_wrapped_sentences(spark):
+    rows = [(1, "All rights\nreserved."), (2, "Released into the public\n# domain."), (3, "ALL-RIGHTS-RESERVED"),
+            (4, "Dedicated to the public-domain."), (5, "Available under CC\nBY 4.0."),
+            (6, "Released under the Creative\nCommons Attribution-ShareAlike 4.0."), (7, "All rights are\nreserved.")]
+    got = {r.doc_id: r.licenses for r in licenses.scan(docs_frame(spark, rows)).collect()}
+    assert got == {1: ["All-Rights-Reserved"], 2: ["Public-Domain"], 3: ["All-Rights-Reserved"], 4: ["Public-Domain"],
+                   5: ["CC-BY"], 6: ["CC-BY-SA"], 7: []}
+
+
+def test_every_licence_sentence_has_a_word():
+    for _, pattern in licenses.SENTENCES:
+        plain = pattern.replace("[sc]", "s")
+        # without optional parts and alternatives, a word must be left in every reading
+        if not any(w in re.sub(r"\([^()]*\)", "", plain) for w in licenses.WORDS):
+            parts = re.findall(r"\(([^()]*\|[^()]*)\)", plain)
+            assert any(all(any(w in x for w in licenses.WORDS) for x in p.split("|")) for p in parts), pattern
