@@ -1,9 +1,11 @@
 """Licence scans by sentence rules (native: DataFrame functions only, no shuffle).
 
-A text is cut into sentences; each is normalised (lower case, everything but letters and digits
-to one space) and mapped to the identifier of the first known licence sentence it contains.  The
-identifiers, in the order of the text, are matched against ordered rules: a rule takes the
-sentences it matches, so that a later, weaker rule cannot use them again.
+A text is cut into sentences, also around SPDX tags and before lines that begin with a dated
+copyright; each is normalised (lower case, everything but letters and digits to one space) and gives
+the identifiers of all known licence sentences in it.  Where known sentences overlap, the first of the
+list counts.  Each operand of an SPDX expression is read as a tag of its own.  The identifiers, in the
+order of the text, are matched against ordered rules: a rule takes the sentences it matches, so that a
+later, weaker rule cannot use them again.
 
 Only sentences with one of ``WORDS`` are normalised; every known sentence has one.  A word is letters
 only, so it stands in the raw text exactly where it stands in the normalised one.
@@ -91,6 +93,40 @@ RULES = (
     ("All-Rights-Reserved", ("COPYRIGHT*", "RESERVED")),
 )
 
+#: SPDX tags of the other licences of RULES ("all rights reserved" has none).  They stand
+#: apart because SENTENCES and RULES are also the SQL text.
+SPDX_SENTENCES = tuple((name, f"spdx licen[sc]e identifier {tag}") for name, tag in (
+    ("SPDX_ISC", "isc( |$)"),
+    ("SPDX_AGPL3", "agpl 3 0"),
+    ("SPDX_LGPL", "lgpl [23] [01]"),
+    ("SPDX_GPL1", "gpl 1 0"),
+    ("SPDX_MPL2", "mpl 2 0"),
+    ("SPDX_CCBYNCSA", "cc by nc sa( |$)"),
+    ("SPDX_CCBYNC", "cc by nc( [0-9]|$)"),
+    ("SPDX_CCBYSA", "cc by sa( |$)"),
+    ("SPDX_CCBY", "cc by( [0-9]|$)"),
+    ("SPDX_PUBLIC", "(cc0|cc pddc|cc pdm|unlicense)( |$)"),
+))
+SPDX_RULES = (
+    ("ISC", ("SPDX_ISC",)),
+    ("AGPL-3.0", ("SPDX_AGPL3",)),
+    ("LGPL", ("SPDX_LGPL",)),
+    ("GPL", ("SPDX_GPL1",)),
+    ("MPL-2.0", ("SPDX_MPL2",)),
+    ("CC-BY-NC-SA", ("SPDX_CCBYNCSA",)),
+    ("CC-BY-NC", ("SPDX_CCBYNC",)),
+    ("CC-BY-SA", ("SPDX_CCBYSA",)),
+    ("CC-BY", ("SPDX_CCBY",)),
+    ("Public-Domain", ("SPDX_PUBLIC",)),
+)
+
+#: An SPDX tag with its expression, what stands between two operands, and a line of a dated copyright.
+_OPERATOR = r"(?:[^a-z0-9.+\x01-]+(?:or|and|with)[^a-z0-9.+\x01-]+|[\x20\x09(]*[,/|&]+[\x20\x09(]*)"
+_SPDX = r"spdx[^a-z0-9\x01]+licen[sc]e[^a-z0-9\x01]+identifier[^a-z0-9\x01]+"
+_NAME = "(?!spdx[^a-z0-9])[a-z0-9]+(?:[.+:-]+[a-z0-9]+)*[+]?"
+_TAG = rf"{_SPDX}{_NAME}(?:\)*{_OPERATOR}{_NAME})*"
+_COPYRIGHT_LINE = r"[\r\n]([^a-z0-9\r\n\x01]*copyright[^a-z0-9\r\n\x01]+(?:c[^a-z0-9\r\n\x01]+)?[0-9]{4})"
+
 
 def rule_pattern(parts: tuple[str, ...]) -> str:
     """Regular expression over the identifiers, each written as <ID>."""
@@ -109,21 +145,28 @@ def scan(docs: DataFrame) -> DataFrame:
     the order of the text, and how many identifiers no rule has used."""
 
     def identify(sentence: Column) -> Column:
+        # a sentence that is found becomes its mark, which no later pattern can match
         norm = F.btrim(F.regexp_replace(sentence, "[^a-z0-9]+", " "))
-        out = F.when(norm.rlike(SENTENCES[0][1]), SENTENCES[0][0])
-        for name, pattern in SENTENCES[1:]:
-            out = out.when(norm.rlike(pattern), name)
-        return out
+        for name, pattern in SENTENCES + SPDX_SENTENCES:
+            norm = F.regexp_replace(norm, pattern, f" <{name}> ")
+        return F.regexp_extract_all(norm, F.lit("<([A-Z0-9_]+)>"), F.lit(1))
+
+    def operands(piece: Column) -> Column:
+        tag = F.lit("\u0001spdx license identifier ")
+        return F.when(piece.rlike(f"^{_SPDX}"), F.split(F.regexp_replace(piece, _OPERATOR, tag), "\u0001", -1)) \
+            .otherwise(F.array(piece))
 
     low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    cut = F.split(F.regexp_replace("low", r"([.!?;])[\x20\x09-\x0D]+", "$1\u0001"), "\u0001", -1)
-    ids = F.filter(F.transform(F.filter(cut, _possible), identify), lambda x: x.isNotNull())
+    cut = F.regexp_replace("low", r"([.!?;])[\x20\x09-\x0D]+", "$1\u0001")
+    cut = F.regexp_replace(F.regexp_replace(cut, _TAG, "\u0001$0\u0001"), _COPYRIGHT_LINE, "\u0001$1")
+    kept = F.filter(F.split(cut, "\u0001", -1), _possible)
+    ids = F.flatten(F.transform(F.flatten(F.transform(kept, operands)), identify))
     out = docs.select("doc_id", low.alias("low")) \
         .select("doc_id", F.when(_possible(F.col("low")), ids).otherwise(F.array().cast("array<string>"))
                 .alias("sentence_ids"))
     out = out.withColumn("state", F.array_join(F.transform("sentence_ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), ""))
     hits = []
-    for k, (name, parts) in enumerate(RULES):
+    for k, (name, parts) in enumerate(RULES + SPDX_RULES):
         pattern = rule_pattern(parts)
         # a used rule leaves a mark, so that sentences on both sides of it do not become neighbours
         out = out.withColumn(f"hit{k}", F.when(F.col("state").rlike(pattern), F.lit(name))) \

@@ -356,8 +356,35 @@ def test_licenses_in_wrapped_sentences(spark):
                    5: ["CC-BY"], 6: ["CC-BY-SA"], 7: []}
 
 
+def test_all_licences_of_headers(spark):
+    tag = "SPDX-License-Identifier: "
+    spdx = {"ISC": "ISC", "AGPL-3.0-only": "AGPL-3.0", "LGPL-2.1-or-later": "LGPL", "GPL-1.0-only": "GPL", "MPL-2.0": "MPL-2.0",
+            "CC-BY-NC-SA-4.0": "CC-BY-NC-SA", "CC-BY-NC-4.0": "CC-BY-NC", "CC-BY-SA-4.0": "CC-BY-SA", "CC-BY-4.0": "CC-BY",
+            "CC0-1.0": "Public-Domain", "GPL-2.0+": "GPL-2.0", "GPL-3.0-or-later": "GPL-3.0", "MIT": "MIT",
+            "Apache-2.0": "Apache-2.0", "BSD-2-Clause": "BSD-2-Clause", "BSD-3-Clause": "BSD-3-Clause"}
+    rows = [(1, f"# {tag}MIT\n# {tag}Apache-2.0\n"), (2, f"{tag}MIT OR Apache-2.0"), (3, "Licensed under CC BY 4.0\nAll rights reserved"),
+            (4, f"// {tag}(MPL-2.0 AND\n// (LGPL-2.1-or-later OR ISC))\nint x;"), (5, f"/* {tag}GPL-2.0 WITH Classpath-exception-2.0 */"),
+            (6, f"{tag}ISC\nCopyright (c) 2020 A\nCopyright 2021 B\nAll rights reserved"), (7, "All rights reserved\nReleased under the MIT License"),
+            (8, "Permission to use, copy, modify, and/or distribute this software for any purpose is hereby granted, provided that the "
+                "above\ncopyright notice and this permission notice appear in all copies."), (9, f"{tag}CC-BY-ND-4.0"),
+            (10, "You should have received a copy of the GNU General Public License"), (11, f"{tag}MIT/Apache-2.0"),
+            (12, f"text {tag}\nMIT and {tag}ISC")]
+    rows += [(100 + i, tag + x) for i, x in enumerate(spdx)]
+    got = {r.doc_id: r for r in licenses.scan(docs_frame(spark, rows)).collect()}
+    assert {i: r.sentence_ids for i, r in got.items() if i < 100} == {
+        1: ["SPDX_MIT", "SPDX_APACHE2"], 2: ["SPDX_MIT", "SPDX_APACHE2"], 3: ["CCBY_REF", "RESERVED"],
+        4: ["SPDX_MPL2", "SPDX_LGPL", "SPDX_ISC"], 5: ["SPDX_GPL2"], 6: ["SPDX_ISC", "COPYRIGHT", "COPYRIGHT", "RESERVED"],
+        7: ["RESERVED", "MIT_REF"], 8: ["ISC_GRANT", "ISC_NOTICE"], 9: [], 10: ["GPL_COPY"], 11: ["SPDX_MIT", "SPDX_APACHE2"],
+        12: ["SPDX_MIT", "SPDX_ISC"]}
+    assert {i: (set(r.licenses), r.n_unmatched) for i, r in got.items() if i < 9} == {
+        1: ({"MIT", "Apache-2.0"}, 0), 2: ({"MIT", "Apache-2.0"}, 0), 3: ({"CC-BY", "All-Rights-Reserved"}, 0),
+        4: ({"MPL-2.0", "LGPL", "ISC"}, 0), 5: ({"GPL-2.0"}, 0), 6: ({"ISC", "All-Rights-Reserved"}, 1),
+        7: ({"MIT", "All-Rights-Reserved"}, 0), 8: ({"ISC"}, 0)}
+    assert [got[100 + i].licenses for i in range(len(spdx))] == [[x] for x in spdx.values()]
+
+
 def test_every_licence_sentence_has_a_word():
-    for _, pattern in licenses.SENTENCES:
+    for _, pattern in licenses.SENTENCES + licenses.SPDX_SENTENCES:
         plain = pattern.replace("[sc]", "s")
         # without optional parts and alternatives, a word must be left in every reading
         if not any(w in re.sub(r"\([^()]*\)", "", plain) for w in licenses.WORDS):
