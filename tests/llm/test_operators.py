@@ -254,6 +254,39 @@ def test_rewriting_template_is_found():
     assert not chat.render(forgets, [("user", "q"), ("assistant", "a"), ("user", "r")])[2]
 
 
+def test_templates_that_look_back_over_block_borders(spark):
+    def forgets(turns):
+        return "".join(f"<{r}>{t if k == len(turns) - 1 else t.replace('(think)', '')}" for k, (r, t) in enumerate(turns))
+
+    def system(turns):  # every answer repeats the first turn
+        return "".join(f"<{r}>{t}{turns[0][1] if r == 'assistant' else ''}" for r, t in turns)
+
+    def parity(turns):
+        return "".join(f"<{k % 3}{r}>{t}" for k, (r, t) in enumerate(turns))
+
+    def counts(turns):  # rewrites from the first character on
+        return f"{len(turns)}:" + "".join(f"<{r}>{t}" for r, t in turns)
+
+    turns = {1: [("system", "be kind")] + [("user", f"q{k}") if k % 2 == 0 else ("assistant", f"(think)a{k}") for k in range(1, 140)],
+             2: [("assistant", "(think)a"), ("user", "r")], 3: [("user", "q"), ("assistant", "a")] * 70}
+    frame = spark.createDataFrame([(c, k, *t) for c, ts in turns.items() for k, t in enumerate(ts)],
+                                  "conv_id long, turn long, role string, text string")
+    for template in (forgets, system, parity, counts):
+        for block in (1, 64):
+            got = chat.format_conversations(frame, template, block).collect()
+            for conv, ts in turns.items():
+                text, spans, rewrites = chat.render(template, ts)
+                blocks = sorted((r for r in got if r.conv_id == conv), key=lambda r: r.block)
+                assert [r.block for r in blocks] == list(range((len(ts) - 1) // block + 1))
+                assert "".join(r.text for r in blocks) == text == template(ts)
+                assert all(r.rewrites == rewrites for r in blocks)
+                starts = [sum(len(r.text) for r in blocks[:k]) for k in range(len(blocks))]
+                assert [tuple(x + a if x >= 0 else x for x in s) for a, r in zip(starts, blocks) for s in r.spans] == spans
+                assert all(0 <= s.start <= s.end <= len(r.text) for r in blocks for s in r.spans if s.start >= 0)
+    last = chat.format_conversations(frame.where("conv_id = 2"), forgets, 1).orderBy("block").collect()[-1]
+    assert last.text.endswith("<user>r") and last.rewrites
+
+
 def test_chat_blocks_and_edges(spark):
     rng = random.Random(2)
     rows = [(None, 0, "user", "x"), (1, None, None, None), (1, 0, "assistant", "b"), (1, 0, "assistant", "a"), (1, 0, "assistant", "a"),
