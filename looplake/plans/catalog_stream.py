@@ -13,6 +13,7 @@ from looplake.operators import scope as SC
 from looplake.plans.catalog_scope import SCOPED_SQL
 from looplake.plans.catalog_state import FB_CHANGES
 from looplake.plans.registry import query
+from looplake.session import cut_lineage
 from looplake.sources.fixtures import AS_OF, AS_OF_SQL, BATCH_T
 from looplake.streaming import streams as STR
 
@@ -75,13 +76,18 @@ SELECT scope_key, ids[1] AS batch_start_feedback_id, ids[len(ids)] AS batch_end_
        array_to_string(ids, ',') AS batch_ids, sha256('[' || array_to_string(ids, ',') || ']') AS idempotency_key
 FROM g WHERE len(ids) = {BATCH_T}""")
 def _stream_auto_trigger(fx):
-    """Automatic batch requests per scope from keyed state over the feedback stream (files arrive
-    in id ranges; a scope's state starts at the largest id of its first file)."""
+    """Automatic batch requests per scope from keyed state over the feedback stream.  The SQL states the
+    start: a scope begins after its ids in the first quarter of the id range that has any of them.
+    That is read from the table; how the stream is cut into files does not matter."""
     p = STR.scratch(fx.spark, "trigger")
     scoped = SC.feedback_scopes(fx.feedback, fx.prediction_log).select(
         "scope_key", "id", "is_training_eligible", "created_at")
+    b = scoped.agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    quarter = F.least(F.lit(3), F.floor((F.col("id") - F.col("lo")) / ((F.col("hi") - F.col("lo") + 1) / 4)))
+    start = (scoped.crossJoin(F.broadcast(b)).groupBy("scope_key", quarter.alias("q")).agg(F.max("id").alias("id"))
+             .groupBy("scope_key").agg(F.min_by("id", "q").alias("last_processed_feedback_id")))
     STR.write_files(scoped, p["source"], 4, "id")
-    return STR.auto_trigger_stream(fx.spark, p["source"], p["sink"], p["checkpoint"])
+    return STR.auto_trigger_stream(fx.spark, p["source"], p["sink"], p["checkpoint"], start=cut_lineage(start))
 
 
 @query("stream_upsert_feedback", f"""

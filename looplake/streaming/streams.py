@@ -139,11 +139,7 @@ def _make_trigger_fn(batch_size: int):
             last_id, pending, failures, cooldown = state.get
             pending = list(pending)
         else:
-            # a new scope starts at the current max id: rows seen so far are not batched
-            last_id, pending, failures, cooldown = int(pdf["id"].max()), [], 0, None
-            state.update((last_id, pending, failures, cooldown))
-            yield pd.DataFrame([], columns=[f.name for f in TRIGGER_OUT.fields])
-            return
+            last_id, pending, failures, cooldown = int(pdf["start_id"].iloc[0]), [], 0, None
         ids = sorted(int(i) for i in pdf.loc[pdf["is_training_eligible"].fillna(True), "id"] if int(i) > last_id)
         pending = sorted(set(pending) | set(ids))
         out = []
@@ -158,11 +154,18 @@ def _make_trigger_fn(batch_size: int):
 
 
 def auto_trigger_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, cfg: Config = DEFAULT,
-                        files_per_trigger: int = 1) -> DataFrame:
+                        files_per_trigger: int = 1, start: DataFrame | None = None) -> DataFrame:
     """Keyed state per scope {watermark id, pending ids (< T), failures, cooldown}; emits one job
     request per full batch of T eligible ids with its idempotency key (replays are harmless:
-    the key is the sink's de-duplication key)."""
+    the key is the sink's de-duplication key).  A scope's watermark starts at its
+    ``last_processed_feedback_id`` in ``start`` (one row per scope), else at 0, so nothing depends on
+    how ids in order are cut into files."""
     s = spark.readStream.schema(FEEDBACK_EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
+    if start is None:
+        s = s.withColumn("start_id", F.lit(0).cast("long"))
+    else:
+        known = start.select("scope_key", F.col("last_processed_feedback_id").cast("long").alias("start_id"))
+        s = s.join(known, "scope_key", "left").withColumn("start_id", F.coalesce("start_id", F.lit(0)))
     out = s.groupBy("scope_key").applyInPandasWithState(
         _make_trigger_fn(cfg.auto_batch_size), TRIGGER_OUT, TRIGGER_STATE, "append", GroupStateTimeout.NoTimeout)
     _run(out.writeStream.outputMode("append").format("parquet").option("path", sink)
