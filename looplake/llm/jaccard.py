@@ -15,7 +15,8 @@ when 100 |x & y| >= 75 |x | y|; the result are the connected components of these
    b. Documents that do not link to their pivot are compared with the rest of its star.
    c. Documents left in a list are paired with each other unless they are connected by now.
    Any linked pair is connected by one of the three: both link to the pivot, one does (b), or
-   none does (c).  So no link between components is lost, and no list is expanded to all pairs.
+   none does (c).  So no link between components is lost.  Step c does expand what is left of a
+   list to its unconnected pairs of similar size, which grows with the square of that rest.
 4. Components of all verified links.
 
 Defined cases: a document without words has an empty set and no link; with fewer than five words
