@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from looplake.llm import chat, decontam, jaccard, langid, licenses, linededup, pieces, quality, toxicity, warc
+from looplake.llm import (
+    alignment, chat, decontam, jaccard, langid, licenses, linededup, negatives, oddsketch, pieces, quality, toxicity, warc)
 from looplake.llm.common import held_out, table
 
 
 #: The public vocabulary that op8 uses.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: The public byte-level vocabulary that op12 aligns with it.
+BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def _sha256(text) -> F.Column:
@@ -72,6 +75,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oddsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, VOCABULARY)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0,
+                          label=F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_chat_format": op2_chat_format,
@@ -83,10 +99,12 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
+    "op11_odd_sketch": op11_odd_sketch,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 
-
 def _license_sql() -> str:
     """The scan in SQL: the same fixed rules over unnested sentences, then nested replacements."""
     triggers = " OR ".join(f"contains(low, '{t}')" for t in licenses.TRIGGERS)
@@ -157,6 +175,31 @@ l AS (SELECT a, b FROM p JOIN s sa ON a = sa.doc_id JOIN s sb ON b = sb.doc_id
 r AS (SELECT a AS doc_id, a AS node FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.node = l.a)
 SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id
 FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)""",
+    "op11_odd_sketch": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, w[k:k + n - 1] AS g FROM (SELECT doc_id, w, least(4, len(w)) AS n,
+    unnest(range(1, len(w) - least(4, len(w)) + 2)) AS k FROM w WHERE len(w) > 0)),
+s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN s sa ON a = sa.doc_id JOIN s sb ON b = sb.doc_id
+    WHERE 100 * common >= 80 * (sa.n + sb.n - common)),
+r AS (SELECT a AS doc_id, a AS node FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.node = l.a),
+c AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id,
+  d.doc_id = coalesce(c.component_id, d.doc_id) AS kept FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op13_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL
+  AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score
+  FROM v a JOIN v r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id))::INT AS rank,
+  id AS negative_id, positive_score, score AS negative_score FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+  AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) <= 10""",
     "op5_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '{_W}') AS words, string_split(text, chr(10)) AS lines FROM d),
