@@ -16,9 +16,11 @@ when 100 |x & y| >= 80 |x | y|; the result are the connected components of these
    b. Documents near a pivot, but not linked to it, are compared with those that are (the Jaccard
       distance is a metric: who is over 0.4 from the pivot is over 0.2 from its star).
    c. Documents that are left in a bucket are compared with each other.
-   b. and c. leave out documents that are connected by then; they run over bitmaps in blocks of at
-   most 1,024 by a stream, so no pair becomes a row unless its bitmaps are near.
-4. Pairs that pass are confirmed on full sets, which only candidates' texts are cut into again.
+   b. and c. leave out documents that are connected by then; they compare blocks of at most 512
+   bitmaps with a stream of others, each pair of a bucket in the bucket of its first common band.
+4. Pairs that pass are confirmed on full sets, which only the texts of documents that share a bucket
+   are cut into again: in a. as pairs with the pivot, in b. and c. inside the task, so that only
+   links become rows, however many documents of a bucket are similar without linking.
 5. Components of the confirmed links and the copies.
 
 Defined cases: a document without words has an empty set and no link; with fewer than four words its
@@ -138,73 +140,129 @@ def _blocks(batches: Iterator[pa.RecordBatch], n_columns: int, step: int) -> Ite
             yield anchors, others
 
 
-_NEAR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("near", pa.bool_())])
+def _near(anchors: list, others: list, percent: int, key: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of pairs of rows ``.., doc, n, component, sketch, bands`` whose sketches allow a similarity
+    of ``percent``, and which of them allow the threshold.  Rows with a component: only pairs of two.
+    With a key, a list's number: each pair of a list once, and only in the list of its first common band."""
+    def column(rows, k, kind=np.int64):
+        return np.array([r[k] for r in rows], dtype=kind)
 
+    (docs_a, docs_b), (n_a, n_b) = ([column(rows, k) for rows in (anchors, others)] for k in (3, 4))
+    bits_a, bits_b = (np.frombuffer(b"".join(r[6] for r in rows), np.uint64).reshape(-1, _WORDS) for rows in (anchors, others))
+    small, large = np.minimum(n_a[:, None], n_b[None]), np.maximum(n_a[:, None], n_b[None])
+    fit = (100 * small >= percent * large) & (docs_a[:, None] != docs_b[None] if key is None else docs_a[:, None] < docs_b[None])
+    if anchors[0][5] is not None:
+        fit &= column(anchors, 5)[:, None] != column(others, 5)[None]
+    x, y = np.nonzero(fit)
+    count = np.bitwise_count(bits_a[x] ^ bits_b[y]).sum(1, dtype=np.int64)
+    least = small[x, y]
+    keep = count <= limit(least, percent)
+    x, y, count, least = x[keep], y[keep], count[keep], least[keep]
+    if key is not None and len(x):
+        bands_a, bands_b = (np.array([r[7] for r in rows], np.int64) for rows in (anchors, others))
+        first = (bands_a[x] == bands_b[y]).argmax(1)
+        mine = bands_a[x, first] == key
+        x, y, count, least = x[mine], y[mine], count[mine], least[mine]
+    return x, y, (count <= limit(least, PERCENT)) & (100 * least >= PERCENT * large[x, y])
 
-def near_sketches(tasks: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b, near`` whose sketches allow a similarity of ``percent`` (and ``near``: of the
-    threshold) from rows ``key, part, anchor, doc, n, component, sketch``: in a (key, part) the anchors
-    are compared with all others of another component (null: of any).  Callers bound the anchors."""
+
+def _linked(a: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Which sets link to ``a``."""
+    sizes = np.array([len(h) for h in sets])
+    every = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(a, every), len(a) - 1)
+    common = np.add.reduceat((a[at] == every).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+    return 100 * common >= PERCENT * (len(a) + sizes - common)
+
+
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _tasks(tasks: DataFrame, run, result: str, *more: str) -> DataFrame:
+    """Run over task rows, by (key, part), anchors first."""
+    return tasks.select("key", "part", "anchor", "doc", *more).repartition("key", "part") \
+        .sortWithinPartitions("key", "part", F.desc("anchor"), "doc").mapInArrow(run, result)
+
+
+def near_pivots(tasks: DataFrame) -> DataFrame:
+    """Pairs ``a, b, near`` of an anchor, the pivot, and the others of its tasks that may be similar by
+    ``NEAR_PERCENT``; ``near``: by the threshold."""
+    schema = pa.schema([*_PAIR, ("near", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for anchors, others in _blocks(batches, 7, 64):
-            docs, n, component = ([np.array([r[c] for r in rows], dtype=object if c == 5 else np.int64) for rows in (anchors, others)]
-                                  for c in (3, 4, 5))
-            bits = [np.frombuffer(b"".join(r[6] for r in rows), np.uint64).reshape(-1, _WORDS) for rows in (anchors, others)]
-            small, large = np.minimum(n[0][:, None], n[1][None]), np.maximum(n[0][:, None], n[1][None])
-            fit = (100 * small >= percent * large) & (docs[0][:, None] != docs[1][None])
-            if component[0][0] is not None:
-                fit &= component[0][:, None].astype(np.int64) != component[1][None].astype(np.int64)
-            x, y = np.nonzero(fit)
-            count = np.bitwise_count(bits[0][x] ^ bits[1][y]).sum(1, dtype=np.int64)
-            least = small[x, y]
-            keep = count <= limit(least, percent)
-            x, y = x[keep], y[keep]
+        for anchors, others in _blocks(batches, 7, 4096):
+            x, y, near = _near(anchors, others, NEAR_PERCENT, None)
             if len(x):
-                near = (count[keep] <= limit(least[keep], PERCENT)) & (100 * least[keep] >= PERCENT * large[x, y])
-                yield batch(_NEAR, {"a": docs[0][x], "b": docs[1][y], "near": near})
+                yield batch(schema, {"a": [anchors[k][3] for k in x], "b": [others[k][3] for k in y], "near": near})
         give_back()
 
-    return tasks.select("key", "part", "anchor", "doc", "n", "component", "sketch").repartition("key", "part") \
-        .sortWithinPartitions("key", "part", F.desc("anchor"), "doc").mapInArrow(run, "a long, b long, near boolean")
+    return _tasks(tasks.withColumn("component", F.lit(None).cast("long")), run, "a long, b long, near boolean", "n", "component", "sketch")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, part_docs: int) -> DataFrame:
-    """The pairs ``a, b`` that link, by their full sets."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def with_partners(tasks: DataFrame) -> DataFrame:
+    """Rows ``key, doc`` of lists: documents that have a partner of another component whose sketch is
+    near.  One or two rows for a block of comparisons and document, whatever the number of partners."""
+    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for anchors, others in _blocks(batches, 8, 64):
+            x, y, near = _near(anchors, others, PERCENT, anchors[0][0])
+            docs = sorted({anchors[k][3] for k in x[near]} | {others[k][3] for k in y[near]})
+            if docs:
+                yield batch(schema, {"key": [anchors[0][0]] * len(docs), "doc": docs})
+        give_back()
+
+    return _tasks(tasks, run, "key long, doc long", "n", "component", "sketch", "bands").distinct()
+
+
+def links_in_lists(tasks: DataFrame, once: bool) -> DataFrame:
+    """Links ``a, b`` between the anchors and the others of a task, of different components: sketches
+    that are near are confirmed on the full sets at once, so only links become rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for anchors, others in _blocks(batches, 9, 64):
+            x, y, near = _near(anchors, others, PERCENT, anchors[0][0] if once else None)
+            x, y = x[near], y[near]
+            sets = [np.frombuffer(r[8], np.uint64) for r in others]
+            for k in np.unique(x):
+                mine = y[x == k]
+                found = mine[_linked(np.frombuffer(anchors[k][8], np.uint64), [sets[j] for j in mine])]
+                if len(found):
+                    yield batch(_PAIR, {"a": [anchors[k][3]] * len(found), "b": [others[j][3] for j in found]})
+        give_back()
+
+    return _tasks(tasks, run, "a long, b long", "n", "component", "sketch", "bands", "hashes")
+
+
+def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc, hashes`` of the documents ``doc_id`` of ids, written to the shared folder.  The ids may
+    be many: the join is a shuffle at every size."""
     schema = pa.schema([("doc", pa.int64()), ("hashes", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
-            yield batch(schema, {"doc": part.column(0), "hashes": [shingle_set(t).tobytes() for t in part.column(1).to_pylist()]})
+            sets = zip(part.column(0).to_pylist(), (shingle_set(t) for t in part.column(1).to_pylist()), strict=True)
+            sets = [(i, s.tobytes()) for i, s in sets if len(s)]
+            if sets:
+                yield batch(schema, dict(zip(schema.names, zip(*sets), strict=True)))
         give_back()
 
-    sets = materialize(text_batches(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-                       .join(ids, "doc_id", "left_semi").mapInArrow(cut, "doc long, hashes binary"))
-    found = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    return materialize(text_batches(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+                       .join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(cut, "doc long, hashes binary"))
 
+
+def confirm(pairs: DataFrame, sets: DataFrame, part_docs: int) -> DataFrame:
+    """The pairs ``a, b`` that link, by their full sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for anchors, others in _blocks(batches, 5, 256):
-            others = [(r[3], np.frombuffer(r[4], np.uint64)) for r in others if r[4]]
-            if not others:
-                continue
-            sizes = np.array([len(h) for _, h in others])
-            every = np.concatenate([h for _, h in others])
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            out = []
-            for _, _, _, a, data in anchors:
-                mine = np.frombuffer(data, np.uint64)
-                if len(mine):
-                    at = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
-                    common = np.add.reduceat((mine[at] == every).astype(np.int64), starts)
-                    out += [(a, others[k][0]) for k in np.flatnonzero(100 * common >= PERCENT * (len(mine) + sizes - common))]
-            if out:
-                yield batch(found, dict(zip(("a", "b"), zip(*out), strict=True)))
+            hashes = [np.frombuffer(r[4], np.uint64) for r in others]
+            for row in anchors:
+                found = np.flatnonzero(_linked(np.frombuffer(row[4], np.uint64), hashes))
+                if len(found):
+                    yield batch(_PAIR, {"a": [row[3]] * len(found), "b": [others[k][3] for k in found]})
         give_back()
 
-    return materialize(_stars(pairs.select("a", "b"), part_docs).join(sets, "doc").select("key", "part", "anchor", "doc", "hashes")
-                       .repartition("key", "part").sortWithinPartitions("key", "part", F.desc("anchor"), "doc")
-                       .mapInArrow(run, "a long, b long").where("a <> b").distinct())
+    return materialize(_tasks(_stars(pairs.select("a", "b"), part_docs).join(sets, "doc"), run, "a long, b long", "hashes")
+                       .where("a <> b").distinct())
 
 
 def _stars(pairs: DataFrame, part_docs: int) -> DataFrame:
@@ -225,7 +283,7 @@ def _grid(anchors: DataFrame, others: DataFrame, block_docs: int) -> DataFrame:
                                          F.lit(False).alias("anchor"), "doc"))
 
 
-def near_duplicates(docs: DataFrame, part_docs: int = 2048, block_docs: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, part_docs: int = 2048, block_docs: int = 512) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every document."""
     made = materialize(sketch_documents(docs))
     whole = made.where("digest is not null")
@@ -234,34 +292,33 @@ def near_duplicates(docs: DataFrame, part_docs: int = 2048, block_docs: int = 10
     copies = whole.select("doc_id", "n", "digest").join(first.select("n", "digest", "doc"), ["n", "digest"]) \
         .where("doc_id <> doc").select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))
     sketches = first.select("doc", "n", "sketch")
-    nothing = F.lit(None).cast("long")
     # a. buckets and their pivots
     entries = first.select("doc", F.explode("bands").alias("h"))
     buckets = entries.groupBy("h").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).where("pivot <> last")
     members = materialize(entries.join(buckets.select("h", "pivot"), "h").where("doc <> pivot").distinct())
     pairs = members.select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-    tested = materialize(near_sketches(_stars(pairs, part_docs).join(sketches, "doc").withColumn("component", nothing), NEAR_PERCENT)
-                         .groupBy("a", "b").agg(F.max("near").alias("near")))
-    star = confirm(tested.where("near"), docs, part_docs)
+    tested = materialize(near_pivots(_stars(pairs, part_docs).join(sketches, "doc")).groupBy("a", "b").agg(F.max("near").alias("near")))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = full_sets(docs, ids)
+    star = confirm(tested.where("near"), sets, part_docs)
     roots = connected_components(star)
-    label = materialize(sketches.join(roots.select(F.col("node").alias("doc"), "component"), "doc", "left")
-                        .select("doc", "n", "sketch", F.coalesce("component", "doc").alias("component")))
+    label = materialize(first.join(roots.select(F.col("node").alias("doc"), "component"), "doc", "left")
+                        .select("doc", "n", F.coalesce("component", "doc").alias("component"), "sketch", "bands"))
     of = label.select("doc", "component")
     # b. near a pivot, not connected with it: against the pivot's star
     apart = tested.join(star, ["a", "b"], "left_anti").join(of.select(F.col("doc").alias("a"), F.col("component").alias("of_a")), "a") \
         .join(of.select(F.col("doc").alias("b"), F.col("component").alias("of_b")), "b").where("of_a <> of_b")
     comers = apart.select(F.col("a").alias("key"), F.col("b").alias("doc"))
     partners = star.select(F.col("a").alias("key"), F.col("b").alias("doc"))
-    rest_b = _grid(comers.join(partners.select("key").distinct(), "key", "left_semi"), partners, block_docs)
-    # c. what no pivot links to, in lists of several components
+    rest = _grid(comers.join(partners.select("key").distinct(), "key", "left_semi"), partners, block_docs)
+    late = links_in_lists(rest.join(label, "doc").join(sets, "doc"), False)
+    # c. what no pivot links to, in lists of several components; first only who has a partner at all
     left = members.join(star.select(F.col("a").alias("pivot"), F.col("b").alias("doc")), ["pivot", "doc"], "left_anti") \
         .select(F.col("h").alias("key"), "doc")
     mixed = left.join(of, "doc").groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     left = left.join(mixed.select("key"), "key", "left_semi")
-    rest_c = _grid(left, left, block_docs)
-    more = [near_sketches(rest.join(label, "doc"), PERCENT).where("near").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            for rest in (rest_b, rest_c)]
-    late = confirm(materialize(more[0].unionByName(more[1]).distinct()), docs, part_docs)
+    left = materialize(with_partners(_grid(left, left, block_docs).join(label, "doc")))
+    late = materialize(late.unionByName(links_in_lists(_grid(left, left, block_docs).join(label, "doc").join(sets, "doc"), True)).distinct())
     links = roots.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")) \
         .unionByName(late).unionByName(copies)
     components = connected_components(links).withColumnRenamed("node", "doc_id")
