@@ -13,8 +13,9 @@ Hot lines never meet in one task: every count is a hash aggregation with partial
 (hash, count, max) rows are shuffled.  Two 64-bit hashes identify a key.
 
 Defined cases: null or empty text is one empty line; keys shorter than ``min_chars`` are never
-dropped; rows that repeat a doc_id count as one document and lose the same lines; a document
-with null doc_id keeps all its lines and is not counted; extra columns are ignored.
+dropped; rows that repeat a doc_id count as one document, but each row loses the lines of its own
+text only; a document with null doc_id keeps all its lines and is not counted; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -34,12 +35,16 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), _UPPER, _LOWER)
 
 
+def _row() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, pos, h1, h2) of every line whose key is long enough."""
+    """(doc_id, row, pos, h1, h2) of every line whose key is long enough; ``row`` tells the texts of an id apart."""
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    keyed = docs.where("doc_id is not null").select("doc_id", F.posexplode(lines).alias("pos", "line")) \
-        .select("doc_id", "pos", line_key(F.col("line")).alias("k")).where(F.char_length("k") >= min_chars)
-    return keyed.select("doc_id", "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(7), "k").alias("h2"))
+    keyed = docs.where("doc_id is not null").select("doc_id", _row().alias("row"), F.posexplode(lines).alias("pos", "line")) \
+        .select("doc_id", "row", "pos", line_key(F.col("line")).alias("k")).where(F.char_length("k") >= min_chars)
+    return keyed.select("doc_id", "row", "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(7), "k").alias("h2"))
 
 
 def _merge(runs: list[DataFrame]) -> DataFrame:
@@ -98,10 +103,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
                            F.coalesce("text", F.lit("")).alias("kept_text"), *carried)
     common = _merge(runs).where(F.col("n") >= min_docs).select(*_HASH, "holder")
     drops = lines.join(common, _HASH).where(F.col("doc_id") != F.col("holder")) \
-        .groupBy("doc_id").agg(F.collect_set("pos").alias("drops"))
+        .groupBy("doc_id", "row").agg(F.collect_set("pos").alias("drops"))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(whole) - 1), F.col("drops")),
                        lambda i: F.get(F.col("lines"), i))
-    return docs.join(drops, "doc_id", "left").withColumn("lines", whole).select(
+    return docs.withColumn("row", _row()).join(drops, ["doc_id", "row"], "left").withColumn("lines", whole).select(
         "doc_id", F.size("lines").cast("long").alias("n_lines"),
         F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")).cast("long").alias("n_dropped"),
         F.when(F.col("drops").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))

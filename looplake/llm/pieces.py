@@ -22,6 +22,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,10 @@ from looplake.llm.common import batch, give_back, text_batches
 
 MARK = "▁"
 _MARK = MARK.encode()
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 CACHED_CHARS = 32
+#: Longer words are segmented one by one.
+TOGETHER_CHARS = 256
 #: Fixed value: an unknown character costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -238,17 +241,19 @@ class Encoder:
         """Segment words of similar length together, which bounds the padding."""
         coded = sorted(((MARK + w if w[:1] != MARK else w).encode("utf-8", "replace"), w) for w in words)
         coded.sort(key=lambda x: len(x[0]))
-        for k in range(0, len(coded), 4096):
-            part = coded[k:k + 4096]
+        k = 0
+        while k < len(coded):
+            part = coded[k:k + max(64, 200_000 // len(coded[k][0]))]
+            k += len(part)
             self.cache.update(zip((w for _, w in part), viterbi_many(self.v, [c for c, _ in part]), strict=True))
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Words are kept without their marker if it is one, with all markers else."""
         cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
+        if len(cache) > CACHE_WORDS:  # the half that was learned first goes
+            for w in list(islice(cache, CACHE_WORDS // 2)):
+                del cache[w]
         split: list[list[str]] = []
-        new: set[str] = set()
         for text in texts:
             if not text:
                 words = []
@@ -257,13 +262,17 @@ class Encoder:
             else:
                 words = text.split(" ")
             split.append(words)
-            new.update(w for w in words if w not in cache)
-        long = {w: np.array(viterbi(self.v, (MARK + w if w[:1] != MARK else w).encode("utf-8", "replace")), dtype=np.int32).tobytes()
-                for w in new if len(w) > CACHED_CHARS}
-        self._learn([w for w in new if len(w) <= CACHED_CHARS])
-        if long:
-            return [b"".join(long[w] if w in long else cache[w] for w in words) for words in split]
-        return [b"".join(map(cache.__getitem__, words)) for words in split]
+        new = set().union(*split) - cache.keys()
+        long = [w for w in new if len(w) > CACHED_CHARS]
+        for w in long:
+            if len(w) > TOGETHER_CHARS:
+                new.discard(w)
+                cache[w] = np.array(viterbi(self.v, (MARK + w if w[:1] != MARK else w).encode("utf-8", "replace")), dtype=np.int32).tobytes()
+        self._learn(list(new))
+        out = [b"".join(map(cache.__getitem__, words)) for words in split]
+        for w in long:  # not remembered
+            del cache[w]
+        return out
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
@@ -286,8 +295,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, scores: str = "zipf") ->
         is_byte = np.zeros(len(shared.value.pieces), dtype=bool)
         is_byte[shared.value.byte_ids] = True
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
+            for k in range(0, b.num_rows, 1000):
+                part = b.slice(k, 1000)
                 rows = [np.frombuffer(x, dtype=np.int32) for x in encoder.encode_many(part.column(1).to_pylist())]
                 ends = np.cumsum([0] + [len(r) for r in rows], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rows)))

@@ -17,7 +17,7 @@ from looplake.llm.common import shared_folder
 from looplake.llm.queries import VOCABULARY
 from tests.llm import brute
 
-CLASH = ["lines", "h1", "n", "drops", "pos", "line", "score", "rep", "ids", "block", "digest", "holder", "low", "state"]
+CLASH = ["lines", "h1", "n", "drops", "pos", "line", "score", "rep", "ids", "block", "digest", "holder", "low", "state", "row"]
 
 
 def docs_frame(spark, rows):
@@ -423,3 +423,30 @@ def test_every_licence_sentence_has_a_word():
         if not any(w in re.sub(r"\([^()]*\)", "", plain) for w in licenses.WORDS):
             parts = re.findall(r"\(([^()]*\|[^()]*)\)", plain)
             assert any(all(any(w in x for w in licenses.WORDS) for x in p.split("|")) for p in parts), pattern
+
+
+def test_line_dedup_of_repeated_ids_keeps_each_rows_own_lines(spark):
+    common = "a line that three documents share"
+    rows = [(1, f"unique first line that must stay here\n{common}"), (1, f"{common}\nanother unique line that has to stay")]
+    rows += [(k, common) for k in (2, 3, 4)] + [(1, None), (1, f"{common}\n{common}")]
+    got = linededup.dedup_lines(docs_frame(spark, rows)).collect()
+    key = lambda r: (r[0], r[3], r[1])
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got), key=key) == sorted(brute.dedup(rows), key=key)
+
+
+def test_encoder_forgets_the_older_half_and_segments_long_words(spark):
+    encoder = pieces.Encoder(v := pieces.load(VOCABULARY))
+    rng = random.Random(9)
+    pieces._WORDS[v.key] = encoder.cache = {}
+    old, pieces.CACHE_WORDS = pieces.CACHE_WORDS, 50
+    try:
+        for _ in range(12):
+            texts = [" ".join("".join(rng.choice("abé漢1.") for _ in range(rng.choice([1, 3, 8, 40, 300]))) for _ in range(20))
+                     for _ in range(3)]
+            want = [b"".join(pieces.np.array(pieces.viterbi(v, (pieces.MARK + w).encode()), "int32").tobytes() for w in t.split(" "))
+                    for t in texts]
+            assert encoder.encode_many(texts) == want
+        assert all(len(w) <= pieces.CACHED_CHARS for w in encoder.cache)
+    finally:
+        pieces.CACHE_WORDS = old
+        pieces._WORDS.clear()
