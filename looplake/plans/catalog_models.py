@@ -9,6 +9,7 @@ from looplake.config import CATEGORICAL_FEATURES, DEFAULT, FEATURES, NUMERIC_FEA
 from looplake.functions import scalars as S
 from looplake.operators import evaluate as E
 from looplake.operators import features as FE
+from looplake.operators import forests as FO
 from looplake.operators import models as MD
 from looplake.operators import scope as SC
 from looplake.operators import trainset as TS
@@ -104,24 +105,35 @@ def _assemble_features(fx):
                       F.size(F.filter(arr, lambda x: F.isnan(x) | (F.abs(x) > 1e-9))).alias("non_zero"))
 
 
+def _forest_setup(fx):
+    """(training rows, validation rows, settings) of every scope, encoded for node-table forests."""
+    fr = _frame(fx)
+    ratio = fr.groupBy("scope_key").agg(S.adaptive_split_ratio(F.count(F.lit(1))).alias("_r"))
+    split = cut_lineage(TS.random_split(fr.join(ratio, "scope_key"), F.col("_r"), SEED, by=["scope_key"]))
+    train = TS.apply_class_weights(split.where(~F.col("is_validation")), TS.balanced_class_weights(fx.baseline))
+    key = F.col("row_key").alias("key")
+    train = FO.encode_rows(train.select("*", key), "scope_key", "key", "label", "weight")
+    valid = FO.encode_rows(split.where("is_validation").select("*", key), "scope_key", "key", "row_key", "label")
+    return train, valid, FO.scope_settings(train)
+
+
 @query("train_forest")
 def _train_forest(fx):
-    """Validation predictions of the weighted forest trained on the global scope."""
-    fm, train, valid, labels, params = _train_setup(fx)
-    model = MD.train_forest(train, params)
-    scored = MD.with_prediction(model.transform(valid).withColumn("probability_arr", vector_to_array("probability")),
-                                labels)
-    return scored.select("row_key", "label", "predicted_label", "confidence")
+    """Validation predictions of every scope by its own weighted forest; all scopes are trained in one job."""
+    train, valid, settings = _forest_setup(fx)
+    nodes = FO.train_forests(train, settings)
+    return FO.score(valid, nodes, settings, "scope_key", "row_key", "label") \
+        .select("scope_key", "row_key", "label", "predicted_label", "confidence")
 
 
 @query("warm_start_forest")
 def _warm_start_forest(fx):
-    """Base forest + 20 fine-tune trees as one soft-voting ensemble."""
-    fm, train, valid, labels, params = _train_setup(fx)
-    base = MD.train_forest(train, params)
-    ens = MD.warm_start_forest(base, train, C.fine_tune_extra_trees, SEED, params)
-    scored = MD.with_prediction(ens.probability(valid), labels)
-    return scored.select("row_key", "label", "predicted_label", "confidence")
+    """Every scope's forest with the fine-tune trees appended (or trained anew where its classes changed)."""
+    train, valid, settings = _forest_setup(fx)
+    base = FO.train_forests(train, settings)
+    nodes, classes = FO.warm_start(base, settings.select("scope_key", "classes"), train, settings, C.fine_tune_extra_trees)
+    return FO.score(valid, nodes, classes, "scope_key", "row_key", "label") \
+        .select("scope_key", "row_key", "label", "predicted_label", "confidence")
 
 
 @query("calibrate")
@@ -145,24 +157,31 @@ def _cross_validate(fx):
     return MD.cv_summary(scores)
 
 
+def _scored_log(fx, *keep):
+    """The prediction log scored by saved forests: every tenant by its own, the others by the global one."""
+    train, _, settings = _forest_setup(fx)
+    folder, version = FO.new_folder(fx.spark), "v1"
+    FO.save_forests(FO.train_forests(train, settings), settings, folder, version)
+    nodes, classes = FO.load_forests(fx.spark, folder, version)
+    features = (*NUMERIC_FEATURES, *CATEGORICAL_FEATURES, "symptoms_list")
+    rows = SC.extract_features(fx.prediction_log, keep=("id", "clinic_id", "created_at", "pet_id"))
+    rows = FO.own_or_global(rows, S.normalize_clinic_key("clinic_id"), classes.select("scope_key"))
+    rows = FO.encode_rows(rows.withColumn("key", F.col("id")), "scope_key", "key", "id", *keep, *(f for f in features if keep))
+    return FO.score(rows, nodes, classes, "scope_key", "id", *keep, *(f for f in features if keep)) \
+        .withColumn("model_version", F.concat_ws("/", F.lit(version), "scope_key"))
+
+
 @query("batch_score")
 def _batch_score(fx):
-    """Every logged prediction re-scored with the global model (label, confidence, top-3)."""
-    fm, train, valid, labels, params = _train_setup(fx)
-    model = MD.train_forest(train, params)
-    rows = SC.extract_features(fx.prediction_log, keep=("id", "clinic_id", "created_at"))
-    s = MD.batch_score(rows, fm, model, labels)
-    return s.select("id", "predicted_label", "confidence", F.to_json("top_k").alias("top_k"))
+    """Every logged prediction re-scored by its tenant's effective model (label, confidence, top-3)."""
+    return _scored_log(fx).select("id", "scope_key", "predicted_label", "confidence", F.to_json("top_k").alias("top_k"))
 
 
 @query("score_to_log")
 def _score_to_log(fx):
     """Scoring output shaped as prediction-log rows."""
-    fm, train, valid, labels, params = _train_setup(fx)
-    model = MD.train_forest(train, params)
-    rows = SC.extract_features(fx.prediction_log, keep=("id", "clinic_id", "created_at", "pet_id"))
-    s = MD.batch_score(rows, fm, model, labels)
-    return MD.score_to_log(s, F.lit("v-global"), S.normalize_clinic_key("clinic_id"), F.col("created_at"))
+    s = _scored_log(fx, "clinic_id", "created_at", "pet_id")
+    return MD.score_to_log(s, F.col("model_version"), S.normalize_clinic_key("clinic_id"), F.col("created_at"))
 
 
 @query("training_metrics_row")
