@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from looplake.config import CATEGORICAL_FEATURES, DEFAULT, FEATURES, NUMERIC_FEATURES
 from looplake.functions import scalars as S
+from looplake.operators import calibration as CA
+from looplake.operators import crossval as CV
 from looplake.operators import evaluate as E
 from looplake.operators import features as FE
 from looplake.operators import forests as FO
@@ -22,6 +24,8 @@ from looplake.session import cut_lineage
 from looplake.sources.fixtures import AS_OF, AS_OF_SQL, SEED
 
 C = DEFAULT
+#: More than any forest's number of classes: scores keep them all.
+ALL_CLASSES = 1 << 30
 
 
 @query("scale_numeric", f"""
@@ -138,23 +142,20 @@ def _warm_start_forest(fx):
 
 @query("calibrate")
 def _calibrate(fx):
-    """Isotonic one-vs-rest calibration fitted on the validation rows."""
-    fm, train, valid, labels, params = _train_setup(fx)
-    model = MD.train_forest(train, params)
-    v = model.transform(valid).withColumn("probability_arr", vector_to_array("probability"))
-    cal = MD.calibrate(v, labels, min_rows=C.calibration_min_samples)
-    out = MD.with_prediction(MD.apply_calibration(v, cal), labels)
-    return out.select("row_key", "label", "predicted_label", "confidence")
+    """Validation predictions of every scope by its forest after isotonic calibration on these rows."""
+    train, valid, settings = _forest_setup(fx)
+    nodes = FO.train_forests(train, settings)
+    scored = FO._stored(FO.score(valid, nodes, settings, "scope_key", "key", "row_key", "label", top=ALL_CLASSES))
+    pools = FO._stored(CA.fit_isotonic(scored, C.calibration_min_samples))
+    return CA.apply_isotonic(scored, pools, "scope_key", "row_key", "label") \
+        .select("scope_key", "row_key", "label", "predicted_label", "confidence", "calibrated")
 
 
 @query("cross_validate")
 def _cross_validate(fx):
-    """Repeated stratified k-fold scores and their mean / population std."""
-    fm, train, valid, labels, params = _train_setup(fx)
-    k = train.groupBy("label").agg(F.count(F.lit(1)).alias("c")).agg(
-        TS.adaptive_cv_folds(F.min("c")).alias("k")).first()["k"]
-    scores = MD.cross_validate(train, params, int(k), C.cv_repeats, SEED)
-    return MD.cv_summary(scores)
+    """Repeated stratified k-fold scores of every scope: mean and population std over its fits."""
+    train, _, settings = _forest_setup(fx)
+    return CV.cv_summary(CV.cross_validate(train, settings, C.cv_repeats, SEED), settings)
 
 
 def _scored_log(fx, *keep):
