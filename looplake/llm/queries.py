@@ -71,8 +71,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_archive(table(spark, sf_dir, "pages"), folder := warc.shared_folder(spark, "warc"))
-    return warc.read_archive(warc.merge_index(index), folder).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_archive(warc.merge_index(index), folder, "capture_no", "previous_page").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "capture_no", "previous_page")
 
 
 def op11_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,9 +235,14 @@ hot AS (SELECT key, max(doc_id) AS holder FROM k WHERE len(key) >= 20 GROUP BY k
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (holder IS NOT NULL AND holder <> doc_id)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (holder IS NULL OR holder = doc_id), '')) AS kept_sha256
 FROM k LEFT JOIN hot USING (key) GROUP BY doc_id""",
-    "op10_warc": """
-WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
-h AS (SELECT payload_digest, max(page_id) AS holder FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+    "op10_warc": r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+  regexp_replace(lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)), '^www\.', '') AS host,
+  regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^#]*?(\?[^#]*)', 1) AS query FROM pages),
+h AS (SELECT payload_digest, max(page_id) AS holder FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest),
+k AS (SELECT *, lower(array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE path WHEN '' THEN '/' ELSE path END || query) AS url_key
+  FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN holder <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN holder <> page_id THEN holder END AS refers_to FROM p LEFT JOIN h USING (payload_digest)""",
+  CASE WHEN holder <> page_id THEN holder END AS refers_to, row_number() OVER history AS capture_no, lag(page_id) OVER history AS previous_page
+FROM k LEFT JOIN h USING (payload_digest) WINDOW history AS (PARTITION BY url_key ORDER BY page_id % 1000000000, page_id)""",
 }

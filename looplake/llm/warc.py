@@ -3,8 +3,9 @@
 ``write_archive`` writes gzip-per-record WARC files, a few per task, and returns the capture
 index: one locally sorted run per file.  ``merge_index`` merges the runs into capture histories
 ordered by URL key, timestamp and page id over all partitions: the runs are cut at common range
-bounds and the slices of a range are merged by a k-way loser tree.  ``read_archive`` reads the
-records that an index names, file piece by file piece, and checks their digests.
+bounds and the slices of a range are merged by a k-way loser tree, which numbers the captures of
+every URL and names the one before.  ``read_archive`` reads the records that an index names, file
+piece by file piece, and checks their digests.
 
 Tasks write to a file name of their own attempt, and only files named by the materialised index
 are ever read, so that lost or repeated tasks leave no trace in the result.  Files go through
@@ -12,7 +13,8 @@ are ever read, so that lost or repeated tasks leave no trace in the result.  Fil
 
 Defined cases: null html is an empty payload, null url gives a record without target (its key
 is empty and sorts first), null page_id gives a record whose page_id reads back as null and that
-is never the target of a revisit nor one itself; rows that repeat a page_id are archived each.
+is never the target of a revisit nor one itself; rows that repeat a page_id are archived each, and
+follow each other in a history in the order of their files.
 """
 
 from __future__ import annotations
@@ -26,13 +28,20 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from looplake.llm.common import batch, materialize, shared_folder
+from looplake.llm.common import batch, cut_lineage, materialize, shared_folder
 
 #: Records of at least this many payload bytes are archived once.
 MIN_REVISIT_BYTES = 1000
+#: Captures that a task merges, archive bytes of a piece that is read in order, tasks that read pieces.
+RANGE_ROWS = 200_000
+PIECE_BYTES = 8 << 20
+MAX_READ_TASKS = 20_000
 #: Fixed value of the WARC 1.1 standard.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _PAGE, _NO_PAGE = 0x70616765 << 96, 0x6E6F6E65 << 96
@@ -40,6 +49,9 @@ _PAGE, _NO_PAGE = 0x70616765 << 96, 0x6E6F6E65 << 96
 INDEX = pa.schema([("url_key", pa.string()), ("captured", pa.string()), ("page_id", pa.int64()),
                    ("run", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 INDEX_DDL = "url_key string, captured string, page_id long, run string, offset long, length long"
+MERGED = pa.schema([*INDEX, ("range", pa.int32()), ("pos", pa.int64()), ("place", pa.int64()), ("previous_page", pa.int64()),
+                    ("from_start", pa.bool_())])
+MERGED_DDL = f"{INDEX_DDL}, range int, pos long, place long, previous_page long, from_start boolean"
 RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("captured", pa.string()),
                     ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()),
                     ("refers_to", pa.int64()), ("payload", pa.binary())])
@@ -195,52 +207,83 @@ class LoserTree:
             self._replay(w)
 
 
-def merge_index(index: DataFrame) -> DataFrame:
-    """Capture histories: all runs merged, globally ordered by URL key, time and page id.
+def merge_index(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Capture histories: all runs merged, globally ordered by URL key, time and page id, each capture with
+    ``capture_no``, its place in the history of its URL key from 1, and ``previous_page``, the page of the
+    capture before it (null for the first).
 
-    The range bounds include the page id, so that a URL with very many captures is cut too."""
-    names = INDEX.names
+    The range bounds include the page id and the place in the archive, so that a URL with very many captures
+    is cut too; a task merges about ``range_rows`` captures, however long the index is.  The histories of
+    URLs that go on in the next range are carried over by a table of one row a range."""
+    ranges = max(1, -(-index.count() // range_rows))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a range of the index: small rows, a partition of bounded size; each run's slice is sorted
+        # a range of the index: small rows, a bounded number of them; each run's slice is sorted
         runs: dict[str, list] = {}
         for b in batches:
-            for row in zip(*(b.column(n).to_pylist() for n in names), strict=True):
+            for row in zip(*(b.column(n).to_pylist() for n in INDEX.names), strict=True):
                 key = (row[0], row[1], row[2] is not None, row[2] or 0, row[3], row[4])
                 runs.setdefault(row[3], []).append((key, row))
-        out: list = []
+        number = TaskContext.get().partitionId()
+        out, pos, place, url, first, page = [], 0, 0, None, True, None
         for _, row in LoserTree(list(runs.values())):
-            out.append(row)
+            if row[0] != url:
+                first, place, page = url is None, 0, None
+            url, pos, place = row[0], pos + 1, place + 1
+            out.append((*row, number, pos, place, page, first))
+            page = row[2]
             if len(out) >= 10_000:
-                yield batch(INDEX, dict(zip(names, zip(*out), strict=True)))
+                yield batch(MERGED, dict(zip(MERGED.names, zip(*out), strict=True)))
                 out = []
         if out:
-            yield batch(INDEX, dict(zip(names, zip(*out), strict=True)))
+            yield batch(MERGED, dict(zip(MERGED.names, zip(*out), strict=True)))
 
     order = ["url_key", "captured", "page_id"]
-    return index.repartitionByRange(*order, "run", "offset").sortWithinPartitions("run", *order, "offset") \
-        .select(*names).mapInArrow(merge, INDEX_DDL)
-
-
-def read_archive(index: DataFrame, folder: str, payload: bool = False, piece_bytes: int = 32 << 20) -> DataFrame:
-    """The records that an index names; payloads are checked, and returned if asked for."""
+    merged = cut_lineage(index.repartitionByRange(ranges, *order, "run", "offset").sortWithinPartitions("run", *order, "offset")
+                         .select(*INDEX.names).mapInArrow(merge, MERGED_DDL))
+    ends = merged.groupBy("range").agg(
+        F.min_by("url_key", "pos").alias("first"), F.count_if("from_start").alias("n_first"), F.max_by("url_key", "pos").alias("last"),
+        F.max_by("place", "pos").alias("n_last"), F.max_by("page_id", "pos").alias("page"))
+    # a range's first and last URL; between them no URL reaches into another range
+    entries = ends.select("range", F.col("first").alias("url_key"), F.col("n_first").alias("n"), "page", F.lit(True).alias("starts")) \
+        .unionByName(ends.where("first <> last").select("range", F.col("last").alias("url_key"), F.col("n_last").alias("n"), "page",
+                                                        F.lit(False).alias("starts")))
+    before = Window.partitionBy("url_key").orderBy("range")
+    carried = entries.withColumn("carried", F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1))) \
+        .withColumn("carried_page", F.lag("page").over(before)).where("starts and carried is not null") \
+        .select("range", "carried", "carried_page")
+    # one row of three numbers for range_rows captures at most
+    goes_on = F.col("from_start") & F.col("carried").isNotNull()
+    return merged.join(F.broadcast(carried), "range", "left").select(
+        *INDEX.names, (F.col("place") + F.when(goes_on, F.col("carried")).otherwise(0)).alias("capture_no"),
+        F.when(goes_on & (F.col("place") == 1), F.col("carried_page")).otherwise(F.col("previous_page")).alias("previous_page"))
+
+
+def read_archive(index: DataFrame, folder: str, *keep: str, payload: bool = False, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """The records that an index names, with the index's columns ``keep``; payloads are checked, and returned
+    if asked for.  Tasks are cut by archive bytes: pieces of a file, whatever the index weighs."""
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = min(MAX_READ_TASKS, max(1, -(-total // piece_bytes)))
+    kept = index.select(*keep).schema if keep else StructType()
+    result = StructType.fromDDL(RECORD_DDL)
+    schema = to_arrow_schema(StructType(result.fields + kept.fields))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pafs.FileSystem.from_uri(folder)
         name, file = None, None
         for b in batches:
             rows: list = []
-            for run, offset, length in zip(*(b.column(n).to_pylist() for n in ("run", "offset", "length")), strict=True):
+            for run, offset, length, *more in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if run != name:
                     name, file = run, store.open_input_file(f"{root}/{run}")
                 file.seek(offset)
                 row = decode_record(file.read(length))
-                rows.append(row if payload else (*row[:-1], None))
+                rows.append((*(row if payload else (*row[:-1], None)), *more))
                 if payload and len(rows) >= 512:
-                    yield batch(RECORD, dict(zip(RECORD.names, zip(*rows), strict=True)))
+                    yield batch(schema, dict(zip(schema.names, zip(*rows), strict=True)))
                     rows = []
             if rows:
-                yield batch(RECORD, dict(zip(RECORD.names, zip(*rows), strict=True)))
+                yield batch(schema, dict(zip(schema.names, zip(*rows), strict=True)))
 
-    return index.select("run", "offset", "length").repartition("run", F.expr(f"offset div {piece_bytes}")) \
-        .sortWithinPartitions("run", "offset").mapInArrow(read, RECORD_DDL)
+    return index.select("run", "offset", "length", *keep).repartition(tasks, "run", F.expr(f"offset div {piece_bytes}")) \
+        .sortWithinPartitions("run", "offset").mapInArrow(read, StructType(result.fields + kept.fields))

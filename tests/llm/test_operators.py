@@ -215,6 +215,14 @@ def test_warc_round_trip_and_merge(spark):
     merged = warc.merge_index(index).collect()
     key = lambda r: (r.url_key, r.captured, r.page_id is not None, r.page_id or 0)
     assert [key(r) for r in merged] == sorted(key(r) for r in merged) and len(merged) == len(PAGES)
+    for range_rows in (1, 2, 5, 100):  # histories go on over range bounds
+        at = {}
+        for r in warc.merge_index(index, range_rows).collect():
+            n, page = at.get(r.url_key, (0, None))
+            assert (r.capture_no, r.previous_page) == (n + 1, page)
+            at[r.url_key] = n + 1, r.page_id
+    back = warc.read_archive(warc.merge_index(index, 2), folder, "capture_no", piece_bytes=300)
+    assert back.rdd.getNumPartitions() > 1 and sum(r.capture_no for r in back.collect()) == sum(r.capture_no for r in merged)
     store, root = pafs.FileSystem.from_uri(folder)
     for f in store.get_file_info(pafs.FileSelector(root)):
         with store.open_input_stream(f.path, compression=None) as s:
@@ -222,6 +230,21 @@ def test_warc_round_trip_and_merge(spark):
     assert warc.read_archive(warc.write_archive(pages.limit(0), folder), folder).count() == 0
 
 
+def test_warc_history_of_a_hot_url(spark):
+    """One URL with a third of all captures, over many ranges and files."""
+    url = F.when(F.col("id") % 3 == 0, "http://hot.org/").otherwise(F.concat(F.lit("http://x.org/"), (F.col("id") % 40).cast("string")))
+    pages = spark.range(600).select(F.col("id").alias("page_id"), url.alias("url"), F.lit("text").alias("html")).repartition(5)
+    folder = shared_folder(spark, "warc")
+    merged = warc.merge_index(warc.write_archive(pages, folder), 25)
+    got = {r.page_id: (r.capture_no, r.previous_page) for r in warc.read_archive(merged, folder, "capture_no", "previous_page").collect()}
+    want, at = {}, {}
+    for page in range(600):
+        key = "hot" if page % 3 == 0 else page % 40
+        n, before = at.get(key, (0, None))
+        want[page], at[key] = (n + 1, before), (n + 1, page)
+    assert got == want
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=8), max_size=7))
 def test_loser_tree_merges(runs):
