@@ -13,7 +13,6 @@ from looplake.operators import scope as SC
 from looplake.plans.catalog_scope import SCOPED_SQL
 from looplake.plans.catalog_state import FB_CHANGES
 from looplake.plans.registry import query
-from looplake.session import cut_lineage
 from looplake.sources.fixtures import AS_OF, AS_OF_SQL, BATCH_T
 from looplake.streaming import streams as STR
 
@@ -61,33 +60,23 @@ def _stream_error_burst(fx):
 
 @query("stream_auto_trigger", f"""
 WITH {SCOPED_SQL},
-b AS (SELECT min(id) AS lo, max(id) AS hi FROM scoped),
-c AS (SELECT s.*, least(3, CAST(floor((s.id - b.lo) / (CAST(b.hi - b.lo + 1 AS DOUBLE) / 4)) AS INTEGER)) AS chunk
-      FROM scoped s, b),
-first AS (SELECT scope_key, min(chunk) AS fc FROM c GROUP BY scope_key),
-init AS (SELECT c.scope_key, max(c.id) AS last_id FROM c JOIN first f ON c.scope_key = f.scope_key AND c.chunk = f.fc
-         GROUP BY c.scope_key),
-e AS (SELECT c.scope_key, c.id, row_number() OVER (PARTITION BY c.scope_key ORDER BY c.id) AS pos
-      FROM c JOIN init i ON c.scope_key = i.scope_key
-      WHERE COALESCE(c.is_training_eligible, TRUE) AND c.id > i.last_id),
+e AS (SELECT s.scope_key, s.id, row_number() OVER (PARTITION BY s.scope_key ORDER BY s.id) AS pos
+      FROM scoped s LEFT JOIN fx_scope_state st ON s.scope_key = st.scope_key
+      WHERE COALESCE(s.is_training_eligible, TRUE) AND s.id > COALESCE(st.last_processed_feedback_id, 0)
+        AND (st.cooldown_until IS NULL OR st.cooldown_until <= {AS_OF_SQL})),
 g AS (SELECT scope_key, CAST(floor((pos - 1) / {BATCH_T}) AS INTEGER) AS bn, list(id ORDER BY id) AS ids
       FROM e GROUP BY 1, 2)
 SELECT scope_key, ids[1] AS batch_start_feedback_id, ids[len(ids)] AS batch_end_feedback_id,
        array_to_string(ids, ',') AS batch_ids, sha256('[' || array_to_string(ids, ',') || ']') AS idempotency_key
 FROM g WHERE len(ids) = {BATCH_T}""")
 def _stream_auto_trigger(fx):
-    """Automatic batch requests per scope from keyed state over the feedback stream.  The SQL states the
-    start: a scope begins after its ids in the first quarter of the id range that has any of them.
-    That is read from the table; how the stream is cut into files does not matter."""
+    """Automatic batch requests per scope from keyed state over the feedback stream.  Scopes start after the
+    watermark of the scope-state table (0 without a row); those in cooldown at the as-of time wait."""
     p = STR.scratch(fx.spark, "trigger")
     scoped = SC.feedback_scopes(fx.feedback, fx.prediction_log).select(
         "scope_key", "id", "is_training_eligible", "created_at")
-    b = scoped.agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    quarter = F.least(F.lit(3), F.floor((F.col("id") - F.col("lo")) / ((F.col("hi") - F.col("lo") + 1) / 4)))
-    start = (scoped.crossJoin(F.broadcast(b)).groupBy("scope_key", quarter.alias("q")).agg(F.max("id").alias("id"))
-             .groupBy("scope_key").agg(F.min_by("id", "q").alias("last_processed_feedback_id")))
     STR.write_files(scoped, p["source"], 4, "id")
-    return STR.auto_trigger_stream(fx.spark, p["source"], p["sink"], p["checkpoint"], start=cut_lineage(start))
+    return STR.auto_trigger_stream(fx.spark, p["source"], p["sink"], p["checkpoint"], start=fx.scope_state, now=F.lit(AS_OF))
 
 
 @query("stream_upsert_feedback", f"""

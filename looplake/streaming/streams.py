@@ -12,7 +12,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -121,10 +121,7 @@ FEEDBACK_EVENT_SCHEMA = T.StructType([
     T.StructField("scope_key", T.StringType()), T.StructField("id", T.LongType()),
     T.StructField("is_training_eligible", T.BooleanType()), T.StructField("created_at", T.TimestampType()),
 ])
-TRIGGER_STATE = T.StructType([
-    T.StructField("last_id", T.LongType()), T.StructField("pending", T.ArrayType(T.LongType())),
-    T.StructField("failures", T.IntegerType()), T.StructField("cooldown_until", T.TimestampType()),
-])
+TRIGGER_STATE = T.StructType([T.StructField("last_id", T.LongType()), T.StructField("pending", T.ArrayType(T.LongType()))])
 TRIGGER_OUT = T.StructType([
     T.StructField("scope_key", T.StringType()), T.StructField("batch_start_feedback_id", T.LongType()),
     T.StructField("batch_end_feedback_id", T.LongType()), T.StructField("batch_ids", T.StringType()),
@@ -135,37 +132,37 @@ TRIGGER_OUT = T.StructType([
 def _make_trigger_fn(batch_size: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(pdfs), ignore_index=True)
-        if state.exists:
-            last_id, pending, failures, cooldown = state.get
-            pending = list(pending)
-        else:
-            last_id, pending, failures, cooldown = int(pdf["start_id"].iloc[0]), [], 0, None
-        ids = sorted(int(i) for i in pdf.loc[pdf["is_training_eligible"].fillna(True), "id"] if int(i) > last_id)
-        pending = sorted(set(pending) | set(ids))
-        out = []
-        while len(pending) >= batch_size:
+        last_id, pending = state.get if state.exists else (int(pdf["start_id"].iloc[0]), [])
+        ids = {int(i) for i in pdf.loc[pdf["is_training_eligible"].fillna(True), "id"] if int(i) > last_id}
+        pending, out = sorted({*pending, *ids}), []
+        while len(pending) >= batch_size and not pdf["cooling"].any():
             batch, pending = pending[:batch_size], pending[batch_size:]
             key_hex = hashlib.sha256(json.dumps(batch, separators=(",", ":")).encode("utf-8")).hexdigest()
             out.append((key[0], batch[0], batch[-1], ",".join(map(str, batch)), key_hex))
             last_id = batch[-1]
-        state.update((last_id, pending, failures, cooldown))
+        state.update((last_id, pending))
         yield pd.DataFrame(out, columns=[f.name for f in TRIGGER_OUT.fields])
     return fn
 
 
 def auto_trigger_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, cfg: Config = DEFAULT,
-                        files_per_trigger: int = 1, start: DataFrame | None = None) -> DataFrame:
-    """Keyed state per scope {watermark id, pending ids (< T), failures, cooldown}; emits one job
-    request per full batch of T eligible ids with its idempotency key (replays are harmless:
-    the key is the sink's de-duplication key).  A scope's watermark starts at its
-    ``last_processed_feedback_id`` in ``start`` (one row per scope), else at 0, so nothing depends on
-    how ids in order are cut into files."""
+                        files_per_trigger: int = 1, start: DataFrame | None = None, now: Column | None = None) -> DataFrame:
+    """Keyed state per scope {watermark id, pending ids}; emits one job request per full batch of T
+    eligible ids with its idempotency key (replays are harmless: the key is the sink's de-duplication
+    key).  A scope's watermark starts at its ``last_processed_feedback_id`` in ``start``, a table of scope
+    states with one row per scope, else at 0, so nothing depends on how ids in order are cut into files.
+    A scope whose ``cooldown_until`` there lies after ``now`` (the time of the micro-batch, if not given)
+    gathers its ids; they are batched with its first feedback after the cooldown (no timer: a query with
+    processing-time timers never ends under ``Trigger.AvailableNow``)."""
     s = spark.readStream.schema(FEEDBACK_EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
     if start is None:
-        s = s.withColumn("start_id", F.lit(0).cast("long"))
+        s = s.withColumn("start_id", F.lit(0).cast("long")).withColumn("cooling", F.lit(False))
     else:
-        known = start.select("scope_key", F.col("last_processed_feedback_id").cast("long").alias("start_id"))
-        s = s.join(known, "scope_key", "left").withColumn("start_id", F.coalesce("start_id", F.lit(0)))
+        until = F.col("cooldown_until") if "cooldown_until" in start.columns else F.lit(None)
+        known = start.select("scope_key", F.col("last_processed_feedback_id").cast("long").alias("start_id"),
+                             until.cast("timestamp").alias("_until"))
+        s = s.join(known, "scope_key", "left").withColumn("start_id", F.coalesce("start_id", F.lit(0))) \
+            .withColumn("cooling", F.coalesce(F.col("_until") > (F.current_timestamp() if now is None else now), F.lit(False))).drop("_until")
     out = s.groupBy("scope_key").applyInPandasWithState(
         _make_trigger_fn(cfg.auto_batch_size), TRIGGER_OUT, TRIGGER_STATE, "append", GroupStateTimeout.NoTimeout)
     _run(out.writeStream.outputMode("append").format("parquet").option("path", sink)

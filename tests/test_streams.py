@@ -1,8 +1,10 @@
 """Streams give the same result however ids in order are cut into files."""
 
 from dataclasses import replace
+from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from looplake.config import DEFAULT
 from looplake.streaming import streams as STR
@@ -19,3 +21,20 @@ def test_auto_trigger_starts_at_the_scope_state(spark, files):
     ids = {"a": [k for k in range(11, 41) if k % 5], "b": list(range(41, 47))}
     assert sorted((r.scope_key, r.batch_ids) for r in got.collect()) == sorted(
         (s, ",".join(map(str, x[i:i + 3]))) for s, x in ids.items() for i in range(0, len(x), 3))
+
+
+def test_a_scope_in_cooldown_waits(spark):
+    cfg = replace(DEFAULT, auto_batch_size=3)
+    start = spark.createDataFrame([("a", 2, datetime(2024, 2, 1))], "scope_key string, last_processed_feedback_id long, cooldown_until timestamp")
+    p = STR.scratch(spark, "trigger_cooldown")
+    rows = [("a", k, True, None) for k in range(1, 10)] + [("b", k, True, None) for k in range(10, 14)]
+    STR.write_files(spark.createDataFrame(rows, STR.FEEDBACK_EVENT_SCHEMA), p["source"], 2, "id")
+
+    def run(now):
+        out = STR.auto_trigger_stream(spark, p["source"], p["sink"], p["checkpoint"], cfg, start=start, now=now)
+        return sorted((r.scope_key, r.batch_ids) for r in out.collect())
+
+    assert run(F.lit(datetime(2024, 1, 31))) == [("b", "10,11,12")]
+    more = spark.createDataFrame([("a", 14, True, None)], STR.FEEDBACK_EVENT_SCHEMA)
+    more.coalesce(1).write.mode("append").parquet(p["source"])
+    assert run(F.lit(datetime(2024, 2, 2))) == [("a", "3,4,5"), ("a", "6,7,8"), ("b", "10,11,12")]
