@@ -125,8 +125,13 @@ def per_class_pick(df: DataFrame, label_col: str, k: int, seed: int, key: str) -
             .where(F.col("_r") <= k).drop("_h", "_r"))
 
 
-def label_difference(baseline_labels: DataFrame, frame_labels: DataFrame, label: str = "label") -> DataFrame:
-    """Baseline labels absent from the frame (sorted)."""
+def label_difference(baseline_labels: DataFrame, frame_labels: DataFrame, label: str = "label", by: list | None = None) -> DataFrame:
+    """Baseline labels absent from the frame (sorted), or from every group ``by`` of the frame."""
+    if by:
+        # one row with the model's classes, and one row a group with the classes it has
+        labels = baseline_labels.agg(F.collect_set(F.col(label).cast("string")).alias("_all"))
+        have = frame_labels.groupBy(*by).agg(F.collect_set(F.col(label).cast("string")).alias("_have"))
+        return have.crossJoin(F.broadcast(labels)).select(*by, F.explode(F.array_except("_all", "_have")).alias(label))
     return baseline_labels.select(F.col(label).cast("string").alias(label)).distinct().subtract(
         frame_labels.select(F.col(label).cast("string").alias(label))).orderBy(label)
 

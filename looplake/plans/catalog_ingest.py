@@ -159,26 +159,25 @@ def _widen_legacy_ids(fx):
 
 _SNAPSHOT_SQL = f"""
 WITH {SCOPED_SQL}, {BATCHES_SQL},
-sn AS (SELECT b.batch_no AS training_id, f.* FROM batches b JOIN fx_feedback f ON b.id = f.id
-       WHERE b.scope_key = 'global:GLOBAL')"""
+sn AS (SELECT b.scope_key, b.batch_no AS training_id, f.* FROM batches b JOIN fx_feedback f ON b.id = f.id)"""
 
 
 def _snapshot(fx):
     scoped = SC.feedback_scopes(fx.feedback, fx.prediction_log)
     b = (ST.watermark_batches(scoped, fx.scope_state, AS_OF, W, BATCH_T)
-         .where(F.col("scope_key") == "global:GLOBAL").select(F.col("batch_no").alias("training_id"), "id"))
+         .select("scope_key", F.col("batch_no").alias("training_id"), "id"))
     f = b.join(fx.feedback, "id").withColumnRenamed("created_at", "timestamp")
     snap = SC.training_snapshot(f, fx.prediction_log)
-    return snap.join(f.select("prediction_id", "training_id"), "prediction_id")
+    return snap.join(f.select("prediction_id", "scope_key", "training_id"), "prediction_id")
 
 
 @query("dataset_summary", f"""{_SNAPSHOT_SQL}
-SELECT training_id, count(*) AS row_count,
+SELECT scope_key, training_id, count(*) AS row_count,
        'prediction_id,timestamp,final_diagnosis,ai_diagnosis,is_correct,confidence_rating,data_quality_score,{",".join(FEATURES)}'
          AS columns
-FROM sn WHERE prediction_id IN (SELECT id FROM fx_prediction_log) GROUP BY training_id""")
+FROM sn WHERE prediction_id IN (SELECT id FROM fx_prediction_log) GROUP BY scope_key, training_id""")
 def _dataset_summary(fx):
-    return I.dataset_summary(_snapshot(fx), ["training_id"])
+    return I.dataset_summary(_snapshot(fx), ["scope_key", "training_id"])
 
 
 def _txt(expr: str) -> str:
@@ -200,16 +199,16 @@ SELECT {_txt('sn.prediction_id')} AS prediction_id, strftime(sn.created_at, '%Y-
        json_extract_string(pin, '$.medical_history') AS medical_history,
        {_txt("CAST(json_extract(pin, '$.symptom_duration') AS INTEGER)")} AS symptom_duration,
        NULLIF(json_extract_string(pin, '$.symptoms_list'), '') AS symptoms_list,
-       CAST(sn.training_id AS INTEGER) AS training_id
+       sn.scope_key, CAST(sn.training_id AS INTEGER) AS training_id
 FROM sn JOIN pp ON CAST(sn.prediction_id AS VARCHAR) = pp.pid"""
 
 
 @query("dataset_export", _EXPORT_SQL)
 def _dataset_export(fx):
-    """Snapshot written as CSV per training id and read back (every value as text; as in the
+    """Snapshots of all scopes written as CSV per scope and training id and read back (every value as text; as in the
     reference's CSV writer, an empty text and a missing value are the same empty field)."""
     path = I.shared_path(fx.spark, "dataset-export")
-    I.dataset_export(_snapshot(fx), path)
+    I.dataset_export(_snapshot(fx), path, ["scope_key", "training_id"])
     return fx.spark.read.option("header", True).csv(path)
 
 

@@ -144,12 +144,12 @@ def _complete_classes(fx):
 
 @query("label_difference", f"""
 WITH {MIX_SQL}
-SELECT DISTINCT label FROM blabels EXCEPT SELECT DISTINCT label FROM kept WHERE scope_key = 'global:GLOBAL'""")
+SELECT s.scope_key, b.label FROM (SELECT DISTINCT scope_key FROM kept) s CROSS JOIN blabels b
+EXCEPT SELECT scope_key, label FROM kept""")
 def _label_difference(fx):
     sig = TS.explode_feedback_signals(TS.match_feedback(_scoped_eligible(fx), fx.prediction_log))
     kept = TS.quality_filter(sig, TS.quality_threshold(sig, by=["scope_key"]), by=["scope_key"])
-    return TS.label_difference(fx.baseline.select(F.col("target_diagnosis").alias("label")),
-                               kept.where(F.col("scope_key") == "global:GLOBAL"))
+    return TS.label_difference(fx.baseline.select(F.col("target_diagnosis").alias("label")), kept, by=["scope_key"])
 
 
 @query("per_class_pick", f"""

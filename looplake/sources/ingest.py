@@ -92,9 +92,9 @@ def write_csv(df: DataFrame, path: str, partition_by: list | None = None) -> str
     return path
 
 
-def dataset_export(snapshot: DataFrame, path: str) -> str:
-    """Snapshot rows to CSV with a header, one folder per training id."""
-    return write_csv(snapshot, path, ["training_id"])
+def dataset_export(snapshot: DataFrame, path: str, by: list | None = None) -> str:
+    """Snapshot rows to CSV with a header, one folder per training id (or per ``by``)."""
+    return write_csv(snapshot, path, by or ["training_id"])
 
 
 def dataset_summary(snapshot: DataFrame, by: list | None = None) -> DataFrame:
