@@ -51,7 +51,7 @@ s AS (SELECT *, sum(w) OVER (PARTITION BY monitor_key ORDER BY ts, event_id ROWS
       FROM m)
 SELECT monitor_key, event_id, ts, CAST(n AS INTEGER) AS recent_errors FROM s WHERE w = 1 AND n >= 5""")
 def _stream_error_burst(fx):
-    """Error-burst alerts from keyed state (last 10 flags per monitor key); files arrive in
+    """Error-burst alerts from the tails of all monitor keys; files arrive in
     event-id (= time) order, so the result equals a per-key window over (ts, event_id)."""
     p = STR.scratch(fx.spark, "burst")
     _monitor_source(fx, p["source"], late_rows=False)

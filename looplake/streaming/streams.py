@@ -12,7 +12,8 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -20,6 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from looplake.config import DEFAULT, Config
 from looplake.operators import drift as D
 from looplake.operators import monitor as M
+from looplake.operators import ordering as O
 from looplake.operators import state as ST
 from looplake.sources.ingest import shared_path
 
@@ -66,54 +68,94 @@ def _hourly(rows: DataFrame) -> DataFrame:
                       .alias("accuracy"), "avg_confidence")
 
 
+# The state row of _hourly holds the buffers of its aggregates in their order (avg: sum and count).  Several
+# have one name there, so they are renamed by position.
+HOURLY_BUFFERS = "struct<predictions:bigint, correct:bigint, labelled:bigint, conf_sum:double, conf_n:bigint>"
+HOURLY_SCHEMA = T.StructType([
+    T.StructField("window_start", T.TimestampType()), T.StructField("window_end", T.TimestampType()),
+    T.StructField("predictions", T.LongType()), T.StructField("accuracy", T.DoubleType()),
+    T.StructField("avg_confidence", T.DoubleType()),
+])
+
+
+def _has_batches(spark: SparkSession, checkpoint: str) -> bool:
+    """Whether the stream of this checkpoint has finished a micro-batch."""
+    try:
+        return not spark.read.text(f"{checkpoint}/commits").isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
+def open_hours(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Windows still open after the last micro-batch, from the stream's own state store."""
+    s = (spark.read.format("statestore").load(checkpoint)
+         .select(F.col("key.window").alias("w"), F.col("value").cast(HOURLY_BUFFERS).alias("b")).select("w", "b.*"))
+    return s.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "predictions",
+                    F.when(F.col("labelled") > 0, F.col("correct") / F.col("labelled")).otherwise(F.lit(0.0))
+                    .alias("accuracy"), F.try_divide("conf_sum", "conf_n").alias("avg_confidence"))
+
+
 def hourly_metrics_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, delay: str = "1 hour",
                           files_per_trigger: int = 1) -> DataFrame:
     """Hourly windows with an event-time watermark, append mode: a window is written once the
     watermark passes its end; rows older than the watermark are dropped as late.  The result also has
-    the windows that are still open when the run ends, computed from the rows after the last closed
-    window; they are not written, so the next run closes them with the rows that arrive until then."""
+    the windows that are still open when the run ends, read from the state store (one row a window; the
+    source is not read again); they are not written, so the next run closes them with the rows that arrive
+    until then.  A source without rows gives no windows."""
     s = (spark.readStream.schema(MONITOR_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
          .withWatermark("ts", delay))
     _run(_hourly(s).writeStream.outputMode("append").format("parquet").option("path", sink)
          .option("checkpointLocation", checkpoint), "hourly_metrics")
-    closed = spark.read.parquet(sink)
-    last = closed.agg(F.max("window_end")).first()[0]
-    rest = spark.read.schema(MONITOR_SCHEMA).parquet(source).where(F.col("ts").isNotNull())
-    return closed.unionByName(_hourly(rest if last is None else rest.where(F.col("ts") >= F.lit(last))))
+    if not _has_batches(spark, checkpoint):
+        return spark.createDataFrame([], HOURLY_SCHEMA)
+    return spark.read.schema(HOURLY_SCHEMA).parquet(sink).unionByName(open_hours(spark, checkpoint))
 
 
 # ------------------------------------------------------------------ STR2
-BURST_STATE = T.StructType([T.StructField("flags", T.ArrayType(T.IntegerType()))])
+BURST_TAIL = T.StructType([
+    T.StructField("monitor_key", T.StringType()), T.StructField("event_id", T.LongType()),
+    T.StructField("ts", T.TimestampType()), T.StructField("w", T.IntegerType()), T.StructField("pos", T.LongType()),
+])
 BURST_OUT = T.StructType([
     T.StructField("monitor_key", T.StringType()), T.StructField("event_id", T.LongType()),
     T.StructField("ts", T.TimestampType()), T.StructField("recent_errors", T.IntegerType()),
 ])
 
 
-def _burst_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keeps the last 10 error flags of the key; emits wrong rows with >= 5 wrong in the last 10."""
-    flags = list(state.get[0]) if state.exists else []
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"])
-    wrong = (pdf["actual"].notna() & (pdf["prediction"] != pdf["actual"])).astype(int).tolist()
-    out = []
-    for (eid, ts), w in zip(zip(pdf["event_id"], pdf["ts"]), wrong):
-        flags = (flags + [w])[-M.BURST_WINDOW:]
-        if w and sum(flags) >= M.BURST_MIN_ERRORS:
-            out.append((key[0], int(eid), ts, int(sum(flags))))
-    state.update((flags,))
-    yield pd.DataFrame(out, columns=["monitor_key", "event_id", "ts", "recent_errors"])
+def error_burst_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, files_per_trigger: int = 1,
+                       block: int = O.DEFAULT_BLOCK) -> DataFrame:
+    """Wrong rows with >= 5 wrong among the last 10 of their monitor key (clinic, or 'global'), micro-batches
+    in arrival order, by (ts, event_id) inside each.
 
+    The state is a table of each key's last nine rows, one version a micro-batch.  A micro-batch is put
+    behind the tails before it, numbered by range partitions and counted in blocks of rows, so a key that
+    has all rows of a micro-batch is spread over tasks.  A micro-batch that is run again reads the same
+    tails and writes the same folders anew."""
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        sp = batch.sparkSession
+        rows = batch.select(F.coalesce(F.col("clinic_id"), F.lit("global")).alias("monitor_key"), "event_id", "ts",
+                            F.coalesce(M.wrong(), F.lit(False)).cast("int").alias("w"), F.lit(0).cast("long").alias("pos"),
+                            F.lit(True).alias("fresh"))
+        if batch_id > 0:
+            rows = rows.unionByName(sp.read.schema(BURST_TAIL).parquet(f"{sink}/tails/batch={batch_id - 1}")
+                                    .withColumn("fresh", F.lit(False)))
+        n = O.with_row_number(rows, ["fresh", "pos", "ts", "event_id"], "rn", partition_cols=["monitor_key"])
+        s = O.trailing_sum(n, "rn", F.col("w"), M.BURST_WINDOW, "recent_errors", ["monitor_key"], block)
+        (s.where(F.col("fresh") & (F.col("w") == 1) & (F.col("recent_errors") >= M.BURST_MIN_ERRORS))
+         .select("monitor_key", "event_id", "ts", F.col("recent_errors").cast("int").alias("recent_errors"))
+         .write.mode("overwrite").parquet(f"{sink}/alerts/batch={batch_id}"))
+        newest = Window.partitionBy("monitor_key").orderBy(F.col("rn").desc())  # limited before the shuffle
+        (n.withColumn("_k", F.row_number().over(newest)).where(F.col("_k") < M.BURST_WINDOW)
+         .select("monitor_key", "event_id", "ts", "w", F.col("rn").alias("pos"))
+         .write.mode("overwrite").parquet(f"{sink}/tails/batch={batch_id}"))
 
-def error_burst_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, files_per_trigger: int = 1
-                       ) -> DataFrame:
-    """Per monitor key (clinic, or 'global'), in arrival order within each micro-batch."""
     s = spark.readStream.schema(MONITOR_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
-    keyed = s.withColumn("monitor_key", F.coalesce(F.col("clinic_id"), F.lit("global")))
-    out = keyed.groupBy("monitor_key").applyInPandasWithState(
-        _burst_fn, BURST_OUT, BURST_STATE, "append", GroupStateTimeout.NoTimeout)
-    _run(out.writeStream.outputMode("append").format("parquet").option("path", sink)
-         .option("checkpointLocation", checkpoint), "error_burst")
-    return spark.read.parquet(sink)
+    _run(s.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint), "error_burst")
+    if not _has_batches(spark, checkpoint):
+        return spark.createDataFrame([], BURST_OUT)
+    return spark.read.schema(BURST_OUT).parquet(f"{sink}/alerts").select(*BURST_OUT.fieldNames())
 
 
 # ------------------------------------------------------------------ STR3
@@ -171,24 +213,60 @@ def auto_trigger_stream(spark: SparkSession, source: str, sink: str, checkpoint:
 
 
 # ------------------------------------------------------------------ STR4
+MANIFEST = "bucket int, written long"
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def _write_version(rows: DataFrame, root: str, version: int, key: str, buckets: int, kept: list) -> None:
+    """Rows of whole buckets as ``version``, then the manifest: bucket -> version that wrote it."""
+    (rows.withColumn("bucket", _bucket(key, buckets)).repartition("bucket")
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/data/v={version}"))
+    spark = rows.sparkSession
+    written = spark.read.schema("bucket int").parquet(f"{root}/data/v={version}").distinct() \
+        .withColumn("written", F.lit(version).cast("long"))
+    spark.createDataFrame(kept, MANIFEST).unionByName(written).coalesce(1) \
+        .write.mode("overwrite").parquet(f"{root}/manifest/v={version}")
+
+
+def _read_manifest(spark: SparkSession, root: str, version: int) -> list:
+    """At most one row a bucket."""
+    return spark.read.schema(MANIFEST).parquet(f"{root}/manifest/v={version}").collect()
+
+
+def _read_buckets(spark: SparkSession, root: str, schema: T.StructType, entries: list) -> DataFrame:
+    paths = [f"{root}/data/v={e.written}/bucket={e.bucket}" for e in entries]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def upsert_feedback_stream(spark: SparkSession, source: str, schema: T.StructType, target_root: str,
-                           initial: DataFrame, checkpoint: str, as_of, files_per_trigger: int = 1) -> DataFrame:
-    """foreachBatch applies the feedback upsert to a versioned parquet target: version ``b`` =
-    upsert(version of the previous batch, batch ``b``).  Re-running a batch rewrites the same
-    version, so replays after a failure are idempotent."""
-    initial.write.mode("overwrite").parquet(f"{target_root}/v=-1")
+                           initial: DataFrame, checkpoint: str, as_of, files_per_trigger: int = 1,
+                           buckets: int = 32) -> DataFrame:
+    """foreachBatch applies the feedback upsert to a target kept as ``buckets`` hash buckets of
+    prediction_id.  Micro-batch ``b`` reads and writes only the buckets that have changes; its manifest takes
+    them as written by ``b`` and all others as they were, so bytes follow the changes, not the target.
+    Running a micro-batch again starts from the manifest before it and writes the same version.
+    ``initial`` is written when the stream has no finished micro-batch yet, else the target stands as it is.
+    Choose ``buckets`` so that a bucket has some 100 MB; the number stays fixed for a target."""
+    key, cols = "prediction_id", initial.schema
+    if not _has_batches(spark, checkpoint):
+        _write_version(initial, target_root, -1, key, buckets, [])
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        fs = spark.read.option("basePath", target_root).parquet(target_root)
-        prev = fs.where(F.col("v") < batch_id).agg(F.max("v")).first()[0]
-        cur = spark.read.parquet(f"{target_root}/v={prev}")
-        ST.upsert_feedback(cur, batch, as_of).write.mode("overwrite").parquet(f"{target_root}/v={batch_id}")
+        sp = batch.sparkSession
+        touched = {r.bucket for r in batch.select(_bucket(key, buckets)).distinct().collect()}  # at most ``buckets``
+        before = _read_manifest(sp, target_root, batch_id - 1)
+        cur = _read_buckets(sp, target_root, cols, [e for e in before if e.bucket in touched])
+        _write_version(ST.upsert_feedback(cur, batch, as_of), target_root, batch_id, key, buckets,
+                       [tuple(e) for e in before if e.bucket not in touched])
 
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
     _run(s.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint), "upsert_feedback")
-    fs = spark.read.option("basePath", target_root).parquet(target_root)
-    last = fs.agg(F.max("v")).first()[0]
-    return spark.read.parquet(f"{target_root}/v={last}")
+    versions = spark.read.schema(MANIFEST + ", v long").parquet(f"{target_root}/manifest")
+    last = versions.agg(F.max("v")).first()[0]
+    return _read_buckets(spark, target_root, cols, _read_manifest(spark, target_root, last))
 
 
 # ------------------------------------------------------------------ STR5
