@@ -13,7 +13,8 @@ Wasserstein / std(reference) >= 0.1 (numeric) or JS distance >= 0.1
 
 Scale: rows are first reduced to (group, column, value) counts; ECDF running
 sums use the distributed row-number/running-total helpers per (group, column),
-so a column with many distinct values is spread across tasks.
+so a column with many distinct values is spread across tasks.  Windows of current
+data look up ranks and quantiles in one curve of the reference (:func:`drift_windows`).
 """
 
 from __future__ import annotations
@@ -78,7 +79,11 @@ def numeric_drift_from_counts(counts: DataFrame, ref_std: DataFrame, by: list |
     dx = F.coalesce(F.col("_next") - F.col("value"), F.lit(0.0))
     agg = e.groupBy(*key).agg(F.max(diff).alias("ks_stat"), F.sum(diff * dx).alias("wasserstein"),
                               F.first("n_ref").alias("n_ref"), F.first("n_cur").alias("n_cur"))
-    j = agg.join(ref_std, key, "left")
+    return _numeric_result(agg.join(ref_std, key, "left"), key, rule)
+
+
+def _numeric_result(j: DataFrame, key: list, rule: str) -> DataFrame:
+    """p-value, scaled distance and flag from ks_stat, wasserstein, n_ref, n_cur and ref_std."""
     p = ks_pvalue(F.col("ks_stat"), F.col("n_ref"), F.col("n_cur"))
     norm = F.when(F.col("ref_std") > 0, F.col("wasserstein") / F.col("ref_std")).otherwise(F.col("wasserstein"))
     drift = _decide(rule, p, norm)
@@ -160,22 +165,78 @@ def target_drift(reference: DataFrame, current: DataFrame, target: str = "target
     return drift_categorical(reference, current, (target,), rule)
 
 
+def reference_curve(ref_c: DataFrame, points: DataFrame) -> DataFrame:
+    """At each (column, value) of the reference or of ``points``: ``cr`` rows with the value, ``g`` rows and ``s``
+    the sum of values up to it.  One numbering of the distinct values, whatever the number of windows."""
+    u = (ref_c.unionByName(points.withColumn("cr", F.lit(0).cast("long")))
+         .groupBy("column", "value").agg(F.sum("cr").alias("cr")))
+    n = O.with_row_number(u, ["value"], "_k", partition_cols=["column"])
+    return cut_lineage(O.running_totals(n, "_k", {"g": F.col("cr"), "s": F.col("cr") * F.col("value")}, ["column"]).drop("_k"))
+
+
+def reference_quantiles(curve: DataFrame, ranks: DataFrame) -> DataFrame:
+    """For each (column, rank): the smallest reference value ``q`` with at least ``rank`` rows up to it, and the
+    curve there.  Ranks are merged into the curve by falling position; the least value so far is the answer."""
+    u = curve.where(F.col("cr") > 0).select("column", (-F.col("g")).alias("_o"), F.lit(0).alias("_kind"), "value") \
+        .unionByName(ranks.select("column", (-F.col("rank")).alias("_o"), F.lit(1).alias("_kind"),
+                                  F.lit(None).cast("double").alias("value")))
+    n = O.with_row_number(u, ["_o", "_kind"], "_k", partition_cols=["column"])
+    r = O.running_totals(n, "_k", {}, ["column"], maxima={"_q": -F.col("value")}).where(F.col("_kind") == 1)
+    at = curve.select("column", F.col("value").alias("q"), F.col("g").alias("q_g"), F.col("s").alias("q_s"))
+    return r.select("column", (-F.col("_o")).alias("rank"), (-F.col("_q")).alias("q")).join(at, ["column", "q"])
+
+
 def drift_windows(reference: DataFrame, current: DataFrame, ts: str, columns=NUMERIC_DRIFT_COLUMNS,
-                  window: str = "1 hour") -> DataFrame:
+                  window: str = "1 hour", rule: str = "distance") -> DataFrame:
     """Each tumbling window of the current data against the whole reference (numeric columns).
-    Reference value counts are computed once and joined to every window."""
+
+    Between neighbouring values of a window its ECDF F stands still and the reference's ECDF G only rises.  So
+    the supremum of |F - G| needs G at each value and its left limit at the next one, and the integral needs
+    besides the one place where G passes F and the integral of G there, ``(g * x - s) / n``.  Rows grow with
+    the window's values plus the reference's values, never with their product.  A window without values of a
+    column, or a column without reference, has NULL statistics."""
     cur = current.withColumn("window_start", F.window(F.col(ts), window).start)
     cur_long = long_values(cur, columns, F.lit("current"), "double", by=["window_start"])
     cur_c = (cur_long.where(F.col("value").isNotNull()).groupBy("window_start", "column", "value")
              .agg(F.count(F.lit(1)).alias("cc")))
-    ref_long = long_values(reference, columns, F.lit("reference"), "double")
-    ref_c = (ref_long.where(F.col("value").isNotNull()).groupBy("column", "value")
-             .agg(F.count(F.lit(1)).alias("cr")))
-    windows = cur_c.select("window_start").distinct()
-    ref_w = windows.crossJoin(ref_c)
-    counts = (ref_w.join(cur_c, ["window_start", "column", "value"], "full_outer")
-              .select("window_start", "column", "value", F.coalesce("cr", F.lit(0)).alias("cr"),
-                      F.coalesce("cc", F.lit(0)).alias("cc")))
-    std = ref_long.where(F.col("value").isNotNull()).groupBy("column").agg(F.stddev_pop("value").alias("ref_std"))
-    std_w = windows.crossJoin(std)
-    return numeric_drift_from_counts(counts, std_w, by=["window_start"])
+    ref_c = (long_values(reference, columns, F.lit("reference"), "double").where(F.col("value").isNotNull())
+             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("cr")))
+    key = ["window_start", "column"]
+    numbered = cut_lineage(O.with_row_number(cur_c, ["value"], "_k", partition_cols=key))  # read four times below
+    curve = reference_curve(ref_c, numbered.select("column", "value").distinct())
+    # one row per column; the deviation comes from the rows as in drift_numeric
+    std = (long_values(reference, columns, F.lit("reference"), "double").where(F.col("value").isNotNull())
+           .groupBy("column").agg(F.count(F.lit(1)).alias("n_ref"), F.sum("value").alias("s_tot"),
+                                  F.stddev_pop("value").alias("ref_std")))
+    tot = numbered.groupBy(*key).agg(F.sum("cc").alias("n_cur"))
+    rows = (O.running_totals(numbered, "_k", {"cf": F.col("cc")}, key).join(tot, key)
+            .join(F.broadcast(std), "column").join(curve, ["column", "value"]))
+    wide = "decimal(20,0)"
+    rank = F.expr(f"(cast(cf as {wide}) * cast(n_ref as {wide}) + n_cur - 1) div n_cur")
+    rows = cut_lineage(rows.select(*key, "_k", "value", "cf", "n_cur", "n_ref", "s_tot", "cr", "g", "s", rank.alias("rank")))
+    nxt = rows.select(*key, (F.col("_k") - 1).alias("_k"), F.col("value").alias("b"), (F.col("g") - F.col("cr")).alias("b_left"),
+                      F.col("g").alias("b_g"), F.col("s").alias("b_s"))
+    inner = rows.join(nxt, key + ["_k"], "left")
+    inner = inner.join(reference_quantiles(curve, rows.select("column", "rank").distinct()), ["column", "rank"], "left")
+
+    n, f = F.col("n_ref"), F.col("cf") / F.col("n_cur")
+
+    def integral(g: str, x: str, s: str) -> Column:
+        return (F.col(g) * F.col(x) - F.col(s)) / n
+
+    i_a, i_b, i_q = integral("g", "value", "s"), integral("b_g", "b", "b_s"), integral("q_g", "q", "q_s")
+    x = F.greatest("value", F.least("q", "b"))
+    i_x = F.when(F.col("q") <= F.col("value"), i_a).when(F.col("q") >= F.col("b"), i_b).otherwise(i_q)
+    area = f * (x - F.col("value")) - (i_x - i_a) + (i_b - i_x) - f * (F.col("b") - x)
+    beyond = (F.col("s_tot") - F.col("s")) / n - F.col("value") * (1.0 - F.col("g") / n)
+    first = F.col("_k") == 1
+    gap = F.greatest(F.abs(F.col("g") / n - f), F.abs(F.col("b_left") / n - f),
+                     F.when(first, (F.col("g") - F.col("cr")) / n))
+    part = F.when(F.col("b").isNull(), beyond).otherwise(area) + F.when(first, i_a).otherwise(0.0)
+    found = inner.groupBy(*key).agg(F.max(gap).alias("ks_stat"), F.sum(part).alias("wasserstein"))
+    every = (tot.select("window_start").distinct()
+             .withColumn("column", F.explode(F.array(*[F.lit(c) for c in columns])))
+             .join(tot, key, "left").join(F.broadcast(std), "column", "left").join(found, key, "left")
+             .withColumn("n_ref", F.coalesce("n_ref", F.lit(0))).withColumn("n_cur", F.coalesce("n_cur", F.lit(0)))
+             .where((F.col("n_ref") > 0) | (F.col("n_cur") > 0)))
+    return _numeric_result(every, key, rule)
