@@ -68,9 +68,10 @@ def monitor_metrics(log: DataFrame, as_of) -> DataFrame:
 
 
 def confidence_stats(log: DataFrame) -> DataFrame:
-    return log.agg(F.min("confidence").alias("min"), F.max("confidence").alias("max"),
-                   F.median("confidence").alias("median"),
-                   F.coalesce(F.stddev_samp("confidence"), F.lit(0.0)).alias("std"))
+    a = log.agg(F.min("confidence").alias("min"), F.max("confidence").alias("max"),
+                F.coalesce(F.stddev_samp("confidence"), F.lit(0.0)).alias("std"))
+    median = O.quantile(log.select("confidence"), "confidence", 0.5)
+    return a.crossJoin(F.broadcast(median)).select("min", "max", F.col("quantile").alias("median"), "std")  # one row each
 
 
 def prediction_distribution(log: DataFrame) -> DataFrame:

@@ -117,6 +117,26 @@ def running_totals(df: DataFrame, rn: str, values: dict[str, Column], partition_
     return out.drop("_blk", *[f"_v_{n}" for n, _, _ in kinds], *[f"_o_{n}" for n, _, _ in kinds])
 
 
+def quantile(df: DataFrame, col: str, q: float, by: list | None = None) -> DataFrame:
+    """Exact quantile with linear interpolation per group, ``quantile``: equal values are counted, the distinct
+    ones numbered by range partitions, and the values at the two ranks taken, so no group's values stand in one
+    buffer.  Nulls do not count; without values the result is null (ungrouped) or has no row (grouped)."""
+    by = list(by or [])
+    c = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_value")).agg(F.count(F.lit(1)).alias("_c"))
+    run = running_totals(with_row_number(c, ["_value"], "_k", by), "_k", {"_upto": F.col("_c")}, by)
+    n = run.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    j = run.join(n, by) if by else run.crossJoin(F.broadcast(n))
+    pos = (F.col("_n") - 1) * F.lit(float(q))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto")), F.col("_value")))
+
+    lo, hi = F.floor(pos), F.ceil(pos)
+    g = j.groupBy(*by).agg(at(lo).alias("_lo"), at(hi).alias("_hi"), F.first(pos - lo).alias("_part"))
+    return g.select(*by, F.when(F.col("_part") == 0, F.col("_lo"))
+                    .otherwise((1 - F.col("_part")) * F.col("_lo") + F.col("_part") * F.col("_hi")).alias("quantile"))
+
+
 def hash_order(seed: int, key: Column) -> Column:
     """Deterministic, partition-independent sampling order: sha256(seed ':' key)."""
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)

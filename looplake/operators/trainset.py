@@ -238,25 +238,62 @@ def small_sample_notes(frame: DataFrame, cfg: Config = DEFAULT, by: list | None
 
 
 # ------------------------------------------------------------------ splits
+#: Hex digits of the hash by which rows are counted before any is ranked: 65,536 counts a group at most.
+SPLIT_DIGITS = 4
+
+
 def random_split(frame: DataFrame, ratio: Column | float, seed: int, key: str = "row_key", label: str = "label",
                  by: list | None = None) -> DataFrame:
     """Validation flag: per class (stratified when every class has >= 2 rows and there are >= 2
     classes) the first ``bround(count·ratio)`` rows in hash order; otherwise the same rule over
-    all rows.  Row numbers are the distributed kind (no single-task window)."""
+    all rows.
+
+    Selected by a cut-off of the hash: rows are counted by (group, hash prefix), running counts give the
+    prefix that holds a group's last validation row, and only the rows of that prefix are ranked.  Every row
+    is then compared with its group's cut-off, so no table is sorted, numbered or checkpointed.  Rows that
+    repeat a key stay on one side; a label may be null.  ``ratio`` is the same for all rows of a group."""
     by = list(by or [])
     r = ratio if isinstance(ratio, Column) else F.lit(float(ratio))
-    cls = frame.groupBy(*by, label).agg(F.count(F.lit(1)).alias("_cn"))
-    stat = cls.groupBy(*by).agg(F.min("_cn").alias("_min_c"), F.count(F.lit(1)).alias("_k"),
-                                F.sum("_cn").alias("_n"))
-    sizes = cls.join(stat, by) if by else cls.crossJoin(F.broadcast(stat))  # stat is one row
-    strat = (F.col("_min_c") >= 2) & (F.col("_k") >= 2)
-    # the group in which a row is ranked is its class or, unstratified, everything: one numbering does
-    j = frame.join(sizes, by + [label]).withColumn("stratified", strat) \
-        .withColumn("_quota", F.bround(F.when(strat, F.col("_cn")).otherwise(F.col("_n")) * r, 0)) \
-        .withColumn("_g", F.when(strat, F.col(label))).withColumn("_h", O.hash_order(seed, F.col(key))) \
-        .drop("_cn", "_min_c", "_k", "_n")
-    numbered = O.with_row_number(j, ["_h", key], "_rank", partition_cols=by + ["_g"])
-    return numbered.withColumn("is_validation", F.col("_rank") <= F.col("_quota")).drop("_quota", "_g", "_h", "_rank")
+    rows = frame.withColumn("_r", r.cast("double")).withColumn("_h", O.hash_order(seed, F.col(key))) \
+        .withColumn("_p", F.substring("_h", 1, SPLIT_DIGITS))
+    # read four times below
+    counts = cut_lineage(rows.groupBy(*by, label, "_p").agg(F.count(F.lit(1)).alias("_c"), F.first("_r").alias("_r")))
+    cls = counts.groupBy(*by, label).agg(F.sum("_c").alias("_cn"), F.first("_r").alias("_r"))
+    stat = cls.groupBy(*by).agg(((F.min("_cn") >= 2) & (F.count(F.lit(1)) >= 2)).alias("stratified"),
+                                F.sum("_cn").alias("_n"), F.first("_r").alias("_r"))
+    # the group in which a row is ranked is its class or, unstratified, everything
+    group = F.when(F.col("stratified"), F.col(label))
+    sized = (counts.drop("_r").join(stat.drop("_n", "_r"), by) if by else counts.drop("_r").crossJoin(F.broadcast(stat.drop("_n", "_r")))) \
+        .groupBy(*by, group.alias("_g"), "_p").agg(F.sum("_c").alias("_c"))
+    both = cls.join(stat.select(*by, "stratified"), by) if by else cls.crossJoin(F.broadcast(stat.select("stratified")))
+    quota = both.groupBy(*by, group.alias("_g")).agg(F.bround(F.sum("_cn") * F.first("_r"), 0).cast("long").alias("_quota"))
+    w = Window.partitionBy(*by, "_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    run = sized.withColumn("_upto", F.sum("_c").over(w)).alias("x")
+    same = _same_group(by)
+    at = (run.join(quota.alias("y"), same("x", "y"))
+          .where((F.col("_upto") - F.col("_c") < F.col("_quota")) & (F.col("_upto") >= F.col("_quota")))
+          .select(*[F.col(f"x.{c}").alias(c) for c in (*by, "_g", "_p")], (F.col("_quota") - F.col("_upto") + F.col("_c")).alias("_left")))
+    flagged = rows.join(stat.select(*by, "stratified"), by) if by else rows.crossJoin(F.broadcast(stat.select("stratified")))
+    flagged = flagged.withColumn("_g", group)
+    place = Window.partitionBy(*[f"x.{c}" for c in (*by, "_g")]).orderBy("x._h", f"x.{key}")
+    last = (flagged.select(*by, "_g", "_p", "_h", key).alias("x")
+            .join(at.alias("y"), same("x", "y") & (F.col("x._p") == F.col("y._p")))
+            .withColumn("_rank", F.row_number().over(place)).where(F.col("_rank") == F.col("_left"))
+            .select(*[F.col(f"x.{c}").alias(c) for c in (*by, "_g")], F.struct(F.col("x._h"), F.col(f"x.{key}")).alias("_last")))
+    out = flagged.alias("x").join(last.alias("y"), same("x", "y"), "left")
+    here = F.struct(F.col("x._h"), F.col(f"x.{key}"))
+    return out.select(*[F.col(f"x.{c}").alias(c) for c in (*frame.columns, "stratified")],
+                      F.coalesce(here <= F.col("_last"), F.lit(False)).alias("is_validation"))
+
+
+def _same_group(by: list):
+    """Join condition on the split's group; null scopes and classes are groups of their own."""
+    def cond(a: str, b: str) -> Column:
+        c = F.col(f"{a}._g").eqNullSafe(F.col(f"{b}._g"))
+        for k in by:
+            c = c & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
+        return c
+    return cond
 
 
 def time_aware_split(frame: DataFrame, ratio: float, cfg: Config = DEFAULT, ts: str = "sample_ts",
