@@ -97,7 +97,8 @@ def apply_isotonic(scored: DataFrame, pools: DataFrame, *keep: str, top: int = 3
         .add("top_k", kinds["top_k"].dataType).add("calibrated", "boolean")
     schema = to_arrow_schema(result)
 
-    def run(model: dict, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    def run(model: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in b.to_pylist()]
         of: dict[str, list] = {}
         for x in model["pools"]:
             of.setdefault(x["class"], []).append((x["lo"], x["hi"], x["value"]))

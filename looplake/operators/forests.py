@@ -5,11 +5,11 @@ children of i are 2i and 2i + 1; a split has a feature and sends a row to the ri
 above the threshold, or if the row has the item ("animal_type=dog", "symptom=cough"); a leaf has no
 feature, and ``counts`` are the class weights that vote.
 
-All trees of all scopes grow by one pass over the rows a level: tasks hold a part of a scope's rows
-and sum class weights by (scope, tree, node, feature, bin, class), one aggregation adds the parts up,
-and every tree picks its splits from its own sums.  The sums of a pass do not grow with the rows.
-A scope whose rows are one part needs no adding up: tasks take all its levels for a bunch of trees.
-Both ways use the same sums and splits and give the same trees.
+A scope of up to ``WHOLE_ROWS`` rows is grown whole: tasks take all levels of a bunch of its trees, with
+a row's node kept from level to level.  The trees of larger scopes grow by one pass over the rows a level:
+tasks hold a part of a scope's rows and sum class weights by (scope, tree, node, feature, bin, class), one
+aggregation adds the parts up, and every tree picks its splits from its own sums.  The sums of a pass do
+not grow with the rows.  Both ways use the same sums and splits and give the same trees.
 Weights count in millionths, so sums and with them the trees do not depend on the order of rows.
 
 Rows reach a tree with a multiplicity drawn from their key (Poisson, in place of drawing with
@@ -24,9 +24,9 @@ single leaves; rows with null label, scope or key take no part; scopes without r
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +42,17 @@ from looplake.session import ensure_checkpoint_dir
 
 UNIT = 1_000_000
 BINS = 32
-#: Rows of a scope that one task holds, and trees that it grows for a scope that fits.
+#: Rows that a task holds of a scope in parts, and of one that is grown whole (about 130 bytes a row).
 PART_ROWS = 50_000
+WHOLE_ROWS = 2_000_000
+#: Trees that a task grows of a scope of up to PART_ROWS rows; of larger ones four times as many, so that
+#: their rows go to fewer tasks.
 TREE_BUNCH = 25
 _POISSON = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)])
+#: The same limits for the 53 bits of a hash.
+_POISSON_BITS = np.ceil(_POISSON * 2.0**53).astype(np.uint64)
+ROW = pa.schema([("key", pa.int64()), ("numbers", pa.list_(pa.float64())), ("items", pa.list_(pa.string())), ("y", pa.int32()),
+                 ("w", pa.int64()), ("fold", pa.int32())])
 NODE_DDL = "scope_key string, tree int, node long, feature string, threshold double, counts array<long>, n long, open boolean"
 NODE = pa.schema([("scope_key", pa.string()), ("tree", pa.int32()), ("node", pa.int64()), ("feature", pa.string()),
                   ("threshold", pa.float64()), ("counts", pa.list_(pa.int64())), ("n", pa.int64()), ("open", pa.bool_())])
@@ -73,7 +80,8 @@ def multiplicity(keys: np.ndarray, tree: int, seed: int, bootstrap: bool) -> np.
     if not bootstrap:
         return np.ones(len(keys), np.int64)
     salt = _mixed(np.array([seed * 1_000_003 + tree], np.uint64))[0]
-    return np.searchsorted(_POISSON, _share(keys.view(np.uint64) ^ salt), "right")
+    drawn = _mixed(keys.view(np.uint64) ^ salt) >> np.uint64(11)
+    return sum((drawn >= limit).astype(np.int8) for limit in _POISSON_BITS).astype(np.int64)
 
 
 def looks_at(names: list[str], nodes: np.ndarray, tree: int, seed: int, n_features: int) -> np.ndarray:
@@ -109,37 +117,63 @@ def scope_settings(train: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 # ------------------------------------------------------------------ walking and growing
 class Part:
-    """Some rows of one scope as arrays."""
-
-    def __init__(self, rows: list[dict]):
-        self.numbers = np.array([[np.nan if x is None else x for x in r["numbers"]] for r in rows], np.float64)
-        where = [(k, i) for k, r in enumerate(rows) for i in r["items"]]
-        self.names, self.item = np.unique(np.array([i for _, i in where], dtype=object), return_inverse=True) if where else (
-            np.empty(0, object), np.empty(0, np.int64))
-        self.row = np.array([k for k, _ in where], np.int64)
+    """Some rows of one scope as arrays, from Arrow batches (or a list of dicts)."""
+
+    def __init__(self, rows: Iterable):
+        batches = [pa.RecordBatch.from_pylist(rows, schema=ROW)] if isinstance(rows, list) and isinstance(rows[0], dict) else rows
+        numbers, found, ids, many = [], {}, [], []
+        for b in batches:
+            self.take(b)
+            numbers.append(b["numbers"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(NUMERIC_FEATURES)))
+            many.append(b["items"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            coded = b["items"].flatten().dictionary_encode()
+            known = np.array([found.setdefault(i, len(found)) for i in coded.dictionary.to_pylist()], np.int32)
+            ids.append(known[coded.indices.to_numpy(zero_copy_only=False)])
+        self.numbers = np.ascontiguousarray(np.concatenate(numbers).T)
+        self.n = self.numbers.shape[1]
+        many, ids = np.concatenate(many), np.concatenate(ids)
+        self.names = np.array(sorted(found), dtype=object)
         self.at = {name: k for k, name in enumerate(self.names)}
-        self.n = len(rows)
-        self._has: dict[str, np.ndarray] = {}
-
-    def right(self, feature: str, threshold: float | None) -> np.ndarray:
+        self.item = np.array([self.at[name] for name in found], np.int32)[ids] if found else np.empty(0, np.int32)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), many)
+        # the rows of an item; items that an eighth of the rows have, at most some 50, have a column too
+        by = np.argsort(self.item, kind="stable")
+        self._rows, self._ends = self.row[by], np.searchsorted(self.item[by], np.arange(len(self.names) + 1))
+        self.has: dict[int, np.ndarray] = {}
+        for k in np.flatnonzero(np.diff(self._ends) * 8 >= self.n).tolist():
+            self.has[k] = self._mark(np.zeros(self.n, bool), k, True)
+        self._scratch = np.zeros(self.n, bool)
+
+    def take(self, batch: pa.RecordBatch) -> None:
+        """Further columns of the rows."""
+
+    def _mark(self, column: np.ndarray, item: int, value: bool) -> np.ndarray:
+        column[self._rows[self._ends[item]:self._ends[item + 1]]] = value
+        return column
+
+    def right(self, feature: str, threshold: float | None, rows: np.ndarray | None = None) -> np.ndarray:
         """Which rows a split sends to the right."""
+        of = slice(None) if rows is None else rows
         if feature in NUMERIC_FEATURES:
-            return self.numbers[:, NUMERIC_FEATURES.index(feature)] > threshold  # false for a missing number
-        if feature not in self._has:
-            has = np.zeros(self.n, bool)
-            if feature in self.at:
-                has[self.row[self.item == self.at[feature]]] = True
-            self._has[feature] = has
-        return self._has[feature]
-
-    def walk(self, splits: list[tuple]) -> np.ndarray:
-        """The node that every row reaches by the splits (node, feature, threshold) of a tree."""
-        at = np.ones(self.n, np.int64)
-        for node, feature, threshold in sorted(splits):
-            here = np.flatnonzero(at == node)
-            if len(here):
-                at[here] = 2 * node + self.right(feature, threshold)[here]
-        return at
+            return self.numbers[NUMERIC_FEATURES.index(feature)][of] > threshold  # false for a missing number
+        k = self.at.get(feature)
+        if k is None:
+            return np.zeros(self.n if rows is None else len(rows), bool)
+        if k in self.has:
+            return self.has[k][of].copy()
+        out = self._mark(self._scratch, k, True)[of].copy()
+        self._mark(self._scratch, k, False)
+        return out
+
+    def walk(self, splits: list[tuple], rows: np.ndarray | None = None) -> dict[int, np.ndarray]:
+        """The rows at every node that has some, by the splits (node, feature, threshold) of a tree."""
+        at = {1: np.arange(self.n, dtype=np.int32) if rows is None else rows}
+        for node, feature, threshold in sorted(splits, key=lambda x: x[0]):
+            here = at.pop(node, None)
+            if here is not None:
+                right = self.right(feature, threshold, here)
+                at[2 * node], at[2 * node + 1] = here[~right], here[right]
+        return {node: here for node, here in at.items() if len(here)}
 
 
 HISTOGRAM = pa.schema([("scope_key", pa.string()), ("tree", pa.int32()), ("node", pa.int64()), ("feature", pa.string()),
@@ -165,78 +199,124 @@ class Sums:
         def may_split(node, counts, n):
             return int(node).bit_length() - 1 < settings["max_depth"] and n >= settings["min_samples_split"] and (counts > 0).sum() > 1
 
-        known = np.array([[b < len(e) for b in range(BINS)] for e in settings["edges"]])
-        left = np.cumsum(self.number, 2).reshape(len(self.nodes), -1, self.total.shape[1])
-        left_n = np.where(known[None], np.cumsum(self.number_n, 2), 0).reshape(len(self.nodes), -1)
-        options = [(f, b) for f in NUMERIC_FEATURES for b in range(BINS)] + [(f, -1) for f in self.names]
-        order = sorted(range(len(options)), key=options.__getitem__)
-        left = np.concatenate([left, self.total[:, None] - self.item], 1)[:, order]
-        left_n = np.concatenate([left_n, np.where(self.item_n > 0, self.total_n[:, None] - self.item_n, 0)], 1)[:, order]
-        right, right_n = self.total[:, None] - left, self.total_n[:, None] - left_n
-        fits = (np.minimum(left_n, right_n) >= max(1, settings["min_samples_leaf"])) & (left.sum(2) > 0) & (right.sum(2) > 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            purity = sum((x.astype(np.float64) ** 2).sum(2) / x.sum(2) for x in (left, right))
-        purity = np.where(fits, purity, -1.0)
-        best = purity.argmax(1) if purity.shape[1] else np.zeros(len(self.nodes), int)
+        # the options of the nodes that have rows: place of the node, rank of the option, sums and rows to the left
+        k = self.total.shape[1]
+        rank = {f: j for j, f in enumerate(sorted([*NUMERIC_FEATURES, *self.names]))}
+        of_rank = sorted(rank, key=rank.get)
+        known = np.arange(BINS)[None, :] < np.array([len(e) for e in settings["edges"]])[:, None]
+        at, j = np.nonzero(self.number_n.any(2))
+        cut = np.cumsum(self.number[at, j], 1).reshape(-1, k)
+        cut_n = np.where(known[j], np.cumsum(self.number_n[at, j], 1), 0).reshape(-1)
+        ranks = np.array([rank[f] for f in NUMERIC_FEATURES], np.int64)[j][:, None] * BINS + np.arange(BINS)
+        it, f = np.nonzero(self.item_n)
+        of_item = np.array([rank[x] for x in self.names], np.int64)
+        place = np.concatenate([np.repeat(at, BINS), it])
+        option = np.concatenate([ranks.reshape(-1), of_item[f] * BINS if len(f) else np.empty(0, np.int64)])
+        left = np.concatenate([cut, self.total[it] - self.item[it, f]])
+        left_n = np.concatenate([cut_n, self.total_n[it] - self.item_n[it, f]])
+        right, right_n = self.total[place] - left, self.total_n[place] - left_n
+        fits = (np.minimum(left_n, right_n) >= max(1, settings["min_samples_leaf"])) & (left.sum(1) > 0) & (right.sum(1) > 0)
+        place, option, left, left_n, right, right_n = (x[fits] for x in (place, option, left, left_n, right, right_n))
+        purity = sum((x.astype(np.float64) ** 2).sum(1) / x.sum(1) for x in (left, right))
+        order = np.lexsort((option, -purity, place))
+        best = dict(zip(*(x.tolist() for x in np.unique(place[order], return_index=True)), strict=True)) if len(order) else {}
         out = []
         for i, node in enumerate(self.nodes.tolist()):
             counts, n = self.total[i], int(self.total_n[i])
             before = float((counts.astype(np.float64) ** 2).sum() / max(1, counts.sum()))
-            o = best[i]
-            if not may_split(node, counts, n) or purity[i, o] <= before * (1 + 1e-12):
+            o = order[best[i]] if i in best else None
+            if o is None or not may_split(node, counts, n) or purity[o] <= before * (1 + 1e-12):
                 out.append((node, None, None, counts, n, False))
                 continue
-            feature, b = options[order[o]]
-            out.append((node, feature, settings["edges"][NUMERIC_FEATURES.index(feature)][b] if b >= 0 else None, counts, n, False))
-            for child, c, m in ((2 * node, left[i, o], int(left_n[i, o])), (2 * node + 1, right[i, o], int(right_n[i, o]))):
+            feature, b = of_rank[option[o] // BINS], option[o] % BINS
+            numeric = feature in NUMERIC_FEATURES
+            out.append((node, feature, settings["edges"][NUMERIC_FEATURES.index(feature)][b] if numeric else None, counts, n, False))
+            for child, c, m in ((2 * node, left[o], int(left_n[o])), (2 * node + 1, right[o], int(right_n[o]))):
                 out.append((child, None, None, c, m, may_split(child, c, m)))
         return out
 
 
-class Grower:
+class Grower(Part):
     """Sums of one part of a scope's rows."""
 
-    def __init__(self, rows: list[dict], settings: dict):
-        self.part, self.settings = Part(rows), settings
-        self.y, self.w, self.keys = (np.array([r[c] for r in rows], np.int64) for c in ("y", "w", "key"))
-        self.names = self.part.names.tolist()
-        self.k = len(settings["classes"])
-        self.bins = np.stack([np.where(np.isnan(x), 0, np.searchsorted(np.array(e, np.float64), x, "left")) if len(e)
-                              else np.zeros(self.part.n, np.int64) for x, e in zip(self.part.numbers.T, settings["edges"], strict=True)])
-
-    def sums(self, tree: int, at: np.ndarray, open_nodes: list[int]) -> Sums | None:
-        """Sums for the open nodes of a tree, whose rows stand at their nodes."""
-        s, k = self.settings, self.k
-        nodes = np.array(sorted(open_nodes), np.int64)
-        times = multiplicity(self.keys, tree, s["random_state"], s["bootstrap"])
-        place = np.minimum(np.searchsorted(nodes, at), len(nodes) - 1)
-        mine = (nodes[place] == at) & (times > 0)
-        rows = np.flatnonzero(mine)
-        if not len(rows):
-            return None
-        out = Sums(nodes, self.names, k)
-        looked = looks_at([*NUMERIC_FEATURES, *self.names], nodes, tree, s["random_state"], s["n_features"])
-        weight = self.w * times
-
-        def fill(w, n, rows, code):
-            w += np.bincount(code * k + self.y[rows], weight[rows], w.size).astype(np.int64).reshape(w.shape)
-            n += np.bincount(code, minlength=n.size).reshape(n.shape)
-
-        fill(out.total, out.total_n, rows, place[rows])
+    def __init__(self, rows: Iterable, settings: dict):
+        self.settings, self.k = settings, len(settings["classes"])
+        self._taken: dict[str, list] = {}
+        super().__init__(rows)
+        self.__dict__.update({c: np.concatenate(x) for c, x in self._taken.items()})
+        # numbers as (bin, class); the pairs (row, item) of the items without a column
+        self.code = [((np.where(np.isnan(x), 0, np.searchsorted(np.array(e, np.float64), x, "left")) if len(e) else np.zeros(self.n, np.int64))
+                      * self.k + self.y).astype(np.int32) for x, e in zip(self.numbers, settings["edges"], strict=True)]
+        rare = np.ones(len(self.names) + 1, bool)
+        rare[list(self.has)] = False
+        few = rare[self.item]
+        self.few_item, self.few_first = self.item[few], np.searchsorted(self.row[few], np.arange(self.n + 1))
+        self.has_few = np.diff(self.few_first) > 0
+
+    def take(self, batch: pa.RecordBatch) -> None:
+        for c, kind in (("y", np.int32), ("w", np.int64), ("key", np.int64), ("fold", np.int32)):
+            if c in batch.schema.names and batch[c].null_count == 0:
+                self._taken.setdefault(c, []).append(batch[c].to_numpy(zero_copy_only=False).astype(kind))
+
+    def draw(self, tree: int) -> tuple[np.ndarray, np.ndarray]:
+        """The rows that a tree has, and how often every row."""
+        times = multiplicity(self.key, tree, self.settings["random_state"], self.settings["bootstrap"])
+        return np.flatnonzero(times).astype(np.int32), times
+
+    def summed(self, out: Sums, looked: np.ndarray, of: np.ndarray, rows: np.ndarray, at: np.ndarray, bounds: list, weight: np.ndarray) -> Sums:
+        """Fill the sums: ``rows`` stand at the slots ``at``, in groups between ``bounds``; the looks of group
+        g are ``looked[of[g]]``."""
+        k = self.k
+
+        def fill(w, n, code, ws):
+            w += np.bincount(code, ws, w.size).astype(np.int64).reshape(w.shape)
+            n += np.bincount(code, minlength=w.size).reshape(w.shape).sum(-1)
+
+        def some(column):
+            """Rows, slots and weights of the groups that look at a feature."""
+            its = [slice(bounds[g], bounds[g + 1]) for g in np.flatnonzero(looked[of, column]).tolist() if bounds[g] < bounds[g + 1]]
+            return [np.concatenate([x[i] for i in its]) if len(its) > 1 else x[its[0]] for x in (rows, at, weight)] if its else None
+
+        fill(out.total, out.total_n, at * k + self.y[rows], weight)
         width = len(NUMERIC_FEATURES)
         for j in range(width):
-            some = rows[looked[place[rows], j]]
-            fill(out.number, out.number_n, some, (place[some] * width + j) * BINS + self.bins[j][some])
-        pairs = np.flatnonzero(mine[self.part.row])
-        if len(pairs):
-            pairs = pairs[looked[place[self.part.row[pairs]], width + self.part.item[pairs]]]
-            fill(out.item, out.item_n, self.part.row[pairs], place[self.part.row[pairs]] * len(self.names) + self.part.item[pairs])
+            x = some(j)
+            if x:
+                w, n = np.zeros((len(out.nodes), BINS, k), np.int64), np.zeros((len(out.nodes), BINS), np.int64)
+                fill(w, n, x[1] * (BINS * k) + self.code[j][x[0]], x[2])
+                out.number[:, j], out.number_n[:, j] = w, n
+        for j, column in self.has.items():
+            x = some(width + j)
+            if x:
+                here = column[x[0]]
+                w, n = np.zeros((len(out.nodes), k), np.int64), np.zeros(len(out.nodes), np.int64)
+                fill(w, n, x[1][here] * k + self.y[x[0][here]], x[2][here])
+                out.item[:, j], out.item_n[:, j] = w, n
+        some_few = np.flatnonzero(self.has_few[rows]) if len(self.few_item) else []
+        if len(some_few):
+            first = self.few_first[rows[some_few]]
+            many = self.few_first[rows[some_few] + 1] - first
+            item = self.few_item[np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            place = np.repeat(some_few, many)
+            x = looked[of[np.searchsorted(bounds, place, "right") - 1], width + item]
+            place, item = place[x], item[x]
+            fill(out.item, out.item_n, (at[place] * len(self.names) + item) * k + self.y[rows[place]], weight[place])
         return out
 
+    def sums(self, tree: int, groups: list[tuple[int, np.ndarray]], times: np.ndarray) -> Sums:
+        """Sums for open nodes (in order) of a tree with their drawn rows."""
+        s = self.settings
+        nodes, sizes = np.array([node for node, _ in groups], np.int64), [len(r) for _, r in groups]
+        rows = np.concatenate([r for _, r in groups])
+        looked = looks_at([*NUMERIC_FEATURES, *self.names], nodes, tree, s["random_state"], s["n_features"])
+        of = np.arange(len(groups))
+        return self.summed(Sums(nodes, self.names.tolist(), self.k), looked, of, rows, np.repeat(of, sizes), [0, *np.cumsum(sizes).tolist()],
+                           (self.w[rows] * times[rows]).astype(np.float64))
+
     def cells(self, tree: int, s: Sums) -> pa.RecordBatch:
         """The sums as rows of ``HISTOGRAM``; feature '' has the nodes' totals."""
         found = []
-        for w, n, names in ((s.total, s.total_n, None), (s.number, s.number_n, np.array(NUMERIC_FEATURES, object)), (s.item, s.item_n, self.part.names)):
+        for w, n, names in ((s.total, s.total_n, None), (s.number, s.number_n, np.array(NUMERIC_FEATURES, object)), (s.item, s.item_n, self.names)):
             # rows are counted by bin alone: they stand with the class -1
             at_w, at_n = np.argwhere(w), np.argwhere(n)
             for at, values, c in ((at_w, w[tuple(at_w.T)], at_w[:, -1]), (at_n, n[tuple(at_n.T)], np.full(len(at_n), -1))):
@@ -248,23 +328,25 @@ class Grower:
             pa.array(feature, pa.string()), pa.array(b.astype(np.int32)), pa.array(c.astype(np.int32)),
             pa.array(np.where(c >= 0, value, 0)), pa.array(np.where(c < 0, value, 0))], schema=HISTOGRAM)
 
-    def grow(self, trees: list[int]) -> Iterator[pa.RecordBatch]:
+    def grow(self, trees: Iterable[int]) -> Iterator[pa.RecordBatch]:
         """Whole trees of a scope that has one part."""
         for tree in trees:
-            at, done, open_nodes = np.ones(self.part.n, np.int64), {}, [1]
-            while open_nodes:
-                found = self.sums(tree, at, open_nodes)
-                fresh = {x[0]: x for x in found.splits(self.settings)} if found else {}
-                if not fresh and not done:
-                    break  # a tree without rows has no nodes
+            rows, times = self.draw(tree)
+            done, level = {}, [(1, rows)] if len(rows) else []  # a tree without rows has no nodes
+            while level:
+                following = []
+                fresh = {x[0]: x for x in self.sums(tree, level, times).splits(self.settings)}
                 done |= fresh
-                for node in open_nodes:
-                    if node not in fresh:
-                        done[node] = (*done[node][:5], False)
-                    elif fresh[node][1] is not None:
-                        here = np.flatnonzero(at == node)
-                        at[here] = 2 * node + self.part.right(*fresh[node][1:3])[here]
-                open_nodes = [x[0] for x in fresh.values() if x[5]]
+                for node, rows in level:
+                    if fresh[node][1] is None:
+                        continue
+                    right = self.right(*fresh[node][1:3], rows)
+                    for child, its in ((2 * node, rows[~right]), (2 * node + 1, rows[right])):
+                        if fresh[child][5] and len(its):
+                            following.append((child, its))
+                        else:
+                            done[child] = (*fresh[child][:5], False)
+                level = following
             yield _node_rows(self.settings["scope_key"], tree, list(done.values()))
 
 
@@ -308,27 +390,58 @@ def _with_models(rows: DataFrame, models: DataFrame, part_rows: int) -> DataFram
 
 
 def _scoped(tasks: DataFrame, run, result) -> DataFrame:
-    """Run over (model, rows) of every part of a scope."""
+    """Run over (model, Arrow batches of rows) of every part of a scope."""
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flat():
             for b in batches:
-                yield from b.to_pylist()
+                if not b.num_rows:
+                    continue
+                scope, part = b["scope_key"].dictionary_encode(), b["part"].to_numpy()
+                code = scope.indices.to_numpy()
+                cuts = [0, *(np.flatnonzero((code[1:] != code[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(part)]
+                for k, end in zip(cuts, cuts[1:]):
+                    yield (scope[k].as_py(), int(part[k])), b.slice(k, end - k)
+
+        def its_rows(first: pa.RecordBatch, others):
+            for b in chain((first,), (b for _, b in others)):
+                if b.num_rows:
+                    row = b["row"]
+                    yield pa.RecordBatch.from_arrays(row.flatten(), names=[f.name for f in row.type])
+
+        for _, group in groupby(flat(), key=lambda x: x[0]):
+            first = next(group)[1]
+            model, rows = first["model"][0].as_py(), its_rows(first.slice(1), group)
+            one = next(rows, None)
+            if model is not None and one is not None:
+                yield from run(model, chain((one,), rows))
+
+    # a stated number of partitions: the rows are few bytes and much work, so they must not be coalesced by size;
+    # many, so that few tasks hold the parts of several scopes
+    return tasks.repartition(_task_partitions(tasks.sparkSession), "scope_key", "part") \
+        .sortWithinPartitions("scope_key", "part", F.col("model").isNull()).mapInArrow(over, result)
+
+
+def _task_partitions(spark) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 12 * spark.sparkContext.defaultParallelism)
+
+
+def _bunches(settings: DataFrame) -> DataFrame:
+    """Every scope once for each bunch of ``bunch_trees`` of its trees."""
+    held = settings.withColumn("bunch_trees", F.when(F.col("rows") <= PART_ROWS, TREE_BUNCH).otherwise(4 * TREE_BUNCH))
+    return held.withColumn("bunch", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_estimators") - 1) / F.col("bunch_trees")).cast("int"))))
 
-        for _, group in groupby(flat(), key=lambda r: (r["scope_key"], r["part"])):
-            model = next(group)["model"]
-            rows = [r["row"] for r in group]
-            if model is not None and rows:
-                yield from run(model, rows)
 
-    # a stated number of partitions: the rows are few bytes and much work, so they must not be coalesced by size
-    spark = tasks.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return tasks.repartition(n, "scope_key", "part").sortWithinPartitions("scope_key", "part", F.col("model").isNull()).mapInArrow(over, result)
+def _of_bunch(model: dict) -> range:
+    first = model["bunch"] * model["bunch_trees"]
+    return range(first, min(first + model["bunch_trees"], model["n_estimators"]))
 
 
-def train_forests(train: DataFrame, settings: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+def train_forests(train: DataFrame, settings: DataFrame, part_rows: int | None = None) -> DataFrame:
     """Forests of all scopes from rows ``scope_key, key, label, weight, numbers, items`` and their
-    settings (``scope_settings``, whose parameters may be changed; ``first_tree`` numbers the trees)."""
+    settings (``scope_settings``, whose parameters may be changed; ``first_tree`` numbers the trees).
+    Scopes of up to ``WHOLE_ROWS`` rows are grown whole, others in parts of ``PART_ROWS``; ``part_rows``
+    stands for both."""
+    whole_rows, part_rows = part_rows or WHOLE_ROWS, part_rows or PART_ROWS
     if "first_tree" not in settings.columns:
         settings = settings.withColumn("first_tree", F.lit(0))
     settings = _stored(settings)
@@ -343,35 +456,36 @@ def train_forests(train: DataFrame, settings: DataFrame, part_rows: int = PART_R
                             F.array().cast("array<long>").alias("counts"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("open"))
     settings_cols = ["scope_key", "classes", "edges", "n_features", "max_depth", "min_samples_split", "min_samples_leaf", "bootstrap",
                      "random_state"]
-    # scopes of one part: whole trees, in bunches, each on all rows of the scope
-    small = settings.where(F.col("rows") <= part_rows)
-    bunch = F.explode(F.sequence(F.lit(0), F.floor((F.col("n_estimators") - 1) / TREE_BUNCH).cast("int")))
-    bunches = small.select(*settings_cols, "n_estimators", "first_tree", bunch.alias("bunch"))
+    # scopes that are grown whole: all levels of a bunch of trees on all rows of the scope
+    small = settings.where(F.col("rows") <= whole_rows)
+    bunches = _bunches(small).select(*settings_cols, "n_estimators", "first_tree", "bunch", "bunch_trees")
     of_bunch = rows.join(bunches.select("scope_key", "bunch"), "scope_key").select(
         F.concat_ws("#", F.col("bunch").cast("string"), "scope_key").alias("scope_key"), *(c for c in rows.columns if c != "scope_key"))
     asked = bunches.withColumn("of", F.col("scope_key")).withColumn("scope_key", F.concat_ws("#", F.col("bunch").cast("string"), "scope_key"))
 
-    def whole(model: dict, part_list: list[dict]) -> Iterator[pa.RecordBatch]:
-        first = model["bunch"] * TREE_BUNCH
-        trees = range(first, min(first + TREE_BUNCH, model["n_estimators"]))
-        yield from Grower(part_list, {**model, "scope_key": model["of"]}).grow([t + model["first_tree"] for t in trees])
+    def whole(model: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from Grower(batches, {**model, "scope_key": model["of"]}).grow([t + model["first_tree"] for t in _of_bunch(model)])
 
     done = _stored(_scoped(_with_models(of_bunch, asked, 1 << 30), whole, NODE_DDL))
     nodes = _stored(nodes.join(small.select("scope_key"), "scope_key", "left_anti"))
 
-    def run(model: dict, part_list: list[dict]) -> Iterator[pa.RecordBatch]:
-        grower = Grower(part_list, model)
-        trees: dict[int, tuple[list, list]] = {}
+    def run(model: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grower = Grower(batches, model)
+        trees: dict[int, tuple[list, set]] = {}
         for x in model["nodes"]:
-            splits, open_nodes = trees.setdefault(x["tree"], ([], []))
+            splits, open_nodes = trees.setdefault(x["tree"], ([], set()))
             if x["feature"] is not None:
                 splits.append((x["node"], x["feature"], x["threshold"]))
             elif x["open"]:
-                open_nodes.append(x["node"])
+                open_nodes.add(x["node"])
         for tree, (splits, open_nodes) in trees.items():
-            found = grower.sums(tree, grower.part.walk(splits), open_nodes) if open_nodes else None
+            # only the splits above open nodes are walked
+            above = {node >> d for node in open_nodes for d in range(1, node.bit_length())}
+            rows, times = grower.draw(tree)
+            at = grower.walk([x for x in splits if x[0] in above], rows) if open_nodes and len(rows) else {}
+            found = sorted((node, at[node]) for node in open_nodes & at.keys())
             if found:
-                yield grower.cells(tree, found)
+                yield grower.cells(tree, grower.sums(tree, found, times))
 
     # the others: one pass over all parts a level
     while nodes.where("open").limit(1).count():
@@ -380,7 +494,8 @@ def train_forests(train: DataFrame, settings: DataFrame, part_rows: int = PART_R
         models = settings.join(growing, "scope_key", "left_semi").join(held, "scope_key").select(*settings_cols, "nodes")
         cells = _scoped(_with_models(rows.join(growing, "scope_key", "left_semi"), models, part_rows), run,
                         "scope_key string, tree int, node long, feature string, bin int, y int, w long, n long")
-        sums = cells.groupBy("scope_key", "tree", "node", "feature", "bin", "y").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
+        # a stated number of partitions, here too: a tree's sums are few bytes and much work
+        sums = cells.repartition(_task_partitions(cells.sparkSession), "scope_key", "tree").groupBy("scope_key", "tree", "node", "feature", "bin", "y").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
         of = settings.select(F.col("scope_key").alias("of_scope"), F.explode(trees).alias("of_tree"), *settings_cols)
         fresh = sums.groupBy("scope_key", "tree").cogroup(of.groupBy("of_scope", "of_tree")).applyInArrow(
             lambda a, b: split_tree(a, b) if len(a) else NODE.empty_table(), NODE_DDL)
@@ -409,7 +524,7 @@ def load_forests(spark, folder: str, version: str) -> tuple[DataFrame, DataFrame
 
 
 def warm_start(nodes: DataFrame, classes: DataFrame, train: DataFrame, settings: DataFrame, extra_trees: int,
-               part_rows: int = PART_ROWS) -> tuple[DataFrame, DataFrame]:
+               part_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(node tables, classes): scopes whose classes are those of their old forest keep its trees and get
     ``extra_trees`` more, grown on the new rows; the others, and new scopes, are trained anew."""
     old = classes.select("scope_key", F.col("classes").alias("old"))
@@ -440,23 +555,31 @@ def score(rows: DataFrame, nodes: DataFrame, classes: DataFrame, *keep: str, top
     result = StructType([kinds[c] for c in keep]).add("predicted_label", "string").add("confidence", "double").add("top_k", top_type)
     schema = to_arrow_schema(result)
 
-    def run(model: dict, part_list: list[dict]) -> Iterator[pa.RecordBatch]:
-        part, names = Part(part_list), model["classes"]
+    def run(model: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        part, names = Part(batches), model["classes"]
         trees: dict[int, list] = {}
         for x in model["nodes"]:
             trees.setdefault(x["tree"], []).append(x)
-        total = np.zeros((part.n, len(names)))
+        total, at_leaf = np.zeros((part.n, len(names))), np.zeros(part.n, np.int32)
         for tree in sorted(trees):
             at = part.walk([(x["node"], x["feature"], x["threshold"]) for x in trees[tree] if x["feature"] is not None])
-            leaves = sorted((x["node"], x["counts"]) for x in trees[tree] if x["feature"] is None)
-            votes = np.array([c for _, c in leaves], np.float64)
-            total += (votes / votes.sum(1, keepdims=True))[np.searchsorted([n for n, _ in leaves], at)]
+            leaves = {x["node"]: (k, x["counts"]) for k, x in enumerate(x for x in trees[tree] if x["feature"] is None)}
+            votes = np.array([c for _, c in leaves.values()], np.float64)
+            for node, here in at.items():
+                at_leaf[here] = leaves[node][0]
+            total += (votes / votes.sum(1, keepdims=True))[at_leaf]
         total /= len(trees)
         order = np.argsort(total, axis=1, kind="stable")[:, ::-1][:, :top]
-        out = [{**{c: r[c] for c in keep}, "predicted_label": names[o[0]], "confidence": float(p[o[0]]),
-                "top_k": [{"label": names[j], "prob": float(p[j])} for j in o]} for r, p, o in zip(part_list, total, order, strict=True)]
-        for k in range(0, len(out), 5000):
-            yield pa.RecordBatch.from_pylist(out[k:k + 5000], schema=schema)
+        labels, first = pa.array(names, pa.string()), 0
+        for b in batches:
+            o = order[first:first + b.num_rows]
+            p = np.take_along_axis(total[first:first + b.num_rows], o, 1)
+            first += b.num_rows
+            each = pa.StructArray.from_arrays([labels.take(pa.array(o.reshape(-1))), pa.array(p.reshape(-1))], names=["label", "prob"])
+            ends = pa.array(np.arange(0, o.size + 1, o.shape[1], dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*(b[c].cast(schema.field(c).type) for c in keep), labels.take(pa.array(o[:, 0].copy())),
+                                              pa.array(p[:, 0].copy()), pa.ListArray.from_arrays(ends, each).cast(schema.field("top_k").type)], schema=schema)
 
     scored = _scoped(_with_models(known, models, part_rows), run, result)
     lost = rows.join(models.select("scope_key"), "scope_key", "left_anti").select(

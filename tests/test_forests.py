@@ -189,3 +189,22 @@ def test_saved_forests_score_every_tenant_by_its_own_or_the_global_one(spark, fr
 def test_an_empty_frame_has_no_forest(spark, frame):
     none = frame.where("false")
     assert FO.train_forests(none, FO.scope_settings(none)).count() == 0
+
+
+def test_large_scopes_are_grown_whole_in_few_bunches(spark):
+    settings = spark.createDataFrame([("small", 20_000, 300), ("large", 600_000, 300)], "scope_key string, rows long, n_estimators int")
+    got = {(r.scope_key, r.bunch): list(FO._of_bunch(r.asDict())) for r in FO._bunches(settings).collect()}
+    assert [len(got["large", k]) for k in range(3)] == [100] * 3 and len([k for k in got if k[0] == "small"]) == 12
+    assert sorted(t for (s, _), trees in got.items() if s == "large" for t in trees) == list(range(300))
+    assert FO.WHOLE_ROWS >= 600_000 > FO.PART_ROWS
+
+
+def test_part_walks_only_the_rows_that_stand_at_a_node():
+    held = [{"numbers": [float(k), None, 1.0, 2.0, 3.0], "items": ["a=b"] * (k % 2) + [f"symptom={k}"]} for k in range(40)]
+    part = FO.Part(held)
+    assert list(part.has) == [part.at["a=b"]]  # the others have lists of rows
+    at = part.walk([(1, "age_months", 19.5), (3, "a=b", None), (7, "symptom=31", None), (2, "unknown", None)])
+    assert {node: rows.tolist() for node, rows in at.items()} == {
+        4: list(range(20)), 6: list(range(20, 40, 2)), 14: [k for k in range(21, 40, 2) if k != 31], 15: [31]}
+    assert FO.multiplicity(np.arange(5000), 3, 42, True).tolist() == np.searchsorted(
+        FO._POISSON, FO._share(np.arange(5000).view(np.uint64) ^ FO._mixed(np.array([42 * 1_000_003 + 3], np.uint64))[0]), "right").tolist()
