@@ -6,7 +6,7 @@ fit are the whole sums minus those of its own fold.  Where fits split differentl
 held-out rows walk along and get the votes of the leaf that they end in, so no node table is written.
 A fit's trees are those of ``forests.train_forests`` on its rows, with the settings of its scope.
 
-A scope of more than ``part_rows`` rows does not fit one task: its fits are grown as forests of their
+A scope of more than ``forests.WHOLE_ROWS`` rows does not fit one task: its fits are grown as forests of their
 own by the level passes of ``forests``, all in one job.  Both ways give the same trees.
 
 Folds: the position of a row in its class, in an order drawn by a hash for every repeat, modulo k; k
@@ -35,7 +35,7 @@ CELLS = 4_000_000
 #: A leaf's share of a class in whole numbers, so that sums do not depend on the order of trees.
 SHARE = 1 << 32
 VOTES = pa.schema([("scope_key", pa.string()), ("repeat", pa.int32()), ("fold", pa.int32()), ("row_key", pa.string()),
-                   ("label", pa.string()), ("class", pa.string()), ("y", pa.int32()), ("votes", pa.int64())])
+                   ("label", pa.string()), ("votes", pa.list_(pa.int64()))])
 
 
 def stratified_folds(rows: DataFrame, repeats: int, seed: int, cfg: Config = DEFAULT) -> DataFrame:
@@ -53,14 +53,9 @@ def stratified_folds(rows: DataFrame, repeats: int, seed: int, cfg: Config = DEF
 class FoldGrower(FO.Grower):
     """The trees of all fits of a repeat on the rows of one scope."""
 
-    def __init__(self, rows: list[dict], settings: dict):
-        super().__init__(rows, settings)
-        self.fold = np.array([r["fold"] for r in rows], np.int64)
-        self.first = np.searchsorted(self.part.row, np.arange(self.part.n + 1))
-
     def _sums(self, tree: int, times: np.ndarray, groups: list[tuple]) -> FO.Sums:
         """Sums of every (group, fit): those of the group's rows minus those of the fit's fold."""
-        s, k, width, names = self.settings, self.k, len(NUMERIC_FEATURES), len(self.names)
+        s, names = self.settings, self.names.tolist()
         base = np.cumsum([0, *(len(fits) + (len(fits) > 1) for _, _, fits in groups)])
         # slot of a group's rows by fold: the own folds of its fits stand apart; a lone fit's own fold is left out
         slot = np.repeat(base[:-1, None], s["folds"], 1)
@@ -72,29 +67,15 @@ class FoldGrower(FO.Grower):
         rows = np.concatenate([r for _, r, _ in groups])
         group = np.repeat(np.arange(len(groups)), [len(r) for _, r, _ in groups])
         at = slot[group, self.fold[rows]]
-        drawn = (at >= 0) & (times[rows] > 0)
-        rows, group, at = rows[drawn], group[drawn], at[drawn]
+        drawn = np.flatnonzero((at >= 0) & (times[rows] > 0))
+        rows, at = rows[drawn], at[drawn]
+        bounds = [0, *np.cumsum(np.bincount(group[drawn], minlength=len(groups))).tolist()]
         nodes = np.array([node for node, _, _ in groups], np.int64)
-        looked = FO.looks_at([*NUMERIC_FEATURES, *self.names], nodes, tree, s["random_state"], s["n_features"])
-        held, weight = FO.Sums(np.zeros(base[-1], np.int64), self.names, k), times * FO.UNIT
-
-        def fill(w, n, some, code):
-            w += np.bincount(code * k + self.y[some], weight[some], w.size).astype(np.int64).reshape(w.shape)
-            n += np.bincount(code, minlength=n.size).reshape(n.shape)
-
-        fill(held.total, held.total_n, rows, at)
-        for j in range(width):
-            x = looked[group, j]
-            fill(held.number, held.number_n, rows[x], (at[x] * width + j) * FO.BINS + self.bins[j][rows[x]])
-        if names:
-            many = self.first[rows + 1] - self.first[rows]
-            place = np.repeat(self.first[rows] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) \
-                if len(rows) else np.empty(0, np.int64)
-            item, of_group, of_slot, some = self.part.item[place], np.repeat(group, many), np.repeat(at, many), np.repeat(rows, many)
-            x = looked[of_group, width + item]
-            fill(held.item, held.item_n, some[x], of_slot[x] * names + item[x])
+        looked = FO.looks_at([*NUMERIC_FEATURES, *names], nodes, tree, s["random_state"], s["n_features"])
+        held = self.summed(FO.Sums(np.zeros(base[-1], np.int64), names, self.k), looked, np.arange(len(groups)), rows, at, bounds,
+                           (times[rows] * FO.UNIT).astype(np.float64))
         g, own = (np.array(c) for c in zip(*pairs, strict=True))
-        out = FO.Sums(nodes[g], self.names, k)
+        out = FO.Sums(nodes[g], names, self.k)
         for name in ("total", "total_n", "number", "number_n", "item", "item_n"):
             cells = getattr(held, name)
             whole = np.add.reduceat(cells, base[:-1], axis=0)[g]
@@ -105,7 +86,7 @@ class FoldGrower(FO.Grower):
 
     def votes(self, trees) -> np.ndarray:
         """The leaf shares that every row gets from the trees of the fit that leaves it out."""
-        out = np.zeros((self.part.n, self.k), np.int64)
+        out = np.zeros((self.n, self.k), np.int64)
         per_slot = (len(NUMERIC_FEATURES) * FO.BINS + len(self.names) + 1) * (self.k + 1)
         wide = max(1, CELLS // (per_slot * (self.settings["folds"] + 1)))
 
@@ -115,8 +96,8 @@ class FoldGrower(FO.Grower):
                 out[own] += np.round(counts / counts.sum() * SHARE).astype(np.int64)
 
         for tree in trees:
-            times = FO.multiplicity(self.keys, tree, self.settings["random_state"], self.settings["bootstrap"])
-            level = [(1, np.arange(self.part.n), list(range(self.settings["folds"])))]
+            times = FO.multiplicity(self.key, tree, self.settings["random_state"], self.settings["bootstrap"])
+            level = [(1, np.arange(self.n, dtype=np.int32), list(range(self.settings["folds"])))]
             while level:
                 following = []
                 for k in range(0, len(level), wide):
@@ -131,7 +112,7 @@ class FoldGrower(FO.Grower):
                             else:
                                 by_split.setdefault((feature, threshold), []).append((fit, next(found), next(found)))
                         for (feature, threshold), held in by_split.items():
-                            right = self.part.right(feature, threshold)[rows]
+                            right = self.right(feature, threshold, rows)
                             for side, its in ((1, rows[~right]), (2, rows[right])):
                                 for x in held:
                                     if not x[side][5]:
@@ -144,42 +125,46 @@ class FoldGrower(FO.Grower):
 
 
 def fold_predictions(train: DataFrame, settings: DataFrame, repeats: int, seed: int, cfg: Config = DEFAULT,
-                     part_rows: int = FO.PART_ROWS) -> DataFrame:
+                     part_rows: int | None = None) -> DataFrame:
     """``scope_key, repeat, fold, row_key, label, predicted_label`` of every row as held-out row of every
     repeat, from rows ``scope_key, key, label, numbers, items`` and the settings of their scopes."""
     settings = FO._stored(settings)
     rows = FO._stored(stratified_folds(train.select("scope_key", "key", "label", "numbers", "items"), repeats, seed, cfg))
     of = rows.select("scope_key", "folds", "repeat").distinct().join(settings, "scope_key")
-    return _shared(rows, of.where(F.col("rows") <= part_rows)).unionByName(_apart(rows, of.where(F.col("rows") > part_rows), part_rows))
+    large = F.col("rows") > (part_rows or FO.WHOLE_ROWS)
+    return _shared(rows, of.where(~large)).unionByName(_apart(rows, of.where(large), part_rows))
 
 
 def _shared(rows: DataFrame, of: DataFrame) -> DataFrame:
-    """Scopes of one part: tasks take a bunch of trees of all fits of a repeat."""
-    bunch = F.explode(F.sequence(F.lit(0), F.floor((F.col("n_estimators") - 1) / FO.TREE_BUNCH).cast("int")))
+    """Scopes of one part: tasks take a bunch of trees of all fits of a repeat and give every row's votes by class."""
     name = F.concat_ws("#", F.col("bunch").cast("string"), F.col("repeat").cast("string"), F.col("scope_key"))
-    bunches = of.withColumn("bunch", bunch).withColumn("of", F.col("scope_key"))
+    bunches = FO._bunches(of).withColumn("of", F.col("scope_key"))
     tasks = rows.join(bunches.select("scope_key", "repeat", "bunch", "classes"), ["scope_key", "repeat"]).select(
         name.alias("scope_key"), F.xxhash64("key").alias("key"), F.col("key").cast("string").alias("row_key"), "label", "fold", "numbers", "items",
         (F.array_position("classes", F.col("label")) - 1).cast("int").alias("y"), F.lit(FO.UNIT).cast("long").alias("w"))
 
-    def run(model: dict, held: list[dict]) -> Iterator[pa.RecordBatch]:
-        first = model["bunch"] * FO.TREE_BUNCH
-        votes = FoldGrower(held, model).votes(range(first, min(first + FO.TREE_BUNCH, model["n_estimators"])))
-        n = len(held)
-        for y, label in enumerate(model["classes"]):
+    def run(model: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        votes, first = FoldGrower(batches, model).votes(FO._of_bunch(model)), 0
+        for b in batches:
+            n, mine = b.num_rows, votes[first:first + b.num_rows]
+            first += n
             yield pa.RecordBatch.from_arrays([
-                pa.array([model["of"]] * n, pa.string()), pa.array([model["repeat"]] * n, pa.int32()), pa.array([r["fold"] for r in held], pa.int32()),
-                pa.array([r["row_key"] for r in held], pa.string()), pa.array([r["label"] for r in held], pa.string()),
-                pa.array([label] * n, pa.string()), pa.array([y] * n, pa.int32()), pa.array(votes[:, y])], schema=VOTES)
+                pa.array([model["of"]] * n, pa.string()), pa.array([model["repeat"]] * n, pa.int32()), b["fold"].cast(pa.int32()), b["row_key"], b["label"],
+                pa.ListArray.from_arrays(pa.array(np.arange(0, mine.size + 1, mine.shape[1], dtype=np.int32)), pa.array(mine.reshape(-1)))],
+                schema=VOTES)
 
     votes = FO._scoped(FO._with_models(tasks, bunches.withColumn("scope_key", name), 1 << 30), run,
-                       "scope_key string, repeat int, fold int, row_key string, label string, class string, y int, votes long")
+                       "scope_key string, repeat int, fold int, row_key string, label string, votes array<long>")
     row = ["scope_key", "repeat", "fold", "row_key", "label"]
-    return votes.groupBy(*row, "class", "y").agg(F.sum("votes").alias("votes")).groupBy(*row).agg(
-        F.max_by("class", F.struct("votes", "y")).alias("predicted_label"))
+    added = F.reduce(F.collect_list("votes"), F.array().cast("array<long>"),
+                     lambda a, b: F.when(F.size(a) == 0, b).otherwise(F.zip_with(a, b, lambda x, y: x + y)))
+    best = F.array_max(F.transform(F.col("votes"), lambda v, y: F.struct(v.alias("v"), y.alias("y"))))["y"]
+    return votes.groupBy(*row).agg(added.alias("votes")).join(F.broadcast(of.select("scope_key", "classes").distinct()), "scope_key") \
+        .select(*row, F.get("classes", best).alias("predicted_label"))
 
 
-def _apart(rows: DataFrame, of: DataFrame, part_rows: int) -> DataFrame:
+def _apart(rows: DataFrame, of: DataFrame, part_rows: int | None) -> DataFrame:
     """Scopes of several parts: every fit is a forest of its own, all grown by the same passes."""
     def name(fit):
         return F.concat_ws("#", F.col("repeat").cast("string"), fit.cast("string"), F.col("scope_key")).alias("scope_key")
@@ -191,12 +176,12 @@ def _apart(rows: DataFrame, of: DataFrame, part_rows: int) -> DataFrame:
     nodes = FO._stored(FO.train_forests(train.select(name(F.col("fit")), "key", "label", F.lit(1.0).alias("weight"), "numbers", "items"), settings, part_rows))
     held = mine.select(name(F.col("fold")), "key", "numbers", "items", F.col("scope_key").alias("of"), "repeat", "fold",
                        F.col("key").cast("string").alias("row_key"), "label")
-    return FO.score(held, nodes, settings, "of", "repeat", "fold", "row_key", "label", part_rows=part_rows) \
+    return FO.score(held, nodes, settings, "of", "repeat", "fold", "row_key", "label", part_rows=part_rows or FO.PART_ROWS) \
         .select(F.col("of").alias("scope_key"), "repeat", "fold", "row_key", "label", "predicted_label")
 
 
 def cross_validate(train: DataFrame, settings: DataFrame, repeats: int, seed: int, cfg: Config = DEFAULT,
-                   part_rows: int = FO.PART_ROWS) -> DataFrame:
+                   part_rows: int | None = None) -> DataFrame:
     """``scope_key, repeat, fold, accuracy, f1_weighted`` of every fit."""
     held = FO._stored(fold_predictions(train, settings, repeats, seed, cfg, part_rows))
     return E.classification_metrics(held, "label", "predicted_label", by=["scope_key", "repeat", "fold"]) \

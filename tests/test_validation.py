@@ -154,3 +154,7 @@ def test_empty_frames(frame, scored):
     assert CV.cross_validate(none, FO.scope_settings(none), 2, 7).count() == 0
     empty = scored.where("false")
     assert CA.apply_isotonic(empty, CA.fit_isotonic(empty, 50), "key").count() == 0
+
+
+def test_votes_of_a_task_are_one_row_a_held_out_row():
+    assert CV.VOTES.names == ["scope_key", "repeat", "fold", "row_key", "label", "votes"]
