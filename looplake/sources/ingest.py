@@ -93,8 +93,11 @@ def write_csv(df: DataFrame, path: str, partition_by: list | None = None) -> str
 
 
 def dataset_export(snapshot: DataFrame, path: str, by: list | None = None) -> str:
-    """Snapshot rows to CSV with a header, one folder per training id (or per ``by``)."""
-    return write_csv(snapshot, path, by or ["training_id"])
+    """Snapshot rows to CSV with a header, one folder per training id (or per ``by``) with one file: the
+    rows of a folder are brought to one task first, else every task writes a file to nearly every folder."""
+    by = by or ["training_id"]
+    n = int(snapshot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return write_csv(snapshot.repartition(n, *by), path, by)
 
 
 def dataset_summary(snapshot: DataFrame, by: list | None = None) -> DataFrame:
