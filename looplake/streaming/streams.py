@@ -11,6 +11,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,6 +24,7 @@ from looplake.operators import drift as D
 from looplake.operators import monitor as M
 from looplake.operators import ordering as O
 from looplake.operators import state as ST
+from looplake.session import cut_lineage
 from looplake.sources.ingest import shared_path
 
 MONITOR_SCHEMA = T.StructType([
@@ -36,9 +38,10 @@ MONITOR_SCHEMA = T.StructType([
 def write_files(df: DataFrame, path: str, n_files: int, order_col: str) -> str:
     """Land a table as ``n_files`` arrivals by equal-width ranges of ``order_col``: each range
     is written as its own commit, so file modification times follow the arrival order that a
-    file stream source replays."""
+    file stream source replays.  The table is computed once and kept for its bounds and its ranges."""
     import time
 
+    df = cut_lineage(df)
     b = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
     lo, hi = b["lo"], b["hi"]
     width = (hi - lo + 1) / n_files
@@ -175,14 +178,15 @@ def _make_trigger_fn(batch_size: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(pdfs), ignore_index=True)
         last_id, pending = state.get if state.exists else (int(pdf["start_id"].iloc[0]), [])
-        ids = {int(i) for i in pdf.loc[pdf["is_training_eligible"].fillna(True), "id"] if int(i) > last_id}
-        pending, out = sorted({*pending, *ids}), []
-        while len(pending) >= batch_size and not pdf["cooling"].any():
-            batch, pending = pending[:batch_size], pending[batch_size:]
+        ids = pdf.loc[pdf["is_training_eligible"].fillna(True).astype(bool), "id"].to_numpy(np.int64)
+        pending, out = np.union1d(np.array(pending, np.int64), ids[ids > last_id]).tolist(), []
+        full = 0 if pdf["cooling"].any() else len(pending) // batch_size
+        for k in range(full):
+            batch = pending[k * batch_size:(k + 1) * batch_size]
             key_hex = hashlib.sha256(json.dumps(batch, separators=(",", ":")).encode("utf-8")).hexdigest()
             out.append((key[0], batch[0], batch[-1], ",".join(map(str, batch)), key_hex))
             last_id = batch[-1]
-        state.update((last_id, pending))
+        state.update((last_id, pending[full * batch_size:]))
         yield pd.DataFrame(out, columns=[f.name for f in TRIGGER_OUT.fields])
     return fn
 
