@@ -150,12 +150,17 @@ FEATURE_SCHEMA = T.StructType([
 ])
 
 
-def feature_columns(json_col: str = "prediction_input") -> list[Column]:
-    """The 11 typed feature columns out of the prediction input JSON."""
-    s = F.from_json(F.col(json_col), FEATURE_SCHEMA)
+def parse_features(df: DataFrame, json_col: str = "prediction_input", out: str = "_input") -> DataFrame:
+    """The prediction input JSON as a column of its own, for ``feature_columns``: eleven fields taken from
+    ``from_json`` in one projection are eleven parsers, each over the whole text."""
+    return df.withColumn(out, F.from_json(F.col(json_col), FEATURE_SCHEMA))
+
+
+def feature_columns(parsed: str = "_input") -> list[Column]:
+    """The 11 typed feature columns out of the parsed prediction input."""
     out = []
     for f in FEATURES:
-        c = s[f]
+        c = F.col(parsed)[f]
         if f == "medical_history":
             c = F.coalesce(c, F.lit("Unknown"))
         elif f == "symptoms_list":
@@ -165,7 +170,7 @@ def feature_columns(json_col: str = "prediction_input") -> list[Column]:
 
 
 def extract_features(predictions: DataFrame, keep=("id",)) -> DataFrame:
-    return predictions.select(*[F.col(k) for k in keep], *feature_columns())
+    return parse_features(predictions).select(*[F.col(k) for k in keep], *feature_columns())
 
 
 def stored_diagnosis(predictions: DataFrame) -> DataFrame:
@@ -241,7 +246,8 @@ def training_snapshot(batch_feedback: DataFrame, predictions: DataFrame) -> Data
                             F.struct(F.col("created_at"), F.col("prediction_input")).alias("_v"))
          .groupBy("_pid").agg(F.max_by("_v", "_v.created_at").alias("_v")))
     j = batch_feedback.join(p, batch_feedback["prediction_id"].cast("string") == p["_pid"], "inner")
-    raw = F.from_json(F.col("_v.prediction_input"), FEATURE_SCHEMA)
+    j = parse_features(j, "_v.prediction_input")
+    raw = F.col("_input")
     ts = F.date_format(F.col("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
     return j.select("prediction_id", ts.alias("timestamp"), "final_diagnosis", "ai_diagnosis", "is_correct",
                     "confidence_rating", "data_quality_score", *[raw[f].alias(f) for f in FEATURES])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from looplake.config import DEFAULT, FEATURES, LABEL, Config
 from looplake.functions import scalars as S
 from looplake.operators import ordering as O
-from looplake.operators.scope import dedup_predictions_by_text_id, feature_columns
+from looplake.operators.scope import dedup_predictions_by_text_id, feature_columns, parse_features
 from looplake.session import cut_lineage
 
 FRAME_COLUMNS = ("scope_key", "source", "row_key", *FEATURES, "label", "weight", "sample_ts")
@@ -30,9 +30,11 @@ def match_feedback(feedback: DataFrame, predictions: DataFrame) -> DataFrame:
     """Feedback joined to its prediction on the text id (first prediction per id wins),
     with the 11 features parsed from the prediction input."""
     p = dedup_predictions_by_text_id(predictions, ["prediction_input", "created_at"]).select(
-        "_tid", F.col("created_at").alias("_pts"), *feature_columns("prediction_input"))
+        "_tid", F.col("created_at").alias("_pts"), F.col("prediction_input").alias("_json"))
     f = feedback.where(F.col("prediction_id").isNotNull())
-    return f.join(p, f["prediction_id"].cast("string") == p["_tid"], "inner").drop("_tid")
+    # only the matched inputs are parsed, each once
+    m = parse_features(f.join(p, f["prediction_id"].cast("string") == p["_tid"], "inner"), "_json")
+    return m.select(*[f[c] for c in f.columns], "_pts", *feature_columns())
 
 
 def explode_feedback_signals(matched: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -109,7 +111,8 @@ def mix_core_memory(frame: DataFrame, baseline: DataFrame, cfg: Config = DEFAULT
     if not (0.0 < cfg.core_memory_ratio < 1.0) or cfg.core_memory_max_rows <= 0:
         return frame
     n = frame.groupBy("scope_key").agg(core_memory_count(F.count(F.lit(1)), cfg).alias("_core_n"))
-    cand = hash_ranked(baseline, cfg.core_memory_max_rows, cfg.seed, "row_id")
+    # at most core_memory_max_rows rows, kept: every reader of the frame would rank the whole baseline again
+    cand = cut_lineage(hash_ranked(baseline, cfg.core_memory_max_rows, cfg.seed, "row_id"))
     # an equi-join on the position; the candidates are bounded by core_memory_max_rows
     wanted = n.where("_core_n > 0").select("scope_key", F.explode(F.sequence(F.lit(1), F.col("_core_n").cast("int"))).alias("pos"))
     core = (wanted.join(F.broadcast(cand), "pos")
@@ -140,13 +143,14 @@ def complete_classes(frame: DataFrame, baseline: DataFrame, cfg: Config = DEFAUL
     """Per scope, add ``k`` reference rows for each baseline label missing after the core mix."""
     if cfg.completion_per_missing_class <= 0:
         return frame
-    # one row with the model's classes, and one row a scope with the classes it has
-    labels = baseline.agg(F.collect_set(F.col(LABEL).cast("string")).alias("_all"))
+    # a few rows of every class, kept: every reader of the frame would pick from the whole baseline again
+    picks = cut_lineage(per_class_pick(baseline.withColumn("label", F.col(LABEL).cast("string")), "label",
+                                       cfg.completion_per_missing_class, cfg.seed, "row_id"))
+    # one row with the model's classes (each has a pick), and one row a scope with the classes it has
+    labels = picks.agg(F.collect_set("label").alias("_all"))
     present = frame.groupBy("scope_key").agg(F.collect_set("label").alias("_have"))
     missing = present.crossJoin(F.broadcast(labels)).select(
         "scope_key", F.explode(F.array_except("_all", "_have")).alias("label"))
-    picks = per_class_pick(baseline.withColumn("label", F.col(LABEL).cast("string")), "label",
-                           cfg.completion_per_missing_class, cfg.seed, "row_id")
     add = missing.join(picks, "label").select(
         "scope_key", *baseline_rows(picks, "completion", "m:", cfg.completion_quality_score, COMPLETION_TS))
     return frame.unionByName(add)
