@@ -97,15 +97,16 @@ def calibrate(valid: DataFrame, labels: list[str], prob_col: str = "probability_
         raise ValueError(f"unknown calibration method {method!r}")
     if valid.count() < min_rows:
         return []
-    models = []
-    for k in range(len(labels)):
-        d = valid.select(F.element_at(F.col(prob_col), k + 1).alias("p"),
-                         (F.col(label_idx) == k).cast("double").alias("y"))
-        d = d.select(array_to_vector(F.array("p")).alias("features"), "y")
-        fit = IsotonicRegression(featuresCol="features", labelCol="y") if method == "isotonic" else \
-            LogisticRegression(featuresCol="features", labelCol="y", maxIter=50)
-        models.append(fit.fit(d))
-    return models
+    # few numbers a row: stored once, for the passes of all fits
+    rows = cut_lineage(valid.select(F.col(prob_col).alias("p"), F.col(label_idx).alias("y")))
+
+    def fit(k: int):
+        d = rows.select(array_to_vector(F.array(F.element_at("p", k + 1))).alias("features"), (F.col("y") == k).cast("double").alias("y"))
+        return (IsotonicRegression(featuresCol="features", labelCol="y") if method == "isotonic" else
+                LogisticRegression(featuresCol="features", labelCol="y", maxIter=50)).fit(d)
+
+    with ThreadPoolExecutor(max_workers=4) as ex:
+        return list(ex.map(fit, range(len(labels))))
 
 
 def apply_calibration(df: DataFrame, models: list, prob_col: str = "probability_arr") -> DataFrame:
