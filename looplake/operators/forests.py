@@ -48,6 +48,9 @@ WHOLE_ROWS = 2_000_000
 #: Trees that a task grows of a scope of up to PART_ROWS rows; of larger ones four times as many, so that
 #: their rows go to fewer tasks.
 TREE_BUNCH = 25
+#: Tests that are held for all rows of a part, and rows that step through the trees at a time.
+TESTS = 512
+BLOCK = 4096
 _POISSON = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)])
 #: The same limits for the 53 bits of a hash.
 _POISSON_BITS = np.ceil(_POISSON * 2.0**53).astype(np.uint64)
@@ -379,14 +382,16 @@ def split_tree(cells: pa.Table, settings: pa.Table) -> pa.Table:
 
 
 def _with_models(rows: DataFrame, models: DataFrame, part_rows: int) -> DataFrame:
-    """Task rows: the model of a scope once for each part of its rows, then these."""
+    """Task rows: the model of a scope once for each part of its rows (``head``), then these.  Beside a row the
+    model's lists are empty, not null: Spark's Arrow writer sizes a batch after every row and walks back over
+    all nulls of a list each time."""
     sizes = rows.groupBy("scope_key").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))
     each = models.join(sizes, "scope_key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     split = rows.join(sizes, "scope_key").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    return each.select("scope_key", "part", F.struct(*models.columns).alias("model"), F.lit(None).cast(split.select(
+    none = F.struct(*((F.array() if isinstance(f.dataType, ArrayType) else F.lit(None)).cast(f.dataType).alias(f.name) for f in models.schema.fields))
+    return each.select("scope_key", "part", F.lit(True).alias("head"), F.struct(*models.columns).alias("model"), F.lit(None).cast(split.select(
         F.struct(*rows.columns)).schema[0].dataType).alias("row")).unionByName(split.select(
-            "scope_key", "part", F.lit(None).cast(models.select(F.struct(*models.columns)).schema[0].dataType).alias("model"),
-            F.struct(*rows.columns).alias("row")))
+            "scope_key", "part", F.lit(False).alias("head"), none.alias("model"), F.struct(*rows.columns).alias("row")))
 
 
 def _scoped(tasks: DataFrame, run, result) -> DataFrame:
@@ -410,15 +415,17 @@ def _scoped(tasks: DataFrame, run, result) -> DataFrame:
 
         for _, group in groupby(flat(), key=lambda x: x[0]):
             first = next(group)[1]
+            if not first["head"][0].as_py():
+                continue
             model, rows = first["model"][0].as_py(), its_rows(first.slice(1), group)
             one = next(rows, None)
-            if model is not None and one is not None:
+            if one is not None:
                 yield from run(model, chain((one,), rows))
 
     # a stated number of partitions: the rows are few bytes and much work, so they must not be coalesced by size;
     # many, so that few tasks hold the parts of several scopes
     return tasks.repartition(_task_partitions(tasks.sparkSession), "scope_key", "part") \
-        .sortWithinPartitions("scope_key", "part", F.col("model").isNull()).mapInArrow(over, result)
+        .sortWithinPartitions("scope_key", "part", ~F.col("head")).mapInArrow(over, result)
 
 
 def _task_partitions(spark) -> int:
@@ -542,6 +549,57 @@ def warm_start(nodes: DataFrame, classes: DataFrame, train: DataFrame, settings:
     return kept, known
 
 
+def add_votes(part: Part, trees: list[list], total: np.ndarray) -> None:
+    """Add the leaf shares of all trees to the rows' totals, tree by tree.  The tests of a group of trees are taken
+    once for all rows; then every row steps from node to node, where a leaf has a test that no row passes and
+    itself as child."""
+    first = 0
+    while first < len(trees):
+        tests: dict[tuple, int] = {}
+        group = []
+        for tree in trees[first:]:
+            its = {(x["feature"], x["threshold"]) for x in tree if x["feature"] is not None}
+            if group and len(its | tests.keys()) > TESTS:
+                break
+            for t in its:
+                tests.setdefault(t, len(tests))
+            group.append(tree)
+        first += len(group)
+        passed = np.zeros((len(tests) + 1, part.n), np.uint8)
+        for (feature, threshold), k in tests.items():
+            passed[k] = part.right(feature, threshold)
+        passed = passed.reshape(-1)
+        tables = [_stepping(tree, tests, part.n) for tree in group]
+        for start in range(0, part.n, BLOCK):
+            rows = np.arange(start, min(start + BLOCK, part.n))
+            at, x = np.empty(len(rows), np.int64), np.empty(len(rows), np.uint8)
+            out = total[start:start + len(rows)]
+            for test, child, depth, votes in tables:
+                node = np.zeros(len(rows), np.int64)
+                for _ in range(depth):
+                    np.take(test, node, out=at, mode="clip")
+                    at += rows
+                    np.take(passed, at, out=x, mode="clip")
+                    np.take(child, node, out=at, mode="clip")
+                    np.add(at, x, out=node)
+                out += votes.take(node, axis=0)
+
+
+def _stepping(tree: list, tests: dict[tuple, int], n: int) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    """(first cell of the test, left child, depth, leaf shares) of the nodes of a tree; a right child stands next to the left one."""
+    of = {x["node"]: x for x in tree}
+    order = [1]
+    for node in order:
+        if of[node]["feature"] is not None:
+            order += (2 * node, 2 * node + 1)
+    place = {node: k for k, node in enumerate(order)}
+    split = [of[node]["feature"] is not None for node in order]
+    test = np.array([tests[of[node]["feature"], of[node]["threshold"]] if s else len(tests) for node, s in zip(order, split)], np.int64) * n
+    child = np.array([place[2 * node] if s else place[node] for node, s in zip(order, split)], np.int64)
+    votes = np.array([of[node]["counts"] for node in order], np.float64)
+    return test, child, order[-1].bit_length() - 1, votes / votes.sum(1, keepdims=True)
+
+
 def score(rows: DataFrame, nodes: DataFrame, classes: DataFrame, *keep: str, top: int = 3, part_rows: int = PART_ROWS) -> DataFrame:
     """``keep, predicted_label, confidence, top_k`` of rows ``scope_key, key, numbers, items`` by the forest
     of their scope (or scope and version as one key): the mean of all trees' leaf shares; ties go to the
@@ -561,14 +619,8 @@ def score(rows: DataFrame, nodes: DataFrame, classes: DataFrame, *keep: str, top
         trees: dict[int, list] = {}
         for x in model["nodes"]:
             trees.setdefault(x["tree"], []).append(x)
-        total, at_leaf = np.zeros((part.n, len(names))), np.zeros(part.n, np.int32)
-        for tree in sorted(trees):
-            at = part.walk([(x["node"], x["feature"], x["threshold"]) for x in trees[tree] if x["feature"] is not None])
-            leaves = {x["node"]: (k, x["counts"]) for k, x in enumerate(x for x in trees[tree] if x["feature"] is None)}
-            votes = np.array([c for _, c in leaves.values()], np.float64)
-            for node, here in at.items():
-                at_leaf[here] = leaves[node][0]
-            total += (votes / votes.sum(1, keepdims=True))[at_leaf]
+        total = np.zeros((part.n, len(names)))
+        add_votes(part, [trees[tree] for tree in sorted(trees)], total)
         total /= len(trees)
         order = np.argsort(total, axis=1, kind="stable")[:, ::-1][:, :top]
         labels, first = pa.array(names, pa.string()), 0
