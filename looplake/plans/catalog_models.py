@@ -82,6 +82,7 @@ def _train_setup(fx):
     split = cut_lineage(TS.random_split(frs, F.col("_r"), SEED))
     fm = FE.fit_features(split)
     width = FE.assemble_features(fm, split.limit(1)).select(F.size(vector_to_array("features"))).first()[0]
+    FE.assemble_features(fm, split).agg(F.max("label_idx")).collect()  # a row without a label is an error
     # class weights come from the baseline and weigh the training rows only
     weighted = TS.apply_class_weights(split.where(~F.col("is_validation")), TS.balanced_class_weights(fx.baseline))
     key = F.col("row_key").alias("key")
