@@ -207,9 +207,10 @@ FROM sn JOIN pp ON CAST(sn.prediction_id AS VARCHAR) = pp.pid"""
 def _dataset_export(fx):
     """Snapshots of all scopes written as CSV per scope and training id and read back (every value as text; as in the
     reference's CSV writer, an empty text and a missing value are the same empty field)."""
-    path = I.shared_path(fx.spark, "dataset-export")
-    I.dataset_export(_snapshot(fx), path, ["scope_key", "training_id"])
-    return fx.spark.read.option("header", True).csv(path)
+    path, by = I.shared_path(fx.spark, "dataset-export"), ["scope_key", "training_id"]
+    rows = _snapshot(fx)
+    I.dataset_export(rows, path, by)
+    return I.read_export(fx.spark, path, rows.schema, by)
 
 
 @query("stage_tables", f"""

@@ -7,8 +7,15 @@ functions go under the cluster's shared checkpoint folder unless a path is given
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
+from itertools import groupby, islice
+from urllib.parse import unquote
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,12 +99,131 @@ def write_csv(df: DataFrame, path: str, partition_by: list | None = None) -> str
     return path
 
 
+#: A folder of a missing or empty value; characters that Spark escapes in folder names.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+_ESCAPED = {c: f"%{c:02X}" for c in (*range(1, 32), 127, *map(ord, "\"#%'*/:=?\\{[]^"))}
+#: Rows that a reading task hands on at a time.
+EXPORT_BATCH = 8192
+
+
+def _file_store(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """The path with its scheme, and whether tasks reach it through ``pyarrow.fs``."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    try:
+        pafs.FileSystem.from_uri(full)
+    except (OSError, ValueError):
+        return full, False
+    return full, True
+
+
 def dataset_export(snapshot: DataFrame, path: str, by: list | None = None) -> str:
     """Snapshot rows to CSV with a header, one folder per training id (or per ``by``) with one file: the
-    rows of a folder are brought to one task first, else every task writes a file to nearly every folder."""
+    rows of a folder are brought to one task first, else every task writes a file to nearly every folder.
+
+    Rows become Spark's CSV text; tasks write the files of their folders through ``pyarrow.fs``, under a name of
+    their attempt until a file is whole.  Spark's own writer costs some ten milliseconds and several file
+    operations a folder, many of them one by one on the driver; it is used where ``pyarrow.fs`` knows no way."""
     by = by or ["training_id"]
-    n = int(snapshot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return write_csv(snapshot.repartition(n, *by), path, by)
+    spark = snapshot.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = snapshot.repartition(n, *by)
+    full, reached = _file_store(spark, path)
+    if not reached:
+        return write_csv(dealt, path, by)
+    write_csv(spark.createDataFrame([], snapshot.schema), path, by)  # an empty folder, whatever was there
+    store, root = pafs.FileSystem.from_uri(full)
+    store.delete_file(done := f"{root}/_SUCCESS")
+    columns = [c for c in snapshot.columns if c not in by]
+    header = spark.range(1).select(F.to_csv(F.struct(*(F.lit(c).alias(f"c{k}") for k, c in enumerate(columns))))).first()[0]
+    text = F.to_csv(F.struct(*columns), {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    lines = dealt.select(*(F.col(c).cast("string").alias(f"_{k}") for k, c in enumerate(by)), text.alias("_line")) \
+        .sortWithinPartitions(*(f"_{k}" for k in range(len(by))))
+    run = uuid.uuid4().hex
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pafs.FileSystem.from_uri(full)
+        task = TaskContext.get()
+        name, files = f"part-{task.partitionId():05d}-{run}.csv", 0
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for values, its in groupby(rows, key=lambda r: r[:-1]):
+            folder = "/".join([root, *(f"{c}={v.translate(_ESCAPED) if v else NO_VALUE}" for c, v in zip(by, values, strict=True))])
+            store.create_dir(folder)
+            with store.open_output_stream(draft := f"{folder}/.{name}.{task.taskAttemptId()}") as f:
+                f.write(f"{header}\n".encode())
+                while some := list(islice(its, EXPORT_BATCH)):
+                    f.write("".join(f"{r[-1]}\n" for r in some).encode())
+            store.move(draft, f"{folder}/{name}")
+            files += 1
+        yield pa.RecordBatch.from_pydict({"files": [files]})
+
+    lines.mapInArrow(write, "files long").agg(F.sum("files")).collect()
+    store.open_output_stream(done).close()
+    return path
+
+
+def _folders(store: pafs.FileSystem, at: str) -> list[str]:
+    found = store.get_file_info(pafs.FileSelector(at))
+    return [x.path for x in found if x.type == pafs.FileType.Directory and not x.base_name.startswith(("_", "."))]
+
+
+def _csv_records(text: str) -> Iterator[str]:
+    """Records of CSV text; a line end inside quotes belongs to a value."""
+    held = ""
+    for line in text.split("\n"):
+        held = f"{held}\n{line}" if held else line
+        if '"' not in held or re.sub(r"\\.", "", held, flags=re.S).count('"') % 2 == 0:
+            if held:
+                yield held
+            held = ""
+    if held:
+        yield held
+
+
+def read_export(spark: SparkSession, path: str, schema: T.StructType, by: list) -> DataFrame:
+    """The files of a ``dataset_export`` of rows of this schema: every value as text, the folders' values in their
+    types.  Folders are listed and files read in tasks of many folders, not a task or a split for some files each."""
+    columns = [f.name for f in schema.fields if f.name not in by]
+    kinds = {f.name: f.dataType for f in schema.fields}
+    texts = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    full, reached = _file_store(spark, path)
+    if not reached:
+        return spark.read.schema(T.StructType([*texts.fields, *(T.StructField(c, kinds[c]) for c in by)])).option("header", True).csv(path)
+    store, root = pafs.FileSystem.from_uri(full)
+    deeper = len(by) - 1
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = pafs.FileSystem.from_uri(full)
+        for b in batches:
+            found = b["folder"].to_pylist()
+            for _ in range(deeper):
+                found = [x for folder in found for x in _folders(store, folder)]
+            for k in range(0, len(found), EXPORT_BATCH):
+                yield pa.RecordBatch.from_pydict({"folder": found[k:k + EXPORT_BATCH]}, schema=pa.schema([("folder", pa.string())]))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = pafs.FileSystem.from_uri(full)
+
+        def rows():
+            for folder in (x for b in batches for x in b["folder"].to_pylist()):
+                values = [unquote(x.partition("=")[2]) for x in folder.split("/")[-len(by):]]
+                values = [None if v == NO_VALUE else v for v in values]
+                for x in store.get_file_info(pafs.FileSelector(folder)):
+                    if x.type == pafs.FileType.File and not x.base_name.startswith(("_", ".")):
+                        with store.open_input_stream(x.path) as f:
+                            yield from ((*values, line) for line in islice(_csv_records(f.read().decode()), 1, None))
+
+        its = rows()
+        while some := list(islice(its, EXPORT_BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*some, strict=True)], names=[*(f"_{k}" for k in range(len(by))), "_line"])
+
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    top = spark.createDataFrame([(x,) for x in _folders(store, root)], "folder string")
+    if deeper:
+        top = top.repartition(n, "folder").mapInArrow(listed, "folder string")
+    lines = top.repartition(n, "folder").mapInArrow(read, ", ".join([*(f"_{k} string" for k in range(len(by))), "_line string"]))
+    parsed = lines.withColumn("_row", F.from_csv("_line", F.lit(texts.simpleString()[len("struct<"):-1].replace(":", " ").replace(",", ", "))))
+    return parsed.select("_row.*", *(F.col(f"_{k}").cast(kinds[c]).alias(c) for k, c in enumerate(by)))
 
 
 def dataset_summary(snapshot: DataFrame, by: list | None = None) -> DataFrame:

@@ -1,13 +1,17 @@
 """What a run of the global model costs, how scored rows find their leaves, and what tasks get beside their rows."""
 
+import glob
+
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from looplake.config import DEFAULT, NUMERIC_FEATURES
 from looplake.operators import forests as FO
 from looplake.operators import models as MD
 from looplake.plans.registry import load_all
+from looplake.sources import ingest as I
 from conftest import SF_SMALL
 
 
@@ -60,3 +64,42 @@ def test_lists_of_a_model_are_empty_beside_rows(spark):
         yield pa.RecordBatch.from_pylist([{"name": "".join(model["classes"]), "n": sum(b.num_rows for b in batches)}])
 
     assert FO._scoped(FO._with_models(rows, models, 1000), run, "name string, n long").collect() == [("ab", 20)]
+
+
+def test_export_goes_around_the_writer_that_opens_every_folder(spark, tmp_path, monkeypatch):
+    values = ["plain", "a, b ", ' "quoted"', "back\\slash\\", "two\nlines", "", None, "ü"]
+    rows = spark.createDataFrame([(f"s:{k % 3}" if k % 7 else None, k // 2, values[k % len(values)], k / 4, k % 2 == 0 if k % 5 else None) for k in range(60)],
+                                 "scope_key string, training_id int, text string, x double, ok boolean").repartition(5)
+    path, by = str(tmp_path / "export"), ["scope_key", "training_id"]
+    seen = []
+
+    def rows_written(df, *args, old=I.write_csv):
+        seen.append(df.count())
+        return old(df, *args)
+
+    monkeypatch.setattr(I, "write_csv", rows_written)
+    for _ in range(2):  # the second time over the first
+        assert I.dataset_export(rows, path, by) == path
+    assert seen == [0, 0]
+    folders = {(r.scope_key, r.training_id) for r in rows.collect()}
+    files = glob.glob(f"{path}/scope_key=*/training_id=*/*")
+    assert len(files) == len(folders) and all(f.endswith(".csv") for f in files) and (tmp_path / "export" / "_SUCCESS").exists()
+    back = I.read_export(spark, path, rows.schema, by)
+    assert back.dtypes == [("text", "string"), ("x", "string"), ("ok", "string"), ("scope_key", "string"), ("training_id", "int")]
+    want = [(r.text or None, str(r.x), None if r.ok is None else str(r.ok).lower(), r.scope_key, r.training_id) for r in rows.collect()]
+    assert sorted(map(repr, map(tuple, back.collect()))) == sorted(map(repr, want))
+    # Spark's reader finds the same folders, and the same rows where no value has a line end
+    plain = rows.where("text is null or not contains(text, '\n')")
+    I.dataset_export(plain, path, by)
+    spark_rows = spark.read.option("header", True).csv(path).collect()
+    assert sorted(map(repr, map(tuple, spark_rows))) == sorted(map(repr, map(tuple, I.read_export(spark, path, rows.schema, by).collect())))
+
+
+def test_export_without_rows_and_in_an_unknown_store(spark, tmp_path, monkeypatch):
+    rows = spark.range(30).select((F.col("id") % 4).cast("int").alias("training_id"), F.col("id").alias("v"))
+    path = I.dataset_export(rows.limit(0), str(tmp_path / "none"))
+    assert I.read_export(spark, path, rows.schema, ["training_id"]).collect() == []
+    monkeypatch.setattr(I, "_file_store", lambda spark, path: (path, False))
+    path = I.dataset_export(rows, str(tmp_path / "other"))
+    assert sorted((r.training_id, r.v) for r in I.read_export(spark, path, rows.schema, ["training_id"]).collect()) == sorted(
+        (k % 4, str(k)) for k in range(30))
