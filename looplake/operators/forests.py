@@ -26,10 +26,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b
-from itertools import chain, groupby
+from itertools import chain, count, groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -44,13 +45,19 @@ UNIT = 1_000_000
 BINS = 32
 #: Rows that a task holds of a scope in parts, and of one that is grown whole (about 130 bytes a row).
 PART_ROWS = 50_000
-WHOLE_ROWS = 2_000_000
+WHOLE_ROWS = 5_000_000
 #: Trees that a task grows of a scope of up to PART_ROWS rows; of larger ones four times as many, so that
-#: their rows go to fewer tasks.
+#: their rows go to fewer tasks, or twice as many where the rows go in pieces.
 TREE_BUNCH = 25
+#: Rows of a piece.
+PIECE_ROWS = 10_000
 #: Tests that are held for all rows of a part, and rows that step through the trees at a time.
 TESTS = 512
 BLOCK = 4096
+#: Bits of a sum of weights and rows that count rows.
+PACKED = 24
+#: Keys that are hashed at a time.
+DRAWN = 1 << 14
 _POISSON = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)])
 #: The same limits for the 53 bits of a hash.
 _POISSON_BITS = np.ceil(_POISSON * 2.0**53).astype(np.uint64)
@@ -81,10 +88,14 @@ def _share(x: np.ndarray) -> np.ndarray:
 def multiplicity(keys: np.ndarray, tree: int, seed: int, bootstrap: bool) -> np.ndarray:
     """How often a tree has each row."""
     if not bootstrap:
-        return np.ones(len(keys), np.int64)
+        return np.ones(len(keys), np.int8)
     salt = _mixed(np.array([seed * 1_000_003 + tree], np.uint64))[0]
-    drawn = _mixed(keys.view(np.uint64) ^ salt) >> np.uint64(11)
-    return sum((drawn >= limit).astype(np.int8) for limit in _POISSON_BITS).astype(np.int64)
+    out = np.zeros(len(keys), np.int8)
+    for k in range(0, len(keys), DRAWN):
+        drawn, here = _mixed(keys[k:k + DRAWN].view(np.uint64) ^ salt) >> np.uint64(11), out[k:k + DRAWN]
+        for limit in _POISSON_BITS:
+            here += drawn >= limit
+    return out
 
 
 def looks_at(names: list[str], nodes: np.ndarray, tree: int, seed: int, n_features: int) -> np.ndarray:
@@ -127,26 +138,38 @@ class Part:
         numbers, found, ids, many = [], {}, [], []
         for b in batches:
             self.take(b)
-            numbers.append(b["numbers"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(NUMERIC_FEATURES)))
-            many.append(b["items"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-            coded = b["items"].flatten().dictionary_encode()
+            numbers.append(self.held(b["numbers"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(NUMERIC_FEATURES)).T))
+            many.append(b["items"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int32))
+            coded = b["items"].flatten()
+            coded = coded if pa.types.is_dictionary(coded.type) else coded.dictionary_encode()
             known = np.array([found.setdefault(i, len(found)) for i in coded.dictionary.to_pylist()], np.int32)
             ids.append(known[coded.indices.to_numpy(zero_copy_only=False)])
-        self.numbers = np.ascontiguousarray(np.concatenate(numbers).T)
+        self.numbers = np.concatenate(numbers, 1)
+        del numbers
         self.n = self.numbers.shape[1]
-        many, ids = np.concatenate(many), np.concatenate(ids)
         self.names = np.array(sorted(found), dtype=object)
         self.at = {name: k for k, name in enumerate(self.names)}
-        self.item = np.array([self.at[name] for name in found], np.int32)[ids] if found else np.empty(0, np.int32)
-        self.row = np.repeat(np.arange(self.n, dtype=np.int32), many)
-        # the rows of an item; items that an eighth of the rows have, at most some 50, have a column too
-        by = np.argsort(self.item, kind="stable")
-        self._rows, self._ends = self.row[by], np.searchsorted(self.item[by], np.arange(len(self.names) + 1))
+        place = np.array([self.at[name] for name in found], np.min_scalar_type(len(found)))
+        item = np.concatenate([place[x] for x in ids])
+        del ids
+        row = np.repeat(np.arange(self.n, dtype=np.int32), np.concatenate(many))
+        # items that an eighth of the rows have, at most some 50, have a column; the others their rows
         self.has: dict[int, np.ndarray] = {}
-        for k in np.flatnonzero(np.diff(self._ends) * 8 >= self.n).tolist():
-            self.has[k] = self._mark(np.zeros(self.n, bool), k, True)
+        rare = np.ones(len(self.names) + 1, bool)
+        for k in np.flatnonzero(np.bincount(item, minlength=len(self.names)) * 8 >= self.n).tolist() if found else []:
+            self.has[k] = np.zeros(self.n, bool)
+            self.has[k][row[item == k]] = True
+            rare[k] = False
+        few = rare[item]
+        self.few_item, self.few_row = item[few], row[few]
+        by = np.argsort(self.few_item, kind="stable")
+        self._rows, self._ends = self.few_row[by], np.searchsorted(self.few_item[by], np.arange(len(self.names) + 1))
         self._scratch = np.zeros(self.n, bool)
 
+    def held(self, numbers: np.ndarray) -> np.ndarray:
+        """What is kept of numbers, one line a feature."""
+        return np.ascontiguousarray(numbers)
+
     def take(self, batch: pa.RecordBatch) -> None:
         """Further columns of the rows."""
 
@@ -170,15 +193,19 @@ class Part:
 
     def walk(self, splits: list[tuple], rows: np.ndarray | None = None) -> dict[int, np.ndarray]:
         """The rows at every node that has some, by the splits (node, feature, threshold) of a tree."""
-        at = {1: np.arange(self.n, dtype=np.int32) if rows is None else rows}
+        at = {1: np.arange(self.n) if rows is None else rows}
         for node, feature, threshold in sorted(splits, key=lambda x: x[0]):
             here = at.pop(node, None)
             if here is not None:
                 right = self.right(feature, threshold, here)
-                at[2 * node], at[2 * node + 1] = here[~right], here[right]
+                at[2 * node], at[2 * node + 1] = here.compress(~right), here.compress(right)
         return {node: here for node, here in at.items() if len(here)}
 
 
+def _at(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return values.take(rows, mode="clip")  # the rows are known to be there: several times as fast as values[rows]
+
+
 HISTOGRAM = pa.schema([("scope_key", pa.string()), ("tree", pa.int32()), ("node", pa.int64()), ("feature", pa.string()),
                        ("bin", pa.int32()), ("y", pa.int32()), ("w", pa.int64()), ("n", pa.int64())])
 
@@ -240,81 +267,107 @@ class Sums:
 
 
 class Grower(Part):
-    """Sums of one part of a scope's rows."""
+    """Sums of one part of a scope's rows.  A row is held by small codes: (bin, class) of every number, (has it,
+    class) of the items that many rows have, lists of rows for the others."""
 
     def __init__(self, rows: Iterable, settings: dict):
         self.settings, self.k = settings, len(settings["classes"])
         self._taken: dict[str, list] = {}
+        self._edges = [np.array(e, np.float64) for e in settings["edges"]]
         super().__init__(rows)
         self.__dict__.update({c: np.concatenate(x) for c, x in self._taken.items()})
-        # numbers as (bin, class); the pairs (row, item) of the items without a column
-        self.code = [((np.where(np.isnan(x), 0, np.searchsorted(np.array(e, np.float64), x, "left")) if len(e) else np.zeros(self.n, np.int64))
-                      * self.k + self.y).astype(np.int32) for x, e in zip(self.numbers, settings["edges"], strict=True)]
-        rare = np.ones(len(self.names) + 1, bool)
-        rare[list(self.has)] = False
-        few = rare[self.item]
-        self.few_item, self.few_first = self.item[few], np.searchsorted(self.row[few], np.arange(self.n + 1))
+        del self._taken
+        small = np.min_scalar_type(BINS * self.k)
+        self.y = self.y.astype(small)
+        self.code = [x.astype(small) * small.type(self.k) + self.y for x in self.numbers]
+        self.own = {j: column * small.type(self.k) + self.y for j, column in self.has.items()}
+        self.few_first = np.searchsorted(self.few_row, np.arange(self.n + 1)).astype(np.int32)
         self.has_few = np.diff(self.few_first) > 0
+        # equal weights: sums and counts of rows go through one pass, as one number
+        self.unit = int(self.w[0]) if self.n < 1 << PACKED and (self.w == self.w[0]).all() else None
+        self.w = np.broadcast_to(self.w[0], self.n) if self.unit is not None else self.w
+        del self.numbers, self.has, self.few_row
 
     def take(self, batch: pa.RecordBatch) -> None:
-        for c, kind in (("y", np.int32), ("w", np.int64), ("key", np.int64), ("fold", np.int32)):
+        for c, kind in (("y", np.int32), ("w", np.int64), ("key", np.int64), ("fold", np.int16)):
             if c in batch.schema.names and batch[c].null_count == 0:
                 self._taken.setdefault(c, []).append(batch[c].to_numpy(zero_copy_only=False).astype(kind))
 
+    def held(self, numbers: np.ndarray) -> np.ndarray:
+        """The bins of numbers; a missing one stands in the first."""
+        return np.array([np.where(np.isnan(x), 0, np.searchsorted(e, x, "left")) for x, e in zip(numbers, self._edges, strict=True)], np.uint8)
+
+    def right(self, feature: str, threshold: float | None, rows: np.ndarray) -> np.ndarray:
+        if feature in NUMERIC_FEATURES:  # a threshold is one of the edges
+            j = NUMERIC_FEATURES.index(feature)
+            above = np.searchsorted(self._edges[j], threshold, "left") + 1
+            return _at(self.code[j], rows) >= above * self.k
+        k = self.at.get(feature)
+        if k is None:
+            return np.zeros(len(rows), bool)
+        if k in self.own:
+            return _at(self.own[k], rows) >= self.k
+        out = _at(self._mark(self._scratch, k, True), rows)
+        self._mark(self._scratch, k, False)
+        return out
+
     def draw(self, tree: int) -> tuple[np.ndarray, np.ndarray]:
-        """The rows that a tree has, and how often every row."""
+        """The rows that a tree has, and the weight with which it sums every row."""
         times = multiplicity(self.key, tree, self.settings["random_state"], self.settings["bootstrap"])
-        return np.flatnonzero(times).astype(np.int32), times
-
-    def summed(self, out: Sums, looked: np.ndarray, of: np.ndarray, rows: np.ndarray, at: np.ndarray, bounds: list, weight: np.ndarray) -> Sums:
-        """Fill the sums: ``rows`` stand at the slots ``at``, in groups between ``bounds``; the looks of group
-        g are ``looked[of[g]]``."""
-        k = self.k
-
-        def fill(w, n, code, ws):
-            w += np.bincount(code, ws, w.size).astype(np.int64).reshape(w.shape)
-            n += np.bincount(code, minlength=w.size).reshape(w.shape).sum(-1)
-
-        def some(column):
-            """Rows, slots and weights of the groups that look at a feature."""
-            its = [slice(bounds[g], bounds[g + 1]) for g in np.flatnonzero(looked[of, column]).tolist() if bounds[g] < bounds[g + 1]]
-            return [np.concatenate([x[i] for i in its]) if len(its) > 1 else x[its[0]] for x in (rows, at, weight)] if its else None
-
-        fill(out.total, out.total_n, at * k + self.y[rows], weight)
-        width = len(NUMERIC_FEATURES)
-        for j in range(width):
-            x = some(j)
-            if x:
-                w, n = np.zeros((len(out.nodes), BINS, k), np.int64), np.zeros((len(out.nodes), BINS), np.int64)
-                fill(w, n, x[1] * (BINS * k) + self.code[j][x[0]], x[2])
-                out.number[:, j], out.number_n[:, j] = w, n
-        for j, column in self.has.items():
-            x = some(width + j)
-            if x:
-                here = column[x[0]]
-                w, n = np.zeros((len(out.nodes), k), np.int64), np.zeros(len(out.nodes), np.int64)
-                fill(w, n, x[1][here] * k + self.y[x[0][here]], x[2][here])
-                out.item[:, j], out.item_n[:, j] = w, n
-        some_few = np.flatnonzero(self.has_few[rows]) if len(self.few_item) else []
-        if len(some_few):
-            first = self.few_first[rows[some_few]]
-            many = self.few_first[rows[some_few] + 1] - first
+        return np.flatnonzero(times), self.weights(times)
+
+    def weights(self, times: np.ndarray) -> np.ndarray:
+        return times * float(1 << PACKED) + 1 if self.unit is not None else (self.w * times).astype(np.float64)
+
+    def counted(self, code: np.ndarray, weight: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Class weights and rows by code."""
+        if self.unit is None:
+            return np.bincount(code, weight, size).astype(np.int64), np.bincount(code, minlength=size)
+        both = np.bincount(code, weight, size).astype(np.int64)
+        return (both >> PACKED) * self.unit, both & ((1 << PACKED) - 1)
+
+    def tables(self, looked: np.ndarray, rows: np.ndarray, weight: np.ndarray, counted) -> Iterator[tuple]:
+        """(kind of sums, place, class weights, rows) of everything that a node looks at, ``counted(codes, size,
+        rows or None)`` by code; the weights and rows go in whatever shape it gives them before the codes."""
+        k, width = self.k, len(NUMERIC_FEATURES)
+        yield ("total", None, *counted(_at(self.y, rows), k, None))
+        for j in np.flatnonzero(looked[:width]).tolist():
+            w, n = counted(_at(self.code[j], rows), BINS * k, None)
+            yield "number", j, w.reshape(*w.shape[:-1], BINS, k), n.reshape(*n.shape[:-1], BINS, k).sum(-1)
+        looks = looked[width:]
+        for j in np.flatnonzero(looks).tolist():
+            if j in self.own:
+                w, n = counted(_at(self.own[j], rows), 2 * k, None)
+                yield "item", j, w[..., k:], n[..., k:].sum(-1)
+        some = np.flatnonzero(_at(self.has_few, rows)) if len(self.few_item) and any(j not in self.own for j in np.flatnonzero(looks).tolist()) else []
+        if len(some):
+            first = self.few_first[rows[some]]
+            many = self.few_first[rows[some] + 1] - first
             item = self.few_item[np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())]
-            place = np.repeat(some_few, many)
-            x = looked[of[np.searchsorted(bounds, place, "right") - 1], width + item]
-            place, item = place[x], item[x]
-            fill(out.item, out.item_n, (at[place] * len(self.names) + item) * k + self.y[rows[place]], weight[place])
-        return out
-
-    def sums(self, tree: int, groups: list[tuple[int, np.ndarray]], times: np.ndarray) -> Sums:
+            at = np.repeat(some, many)
+            seen = looks[item]
+            at, item = at[seen], item[seen]
+            if len(at):
+                names = np.flatnonzero(looks)
+                w, n = counted(np.searchsorted(names, item) * k + self.y[rows[at]], len(names) * k, at)
+                w, n = w.reshape(*w.shape[:-1], len(names), k), n.reshape(*n.shape[:-1], len(names), k).sum(-1)
+                for place, j in enumerate(names.tolist()):
+                    if j not in self.own:
+                        yield "item", j, w[..., place, :], n[..., place]
+
+    def sums(self, tree: int, groups: list[tuple[int, np.ndarray]], weight: np.ndarray) -> Sums:
         """Sums for open nodes (in order) of a tree with their drawn rows."""
         s = self.settings
-        nodes, sizes = np.array([node for node, _ in groups], np.int64), [len(r) for _, r in groups]
-        rows = np.concatenate([r for _, r in groups])
+        nodes = np.array([node for node, _ in groups], np.int64)
         looked = looks_at([*NUMERIC_FEATURES, *self.names], nodes, tree, s["random_state"], s["n_features"])
-        of = np.arange(len(groups))
-        return self.summed(Sums(nodes, self.names.tolist(), self.k), looked, of, rows, np.repeat(of, sizes), [0, *np.cumsum(sizes).tolist()],
-                           (self.w[rows] * times[rows]).astype(np.float64))
+        out = Sums(nodes, self.names.tolist(), self.k)
+        for g, (_, rows) in enumerate(groups):
+            its = _at(weight, rows)
+            for kind, j, w, n in self.tables(looked[g], rows, its, lambda code, size, at: self.counted(code, its if at is None else its[at], size)):
+                of = g if j is None else (g, j)
+                getattr(out, kind)[of] = w
+                getattr(out, f"{kind}_n")[of] = n.sum() if j is None else n
+        return out
 
     def cells(self, tree: int, s: Sums) -> pa.RecordBatch:
         """The sums as rows of ``HISTOGRAM``; feature '' has the nodes' totals."""
@@ -334,17 +387,17 @@ class Grower(Part):
     def grow(self, trees: Iterable[int]) -> Iterator[pa.RecordBatch]:
         """Whole trees of a scope that has one part."""
         for tree in trees:
-            rows, times = self.draw(tree)
+            rows, weight = self.draw(tree)
             done, level = {}, [(1, rows)] if len(rows) else []  # a tree without rows has no nodes
             while level:
                 following = []
-                fresh = {x[0]: x for x in self.sums(tree, level, times).splits(self.settings)}
+                fresh = {x[0]: x for x in self.sums(tree, level, weight).splits(self.settings)}
                 done |= fresh
                 for node, rows in level:
                     if fresh[node][1] is None:
                         continue
                     right = self.right(*fresh[node][1:3], rows)
-                    for child, its in ((2 * node, rows[~right]), (2 * node + 1, rows[right])):
+                    for child, its in ((2 * node, rows.compress(~right)), (2 * node + 1, rows.compress(right))):
                         if fresh[child][5] and len(its):
                             following.append((child, its))
                         else:
@@ -428,13 +481,62 @@ def _scoped(tasks: DataFrame, run, result) -> DataFrame:
         .sortWithinPartitions("scope_key", "part", ~F.col("head")).mapInArrow(over, result)
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """Rows ``scope_key, ...`` as pieces ``scope_key, key, data`` of up to ``PIECE_ROWS`` rows of a scope, compressed in
+    Arrow's format: rows that go to many tasks are turned into columns once, and a piece moves as one value."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        sizes: dict[str, int] = {}
+        task, made = TaskContext.get().partitionId(), count()
+
+        def pieces(scopes):
+            for scope in scopes:
+                table = pa.Table.from_batches(held.pop(scope)).combine_chunks()
+                del sizes[scope]
+                if "items" in table.column_names:
+                    items = table["items"].combine_chunks()
+                    ends = pa.array(np.concatenate([[0], np.cumsum(items.value_lengths().to_numpy())]).astype(np.int32))
+                    table = table.set_column(table.schema.get_field_index("items"), "items", pa.ListArray.from_arrays(ends, items.flatten().dictionary_encode()))
+                yield pa.RecordBatch.from_arrays([pa.array([scope], pa.string()), pa.array([f"{task}-{next(made)}"]), pa.array([_bytes(table.to_batches()[0])], pa.binary())],
+                                                 names=["scope_key", "key", "data"])
+
+        for b in batches:
+            scope = b["scope_key"].dictionary_encode()
+            code, b = scope.indices.to_numpy(), b.drop_columns(["scope_key"])
+            for k, name in enumerate(scope.dictionary.to_pylist()):
+                its = b if len(scope.dictionary) == 1 else b.take(pa.array(np.flatnonzero(code == k)))
+                if its.num_rows:
+                    held.setdefault(name, []).append(its)
+                    sizes[name] = sizes.get(name, 0) + its.num_rows
+            full = [name for name, n in sizes.items() if n >= PIECE_ROWS]
+            yield from pieces(full if sum(sizes.values()) < 20 * PIECE_ROWS else list(held))
+        yield from pieces(list(held))
+
+    return rows.mapInArrow(pack, "scope_key string, key string, data binary")
+
+
+def _bytes(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(pieces: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """(key, rows) of pieces."""
+    for b in pieces:
+        for key, data in zip(b["key"].to_pylist(), b["data"]):
+            yield key, pa.ipc.open_stream(data.as_buffer()).read_next_batch()
+
+
 def _task_partitions(spark) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 12 * spark.sparkContext.defaultParallelism)
+    # many more than tasks run at a time: two heavy parts seldom meet in one
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 32 * spark.sparkContext.defaultParallelism)
 
 
-def _bunches(settings: DataFrame) -> DataFrame:
+def _bunches(settings: DataFrame, larger: int = 4) -> DataFrame:
     """Every scope once for each bunch of ``bunch_trees`` of its trees."""
-    held = settings.withColumn("bunch_trees", F.when(F.col("rows") <= PART_ROWS, TREE_BUNCH).otherwise(4 * TREE_BUNCH))
+    held = settings.withColumn("bunch_trees", F.when(F.col("rows") <= PART_ROWS, TREE_BUNCH).otherwise(larger * TREE_BUNCH))
     return held.withColumn("bunch", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_estimators") - 1) / F.col("bunch_trees")).cast("int"))))
 
 
@@ -465,13 +567,14 @@ def train_forests(train: DataFrame, settings: DataFrame, part_rows: int | None =
                      "random_state"]
     # scopes that are grown whole: all levels of a bunch of trees on all rows of the scope
     small = settings.where(F.col("rows") <= whole_rows)
-    bunches = _bunches(small).select(*settings_cols, "n_estimators", "first_tree", "bunch", "bunch_trees")
-    of_bunch = rows.join(bunches.select("scope_key", "bunch"), "scope_key").select(
-        F.concat_ws("#", F.col("bunch").cast("string"), "scope_key").alias("scope_key"), *(c for c in rows.columns if c != "scope_key"))
+    bunches = _bunches(small, 2).select(*settings_cols, "n_estimators", "first_tree", "bunch", "bunch_trees")
+    pieces = _stored(packed(rows.join(small.select("scope_key"), "scope_key", "left_semi")))
+    of_bunch = pieces.join(bunches.select("scope_key", "bunch"), "scope_key").select(
+        F.concat_ws("#", F.col("bunch").cast("string"), "scope_key").alias("scope_key"), "key", "data")
     asked = bunches.withColumn("of", F.col("scope_key")).withColumn("scope_key", F.concat_ws("#", F.col("bunch").cast("string"), "scope_key"))
 
     def whole(model: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from Grower(batches, {**model, "scope_key": model["of"]}).grow([t + model["first_tree"] for t in _of_bunch(model)])
+        yield from Grower((b for _, b in unpacked(batches)), {**model, "scope_key": model["of"]}).grow([t + model["first_tree"] for t in _of_bunch(model)])
 
     done = _stored(_scoped(_with_models(of_bunch, asked, 1 << 30), whole, NODE_DDL))
     nodes = _stored(nodes.join(small.select("scope_key"), "scope_key", "left_anti"))
@@ -488,11 +591,11 @@ def train_forests(train: DataFrame, settings: DataFrame, part_rows: int | None =
         for tree, (splits, open_nodes) in trees.items():
             # only the splits above open nodes are walked
             above = {node >> d for node in open_nodes for d in range(1, node.bit_length())}
-            rows, times = grower.draw(tree)
+            rows, weight = grower.draw(tree)
             at = grower.walk([x for x in splits if x[0] in above], rows) if open_nodes and len(rows) else {}
             found = sorted((node, at[node]) for node in open_nodes & at.keys())
             if found:
-                yield grower.cells(tree, grower.sums(tree, found, times))
+                yield grower.cells(tree, grower.sums(tree, found, weight))
 
     # the others: one pass over all parts a level
     while nodes.where("open").limit(1).count():

@@ -20,7 +20,6 @@ from looplake.plans.catalog_scope import SCOPED_SQL, WIN_SQL, WS, blank_null_sql
 from looplake.plans.catalog_state import BATCHES_SQL, _JOB_SCOPE_SQL
 from looplake.plans.catalog_train import MIX_SQL, _frame
 from looplake.plans.registry import query
-from looplake.session import cut_lineage
 from looplake.sources.fixtures import AS_OF, AS_OF_SQL, SEED
 
 C = DEFAULT
@@ -79,7 +78,7 @@ def _train_setup(fx):
     frs = fr.join(fr.groupBy().agg(S.adaptive_split_ratio(F.count(F.lit(1))).alias("_r")), how="cross")
     # The split frame feeds several passes (encoder fit, vocabulary, forest iterations):
     # materialize it once in the shared checkpoint folder instead of recomputing the lineage.
-    split = cut_lineage(TS.random_split(frs, F.col("_r"), SEED))
+    split = FO._stored(TS.random_split(frs, F.col("_r"), SEED))
     fm = FE.fit_features(split)
     width = FE.assemble_features(fm, split.limit(1)).select(F.size(vector_to_array("features"))).first()[0]
     FE.assemble_features(fm, split).agg(F.max("label_idx")).collect()  # a row without a label is an error
@@ -115,7 +114,7 @@ def _forest_setup(fx):
     """(training rows, validation rows, settings) of every scope, encoded for node-table forests."""
     fr = _frame(fx)
     ratio = fr.groupBy("scope_key").agg(S.adaptive_split_ratio(F.count(F.lit(1))).alias("_r"))
-    split = cut_lineage(TS.random_split(fr.join(ratio, "scope_key"), F.col("_r"), SEED, by=["scope_key"]))
+    split = FO._stored(TS.random_split(fr.join(ratio, "scope_key"), F.col("_r"), SEED, by=["scope_key"]))
     train = TS.apply_class_weights(split.where(~F.col("is_validation")), TS.balanced_class_weights(fx.baseline))
     key = F.col("row_key").alias("key")
     train = FO.encode_rows(train.select("*", key), "scope_key", "key", "label", "weight")

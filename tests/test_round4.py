@@ -1,6 +1,7 @@
 """What a run of the global model costs, how scored rows find their leaves, and what tasks get beside their rows."""
 
 import glob
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -8,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from looplake.config import DEFAULT, NUMERIC_FEATURES
+from looplake.operators import crossval as CV
 from looplake.operators import forests as FO
 from looplake.operators import models as MD
+from looplake.operators import ordering
 from looplake.plans.registry import load_all
 from looplake.sources import ingest as I
 from conftest import SF_SMALL
@@ -103,3 +106,58 @@ def test_export_without_rows_and_in_an_unknown_store(spark, tmp_path, monkeypatc
     path = I.dataset_export(rows, str(tmp_path / "other"))
     assert sorted((r.training_id, r.v) for r in I.read_export(spark, path, rows.schema, ["training_id"]).collect()) == sorted(
         (k % 4, str(k)) for k in range(30))
+
+
+def fold_rows(n, scopes=("s", "t")):
+    rng = np.random.default_rng(3)
+    names = ["animal_type=dog", "animal_type=cat", *(f"symptom=t{k}" for k in range(12))]
+    return [(s, f"k{k}", "abc"[int(rng.integers(0, 3))], [None if x == 9 else float(x) for x in rng.integers(0, 10, len(NUMERIC_FEATURES))],
+             sorted({names[j] for j in rng.integers(0, len(names), 3)})) for s in scopes for k in range(n)]
+
+
+FOLD_DDL = "scope_key string, key string, label string, numbers array<double>, items array<string>"
+
+
+def test_pieces_hold_every_row_of_a_scope(spark, monkeypatch):
+    monkeypatch.setattr(FO, "PIECE_ROWS", 50)
+    data = [*fold_rows(120), ("u", "only", "a", [None] * len(NUMERIC_FEATURES), [])]
+    pieces = FO.packed(spark.createDataFrame(data, FOLD_DDL).repartition(3)).collect()
+    assert len({(r.scope_key, r.key) for r in pieces}) == len(pieces) < 20
+    back = [(r.scope_key, x["key"], x["label"], x["numbers"], x["items"]) for r in pieces
+            for _, b in FO.unpacked([pa.RecordBatch.from_pylist([{"key": r.key, "data": bytes(r.data)}])]) for x in b.to_pylist()]
+    assert sorted(map(repr, back)) == sorted(map(repr, data))
+
+
+def test_folds_need_no_sorted_table_of_all_rows(spark, monkeypatch):
+    def sorted_table(*args, **kwargs):
+        raise AssertionError("all rows sorted")
+
+    monkeypatch.setattr(ordering, "with_row_number", sorted_table)
+    data = fold_rows(90)
+    got = CV.stratified_folds(spark.createDataFrame(data, FOLD_DDL).repartition(5), 2, 7).collect()
+    want = {}
+    for repeat in range(2):
+        for s, label in {(x[0], x[2]) for x in data}:
+            order = sorted((hashlib.sha256(f"7:{repeat}:{x[1]}".encode()).hexdigest(), x[1]) for x in data if (x[0], x[2]) == (s, label))
+            want |= {(s, key, repeat): place % 5 for place, (_, key) in enumerate(order)}
+    assert {(r.scope_key, r.key, r.repeat): r.fold for r in got} == want and len(got) == len(want)
+
+
+def test_rows_that_repeat_a_key_are_validated_each(spark):
+    rows = spark.createDataFrame([x for x in fold_rows(40, ("s",)) for _ in range(2)], FOLD_DDL)
+    settings = FO.scope_settings(rows).withColumns({"n_estimators": F.lit(3), "max_depth": F.lit(3)})
+    each = CV.fold_predictions(rows, settings, 2, 7)
+    assert each.count() == 160
+    counts = CV._predictions(rows, settings, 2, 7, DEFAULT, None, False)
+    row = ["scope_key", "repeat", "fold", "label", "predicted_label"]
+    assert sorted(counts.select(*row, "n").collect()) == sorted(each.groupBy(*row).count().collect())
+
+
+def test_a_row_of_a_grower_takes_few_bytes():
+    held = [{"key": k, "numbers": x[3], "items": x[4], "y": "abc".index(x[2]), "w": 1_000_000, "fold": k % 5} for k, x in enumerate(fold_rows(2000, ("s",)))]
+    settings = {"scope_key": "s", "classes": ["a", "b", "c"], "edges": [[1.0, 3.0, 6.0]] * len(NUMERIC_FEATURES), "n_features": 19, "max_depth": 6,
+                "min_samples_split": 5, "min_samples_leaf": 2, "bootstrap": True, "random_state": 7, "folds": 5}
+    grower = CV.FoldGrower(held, settings)
+    arrays = [x for v in grower.__dict__.values() for x in (v.values() if isinstance(v, dict) else v if isinstance(v, list) else [v]) if isinstance(x, np.ndarray)]
+    assert sum(x.nbytes for x in arrays if x.dtype != object) < 70 * len(held)
+    assert FO.WHOLE_ROWS * 150 < 1 << 30
