@@ -203,7 +203,9 @@ def _training_metrics_row(fx):
         return FO._stored(MD.with_prediction(scored, labels))
 
     lab = F.array(*[F.lit(x) for x in labels])
-    tv, tt = predicted(valid), predicted(train)
+    tv = predicted(valid)
+    # training rows are only counted: their labels suffice
+    tt = FO.score(train, nodes, settings, "label", top=1)
     vm = E.classification_metrics(tv, "label", "predicted_label").select(
         F.col("accuracy").alias("validation_accuracy"), F.col("f1_weighted").alias("validation_f1"),
         F.col("f1_macro").alias("val_macro_f1"), F.col("n").alias("n_validation"))

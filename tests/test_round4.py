@@ -161,3 +161,21 @@ def test_a_row_of_a_grower_takes_few_bytes():
     arrays = [x for v in grower.__dict__.values() for x in (v.values() if isinstance(v, dict) else v if isinstance(v, list) else [v]) if isinstance(x, np.ndarray)]
     assert sum(x.nbytes for x in arrays if x.dtype != object) < 70 * len(held)
     assert FO.WHOLE_ROWS * 150 < 1 << 30
+
+
+def test_training_rows_of_the_metrics_row_are_only_counted(spark, monkeypatch):
+    ranked, bunches = [], []
+
+    def ranks(df, labels, old=MD.with_prediction):
+        ranked.append(df.count())
+        return old(df, labels)
+
+    def bunch(settings, *args, old=FO._bunches):
+        bunches.append(args)
+        return old(settings, *args)
+
+    monkeypatch.setattr(MD, "with_prediction", ranks)
+    monkeypatch.setattr(FO, "_bunches", bunch)
+    r = load_all()["training_metrics_row"].build(spark, SF_SMALL).first()
+    assert ranked == [r.n_validation] and 0 <= r.training_accuracy <= 1
+    assert bunches and set(bunches) == {(2,)}  # of a large scope 6 tasks to train and 18 to validate 300 trees, not 3 and 9
