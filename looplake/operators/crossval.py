@@ -54,7 +54,7 @@ def _folds(rows: DataFrame, repeats: int, seed: int, cfg: Config) -> DataFrame:
     sizes = each.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group[:3]).orderBy("_digits").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = sizes.select(*group, before.alias("_first"))
-    among = F.row_number().over(Window.partitionBy(*group).orderBy("_drawn", "key"))
+    among = F.row_number().over(Window.partitionBy(*group).orderBy("_drawn", "key", "_id"))
     placed = each.join(first, group).select("_id", "repeat", ((F.col("_first") + among - 1) % F.col("folds")).cast("int").alias("fold"))
     at = placed.groupBy("_id").agg(*(F.max(F.when(F.col("repeat") == r, F.col("fold"))).alias(f"f{r}") for r in range(repeats)))
     return rows.join(at.select("_id", F.array(*(f"f{r}" for r in range(repeats))).alias("at")), "_id").join(least, "scope_key").drop("_id")
@@ -201,6 +201,18 @@ def _predictions(train: DataFrame, settings: DataFrame, repeats: int, seed: int,
     return _shared(rows, of.where(~large), False).unionByName(apart).groupBy(*row).agg(F.sum("n").alias("n"))
 
 
+def _merged(rows: pa.RecordBatch, votes: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Rows of one key, label and fold count as one row with all their votes."""
+    key, label = (rows[c].dictionary_encode().indices.to_numpy().astype(np.int64) for c in ("row_key", "label"))
+    fold = rows["fold"].to_numpy()
+    _, first, of = np.unique((key * (label.max() + 1) + label) * (int(fold.max()) + 1) + fold, return_index=True, return_inverse=True)
+    if len(first) == len(votes):
+        return rows, votes
+    added = np.zeros((len(first), votes.shape[1]), votes.dtype)
+    np.add.at(added, of, votes)
+    return rows.take(pa.array(first)), added
+
+
 def _shared(rows: DataFrame, of: DataFrame, rowwise: bool) -> DataFrame:
     """Scopes of one part: tasks take a bunch of trees of all fits of a repeat and give every row's votes by class, which
     are added up piece by piece."""
@@ -208,8 +220,8 @@ def _shared(rows: DataFrame, of: DataFrame, rowwise: bool) -> DataFrame:
     bunches = FO._bunches(of, 2).withColumn("of", F.col("scope_key"))
     classes = F.broadcast(of.select("scope_key", "classes").distinct())
     pieces = FO._stored(FO.packed(rows.join(classes, "scope_key").select(
-        "scope_key", F.xxhash64("key").alias("key"), *([F.col("key").cast("string").alias("row_key")] if rowwise else []), "label", "at", "numbers", "items",
-        (F.array_position("classes", F.col("label")) - 1).cast("int").alias("y"), F.lit(FO.UNIT).cast("long").alias("w"))))
+        "scope_key", F.xxhash64("key").alias("key"), F.col("key").cast("string").alias("row_key"), "label", "at", "numbers", "items",
+        (F.array_position("classes", F.col("label")) - 1).cast("int").alias("y"), F.lit(FO.UNIT).cast("long").alias("w")), together=True))
     tasks = pieces.join(bunches.select("scope_key", "bunch", "repeat"), "scope_key").select(name.alias("scope_key"), "key", "data")
 
     def run(model: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +230,7 @@ def _shared(rows: DataFrame, of: DataFrame, rowwise: bool) -> DataFrame:
         def its_rows():
             for key, b in FO.unpacked(batches):
                 fold = pa.array(b["at"].flatten().to_numpy().reshape(b.num_rows, -1)[:, model["repeat"]].astype(np.int32))
-                known.append((key, fold, b["row_key"] if rowwise else pa.nulls(b.num_rows, pa.string()), b["label"].dictionary_encode()))
+                known.append((key, fold, b["row_key"], b["label"].dictionary_encode()))
                 yield b.drop_columns(["at"]).append_column("fold", fold)
 
         votes, first = FoldGrower(its_rows(), model).votes(FO._of_bunch(model)), 0
@@ -239,6 +251,7 @@ def _shared(rows: DataFrame, of: DataFrame, rowwise: bool) -> DataFrame:
             for _, _, b in same:
                 votes = b["votes"].flatten().to_numpy().reshape(b.num_rows, -1)
                 total, one = (votes.copy(), b) if total is None else (total + votes, one)
+            one, total = _merged(one, total)
             # most votes, of equal ones the higher class
             best = pa.array((total.shape[1] - 1 - np.argmax(total[:, ::-1], axis=1)).astype(np.int32))
             found = pa.Table.from_batches([one.drop_columns(["votes"]).append_column("best", best)])

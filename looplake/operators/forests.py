@@ -481,9 +481,16 @@ def _scoped(tasks: DataFrame, run, result) -> DataFrame:
         .sortWithinPartitions("scope_key", "part", ~F.col("head")).mapInArrow(over, result)
 
 
-def packed(rows: DataFrame) -> DataFrame:
-    """Rows ``scope_key, ...`` as pieces ``scope_key, key, data`` of up to ``PIECE_ROWS`` rows of a scope, compressed in
-    Arrow's format: rows that go to many tasks are turned into columns once, and a piece moves as one value."""
+def packed(rows: DataFrame, together: bool = False) -> DataFrame:
+    """Rows ``scope_key, ...`` as pieces ``scope_key, key, data`` of some ``PIECE_ROWS`` rows of a scope, compressed in
+    Arrow's format: rows that go to many tasks are turned into columns once, and a piece moves as one value.
+    ``together``: rows of one ``key`` stand in one piece."""
+    if together:
+        sizes = rows.groupBy("scope_key").agg(F.ceil(F.count(F.lit(1)) / PIECE_ROWS).alias("_pieces"))
+        piece = F.concat_ws("#", F.pmod(F.xxhash64("key"), F.col("_pieces")).cast("string"), "scope_key")
+        rows = rows.join(sizes, "scope_key").withColumn("scope_key", piece).drop("_pieces") \
+            .repartition(_task_partitions(rows.sparkSession), "scope_key").sortWithinPartitions("scope_key")
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
         sizes: dict[str, int] = {}
@@ -497,6 +504,7 @@ def packed(rows: DataFrame) -> DataFrame:
                     items = table["items"].combine_chunks()
                     ends = pa.array(np.concatenate([[0], np.cumsum(items.value_lengths().to_numpy())]).astype(np.int32))
                     table = table.set_column(table.schema.get_field_index("items"), "items", pa.ListArray.from_arrays(ends, items.flatten().dictionary_encode()))
+                scope = scope.partition("#")[2] if together else scope
                 yield pa.RecordBatch.from_arrays([pa.array([scope], pa.string()), pa.array([f"{task}-{next(made)}"]), pa.array([_bytes(table.to_batches()[0])], pa.binary())],
                                                  names=["scope_key", "key", "data"])
 
@@ -508,8 +516,11 @@ def packed(rows: DataFrame) -> DataFrame:
                 if its.num_rows:
                     held.setdefault(name, []).append(its)
                     sizes[name] = sizes.get(name, 0) + its.num_rows
-            full = [name for name, n in sizes.items() if n >= PIECE_ROWS]
-            yield from pieces(full if sum(sizes.values()) < 20 * PIECE_ROWS else list(held))
+            if together:  # in order: only the last one goes on
+                yield from pieces(list(held)[:-1])
+            else:
+                full = [name for name, n in sizes.items() if n >= PIECE_ROWS]
+                yield from pieces(full if sum(sizes.values()) < 20 * PIECE_ROWS else list(held))
         yield from pieces(list(held))
 
     return rows.mapInArrow(pack, "scope_key string, key string, data binary")

@@ -150,6 +150,8 @@ def test_rows_that_repeat_a_key_are_validated_each(spark):
     assert each.count() == 160
     counts = CV._predictions(rows, settings, 2, 7, DEFAULT, None, False)
     row = ["scope_key", "repeat", "fold", "label", "predicted_label"]
+    many = CV.fold_predictions(spark.createDataFrame([x for x in fold_rows(40, ("s",)) for _ in range(7)], FOLD_DDL), settings, 2, 7)
+    assert many.count() == many.select("scope_key", "repeat", "fold", "row_key", "label").distinct().count() == 2 * 5 * 40  # as one row of a fold
     assert sorted(counts.select(*row, "n").collect()) == sorted(each.groupBy(*row).count().collect())
 
 
